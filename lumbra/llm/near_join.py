@@ -1,8 +1,9 @@
 """N-gram Jaccard join: grouped prefix join of word-shingle sets, exact.
 
 1. Every text becomes its set of distinct word n-grams (64-bit hashes). Texts with the same set are one class from here on.
-2. Grams are put in a global order, rare before frequent: the document frequencies of all grams are counted (packed 32-bit keys,
-   summed per range of the hash), and the most frequent of each range, ``FREQUENT`` in all, come last in the order. The list is bounded;
+2. Grams are put in a global order, rare before frequent: the document frequencies of the grams in the lowest ``COUNTED`` eighths of the hash
+   space are counted over all texts (packed 32-bit keys, summed per range of the hash), and the most frequent of each range, ``FREQUENT`` in
+   all, come after the others there; grams with higher hashes, which prefixes hardly ever reach, come last. The list is bounded;
    any order is valid, so a gram that is not in it only makes the filter weaker.
 3. The prefix of a set of n grams are its n - ceil(t n) + 1 first; two sets with similarity t share one gram of their prefixes. Classes
    with the same prefix and size are collapsed into one group (of ``GROUP`` classes at most; larger ones stay single), and
@@ -31,6 +32,7 @@ from .common import stored
 from .words import gram_set, word_hashes
 
 FREQUENT = 1 << 20
+COUNTED = 3
 GROUP = 8
 PIVOTS = 8
 RANGE_GRAMS = 4_000_000  # grams that one counting task is meant to hold
@@ -53,15 +55,18 @@ def prefix_length(size: np.ndarray | int, num: int, den: int):
 
 
 class Order:
-    """The global order: grams that are not in the list by hash, then listed ones by frequency and hash."""
+    """The global order: counted grams that are not in the list by hash, then listed ones by frequency and hash, then the others by hash."""
 
     def __init__(self, keys: np.ndarray, frequency: np.ndarray, shift: int):
         self.keys, self.frequency, self.shift = keys, frequency, np.uint64(shift)
         self.seen: np.ndarray | None = None  # a first, cheap test, made where it is used
 
     def prefix(self, grams: np.ndarray, length: int) -> np.ndarray:
+        """The first ``length`` of the sorted ``grams``."""
         if not len(self.keys):
             return grams[:length]
+        low = int(np.searchsorted(grams, np.uint64(COUNTED << 61)))
+        grams, above = grams[:low], grams[low:]
         if self.seen is None:
             self.seen = np.zeros(1 << 24, bool)
             self.seen[(self.keys & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
@@ -76,7 +81,7 @@ class Order:
             return plain[:length]
         listed = np.flatnonzero(rank)
         listed = listed[np.lexsort((grams[listed], rank[listed]))]
-        return np.concatenate([plain, grams[listed[: length - len(plain)]]])
+        return np.concatenate([plain, grams[listed], above])[:length]
 
 
 def _range_bits(grams: int) -> int:
@@ -91,7 +96,7 @@ def frequent_grams(texts: DataFrame, n: int, bits: int) -> Order:
     ranges, most = 1 << bits, max(1, FREQUENT >> bits)
 
     def slices(batches):
-        held, size = [], 0
+        held = []
 
         def out():
             grams = np.concatenate(held)
@@ -102,11 +107,10 @@ def frequent_grams(texts: DataFrame, n: int, bits: int) -> Order:
             return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["range", "grams"])
 
         for _, sets in _sets(batches, n, 0):
-            held += [s for s in sets if len(s)]
-            size += sum(map(len, sets))
-            if size > 500_000:
+            held += [low for s in sets if len(low := s[: np.searchsorted(s, np.uint64(COUNTED << 61))])]
+            if sum(map(len, held)) > 300_000:
                 yield out()
-                held, size = [], 0
+                held = []
         if held:
             yield out()
 
@@ -153,8 +157,8 @@ def profiles(rows: DataFrame, n: int, num: int, den: int, order: Order) -> DataF
     return rows.mapInArrow(run, PROFILE)
 
 
-def shared_grams(prefixes: DataFrame, bits: int) -> DataFrame:
-    """Of rows (grp, n, prefix): each prefix gram that two groups or more share, with its groups."""
+def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """Of rows (grp, n, prefix): each prefix gram that groups of similar sizes share, with these groups."""
     ranges = 1 << bits
 
     def slices(batches):
@@ -169,10 +173,12 @@ def shared_grams(prefixes: DataFrame, bits: int) -> DataFrame:
             by = np.argsort(grams)
             grams, of = grams[by], of[by]
             cut = np.searchsorted(grams >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64))
-            spans = list(zip(cut, cut[1:], strict=False))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(range(ranges), pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (grams, groups[of], sizes[of]))], names=["range", "grams", "groups", "sizes"]
-            )
+            columns = [[], [], [], []]
+            for a, b in zip(cut, cut[1:], strict=False):
+                own, place = np.unique(of[a:b], return_inverse=True)
+                for column, x in zip(columns, (grams[a:b], place.astype(np.int32), groups[own], sizes[own]), strict=True):
+                    column.append(x.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "grams", "place", "groups", "sizes"])
 
         for batch in batches:
             for g, k, p in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -189,21 +195,24 @@ def shared_grams(prefixes: DataFrame, bits: int) -> DataFrame:
         parts: dict[int, list] = {}
         for batch in batches:
             columns = batch.to_pydict()
-            for k, *blobs in zip(*(columns[c] for c in ("range", "grams", "groups", "sizes")), strict=True):
-                parts.setdefault(k, []).append([np.frombuffer(b, t) for b, t in zip(blobs, (np.uint64, np.int64, np.int32), strict=True)])
+            for k, *blobs in zip(*(columns[c] for c in ("range", "grams", "place", "groups", "sizes")), strict=True):
+                grams, place, groups, sizes = (np.frombuffer(b, t) for b, t in zip(blobs, (np.uint64, np.int32, np.int64, np.int32), strict=True))
+                parts.setdefault(k, []).append((grams, groups[place], sizes[place]))
         for blobs in parts.values():
             grams, groups, sizes = (np.concatenate(x) for x in zip(*blobs, strict=True))
             order = np.lexsort((groups, grams))
             grams, groups, sizes = grams[order], groups[order], sizes[order]
             new = np.append(True, (grams[1:] != grams[:-1]) | (groups[1:] != groups[:-1])) if len(grams) else np.zeros(0, bool)
             grams, groups, sizes = grams[new], groups[new], sizes[new]
-            same = grams[1:] == grams[:-1]
+            order = np.lexsort((sizes, grams))  # a group whose neighbours by size are too small or too large has no partner at this gram
+            grams, groups, sizes = grams[order], groups[order], sizes[order]
+            same = (grams[1:] == grams[:-1]) & (sizes[:-1].astype(np.int64) * den >= sizes[1:].astype(np.int64) * num)
             two = np.append(same, False) | np.append(False, same) if len(grams) else np.zeros(0, bool)
             for at in range(0, int(two.sum()), 50_000):
                 own = np.flatnonzero(two)[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64)), pa.array(groups[own]), pa.array(sizes[own])], names=["gram", "grp", "n"])
 
-    return prefixes.mapInArrow(slices, "range int, grams binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, "gram bigint, grp bigint, n int")
+    return prefixes.mapInArrow(slices, "range int, grams binary, place binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, "gram bigint, grp bigint, n int")
 
 
 def _verifier(num: int, den: int):
@@ -247,11 +256,14 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     single = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
     classes = stored(classes, "near-classes")
     crowded = classes.groupBy("grp").agg(F.count("class").alias("mates")).where(F.col("mates") > GROUP)
-    classes = classes.join(crowded, "grp", "left").withColumn("grp", F.when(F.col("mates").isNull(), F.col("grp")).otherwise(single)).drop("mates")
+    classes = classes.join(crowded, "grp", "left").withColumn("crowd", F.when(F.col("mates").isNotNull(), F.col("grp")))
+    classes = classes.withColumn("grp", F.when(F.col("crowd").isNull(), F.col("grp")).otherwise(single)).drop("mates")
     classes = stored(classes, "near-classes")
-    heads = known.select("class", "prefix", "id").join(classes.withColumnRenamed("least", "id"), ["class", "id"])
-    entries = shared_grams(heads.select("grp", "n", "prefix"), max(3, bits - 2))
-    shared = stored(entries, "near-shared")
+    # Members of a crowded group stand for themselves: at its grams, and together at one more, the group's number.
+    singles = classes.where(F.col("crowd").isNotNull()).select(F.col("crowd").alias("grp"), F.col("grp").alias("single"), "n")
+    entries = shared_grams(known.select("grp", F.col("n").cast("int").alias("n"), "prefix"), max(3, bits - 2), num, den)
+    entries = entries.join(singles.select("grp", "single"), "grp", "left").select("gram", F.coalesce("single", "grp").alias("grp"), "n")
+    shared = stored(entries.unionByName(singles.select(F.col("grp").alias("gram"), F.col("single").alias("grp"), "n")), "near-shared")
     heads_of = shared.groupBy("grp").agg(F.slice(F.sort_array(F.collect_set("gram")), 1, HEAD).alias("head"))
     index = stored(shared.join(heads_of, "grp"), "near-index")
     # Whole sets of the classes that can have a partner: those of groups in the index, and those of one group.
@@ -264,7 +276,9 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "real", "grams"])
 
     sets = texts.select("id", "text", "class").mapInArrow(whole, "class binary, real binary, grams binary").where("class = real").select("class", "grams")
-    sets = stored(sets.dropDuplicates(["class"]), "near-sets")
+    if known.groupBy("class", "id").count().where("count > 1").limit(1).count():  # repeated rows
+        sets = sets.dropDuplicates(["class"])
+    sets = stored(sets, "near-sets")
     linked = _verifier(num, den)
 
     def verified(pairs: DataFrame) -> DataFrame:
