@@ -8,11 +8,11 @@
 3. The prefix of a set of n grams are its n - ceil(t n) + 1 first; two sets with similarity t share one gram of their prefixes. Classes
    with the same prefix and size are collapsed into one group (of ``GROUP`` classes at most; larger ones stay single), and
    an index of prefix grams holds groups only, of these only grams that two groups share.
-4. Group pairs are filtered by size, and taken at the first gram they share alone. In the first round, each gram's first ``PIVOTS`` groups are
-   paired with all its groups; pairs are expanded to their members, whose whole sets are compared, and links are joined to components.
-   A gram of few groups is done with that. In the second round, grams whose groups are still in several components have the classes outside
-   their largest component compared with all their classes, in blocks of bounded bytes inside a task, so the pairs of a large family of
-   near copies are never rows. As components are asked for, pairs inside one component are not needed; no link between two is lost.
+4. Group pairs are filtered by size. Grams of at most ``FEW`` groups give their pairs, each at the first gram that the two share; pairs are
+   expanded to their members, whose whole sets are compared, and links are joined to components. Grams of more groups, if these are still in
+   several components, have them compared in pairs of blocks of bounded size inside a task, so the pairs of a large family of near copies
+   are never rows, and each group goes only to the first ``BLOCK_HEAD`` grams it shares (groups without a common one among these are
+   paired as above). As components are asked for, pairs inside one component are not needed; no link between two is lost.
 
 Defined results: null texts and texts without words have no grams and are linked with nothing; shorter texts than n words are one gram;
 repeated rows are in one class; rows with a null identifier are components of their own, with a null component; an empty table gives
@@ -34,8 +34,9 @@ from .words import gram_set, word_hashes
 FREQUENT = 1 << 20
 COUNTED = 3
 GROUP = 8
-PIVOTS = 8
-BLOCK_BYTES = 2 << 20  # of the sets in a block
+FEW = 9
+BLOCK_HEAD = 4
+BLOCK_BYTES, BLOCK_SETS = 2 << 20, 1024  # of a block
 RANGE_GRAMS = 4_000_000  # grams that one counting task is meant to hold
 HEAD = 16
 STEP = 256
@@ -232,14 +233,17 @@ def _verifier(num: int, den: int):
 
 
 def _met(left: DataFrame, right: DataFrame, num: int, den: int, apart: bool = False) -> DataFrame:
-    """(grp, other) of groups of similar sizes at the first gram that both have in their heads; if ``apart``, those in different components whose heads have none in common."""
-    right = right.select("gram", F.col("grp").alias("other"), F.col("n").cast("long").alias("m"), F.col("head").alias("other_head"), *([F.col("part").alias("other_part")] if apart else []))
-    near = (F.col("grp") != F.col("other")) & (F.col("n").cast("long") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n").cast("long") * num)
+    """(g, h) of groups of similar sizes, at the first gram that both have in their heads; if ``apart``, those in different components whose heads have none in common."""
+    left = left.select("gram", F.col("grp").alias("g"), F.col("n").cast("long").alias("n"), "head", *(["part"] if apart else []))
+    right = right.select("gram", F.col("grp").alias("h"), F.col("n").cast("long").alias("m"), F.col("head").alias("other_head"), *([F.col("part").alias("other_part")] if apart else []))
+    near = (F.col("g") < F.col("h")) & (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
     if apart:
         cheap = (F.get("head", F.lit(0)) != F.get("other_head", F.lit(0))) & ~F.array_contains("other_head", F.get("head", F.lit(0)))  # most heads meet here
-        return left.join(right, "gram").where(near & (F.col("part") != F.col("other_part")) & cheap & ~F.arrays_overlap("head", "other_head"))
-    first = F.array_min(F.array_intersect("head", "other_head"))
-    return left.join(right, "gram").where(near & (F.coalesce(first, F.col("gram")) >= F.col("gram")))
+        got = left.join(right, "gram").where(near & (F.col("part") != F.col("other_part")) & cheap & ~F.arrays_overlap("head", "other_head"))
+    else:
+        first = F.array_min(F.array_intersect("head", "other_head"))
+        got = left.join(right, "gram").where(near & (F.coalesce(first, F.col("gram")) >= F.col("gram")))
+    return got.select("g", "h").distinct()
 
 
 def _expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -248,33 +252,31 @@ def _expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _block_links(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Links, as a forest for each block pair, between the classes outside each gram's largest component and all its classes.
+    """Links, as a forest for each pair of blocks, between each gram's classes that are in different components.
 
-    Each gram's classes are dealt out to ``blocks`` blocks of bounded bytes; a pair of blocks is compared in memory and no pair is a row.
+    Each gram's classes are dealt out to ``blocks`` blocks of bounded size; a pair of blocks is compared in memory and no pair is a row.
     """
-    own = entries.select("gram", "class", "part", "grams", "blocks", (F.col("part") != F.col("main")).alias("outside"), F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sides = own.where("outside").select("gram", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "class", "part", "grams").unionByName(
-        own.select("gram", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "class", "part", "grams")
-    )
+    own = entries.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
+    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "part", "grams")
 
     def compare(block: pa.Table) -> pa.Table:
-        asks = np.asarray(block.column("asks").combine_chunks().cast(pa.int8())).astype(bool)
         sets = [np.frombuffer(x, np.uint64) for x in block.column("grams").to_pylist()]
         names, parts = block.column("class").to_pylist(), block.column("part").to_pylist()
+        of, i, j = (np.asarray(block.column(c).combine_chunks()) for c in ("block", "i", "j"))
         sizes = np.array([len(x) for x in sets], np.int64)
-        rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
+        rows, cols = np.flatnonzero(of == i), np.flatnonzero(of == j)
         a, b = [], []
         if len(rows) and len(cols):
             owner = np.repeat(np.arange(len(sets)), sizes)
-            flat, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             kept = count > 1
             number = np.cumsum(kept) - 1
             mark = kept[place]
             owner, place = owner[mark], number[place[mark]]
-            common = np.zeros((len(rows), len(cols)), np.float32)
             by = np.argsort(place, kind="stable")
             owner, place = owner[by], place[by]
+            common = np.zeros((len(rows), len(cols)), np.float32)
             for at in range(0, int(kept.sum()), 2048):
                 lo, hi = np.searchsorted(place, [at, at + 2048])
                 dense = np.zeros((len(sets), 2048), np.float32)
@@ -298,7 +300,7 @@ def _block_links(entries: DataFrame, num: int, den: int) -> DataFrame:
                     b.append(names[y])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return sides.groupBy("gram", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return dealt.groupBy("gram", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def components(links: DataFrame, tag: str) -> DataFrame:
@@ -360,20 +362,19 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     member = classes.select("class", "grp")
     inside = member.alias("p").join(member.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.class") < F.col("q.class"))).select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
     links = stored(verified(inside), "near-links")
-    # First round: each gram's pivots against its other groups. A gram of PIVOTS + 1 groups at most is done with that.
-    chosen = index.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("grp"), "grp"))).where(F.col("rank") <= PIVOTS)
-    pairs = _met(index, chosen, num, den).select(F.least("grp", "other").alias("g"), F.greatest("grp", "other").alias("h")).distinct()
-    more = stored(verified(_expanded(pairs, member)), "near-links")
+    # First round: all pairs of grams with few groups.
+    sized = index.groupBy("gram").agg(F.count("grp").alias("k"))
+    few = index.join(sized.where(F.col("k") <= FEW).select("gram"), "gram", "left_semi")
+    more = stored(verified(_expanded(_met(few, few, num, den), member)), "near-links")
     label = components(links.union(more), "near")
-    # Second round: grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own.
+    # Second round: other grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own.
     got = member.join(label, member["class"] == label["node"], "left").select("grp", F.coalesce("root", "class").alias("root"))
     part = got.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.encode(F.col("grp").cast("string"), "UTF-8")).alias("part"))
-    crowd = index.groupBy("gram").agg(F.count("grp").alias("k")).where(F.col("k") > PIVOTS + 1).select("gram")
-    now = index.join(crowd, "gram", "left_semi").join(part, "grp")
-    largest = now.groupBy("gram", "part").agg(F.count("grp").alias("k"), F.sum("n").alias("grams"))
-    largest = largest.groupBy("gram").agg(F.max(F.struct("k", "part")).alias("top"), F.count("part").alias("parts"), F.sum("grams").alias("grams")).where("parts > 1")
-    now = stored(now.join(largest.select("gram", F.col("top.part").alias("main"), F.ceil(F.col("grams") * 8 / BLOCK_BYTES).cast("int").alias("blocks")), "gram"), "near-open")
-    apart = _met(now, now.where(F.col("part") != F.col("main")), num, den, apart=True).select(F.least("grp", "other").alias("g"), F.greatest("grp", "other").alias("h")).distinct()
+    now = index.join(sized.where(F.col("k") > FEW).select("gram"), "gram", "left_semi").withColumn("head", F.slice("head", 1, BLOCK_HEAD)).join(part, "grp")
+    open_ = now.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("grams"), F.count("grp").alias("k")).where("lo != hi")
+    blocks = F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("k") / BLOCK_SETS)).cast("int")
+    now = stored(now.join(open_.select("gram", blocks.alias("blocks")), "gram"), "near-open")
+    apart = _met(now, now, num, den, apart=True)
     heads = now.where(F.array_contains("head", F.col("gram"))).drop("head").join(member, "grp").join(sets, "class")
     last = stored(_block_links(heads, num, den).union(verified(_expanded(apart, member))), "near-links")
     label = components(links.union(more).union(last), "near")
