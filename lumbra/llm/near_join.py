@@ -11,7 +11,7 @@
 4. Group pairs are filtered by size. Grams of at most ``FEW`` groups give their pairs, each at the first gram that the two share; pairs are
    expanded to their members, whose whole sets are compared, and links are joined to components. Grams of more groups, if these are still in
    several components, have them compared in pairs of blocks of bounded size inside a task, so the pairs of a large family of near copies
-   are never rows, and each group goes only to the first ``BLOCK_HEAD`` grams it shares (groups without a common one among these are
+   are never rows, and each group goes only to the ``BLOCK_HEAD`` most frequent grams it shares (groups without a common one among these are
    paired as above). As components are asked for, pairs inside one component are not needed; no link between two is lost.
 
 Defined results: null texts and texts without words have no grams and are linked with nothing; shorter texts than n words are one gram;
@@ -370,10 +370,12 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     # Second round: other grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own.
     got = member.join(label, member["class"] == label["node"], "left").select("grp", F.coalesce("root", "class").alias("root"))
     part = got.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.encode(F.col("grp").cast("string"), "UTF-8")).alias("part"))
-    now = index.join(sized.where(F.col("k") > FEW).select("gram"), "gram", "left_semi").withColumn("head", F.slice("head", 1, BLOCK_HEAD)).join(part, "grp")
+    now = index.drop("head").join(sized.where(F.col("k") > FEW).select("gram"), "gram", "left_semi").join(part, "grp")
     open_ = now.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("grams"), F.count("grp").alias("k")).where("lo != hi")
     blocks = F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("k") / BLOCK_SETS)).cast("int")
-    now = stored(now.join(open_.select("gram", blocks.alias("blocks")), "gram"), "near-open")
+    now = now.join(open_.select("gram", "k", blocks.alias("blocks")), "gram")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "gram")))  # the most frequent first: members of one family have them in common
+    now = stored(now.join(now.groupBy("grp").agg(F.transform(F.slice(ranked, 1, BLOCK_HEAD), lambda x: x["gram"]).alias("head")), "grp"), "near-open")
     apart = _met(now, now, num, den, apart=True)
     heads = now.where(F.array_contains("head", F.col("gram"))).drop("head").join(member, "grp").join(sets, "class")
     last = stored(_block_links(heads, num, den).union(verified(_expanded(apart, member))), "near-links")
