@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import jobs, retrieval  # noqa: E402
+
+MODULES = [retrieval, jobs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
