@@ -28,6 +28,7 @@ from .common import stored
 
 FAN = 8
 NODE_ROWS = 500_000  # entries that a node is meant to hold
+_RUN = pa.schema([("node", pa.int32()), ("digest", pa.binary()), *((c, pa.int64()) for c in ("second", "bytes", "id", "row", "copies"))])
 RUN = "node int, digest binary, second bigint, bytes bigint, id bigint, row bigint, copies bigint"
 
 
@@ -48,7 +49,7 @@ def _merge(largest: bool):
     def run(batches):
         held = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            table = pa.Table.from_batches([batch]).cast(_RUN)
             if held is not None:
                 table = pa.concat_tables([held, table])
             n = table.num_rows
