@@ -8,7 +8,7 @@
 3. The prefix of a set of n grams are its n - ceil(t n) + 1 first; two sets with similarity t share one gram of their prefixes. Classes
    with the same prefix and size are collapsed into one group (of ``GROUP`` classes at most; larger ones stay single), and
    an index of prefix grams holds groups only, of these only grams that two groups share.
-4. Group pairs are filtered by size. Grams of at most ``FEW`` groups give their pairs, each at the first gram that the two share; pairs are
+4. Group pairs are filtered by size. Grams of at most ``FEW`` groups give all their pairs, once each; pairs are
    expanded to their members, whose whole sets are compared, and links are joined to components. Grams of more groups, if these are still in
    several components, have them compared in pairs of blocks of bounded size inside a task, so the pairs of a large family of near copies
    are never rows, and each group goes only to the ``BLOCK_HEAD`` most frequent grams it shares (groups without a common one among these are
@@ -38,7 +38,6 @@ FEW = 9
 BLOCK_HEAD = 4
 BLOCK_BYTES, BLOCK_SETS = 2 << 20, 1024  # of a block
 RANGE_GRAMS = 4_000_000  # grams that one counting task is meant to hold
-HEAD = 16
 STEP = 256
 
 
@@ -160,7 +159,7 @@ def profiles(rows: DataFrame, n: int, num: int, den: int, order: Order) -> DataF
 
 
 def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int) -> DataFrame:
-    """Of rows (grp, n, prefix): each prefix gram that groups of similar sizes share, with these groups."""
+    """From rows (grp, n, prefix): pairs (null, a, b) of groups of similar sizes that share a gram of few groups, and (gram, group, n) of other grams that groups of similar sizes share."""
     ranges = 1 << bits
 
     def slices(batches):
@@ -210,11 +209,26 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int) -> DataFram
             grams, groups, sizes = grams[order], groups[order], sizes[order]
             same = (grams[1:] == grams[:-1]) & (sizes[:-1].astype(np.int64) * den >= sizes[1:].astype(np.int64) * num)
             two = np.append(same, False) | np.append(False, same) if len(grams) else np.zeros(0, bool)
-            for at in range(0, int(two.sum()), 50_000):
-                own = np.flatnonzero(two)[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64)), pa.array(groups[own]), pa.array(sizes[own])], names=["gram", "grp", "n"])
-
-    return prefixes.mapInArrow(slices, "range int, grams binary, place binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, "gram bigint, grp bigint, n int")
+            grams, groups, sizes = grams[two], groups[two], sizes[two]
+            start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+            times = np.diff(np.append(start, len(grams)))
+            times = np.repeat(times, times)
+            pairs = []
+            for d in range(1, FEW):
+                i = np.flatnonzero((times[:-d] <= FEW) & (grams[d:] == grams[:-d]) & (sizes[:-d].astype(np.int64) * den >= sizes[d:].astype(np.int64) * num))
+                pairs.append(np.column_stack([np.minimum(groups[i], groups[i + d]), np.maximum(groups[i], groups[i + d])]))
+            pairs = np.concatenate(pairs)
+            if len(pairs):
+                pairs = pairs[np.lexsort(pairs.T)]
+                pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
+            many = times > FEW
+            for gram, a, b in ((None, pairs[:, 0], pairs[:, 1]), (grams[many].view(np.int64), groups[many], sizes[many].astype(np.int64))):
+                for at in range(0, len(a), 50_000):
+                    part = slice(at, at + 50_000)
+                    first = pa.nulls(len(a[part]), pa.int64()) if gram is None else pa.array(gram[part])
+                    yield pa.RecordBatch.from_arrays([first, pa.array(a[part]), pa.array(b[part])], names=["gram", "a", "b"])
+
+    return prefixes.mapInArrow(slices, "range int, grams binary, place binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, "gram bigint, a bigint, b bigint")
 
 
 def _verifier(num: int, den: int):
@@ -232,18 +246,13 @@ def _verifier(num: int, den: int):
     return linked
 
 
-def _met(left: DataFrame, right: DataFrame, num: int, den: int, apart: bool = False) -> DataFrame:
-    """(g, h) of groups of similar sizes, at the first gram that both have in their heads; if ``apart``, those in different components whose heads have none in common."""
-    left = left.select("gram", F.col("grp").alias("g"), F.col("n").cast("long").alias("n"), "head", *(["part"] if apart else []))
-    right = right.select("gram", F.col("grp").alias("h"), F.col("n").cast("long").alias("m"), F.col("head").alias("other_head"), *([F.col("part").alias("other_part")] if apart else []))
+def _apart(now: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, h) of groups of similar sizes in different components that share a gram while their heads have none in common."""
+    left = now.select("gram", F.col("grp").alias("g"), F.col("n").cast("long").alias("n"), "head", "part")
+    right = now.select("gram", F.col("grp").alias("h"), F.col("n").cast("long").alias("m"), F.col("head").alias("other_head"), F.col("part").alias("other_part"))
     near = (F.col("g") < F.col("h")) & (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-    if apart:
-        cheap = (F.get("head", F.lit(0)) != F.get("other_head", F.lit(0))) & ~F.array_contains("other_head", F.get("head", F.lit(0)))  # most heads meet here
-        got = left.join(right, "gram").where(near & (F.col("part") != F.col("other_part")) & cheap & ~F.arrays_overlap("head", "other_head"))
-    else:
-        first = F.array_min(F.array_intersect("head", "other_head"))
-        got = left.join(right, "gram").where(near & (F.coalesce(first, F.col("gram")) >= F.col("gram")))
-    return got.select("g", "h").distinct()
+    cheap = (F.get("head", F.lit(0)) != F.get("other_head", F.lit(0))) & ~F.array_contains("other_head", F.get("head", F.lit(0)))  # most heads meet here
+    return left.join(right, "gram").where(near & (F.col("part") != F.col("other_part")) & cheap & ~F.arrays_overlap("head", "other_head")).select("g", "h").distinct()
 
 
 def _expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -334,14 +343,17 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     classes = stored(classes, "near-classes")
     # Members of a crowded group stand for themselves: at its grams, and together at one more, the group's number.
     singles = classes.where(F.col("crowd").isNotNull()).select(F.col("crowd").alias("grp"), F.col("grp").alias("single"), "n")
-    entries = shared_grams(known.select("grp", F.col("n").cast("int").alias("n"), "prefix"), max(3, bits - 2), num, den)
-    entries = entries.join(singles.select("grp", "single"), "grp", "left").select("gram", F.coalesce("single", "grp").alias("grp"), "n")
-    shared = stored(entries.unionByName(singles.select(F.col("grp").alias("gram"), F.col("single").alias("grp"), "n")), "near-shared")
-    heads_of = shared.groupBy("grp").agg(F.slice(F.sort_array(F.collect_set("gram")), 1, HEAD).alias("head"))
-    index = stored(shared.join(heads_of, "grp"), "near-index")
+    entries = stored(shared_grams(known.select("grp", F.col("n").cast("int").alias("n"), "prefix"), max(3, bits - 2), num, den), "near-shared")
+    single_of = singles.select("grp", "single")
+    pairs = entries.where("gram is null").select(F.col("a").alias("g"), F.col("b").alias("h")).distinct()
+    for side in ("g", "h"):
+        pairs = pairs.join(single_of.select(F.col("grp").alias(side), F.col("single").alias(f"{side}_single")), side, "left").withColumn(side, F.coalesce(f"{side}_single", side)).drop(f"{side}_single")
+    pairs = stored(pairs, "near-pairs")
+    index = entries.where("gram is not null").select("gram", F.col("a").alias("grp"), F.col("b").cast("int").alias("n")).join(single_of, "grp", "left").select("gram", F.coalesce("single", "grp").alias("grp"), "n")
+    index = stored(index.unionByName(singles.select(F.col("grp").alias("gram"), F.col("single").alias("grp"), "n")), "near-index")
     # Whole sets of the classes that can have a partner: those of groups in the index, and those of one group.
     mates = classes.groupBy("grp").agg(F.count("class").alias("mates"))
-    wanted = classes.join(mates.where("mates > 1").select("grp").union(shared.select("grp")).distinct(), "grp", "left_semi")
+    wanted = classes.join(mates.where("mates > 1").select("grp").union(pairs.select("g")).union(pairs.select("h")).union(index.select("grp")).distinct(), "grp", "left_semi")
     texts = rows.join(wanted.select("class", F.col("least").alias("id")), "id")
 
     def whole(batches):
@@ -363,22 +375,19 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     inside = member.alias("p").join(member.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.class") < F.col("q.class"))).select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
     links = stored(verified(inside), "near-links")
     # First round: all pairs of grams with few groups.
-    sized = index.groupBy("gram").agg(F.count("grp").alias("k"))
-    few = index.join(sized.where(F.col("k") <= FEW).select("gram"), "gram", "left_semi")
-    more = stored(verified(_expanded(_met(few, few, num, den), member)), "near-links")
+    more = stored(verified(_expanded(pairs, member)), "near-links")
     label = components(links.union(more), "near")
     # Second round: other grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own.
     got = member.join(label, member["class"] == label["node"], "left").select("grp", F.coalesce("root", "class").alias("root"))
     part = got.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.encode(F.col("grp").cast("string"), "UTF-8")).alias("part"))
-    now = index.drop("head").join(sized.where(F.col("k") > FEW).select("gram"), "gram", "left_semi").join(part, "grp")
+    now = index.join(part, "grp")
     open_ = now.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("grams"), F.count("grp").alias("k")).where("lo != hi")
     blocks = F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("k") / BLOCK_SETS)).cast("int")
     now = now.join(open_.select("gram", "k", blocks.alias("blocks")), "gram")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "gram")))  # the most frequent first: members of one family have them in common
     now = stored(now.join(now.groupBy("grp").agg(F.transform(F.slice(ranked, 1, BLOCK_HEAD), lambda x: x["gram"]).alias("head")), "grp"), "near-open")
-    apart = _met(now, now, num, den, apart=True)
     heads = now.where(F.array_contains("head", F.col("gram"))).drop("head").join(member, "grp").join(sets, "class")
-    last = stored(_block_links(heads, num, den).union(verified(_expanded(apart, member))), "near-links")
+    last = stored(_block_links(heads, num, den).union(verified(_expanded(_apart(now, num, den), member))), "near-links")
     label = components(links.union(more).union(last), "near")
     reach = classes.join(label, classes["class"] == label["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = reach.groupBy("root").agg(F.min("least").alias("component_id"))
