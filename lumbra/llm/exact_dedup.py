@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import stored
 
@@ -32,7 +33,7 @@ _RUN = pa.schema([("node", pa.int32()), ("digest", pa.binary()), *((c, pa.int64(
 RUN = "node int, digest binary, second bigint, bytes bigint, id bigint, row bigint, copies bigint"
 
 
-@F.arrow_udf("struct<digest:binary,second:bigint,bytes:bigint>")
+@F.arrow_udf(StructType([StructField("digest", BinaryType()), StructField("second", LongType()), StructField("bytes", LongType())]))
 def fingerprint(text: pa.Array) -> pa.Array:
     raw = [(x or "").encode("utf-8", "replace").lower() for x in text.to_pylist()]  # bytes.lower() changes A-Z only
     second = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw]
