@@ -35,8 +35,8 @@ FREQUENT = 1 << 20
 COUNTED = 3
 GROUP = 8
 FEW = 9
-BLOCK_HEAD = 3
-BLOCK_BYTES, BLOCK_SETS = 6 << 20, 2048  # of a block
+BLOCK_HEAD = 4
+BLOCK_BYTES, BLOCK_SETS = 2 << 20, 1024  # of a block
 RANGE_GRAMS = 4_000_000  # grams that one counting task is meant to hold
 STEP = 256
 
