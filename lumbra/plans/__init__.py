@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jobs, retrieval  # noqa: E402
+from . import graphs, jobs, retrieval
 
-MODULES = [retrieval, jobs]
+MODULES = [retrieval, jobs, graphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
