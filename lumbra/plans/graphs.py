@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumbra.functions import markdown
-from lumbra.operators import evaluation, routing, spans
+from lumbra.operators import evaluation, retention, routing, spans
 from lumbra.streaming import queue
 
 from .retrieval import table
@@ -54,6 +54,11 @@ def markdown_validation(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", markdown.markdown_check(F.col("source"), F.col("translated")).alias("result"))
 
 
+def archive_plan(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("directory"), F.col("o_orderdate").alias("terminal_at"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice").cast("long")).alias("response_bytes"))
+    return retention.archive_plan(o, "1998-08-02 00:00:00", 100, 2380, 2200, 1450, 1_000_000)
+
+
 def _event_stream(spark, sf_dir):
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
@@ -69,7 +74,7 @@ def stream_latest_progress(spark, sf_dir):
     return queue.newest_batch(queue.drained(got, "latest-progress", "update"), "key")
 
 
-QUERIES = {f.__name__: f for f in (retrieval_metrics, span_parents, uncovered_lines, model_routing, markdown_validation, stream_joined_jobs, stream_latest_progress)}
+QUERIES = {f.__name__: f for f in (retrieval_metrics, span_parents, uncovered_lines, model_routing, markdown_validation, archive_plan, stream_joined_jobs, stream_latest_progress)}
 
 _SPANS = "s AS (SELECT DISTINCT l_orderkey AS doc, f * 1000 + l AS id, f AS first, l AS last FROM (SELECT *, f + trunc(l_quantity)::INT % 25 AS l FROM (SELECT *, (l_suppkey % 40 + 1)::INT AS f FROM lineitem)))"
 
@@ -97,6 +102,14 @@ ORACLES = {
                WHEN len(regexp_extract_all(x, '(?m)^ *(?:[-*+]|\d+\.) ')) != len(regexp_extract_all(y, '(?m)^ *(?:[-*+]|\d+\.) ')) THEN 'list'
                WHEN len(list_filter(code, lambda t: length(x) - length(replace(x, t, '')) != length(y) - length(replace(y, t, '')))) > 0 THEN 'code' WHEN len(list_filter(url, lambda t: length(x) - length(replace(x, t, '')) != length(y) - length(replace(y, t, '')))) > 0 THEN 'url'
                WHEN len(list_filter(hole, lambda t: length(x) - length(replace(x, t, '')) != length(y) - length(replace(y, t, '')))) > 0 THEN 'placeholder' ELSE 'ok' END AS result FROM k""",
+    "archive_plan": """
+        WITH e AS (SELECT o_orderkey::VARCHAR AS directory, o_orderdate AS since, CASE WHEN o_orderkey % 4 != 0 THEN trunc(o_totalprice)::BIGINT END AS bytes, (epoch_us(TIMESTAMP '1998-08-02') - epoch_us(o_orderdate)) / 86400000000.0 AS days FROM orders),
+        r AS (SELECT *, row_number() OVER (ORDER BY since, directory) AS nth FROM e),
+        d AS (SELECT * FROM r WHERE days >= 100 AND nth <= least(256, greatest((SELECT count(*) FROM e WHERE days >= 2380), (SELECT count(*) - 1450 FROM e)))),
+        b AS (SELECT *, row_number() OVER w AS place, coalesce(sum(bytes) OVER (ORDER BY since, directory ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r
+              WHERE days >= 100 AND bytes IS NOT NULL AND directory NOT IN (SELECT directory FROM d) WINDOW w AS (ORDER BY since, directory))
+        SELECT directory, 'delete' AS action FROM d UNION ALL
+        SELECT directory, 'drop' FROM b WHERE place <= 256 - (SELECT count(*) FROM d) AND (days >= 2200 OR (SELECT sum(bytes) FROM e) - (SELECT coalesce(sum(bytes), 0) FROM d) - before > 1000000)""",
     "stream_joined_jobs": """
         WITH g AS (SELECT *, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS ended FROM events)
         SELECT event_id AS sequence, user_id AS key, min(event_id) OVER (PARTITION BY user_id, ended) AS job_sequence FROM g WHERE event_type != 'purchase'""",

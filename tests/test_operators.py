@@ -56,3 +56,19 @@ def test_telemetry(spark, tmp_path):
     assert content_members(nested) == ["a.b.userPrompt"]
     with pytest.raises(ValueError, match="userPrompt"):
         read_telemetry(spark, out, nested)
+
+
+def test_archive_plan(spark):
+    """Ten jobs of one day apart, the newest today: the grace keeps the last two, the limit deletes, then age and the budget drop responses."""
+    from lumbra.operators.retention import archive_plan
+
+    rows = [(f"j{k}", f"2024-01-{k + 1:02d} 00:00:00", None if k == 3 else 10) for k in range(10)]
+    jobs = spark.createDataFrame(rows, "directory string, terminal_at string, response_bytes bigint").withColumn("terminal_at", F.to_timestamp("terminal_at"))
+    plan = lambda *a: sorted((r.directory, r.action) for r in archive_plan(jobs, "2024-01-10 00:00:00", 2, *a).collect())
+    assert plan(99, 99, 99, 999) == []
+    assert plan(9, 99, 99, 999) == [("j0", "delete")]
+    assert plan(99, 99, 7, 999) == [("j0", "delete"), ("j1", "delete"), ("j2", "delete")]
+    assert plan(9, 5, 99, 999) == [("j0", "delete"), ("j1", "drop"), ("j2", "drop"), ("j4", "drop")]
+    assert plan(9, 99, 99, 60) == [("j0", "delete"), ("j1", "drop"), ("j2", "drop")]
+    assert plan(99, 99, 0, 0) == [(f"j{k}", "delete") for k in range(8)]
+    assert plan(9, 0, 99, 0, 3) == [("j0", "delete"), ("j1", "drop"), ("j2", "drop")]
