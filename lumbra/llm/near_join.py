@@ -377,8 +377,9 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     # First round: all pairs of grams with few groups.
     more = stored(verified(_expanded(pairs, member)), "near-links")
     label = components(links.union(more), "near")
-    # Second round: other grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own.
-    got = member.join(label, member["class"] == label["node"], "left").select("grp", F.coalesce("root", "class").alias("root"))
+    # Second round: other grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own;
+    # it only chooses grams and groups to compare. Links are left out by the component of each class.
+    got = member.join(label, member["class"] == label["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("root"))
     part = got.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.encode(F.col("grp").cast("string"), "UTF-8")).alias("part"))
     now = index.join(part, "grp")
     open_ = now.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("grams"), F.count("grp").alias("k")).where("lo != hi")
@@ -386,7 +387,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     now = now.join(open_.select("gram", "k", blocks.alias("blocks")), "gram")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "gram")))  # the most frequent first: members of one family have them in common
     now = stored(now.join(now.groupBy("grp").agg(F.transform(F.slice(ranked, 1, BLOCK_HEAD), lambda x: x["gram"]).alias("head")), "grp"), "near-open")
-    heads = now.where(F.array_contains("head", F.col("gram"))).drop("head").join(member, "grp").join(sets, "class")
+    heads = now.where(F.array_contains("head", F.col("gram"))).drop("head", "part").join(got.withColumnRenamed("root", "part"), "grp").join(sets, "class")
     last = stored(_block_links(heads, num, den).union(verified(_expanded(_apart(now, num, den), member))), "near-links")
     label = components(links.union(more).union(last), "near")
     reach = classes.join(label, classes["class"] == label["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))

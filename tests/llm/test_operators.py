@@ -101,6 +101,34 @@ def test_near_join_large_family(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_join_short_families(spark):
+    """Families of short texts with trimmed and changed ends: groups whose classes are in several components."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(40):
+        stem = [f"f{family}v{k}" for k in range(int(rng.integers(12, 25)))]
+        for _ in range(60):
+            w = stem[int(rng.integers(0, 4)) : len(stem) - int(rng.integers(0, 4))]
+            for end in (0, -1):
+                if rng.random() < 0.4:
+                    w[end] = f"e{rng.integers(6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r.id: r.component_id for r in near_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", 4, 80, 100).collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in range(i + 1, min(len(rows), i // 60 * 60 + 60)):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in sets}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
