@@ -79,12 +79,19 @@ def queue_dedup(spark, sf_dir):
     return schedule.first_enqueued(o.select(F.col("o_orderkey").alias("sequence"), F.col("o_custkey").alias("key"), state.alias("state")), "key")
 
 
-def quarantine_plan(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
-    got = o.select(F.col("o_orderkey").cast("string").alias("directory"), F.col("o_orderdate").alias("quarantined_at"), F.col("o_totalprice").cast("long").alias("bytes"))
+def _quarantined(orders):
+    got = orders.select(F.col("o_orderkey").cast("string").alias("directory"), F.col("o_orderdate").alias("quarantined_at"), F.col("o_totalprice").cast("long").alias("bytes"))
     return retention.quarantine_plan(got, "1998-08-02 00:00:00", 100, 2000, 100, 3_000_000)
 
 
+def quarantine_plan(spark, sf_dir):
+    return _quarantined(table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0"))
+
+
+def quarantine_plan_all(spark, sf_dir):
+    return _quarantined(table(spark, sf_dir, "orders"))
+
+
 def newest_generations(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repository"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("published_at"))
     return retention.newest(o, ["repository"], 3).select("repository", "id", "nth")
@@ -115,7 +122,7 @@ def semantic_generation(spark, sf_dir):
     return o.select("o_orderkey", snapshot.generation_id([F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")], F.col("o_custkey") % 3).alias("generation_id"))
 
 
-QUERIES = {f.__name__: f for f in (telemetry_summary, telemetry_by_model, telemetry_by_profile, outcome_histogram, failure_outliers, duration_prediction, circuit_breaker, watchdog_islands, retained_telemetry, schedule_order, queue_dedup, quarantine_plan, newest_generations, plain_translation_check, shared_budget, diagnostic_digest, semantic_generation)}
+QUERIES = {f.__name__: f for f in (telemetry_summary, telemetry_by_model, telemetry_by_profile, outcome_histogram, failure_outliers, duration_prediction, circuit_breaker, watchdog_islands, retained_telemetry, schedule_order, queue_dedup, quarantine_plan, quarantine_plan_all, newest_generations, plain_translation_check, shared_budget, diagnostic_digest, semantic_generation)}
 
 _BREAKDOWN = "WITH {jobs} SELECT {key}, count(*) AS jobs, count_if(outcome = 'succeeded') AS succeeded, count_if(was_cold) AS cold, quantile_disc(execution_us, 0.5) AS median_us, quantile_disc(execution_us, 0.9) AS p90_us, max(execution_us) AS longest_us, sum(net_tokens)::BIGINT AS net_tokens FROM j GROUP BY {key}"
 ORACLES = {
@@ -140,6 +147,13 @@ ORACLES = {
         o AS (SELECT *, nth <= (SELECT count(*) FROM a) - (SELECT count(*) FROM a WHERE free AND aged) - 100 AS over FROM r),
         k AS (SELECT *, (SELECT sum(bytes) FROM a) - coalesce((SELECT sum(bytes) FROM a WHERE free AND aged), 0) - coalesce((SELECT sum(bytes) FROM o WHERE over), 0) - coalesce(sum(bytes) OVER (ORDER BY since, directory ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM o WHERE NOT over)
         SELECT directory, 'age' AS reason FROM a WHERE free AND aged UNION ALL SELECT directory, 'count' FROM o WHERE over UNION ALL SELECT directory, 'bytes' FROM k WHERE held > 3000000""",
+    "quarantine_plan_all": """
+        WITH e AS (SELECT o_orderkey::VARCHAR AS directory, o_orderdate AS since, trunc(o_totalprice)::BIGINT AS bytes, epoch_us(TIMESTAMP '1998-08-02') - epoch_us(o_orderdate) AS age FROM orders),
+        a AS (SELECT *, age >= 100 * 86400000000 AS free, age >= 2000 * 86400000000 AS aged FROM e),
+        r AS (SELECT *, row_number() OVER (ORDER BY since, directory) AS nth FROM a WHERE free AND NOT aged),
+        o AS (SELECT *, nth <= (SELECT count(*) FROM a) - (SELECT count(*) FROM a WHERE free AND aged) - 100 AS over FROM r),
+        k AS (SELECT *, (SELECT sum(bytes) FROM a) - coalesce((SELECT sum(bytes) FROM a WHERE free AND aged), 0) - coalesce((SELECT sum(bytes) FROM o WHERE over), 0) - coalesce(sum(bytes) OVER (ORDER BY since, directory ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM o WHERE NOT over)
+        SELECT directory, 'age' AS reason FROM a WHERE free AND aged UNION ALL SELECT directory, 'count' FROM o WHERE over UNION ALL SELECT directory, 'bytes' FROM k WHERE held > 3000000""",
     "newest_generations": "SELECT o_custkey AS repository, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS nth FROM orders QUALIFY nth <= 3",
     "plain_translation_check": """
         SELECT a.conv_id, a.turn, length(a.text)::INT AS chars,

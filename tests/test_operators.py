@@ -72,3 +72,30 @@ def test_archive_plan(spark):
     assert plan(9, 99, 99, 60) == [("j0", "delete"), ("j1", "drop"), ("j2", "drop")]
     assert plan(99, 99, 0, 0) == [(f"j{k}", "delete") for k in range(8)]
     assert plan(9, 0, 99, 0, 3) == [("j0", "delete"), ("j1", "drop"), ("j2", "drop")]
+
+
+def test_quarantine_plan_in_ranges(spark, monkeypatch):
+    """Equal times, null bytes and names over many ranges, against a loop; no window is without partition but the one over the ranges."""
+    from datetime import datetime, timedelta
+
+    from lumbra.operators import retention
+
+    monkeypatch.setattr(retention, "RANGES", 7)
+    now = datetime(2024, 1, 31)
+    rows = [(f"d{k * 37 % 101}", now - timedelta(days=k % 20), None if k == 50 else k) for k in range(100)]
+    entries = spark.createDataFrame(rows, "directory string, quarantined_at timestamp_ntz, bytes bigint")
+    for limit, budget in ((60, 1500), (10, 99), (99, 9999), (99, 0)):
+        want, kept, held = {}, len(rows), sum(r[2] or 0 for r in rows)
+        for name, at, size in sorted(rows, key=lambda r: (r[1], r[0])):
+            days = (now - at).days
+            if days >= 18:
+                want[name], kept, held = "age", kept - 1, held - (size or 0)
+        for name, at, size in sorted(rows, key=lambda r: (r[1], r[0])):
+            if 2 <= (now - at).days < 18:
+                if kept > limit or held > budget:
+                    want[name] = "count" if kept > limit else "bytes"
+                    kept, held = kept - 1, held - (size or 0)
+        plan = retention.quarantine_plan(entries, "2024-01-31 00:00:00", 2, 18, limit, budget)
+        assert {r.directory: r.reason for r in plan.collect()} == want
+    seen = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert seen and all("[range#" in x for x in seen)
