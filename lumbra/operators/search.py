@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF, PER_SIGNAL = 60, 250
+QUERY_BLOCK, ROW_STEP = 1024, 512  # query vectors that are broadcast at once, rows that are scored at once
 
 
 def best(scored: DataFrame, score: str, most: int, rank: str) -> DataFrame:
@@ -14,6 +17,61 @@ def best(scored: DataFrame, score: str, most: int, rank: str) -> DataFrame:
     return top.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), "ordinal")))
 
 
+def _blocks(queries: DataFrame):
+    """(ids, vectors as doubles) of ``queries`` (query, vector), QUERY_BLOCK at a time."""
+    ids, vectors = [], []
+    for r in queries.toLocalIterator():
+        ids.append(r["query"])
+        vectors.append(r["vector"])
+        if len(ids) == QUERY_BLOCK:
+            yield ids, np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield ids, np.array(vectors, np.float64)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six places, halves away from zero."""
+    scaled = np.abs(x) * 1e6
+    whole = np.floor(scaled)
+    return np.copysign(whole + (scaled - whole >= 0.5), x) / 1e6
+
+
+def best_of_each(queries: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(query, ordinal, score, rank) of the ``most`` best rows (ordinal, vector) for each of ``queries`` (query, vector), by dot product to six places; ties by ordinal.
+
+    Query vectors are broadcast in blocks and scored against all rows inside tasks; only the ``most`` best of each task for each query are rows.
+    """
+    context, found = rows.sparkSession.sparkContext, None
+    for ids, vectors in _blocks(queries):
+        shared = context.broadcast((ids, vectors))
+
+        def run(batches, shared=shared):
+            ids, vectors = shared.value
+            score, ordinal = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROW_STEP):
+                    part = batch.slice(at, ROW_STEP)
+                    own = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    dots = np.zeros((len(ids), len(own)))
+                    for k in range(own.shape[1]):  # in the order in which a plain sum adds
+                        dots += vectors[:, k, None] * own[None, :, k]
+                    new = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), dots.shape)
+                    score, ordinal = np.hstack([score, _rounded(dots)]), np.hstack([ordinal, new])
+                    by = np.lexsort((ordinal, -score))[:, :most]
+                    score, ordinal = np.take_along_axis(score, by, 1), np.take_along_axis(ordinal, by, 1)
+            if score.size:
+                of = np.repeat(np.array(ids, np.int64), score.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ordinal.ravel()), pa.array(score.ravel())], names=["query", "ordinal", "score"])
+
+        scored = rows.select("ordinal", "vector").mapInArrow(run, "query bigint, ordinal bigint, score double")
+        found = scored if found is None else found.unionByName(scored)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], "query bigint, ordinal bigint, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "ordinal")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def hybrid(scored: DataFrame, floor: float | None = None) -> DataFrame:
     """Fuses columns ``vector`` and ``lexical`` of candidates (ordinal, path): reciprocal ranks, position and reported score. The floor removes a row from the vector ranking alone."""
     eligible = scored if floor is None else scored.where(F.col("vector") >= floor)

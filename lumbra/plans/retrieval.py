@@ -35,6 +35,13 @@ def vector_topk(spark, sf_dir):
     return search.best(scored, "score", 20, "rank")
 
 
+def vector_topk_all(spark, sf_dir):
+    """The search for the stated set of queries: every row whose id is divisible by 50."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return search.best_of_each(queries, e.select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector")), 20)
+
+
 def vector_floor(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", F.round(dot(F.col("embedding"), query_vector(spark, sf_dir)), 6).alias("score")).where(F.col("score") >= FLOOR)
@@ -178,11 +185,12 @@ _OCC = """
           CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS roles FROM lineitem),
     s AS (SELECT p_partkey AS symbol FROM part WHERE p_size = 7)"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_floor, lexical_score, rrf_hybrid, hybrid_capped, tokenize_terms, window_chunks, log_fragments, canonical_hash, collapsed_text, token_estimate, incremental_partition, deleted_paths, overlay_visible, build_plan, embedding_cache_join, goto_definition, find_references, find_implementations, occurrence_at, merged_roles)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_all, vector_floor, lexical_score, rrf_hybrid, hybrid_capped, tokenize_terms, window_chunks, log_fragments, canonical_hash, collapsed_text, token_estimate, incremental_partition, deleted_paths, overlay_visible, build_plan, embedding_cache_join, goto_definition, find_references, find_implementations, occurrence_at, merged_roles)}
 
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 ORACLES = {
     "vector_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS ordinal, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT ordinal, score, row_number() OVER (ORDER BY score DESC, ordinal)::INT AS rank FROM s QUALIFY rank <= 20",
+    "vector_topk_all": "WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS ordinal, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT query, ordinal, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal)::INT AS rank FROM s QUALIFY rank <= 20",
     "vector_floor": f"WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT * FROM s WHERE score >= {FLOOR}",
     "lexical_score": f"WITH {_SCORED} SELECT ordinal, path, lexical::DOUBLE AS lexical FROM c WHERE lexical > 0",
     "rrf_hybrid": f"WITH {_FUSED} SELECT ordinal, position::INT AS position, round(rrf, 12) AS rrf FROM p",

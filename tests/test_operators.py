@@ -99,3 +99,17 @@ def test_quarantine_plan_in_ranges(spark, monkeypatch):
         assert {r.directory: r.reason for r in plan.collect()} == want
     seen = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
     assert seen and all("[range#" in x for x in seen)
+
+
+def test_best_of_each_query(spark, monkeypatch):
+    """Queries in several blocks, rows in several steps and tasks, with ties: every query has its best rows."""
+    import numpy as np
+    from lumbra.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    vectors = [v.tolist() for v in rng.integers(-2, 3, (1400, 3)).astype(float)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "ordinal bigint, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(k, vectors[k]) for k in range(10)], "query bigint, vector array<double>")
+    want = {(q, o, n + 1) for q in range(10) for n, o in enumerate(sorted(range(1400), key=lambda o: (-float(np.dot(vectors[q], vectors[o])), o))[:20])}
+    assert {(r.query, r.ordinal, r.rank) for r in search.best_of_each(queries, rows, 20).collect()} == want
