@@ -93,7 +93,7 @@ def _range_bits(grams: int) -> int:
 
 
 def frequent_grams(texts: DataFrame, n: int, bits: int) -> Order:
-    """Counts all grams; the most frequent of each range of the hash make the list."""
+    """Counts the grams in the lowest ``COUNTED`` eighths of the hash space, in all texts; the most frequent of each range of the hash make the list."""
     ranges, most = 1 << bits, max(1, FREQUENT >> bits)
 
     def slices(batches):
