@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever an operator counts or shingles words: no ASCII white space. ``bytes.split()`` finds the same words.
@@ -23,20 +23,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of this machine's only where none is named (local runs, tests)."""
+    """The shared folder that the cluster names; a local one only where none is named and Spark runs in this process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later steps neither compute it twice nor depend on its executors."""
+    """``df`` written to the shared folder and read again: later steps neither compute it twice nor depend on its executors.
+
+    The shuffle files of the job go as soon as the table is written.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.stored_at = path
+    return got
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+HINT_BITS = 1 << 26  # of the bitmap of ``may_hold``: 8 MB, whatever the input
+
+
+def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_hit``: false only where ``key`` is surely not among ``keys`` (one column of the same name).
+
+    The keys' hashes are a bitmap of fixed size, broadcast in pages, so rows that cannot match are told apart without a shuffle. A full
+    bitmap tells nothing apart and the rows are joined as they would be without it.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(HINT_BITS)) + 1
+    pages = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("_bits"))
+    bit = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = rows.withColumn("_place", place(key)).join(F.broadcast(pages), F.bitmap_bucket_number("_place") == F.col("_page"), "left")  # at most HINT_BITS / 32768 pages of 4 KB
+    return found.withColumn("_hit", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_place", "_page", "_bits")
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is among ``keys``; only rows that may match are shuffled."""
+    return may_hold(rows, key, keys).where("_hit").drop("_hit").join(keys, key, "left_semi")
+
+
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not among stored ``keys``; only rows that may match are shuffled."""
+    told = may_hold(rows, key, keys)
+    return told.where(~F.col("_hit")).drop("_hit").unionByName(told.where("_hit").drop("_hit").join(keys, key, "left_anti"))
+
+
+def numbered(documents: DataFrame, *columns: Column, files: bool = False) -> DataFrame:
+    """Rows with ``_row``, a number of its own for each that stays the same in every reading, ``_all``, a struct of all columns, and ``columns``.
+
+    ``files`` says that ``documents`` is a plain reading of Parquet files: its rows are numbered by file and place in the file. Other
+    tables are written first.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_all")
+    if not files or "_metadata" in documents.columns:
+        return stored(documents.select(whole, *columns, F.monotonically_increasing_id().alias("_row")), "numbered")
+    placed = documents.select(whole, *columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    of_file = placed.select("_path").distinct().withColumn("_file", F.row_number().over(Window.orderBy("_path")))  # the driver lists these files anyway
+    return placed.join(F.broadcast(of_file), "_path").withColumn("_row", F.shiftleft(F.col("_file").cast("long"), 36) + F.col("_at")).drop("_path", "_file", "_at")
+
+
+def raw(rows: DataFrame) -> DataFrame:
+    """The columns that ``numbered`` was given."""
+    return rows.select("_all.*")
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -1,14 +1,14 @@
 """Exact dedup: tree-merge of sorted digest runs.
 
-Every partition turns its texts into a sorted run of (digest, best row, copies). Runs are then exchanged in binomial rounds:
+Every partition turns its texts into sorted runs of (key, best row, copies). Runs are then exchanged in binomial rounds:
 nodes are numbered with ``fan`` digits, and in round r the nodes that differ in digit r alone exchange slices of their runs,
-each keeping the slice whose digests carry its own digit there. Each node merges the ``fan`` sorted slices that reach it and
-keeps one entry per digest at every level, so a group of any size is one entry per run and copies are never gathered. After
-the last round a node holds one range of digests, wholly merged; its size follows from the number of nodes, which grows
-with the input.
+each keeping the slice whose digests carry its own digit there. Each node merges the sorted slices that reach it (a stable sort finds
+the runs and merges them, it doesn't sort again) and keeps one entry per key at every level, so a group of any size is one entry per run
+and copies are never gathered. After the last round a node holds one range of digests, wholly merged; its size follows from the
+number of nodes, which grows with the input.
 
-The digest is SHA-256 of the normalised text (A-Z lower-cased, UTF-8, null as empty), verified at each level by the text's
-length and a second digest: entries merge only where all three agree.
+The key is SHA-256 of the normalised text (A-Z lower-cased, UTF-8, null as empty), a second digest and the text's length: entries are
+verified at each level, as they merge only where all three agree.
 
 Defined results: null and empty texts are equal; null identifiers come after all others; of repeated rows with the
 same text and identifier exactly one stays; an empty table gives an empty table; other columns are not read.
@@ -20,17 +20,16 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import stored
+from .common import dropped, numbered, raw, stored, without
 
 FAN = 8
 NODE_ROWS = 500_000  # entries that a node is meant to hold
-_RUN = pa.schema([("node", pa.int32()), ("digest", pa.binary()), *((c, pa.int64()) for c in ("second", "bytes", "id", "row", "copies"))])
-RUN = "node int, digest binary, second bigint, bytes bigint, id bigint, row bigint, copies bigint"
+RUN_ROWS = 200_000  # entries of a run that a partition starts with
+_ENTRY = np.dtype([("key", "S48"), ("known", "i1"), ("id", "<i8"), ("row", "<i8"), ("copies", "<i8")])  # key: digest, second digest, length
 
 
 @F.arrow_udf(StructType([StructField("digest", BinaryType()), StructField("second", LongType()), StructField("bytes", LongType())]))
@@ -43,59 +42,98 @@ def fingerprint(text: pa.Array) -> pa.Array:
     )
 
 
-def _merge(largest: bool):
-    """Streams over rows sorted by digest and leaves one row for each text: its best (id, row) and the number of copies."""
-    keys = ["digest", "second", "bytes"]
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).cast(_RUN)
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            n = table.num_rows
-            if n == 0:
-                continue
-            edge = np.ones(n, bool)
-            edge[1:] = np.logical_or.reduce([np.asarray(pc.not_equal(c.slice(1), c.slice(0, n - 1))) for c in (table.column(k).combine_chunks() for k in keys)])
-            start = np.flatnonzero(edge)
-            group = np.cumsum(edge) - 1
-            known = np.asarray(pc.is_valid(table.column("id").combine_chunks()))
-            ids = np.asarray(pc.fill_null(table.column("id").combine_chunks(), 0)).astype(np.int64)
-            row = np.asarray(table.column("row").combine_chunks())
-            order = np.lexsort((row, ~ids if largest else ids, ~known, group))
-            best = order[start]
-            out = table.take(pa.array(best)).set_column(table.schema.get_field_index("copies"), "copies", pa.array(np.add.reduceat(np.asarray(table.column("copies").combine_chunks()), start)))
-            held = out.slice(out.num_rows - 1)
-            yield from out.slice(0, out.num_rows - 1).combine_chunks().to_batches()
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
-
-    return run
+def _merged(runs: list[np.ndarray], largest: bool) -> np.ndarray:
+    """One sorted run from sorted runs: for each key the best (id, row) and the number of copies."""
+    got = runs[0] if len(runs) == 1 else np.concatenate(runs)
+    got = got[np.argsort(got["key"], kind="stable")]
+    if not len(got):
+        return got
+    edge = np.append(True, got["key"][1:] != got["key"][:-1])
+    start = np.flatnonzero(edge)
+    order = np.lexsort((got["row"], ~got["id"] if largest else got["id"], -got["known"], np.cumsum(edge)))
+    out = got[order[start]]
+    out["copies"] = np.add.reduceat(got["copies"], start)
+    return out
 
 
 def levels(rows: int) -> int:
-    """Rounds for so many rows: as many as leave a node ``NODE_ROWS`` entries, two at least."""
-    k = 2
+    """Rounds for so many rows: as many as leave a node ``NODE_ROWS`` entries, one at least."""
+    k = 1
     while FAN**k * NODE_ROWS < rows:
         k += 1
     return k
 
 
+def _slices(run: np.ndarray, node: int, r: int):
+    """A run's way in round r: (node, slice) for each digit."""
+    lead = np.frombuffer(run["key"].tobytes(), np.uint8).reshape(len(run), 48)
+    number = np.zeros(len(run), np.int64)
+    for k in range(6):
+        number = number * 256 + lead[:, k]
+    digit, here = number // FAN**r % FAN, node // FAN**r % FAN
+    for d in range(FAN):
+        own = run[digit == d]
+        if len(own):
+            yield node + (d - here) * FAN**r, own.tobytes()
+
+
+_MOVED = "node int, entries binary"
+
+
 def merged_groups(prints: DataFrame, rows: int, largest: bool) -> DataFrame:
     """One row per text of ``prints`` (digest, second, bytes, id, row): the best id and row, and the copies."""
-    k, merge = levels(rows), _merge(largest)
+    k = levels(rows)
     nodes = FAN**k
-    # The node only decides the way of an entry through the tree, never the result.
-    runs = prints.select((F.spark_partition_id() % nodes).alias("node"), "digest", "second", "bytes", "id", "row", F.lit(1).cast("long").alias("copies"))
-    runs = runs.sortWithinPartitions("digest", "second", "bytes").mapInArrow(merge, RUN)
-    lead = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long")
-    for r in range(k):
-        own = F.floor(lead / FAN**r).cast("long") % FAN
-        here = F.floor(F.col("node") / FAN**r).cast("long") % FAN
-        moved = runs.withColumn("node", (F.col("node") + (own - here) * FAN**r).cast("int"))
-        runs = moved.repartitionById(nodes, F.col("node")).sortWithinPartitions("digest", "second", "bytes").mapInArrow(merge, RUN)
-    return runs.drop("node")
+
+    def moved(run: np.ndarray, node: int, r: int) -> pa.RecordBatch:
+        ways = list(_slices(run, node, r))
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in ways], pa.int32()), pa.array([x for _, x in ways], pa.binary())], names=["node", "entries"])
+
+    def first(batches):
+        from pyspark import TaskContext
+
+        node, held, n = TaskContext.get().partitionId() % nodes, [], 0  # it only decides the way of an entry through the tree, never the result
+        for batch in batches:
+            digest, second, size, ids, row = (batch.column(c) for c in range(5))
+            run = np.zeros(batch.num_rows, _ENTRY)
+            raw_key = np.zeros((batch.num_rows, 48), np.uint8)
+            raw_key[:, :32] = np.frombuffer(b"".join(digest.to_pylist()), np.uint8).reshape(-1, 32)
+            raw_key[:, 32:40] = np.asarray(second).astype(">i8").view(np.uint8).reshape(-1, 8)
+            raw_key[:, 40:] = np.asarray(size).astype(">i8").view(np.uint8).reshape(-1, 8)
+            run["key"] = raw_key.view("S48").ravel()
+            run["known"], run["id"] = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
+            run["row"], run["copies"] = np.asarray(row), 1
+            held.append(run)
+            n += len(run)
+            if n >= RUN_ROWS:
+                yield moved(_merged(held, largest), node, 0)
+                held, n = [], 0
+        if held:
+            yield moved(_merged(held, largest), node, 0)
+
+    def collected(batches):
+        runs: dict[int, list] = {}
+        for batch in batches:
+            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                runs.setdefault(node, []).append(np.frombuffer(blob, _ENTRY))
+        return ((node, _merged(own, largest)) for node, own in runs.items())
+
+    def onward(r: int):
+        return lambda batches: (moved(run, node, r) for node, run in collected(batches))
+
+    def last(batches):
+        for _, run in collected(batches):
+            for at in range(0, len(run), 20_000):
+                part = run[at : at + 20_000]
+                key = np.frombuffer(part["key"].tobytes(), np.uint8).reshape(-1, 48)
+                numbers = [np.ascontiguousarray(key[:, a:b]).view(">i8").ravel().astype(np.int64) for a, b in ((32, 40), (40, 48))]
+                digest = pa.array([x.tobytes() for x in key[:, :32]], pa.binary())
+                yield pa.RecordBatch.from_arrays([digest, *map(pa.array, numbers), pa.array(part["id"], mask=part["known"] == 0), pa.array(part["row"]), pa.array(part["copies"])], names=["digest", "second", "bytes", "id", "row", "copies"])
+
+    runs = prints.select("digest", "second", "bytes", "id", "row").mapInArrow(first, _MOVED)
+    for r in range(1, k):
+        runs = runs.repartitionById(nodes, F.col("node")).mapInArrow(onward(r), _MOVED)
+    return runs.repartitionById(nodes, F.col("node")).mapInArrow(last, "digest binary, second bigint, bytes bigint, id bigint, row bigint, copies bigint")
 
 
 def fingerprints(documents: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,9 +154,10 @@ def decisions(prints: DataFrame, id_column: str = "doc_id", largest: bool = Fals
     )
 
 
-def deduplicate(documents: DataFrame, id_column: str = "doc_id", largest: bool = False) -> DataFrame:
-    """The rows of ``documents`` that stay, with their columns."""
-    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_all"), F.col(f"`{id_column}`").cast("long").alias("id"), F.col("text").alias("text"))
-    rows = stored(own.select("_all", "id", F.monotonically_increasing_id().alias("row"), fingerprint("text").alias("_f")).select("_all", "id", "row", "_f.*"), "dedup-rows")
-    gone = decisions(rows, "id", largest).where(~F.col("kept")).select("row")
-    return rows.join(gone, "row", "left_anti").select("_all.*")
+def deduplicate(documents: DataFrame, id_column: str = "doc_id", largest: bool = False, files: bool = False) -> DataFrame:
+    """The rows of ``documents`` that stay, with their columns; ``files`` as in ``numbered``."""
+    rows = numbered(documents, F.col(f"`{id_column}`").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), files=files)
+    prints = stored(rows.select(F.col("_id").alias("id"), F.col("_row").alias("row"), fingerprint("_text").alias("_f")).select("id", "row", "_f.*"), "dedup-prints")
+    gone = stored(decisions(prints, "id", largest).where(~F.col("kept")).select(F.col("row").alias("_row")), "dedup-gone")
+    dropped(prints)
+    return raw(without(rows, "_row", gone))

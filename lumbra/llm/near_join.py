@@ -1,18 +1,18 @@
 """N-gram Jaccard join: grouped prefix join of word-shingle sets, exact.
 
 1. Every text becomes its set of distinct word n-grams (64-bit hashes). Texts with the same set are one class from here on.
-2. Grams are put in a global order, rare before frequent: the document frequencies of the grams in the lowest ``COUNTED`` eighths of the hash
-   space are counted over all texts (packed 32-bit keys, summed per range of the hash), and the most frequent of each range, ``FREQUENT`` in
-   all, come after the others there; grams with higher hashes, which prefixes hardly ever reach, come last. The list is bounded;
-   any order is valid, so a gram that is not in it only makes the filter weaker.
+2. Grams are put in a global order, rare before frequent: all grams of all texts are counted in ``BUCKETS`` buckets of their hash, and a gram's rank is
+   its bucket's count on a logarithmic scale, then its hash. Any order is valid; grams that share a bucket only make the filter weaker.
 3. The prefix of a set of n grams are its n - ceil(t n) + 1 first; two sets with similarity t share one gram of their prefixes. Classes
-   with the same prefix and size are collapsed into one group (of ``GROUP`` classes at most; larger ones stay single), and
-   an index of prefix grams holds groups only, of these only grams that two groups share.
-4. Group pairs are filtered by size. Grams of at most ``FEW`` groups give all their pairs, once each; pairs are
-   expanded to their members, whose whole sets are compared, and links are joined to components. Grams of more groups, if these are still in
-   several components, have them compared in pairs of blocks of bounded size inside a task, so the pairs of a large family of near copies
-   are never rows, and each group goes only to the ``BLOCK_HEAD`` most frequent grams it shares (groups without a common one among these are
-   paired as above). As components are asked for, pairs inside one component are not needed; no link between two is lost.
+   with the same prefix and size are collapsed into one group, and the index of prefix grams holds groups only, of these only the grams that two
+   groups of similar sizes share. A group of several classes has one more gram, its own number. Grams in buckets that are frequent everywhere
+   (``HEAVY``) are never gathered: their entries are rows from the start.
+4. Groups that share a gram are candidates. Each group's home is the most central group it shares a gram with (the one whose grams reach most groups).
+   A home's groups are expanded to their classes and dealt out to cells of bounded size, the home's own class in each. The classes of a cell are
+   compared in memory; whole texts are shuffled once to come to their cells, and links are joined to components.
+5. Grams whose classes are still in several components and did not all meet in one cell are compared again in pairs of blocks of bounded
+   size: the blocks of the gram's largest component with all others, others with each other. Grams with the same groups count once.
+   As components are asked for, pairs inside one component are not needed; no link between two is lost, and no pair is ever a row.
 
 Defined results: null texts and texts without words have no grams and are linked with nothing; shorter texts than n words are one gram;
 repeated rows are in one class; rows with a null identifier are components of their own, with a null component; an empty table gives
@@ -25,19 +25,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import among, dropped, numbered, raw, stored, without
 from .words import gram_set, word_hashes
 
-FREQUENT = 1 << 20
-COUNTED = 3
-GROUP = 8
-FEW = 9
-BLOCK_HEAD = 4
-BLOCK_BYTES, BLOCK_SETS = 2 << 20, 1024  # of a block
-RANGE_GRAMS = 4_000_000  # grams that one counting task is meant to hold
+BUCKETS_BITS, SLICES = 24, 256
+HEAVY = 20_000  # a gram in a bucket with so many texts, and four times the mean, is heavy
+CELL_SETS, CELL_GRAMS = 512, 1_000_000
+RANGE_GRAMS = 1_000_000  # prefix grams that one matching task is meant to hold
 STEP = 256
 
 
@@ -50,96 +47,72 @@ def _sets(batches, n: int, column: int):
             yield part, [gram_set(w, n) for w in word_hashes(texts)]
 
 
+def _class(grams: np.ndarray) -> bytes:
+    return blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def prefix_length(size: np.ndarray | int, num: int, den: int):
     """n - ceil(n num / den) + 1."""
     return size + (-(size * num) // den) + 1
 
 
 class Order:
-    """The global order: counted grams that are not in the list by hash, then listed ones by frequency and hash, then the others by hash."""
+    """The global order: by the rank of a gram's bucket, then by hash."""
+
+    def __init__(self, ranks: np.ndarray, heavy: int = 256):
+        self.ranks, self.heavy = ranks, heavy  # buckets of rank ``heavy`` or more are frequent everywhere
 
-    def __init__(self, keys: np.ndarray, frequency: np.ndarray, shift: int):
-        self.keys, self.frequency, self.shift = keys, frequency, np.uint64(shift)
-        self.seen: np.ndarray | None = None  # a first, cheap test, made where it is used
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.ranks[(grams >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)]
 
     def prefix(self, grams: np.ndarray, length: int) -> np.ndarray:
         """The first ``length`` of the sorted ``grams``."""
-        if not len(self.keys):
-            return grams[:length]
-        low = int(np.searchsorted(grams, np.uint64(COUNTED << 61)))
-        grams, above = grams[:low], grams[low:]
-        if self.seen is None:
-            self.seen = np.zeros(1 << 24, bool)
-            self.seen[(self.keys & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
-        key = grams >> self.shift
-        may = self.seen[(key & np.uint64((1 << 24) - 1)).astype(np.int64)]
-        rank = np.zeros(len(grams), np.uint32)
-        if may.any():
-            at = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
-            rank[may] = np.where(self.keys[at] == key[may], self.frequency[at], 0)
-        plain = grams[rank == 0]
-        if len(plain) >= length:
-            return plain[:length]
-        listed = np.flatnonzero(rank)
-        listed = listed[np.lexsort((grams[listed], rank[listed]))]
-        return np.concatenate([plain, grams[listed], above])[:length]
-
-
-def _range_bits(grams: int) -> int:
-    bits = 3
-    while grams >> bits > RANGE_GRAMS:
-        bits += 1
-    return bits
-
-
-def frequent_grams(texts: DataFrame, n: int, bits: int) -> Order:
-    """Counts the grams in the lowest ``COUNTED`` eighths of the hash space, in all texts; the most frequent of each range of the hash make the list."""
-    ranges, most = 1 << bits, max(1, FREQUENT >> bits)
+        return grams[np.argsort(self.of(grams), kind="stable")[:length]]
 
-    def slices(batches):
-        held = []
 
-        def out():
-            grams = np.concatenate(held)
-            key = (grams >> np.uint64(32 - bits)).astype(np.uint64)
-            key.sort()
-            low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            cut = np.searchsorted(key >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["range", "grams"])
+def _rank(count: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(1 + count.astype(np.float64))).astype(np.uint8)
+
+
+def gram_order(texts: DataFrame, n: int, heavy: int = HEAVY) -> Order:
+    """Counts the grams of all texts by bucket. A task sums its texts in one array; arrays are summed slice by slice, and one byte a bucket reaches the driver."""
+    width = (1 << BUCKETS_BITS) // SLICES
+
+    def count(batches):
+        total, held, size = np.zeros(1 << BUCKETS_BITS, np.uint16), [], 0
+
+        def add():
+            own, times = np.unique((np.concatenate(held) >> np.uint64(64 - BUCKETS_BITS)).astype(np.uint32), return_counts=True)
+            total[own] = np.minimum(total[own].astype(np.int64) + times, 65535)
 
         for _, sets in _sets(batches, n, 0):
-            held += [low for s in sets if len(low := s[: np.searchsorted(s, np.uint64(COUNTED << 61))])]
-            if sum(map(len, held)) > 300_000:
-                yield out()
-                held = []
+            held += sets
+            size += sum(map(len, sets))
+            if size > 500_000:
+                add()
+                held, size = [], 0
         if held:
-            yield out()
+            add()
+            parts = total.reshape(SLICES, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())], names=["slice", "counts"])
 
-    def count(batches):
-        parts: dict[int, list] = {}
+    def sums(batches):
+        got: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(k, []).append(np.frombuffer(blob, np.uint32))
-        for k in parts:
-            low = np.concatenate(parts[k])
-            low.sort()
-            start = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
-            times = np.diff(np.append(start, len(low)))
-            twice = np.flatnonzero(times > 1)
-            twice = twice[np.argsort(-times[twice], kind="stable")[:most]]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([low[start[twice]].tobytes()], pa.binary()), pa.array([times[twice].astype(np.uint32).tobytes()], pa.binary())], names=["range", "grams", "times"])
+                part = np.frombuffer(pa.decompress(blob, width * 2, "zstd", asbytes=True), np.uint16)
+                got[k] = got[k] + part if k in got else part.astype(np.int64)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([_rank(x).tobytes() for x in got.values()], pa.binary()), pa.array([int(x.sum()) for x in got.values()], pa.int64())], names=["slice", "ranks", "grams"])
 
-    counted = texts.mapInArrow(slices, "range int, grams binary").repartitionById(ranges, F.col("range")).mapInArrow(count, "range int, grams binary, times binary")
-    keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    for r in counted.collect():  # at most FREQUENT grams
-        keys.append(np.frombuffer(r["grams"], np.uint32).astype(np.uint64) | np.uint64(r["range"] << 32))
-        times.append(np.frombuffer(r["times"], np.uint32))
-    keys, times = np.concatenate(keys), np.concatenate(times)
-    order = np.argsort(keys)
-    return Order(keys[order], times[order], 32 - bits)
+    ranks, grams = np.zeros(1 << BUCKETS_BITS, np.uint8), 0
+    for r in texts.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(sums, "slice int, ranks binary, grams bigint").collect():  # SLICES rows
+        ranks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["ranks"], np.uint8)
+        grams += r["grams"]
+    return Order(ranks, int(_rank(np.array([max(heavy, 4 * grams >> BUCKETS_BITS)]))[0]))
 
 
-PROFILE = "id bigint, n bigint, class binary, grp bigint, prefix binary"
+PROFILE = "id bigint, n int, class binary, grp bigint, prefix binary"
 
 
 def profiles(rows: DataFrame, n: int, num: int, den: int, order: Order) -> DataFrame:
@@ -151,33 +124,46 @@ def profiles(rows: DataFrame, n: int, num: int, den: int, order: Order) -> DataF
         for part, sets in _sets(batches, n, 1):
             prefix = [own.prefix(s, prefix_length(len(s), num, den)).tobytes() if len(s) else None for s in sets]
             size = [len(s) for s in sets]
-            kind = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            kind = [_class(s) if len(s) else None for s in sets]
             group = [int.from_bytes(blake2b(p + str(k).encode(), digest_size=8).digest(), "little", signed=True) if p else None for p, k in zip(prefix, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(kind, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "class", "grp", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(kind, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "class", "grp", "prefix"])
 
     return rows.mapInArrow(run, PROFILE)
 
 
-def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int) -> DataFrame:
-    """From rows (grp, n, prefix): pairs (null, a, b) of groups of similar sizes that share a gram of few groups, and (gram, group, n) of other grams that groups of similar sizes share."""
+ENTRY = "gram bigint, grp bigint, n int, k bigint"
+
+
+def _entries(grams: np.ndarray, groups: np.ndarray, sizes: np.ndarray, k: np.ndarray):
+    for at in range(0, len(grams), 50_000):
+        part = slice(at, at + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(grams[part].view(np.int64)), pa.array(groups[part]), pa.array(sizes[part].astype(np.int32)), pa.array(k[part].astype(np.int64))], names=["gram", "grp", "n", "k"])
+
+
+def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Order) -> DataFrame:
+    """From rows (grp, n, prefix): the index (gram, group, n, groups of the gram) of grams that groups of similar sizes share."""
     ranges = 1 << bits
+    shared = prefixes.sparkSession.sparkContext.broadcast(order)
 
     def slices(batches):
         held, size = {}, 0
 
         def out():
+            own = shared.value
             groups = np.fromiter((g for g, _ in held), np.int64, len(held))
             sizes = np.fromiter((s for _, s in held), np.int32, len(held))
             grams = [np.frombuffer(p, np.uint64) for p in held.values()]
             of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
             grams = np.concatenate(grams)
+            light = own.of(grams) < own.heavy
+            grams, of = grams[light], of[light]
             by = np.argsort(grams)
             grams, of = grams[by], of[by]
             cut = np.searchsorted(grams >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64))
             columns = [[], [], [], []]
             for a, b in zip(cut, cut[1:], strict=False):
-                own, place = np.unique(of[a:b], return_inverse=True)
-                for column, x in zip(columns, (grams[a:b], place.astype(np.int32), groups[own], sizes[own]), strict=True):
+                mine, place = np.unique(of[a:b], return_inverse=True)
+                for column, x in zip(columns, (grams[a:b], place.astype(np.int32), groups[mine], sizes[mine]), strict=True):
                     column.append(x.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "grams", "place", "groups", "sizes"])
 
@@ -196,212 +182,227 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int) -> DataFram
         parts: dict[int, list] = {}
         for batch in batches:
             columns = batch.to_pydict()
-            for k, *blobs in zip(*(columns[c] for c in ("range", "grams", "place", "groups", "sizes")), strict=True):
+            for r, *blobs in zip(*(columns[c] for c in ("range", "grams", "place", "groups", "sizes")), strict=True):
                 grams, place, groups, sizes = (np.frombuffer(b, t) for b, t in zip(blobs, (np.uint64, np.int32, np.int64, np.int32), strict=True))
-                parts.setdefault(k, []).append((grams, groups[place], sizes[place]))
+                parts.setdefault(r, []).append((grams, groups[place], sizes[place]))
         for blobs in parts.values():
             grams, groups, sizes = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            if not len(grams):
+                continue
             order = np.lexsort((groups, grams))
             grams, groups, sizes = grams[order], groups[order], sizes[order]
-            new = np.append(True, (grams[1:] != grams[:-1]) | (groups[1:] != groups[:-1])) if len(grams) else np.zeros(0, bool)
+            new = np.append(True, (grams[1:] != grams[:-1]) | (groups[1:] != groups[:-1]))
             grams, groups, sizes = grams[new], groups[new], sizes[new]
             order = np.lexsort((sizes, grams))  # a group whose neighbours by size are too small or too large has no partner at this gram
             grams, groups, sizes = grams[order], groups[order], sizes[order]
             same = (grams[1:] == grams[:-1]) & (sizes[:-1].astype(np.int64) * den >= sizes[1:].astype(np.int64) * num)
-            two = np.append(same, False) | np.append(False, same) if len(grams) else np.zeros(0, bool)
+            two = np.append(same, False) | np.append(False, same)
             grams, groups, sizes = grams[two], groups[two], sizes[two]
-            start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-            times = np.diff(np.append(start, len(grams)))
-            times = np.repeat(times, times)
-            pairs = []
-            for d in range(1, FEW):
-                i = np.flatnonzero((times[:-d] <= FEW) & (grams[d:] == grams[:-d]) & (sizes[:-d].astype(np.int64) * den >= sizes[d:].astype(np.int64) * num))
-                pairs.append(np.column_stack([np.minimum(groups[i], groups[i + d]), np.maximum(groups[i], groups[i + d])]))
-            pairs = np.concatenate(pairs)
-            if len(pairs):
-                pairs = pairs[np.lexsort(pairs.T)]
-                pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
-            many = times > FEW
-            for gram, a, b in ((None, pairs[:, 0], pairs[:, 1]), (grams[many].view(np.int64), groups[many], sizes[many].astype(np.int64))):
-                for at in range(0, len(a), 50_000):
-                    part = slice(at, at + 50_000)
-                    first = pa.nulls(len(a[part]), pa.int64()) if gram is None else pa.array(gram[part])
-                    yield pa.RecordBatch.from_arrays([first, pa.array(a[part]), pa.array(b[part])], names=["gram", "a", "b"])
-
-    return prefixes.mapInArrow(slices, "range int, grams binary, place binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, "gram bigint, a bigint, b bigint")
-
-
-def _verifier(num: int, den: int):
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(den * common >= num * (len(both) - common))
-        return pa.array(out, pa.bool_())
-
-    return linked
-
-
-def _apart(now: DataFrame, num: int, den: int) -> DataFrame:
-    """(g, h) of groups of similar sizes in different components that share a gram while their heads have none in common."""
-    left = now.select("gram", F.col("grp").alias("g"), F.col("n").cast("long").alias("n"), "head", "part")
-    right = now.select("gram", F.col("grp").alias("h"), F.col("n").cast("long").alias("m"), F.col("head").alias("other_head"), F.col("part").alias("other_part"))
-    near = (F.col("g") < F.col("h")) & (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-    cheap = (F.get("head", F.lit(0)) != F.get("other_head", F.lit(0))) & ~F.array_contains("other_head", F.get("head", F.lit(0)))  # most heads meet here
-    return left.join(right, "gram").where(near & (F.col("part") != F.col("other_part")) & cheap & ~F.arrays_overlap("head", "other_head")).select("g", "h").distinct()
-
-
-def _expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Class pairs of group pairs (g, h)."""
-    return pairs.join(member.select(F.col("grp").alias("g"), F.col("class").alias("a")), "g").join(member.select(F.col("grp").alias("h"), F.col("class").alias("b")), "h").select("a", "b")
-
-
-def _block_links(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Links, as a forest for each pair of blocks, between each gram's classes that are in different components.
-
-    Each gram's classes are dealt out to ``blocks`` blocks of bounded size; a pair of blocks is compared in memory and no pair is a row.
-    """
-    own = entries.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
-    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "part", "grams")
-
-    def compare(block: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in block.column("grams").to_pylist()]
-        names, parts = block.column("class").to_pylist(), block.column("part").to_pylist()
-        of, i, j = (np.asarray(block.column(c).combine_chunks()) for c in ("block", "i", "j"))
-        sizes = np.array([len(x) for x in sets], np.int64)
-        rows, cols = np.flatnonzero(of == i), np.flatnonzero(of == j)
-        a, b = [], []
-        if len(rows) and len(cols):
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            kept = count > 1
-            number = np.cumsum(kept) - 1
-            mark = kept[place]
-            owner, place = owner[mark], number[place[mark]]
-            by = np.argsort(place, kind="stable")
-            owner, place = owner[by], place[by]
-            common = np.zeros((len(rows), len(cols)), np.float32)
-            for at in range(0, int(kept.sum()), 2048):
-                lo, hi = np.searchsorted(place, [at, at + 2048])
-                dense = np.zeros((len(sets), 2048), np.float32)
-                dense[owner[lo:hi], place[lo:hi] - at] = 1
-                common += dense[rows] @ dense[cols].T
-            union = sizes[rows][:, None] + sizes[cols][None, :] - common
-            parent: dict = {}
-
-            def root(x):
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = parent.get(up, up)
-                    x = up
-                return x
-
-            for x, y in zip(*np.nonzero(den * common >= num * union), strict=True):
-                x, y = rows[x], cols[y]
-                u, v = root(parts[x]), root(parts[y])
-                if u != v:
-                    parent[u] = v
-                    a.append(names[x])
-                    b.append(names[y])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return dealt.groupBy("gram", "i", "j").applyInArrow(compare, "a binary, b binary")
+            if len(grams):
+                start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+                times = np.diff(np.append(start, len(grams)))
+                yield from _entries(grams, groups, sizes, np.repeat(times, times))
+
+    def heavy(batches):
+        own = shared.value
+        for batch in batches:
+            grams = [np.frombuffer(p, np.uint64) for p in batch.column(2).to_pylist()]
+            of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+            grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            many = own.of(grams) >= own.heavy
+            grams, of = grams[many], of[many]
+            yield from _entries(grams, np.asarray(batch.column(0))[of], np.asarray(batch.column(1))[of], np.ones(len(grams)))
+
+    found = prefixes.mapInArrow(slices, "range int, grams binary, place binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, ENTRY)
+    if int(order.ranks.max()) < order.heavy:
+        return found
+    rows = prefixes.mapInArrow(heavy, ENTRY).dropDuplicates(["gram", "grp"]).drop("k")
+    return found.unionByName(rows.join(rows.groupBy("gram").agg(F.count("grp").alias("k")).where("k > 1"), "gram"))
+
+
+def _compare(names: list, sets: list[np.ndarray], part: list, done: list, first: np.ndarray, other: np.ndarray, num: int, den: int):
+    """Links (a forest) between classes of different parts that have not met before, of block ``first`` with block ``other``."""
+    rows, cols = np.flatnonzero(first), np.flatnonzero(other)
+    if not len(rows) or not len(cols) or len(set(part)) < 2:
+        return
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    grams = np.concatenate(sets)
+    by = np.argsort(grams, kind="stable")
+    grams, owner = grams[by], owner[by]
+    new = np.append(True, grams[1:] != grams[:-1])
+    place = np.cumsum(new) - 1
+    kept = np.bincount(place) > 1
+    number = np.cumsum(kept) - 1
+    mark = kept[place]
+    owner, place = owner[mark], number[place[mark]]
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    wide = 2048 if len(sets) > 16 else 1 << 14
+    for at in range(0, int(kept.sum()), wide):
+        lo, hi = np.searchsorted(place, [at, at + wide])
+        dense = np.zeros((len(sets), min(wide, int(kept.sum()) - at)), np.float32)
+        dense[owner[lo:hi], place[lo:hi] - at] = 1
+        common += dense[rows] @ dense[cols].T
+    union = sizes[rows][:, None] + sizes[cols][None, :] - common
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for x, y in zip(*np.nonzero(den * common >= num * union), strict=True):
+        x, y = rows[x], cols[y]
+        if x != y and done[x] != done[y]:
+            u, v = root(part[x]), root(part[y])
+            if u != v:
+                parent[u] = v
+                yield names[x], names[y]
+
+
+CELL = ["key", "i", "j"]
+
+
+def cell_links(cells: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the classes of each cell. ``cells``: key, i, j, block, class, id, part, done; ``rows``: id and text."""
+    ids = stored(cells.select("id").distinct(), "near-wanted")
+    texts = among(rows, "id", ids)
+    dealt = texts.join(cells, "id").select(*CELL, "block", "class", "part", "done", "text").repartition(*CELL).sortWithinPartitions(*CELL)
+
+    def links(held: list):
+        seen, names, sets, part, done, block = set(), [], [], [], [], []
+        for batch in held:
+            for piece, got in _sets([batch], n, 7):
+                columns = [piece.column(c).to_pylist() for c in (4, 5, 6, 3)]
+                for s, kind, p, d, b in zip(got, *columns, strict=True):
+                    if (kind, b) not in seen and _class(s) == kind:  # repeated identifiers bring other texts
+                        seen.add((kind, b))
+                        for column, x in zip((names, sets, part, done, block), (kind, s, p, d, b), strict=True):
+                            column.append(x)
+        i, j = held[0].column(1)[0].as_py(), held[0].column(2)[0].as_py()
+        block = np.array(block)
+        return list(_compare(names, sets, part, done, block == i, block == j, num, den))
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)])
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
+            out = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                now = tuple(keys[a])
+                if now != key and held:
+                    out += links(held)
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+        if held:
+            out = links(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, tag: str) -> DataFrame:
     """(node, root) of every node of links (a, b): the least node that can be reached. Least neighbours are followed and then jumped over until nothing changes."""
     edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
-    label = stored(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).withColumnRenamed("x", "node"), f"{tag}-label")
+    got = stored(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).withColumnRenamed("x", "node"), f"{tag}-label")
     while True:
+        label = got.select("node", "root")
         near = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("seen"))
         least = label.join(near.withColumnRenamed("x", "node"), "node").select("node", "root", F.least("root", "seen").alias("less"))
         jump = label.select(F.col("node").alias("less"), F.col("root").alias("far"))
-        got = stored(least.join(jump, "less", "left").select("node", F.coalesce("far", "less").alias("new"), (F.coalesce("far", "less") != F.col("root")).alias("moved")), f"{tag}-label")
-        label = got.select("node", F.col("new").alias("root"))
+        new = F.coalesce("far", "less")
+        after = stored(least.join(jump, "less", "left").select("node", new.alias("root"), (new != F.col("root")).alias("moved")), f"{tag}-label")
+        dropped(got)
+        got = after
         if got.where("moved").limit(1).count() == 0:
-            return label
+            dropped(edges)
+            return got.select("node", "root")
+
 
+def homes(entries: DataFrame) -> DataFrame:
+    """(grp, home): the most central group that shares a gram with it, its own included."""
+    weight = entries.groupBy("grp").agg(F.sum("k").alias("c"))
+    hub = entries.join(weight, "grp").groupBy("gram").agg(F.max(F.struct("c", "grp")).alias("hub"))
+    return entries.join(hub, "gram").groupBy("grp").agg(F.max("hub")["grp"].alias("home"))
 
-def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+
+def _parts(count, grams):
+    return F.ceil(F.greatest(count / CELL_SETS, grams / CELL_GRAMS)).cast("int")
+
+
+def home_cells(classes: DataFrame, home: DataFrame) -> DataFrame:
+    """The first round's cells: classes dealt out within their home, with the home's least class in each cell."""
+    own = classes.join(home, "grp")
+    size = own.groupBy("home").agg(_parts(F.count("class"), F.sum("n")).alias("subs"))
+    lead = own.groupBy("grp").agg(F.min(F.struct("class", "least")).alias("lead")).select(F.col("grp").alias("home"), "lead.*")
+    member = own.join(size, "home").select("home", F.pmod(F.xxhash64("class"), F.col("subs").cast("long")).cast("int").alias("sub"), "class", "least")
+    guests = lead.join(size, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "class", "least")
+    return member.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+
+
+def block_cells(now: DataFrame) -> DataFrame:
+    """The second round's cells from (gram, class, n, least, part, done): blocks of each gram's largest part with those of all others, and of the others with each other."""
+    sums = now.groupBy("gram", "part").agg(F.count("class").alias("m"), F.sum("n").alias("s"))
+    sums = sums.groupBy("gram").agg(F.max(F.struct("m", "part", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    plan = sums.select("gram", F.col("top.part").alias("major"), _parts(F.col("top.m"), F.col("top.s")).alias("wide"), F.greatest(F.lit(1), _parts(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"))).alias("rest"))
+    own = now.join(plan, "gram").withColumn("large", F.col("part") == F.col("major"))
+    hashed = F.xxhash64("class")
+    own = own.withColumn("block", F.when(F.col("large"), F.col("rest") + F.pmod(hashed, F.col("wide").cast("long"))).otherwise(F.pmod(hashed, F.col("rest").cast("long"))).cast("int"))
+    last = F.when(F.col("large"), F.col("rest")).otherwise(F.col("rest") + F.col("wide")) - 1
+    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return dealt.select(F.col("gram").alias("key"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", F.col("least").alias("id"), "part", "done")
+
+
+def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int = 5, num: int = 80, den: int = 100, heavy: int = HEAVY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id that links with similarity >= num / den reach) and class_id (the same set)."""
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _range_bits(size // 6)
-    order = frequent_grams(rows.select("text"), n, bits)
-    own = stored(profiles(rows, n, num, den, order), "near-profiles")
-    known = own.where(F.col("class").isNotNull() & F.col("id").isNotNull())
-    classes = known.groupBy("class").agg(F.min("id").alias("least"), F.min("grp").alias("grp"), F.min("n").cast("int").alias("n"))
-    single = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
-    classes = stored(classes, "near-classes")
-    crowded = classes.groupBy("grp").agg(F.count("class").alias("mates")).where(F.col("mates") > GROUP)
-    classes = classes.join(crowded, "grp", "left").withColumn("crowd", F.when(F.col("mates").isNotNull(), F.col("grp")))
-    classes = classes.withColumn("grp", F.when(F.col("crowd").isNull(), F.col("grp")).otherwise(single)).drop("mates")
-    classes = stored(classes, "near-classes")
-    # Members of a crowded group stand for themselves: at its grams, and together at one more, the group's number.
-    singles = classes.where(F.col("crowd").isNotNull()).select(F.col("crowd").alias("grp"), F.col("grp").alias("single"), "n")
-    entries = stored(shared_grams(known.select("grp", F.col("n").cast("int").alias("n"), "prefix"), max(3, bits - 2), num, den), "near-shared")
-    single_of = singles.select("grp", "single")
-    pairs = entries.where("gram is null").select(F.col("a").alias("g"), F.col("b").alias("h")).distinct()
-    for side in ("g", "h"):
-        pairs = pairs.join(single_of.select(F.col("grp").alias(side), F.col("single").alias(f"{side}_single")), side, "left").withColumn(side, F.coalesce(f"{side}_single", side)).drop(f"{side}_single")
-    pairs = stored(pairs, "near-pairs")
-    index = entries.where("gram is not null").select("gram", F.col("a").alias("grp"), F.col("b").cast("int").alias("n")).join(single_of, "grp", "left").select("gram", F.coalesce("single", "grp").alias("grp"), "n")
-    index = stored(index.unionByName(singles.select(F.col("grp").alias("gram"), F.col("single").alias("grp"), "n")), "near-index")
-    # Whole sets of the classes that can have a partner: those of groups in the index, and those of one group.
-    mates = classes.groupBy("grp").agg(F.count("class").alias("mates"))
-    wanted = classes.join(mates.where("mates > 1").select("grp").union(pairs.select("g")).union(pairs.select("h")).union(index.select("grp")).distinct(), "grp", "left_semi")
-    texts = rows.join(wanted.select("class", F.col("least").alias("id")), "id")
-
-    def whole(batches):
-        for part, sets in _sets(batches, n, 1):
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "real", "grams"])
-
-    sets = texts.select("id", "text", "class").mapInArrow(whole, "class binary, real binary, grams binary").where("class = real").select("class", "grams")
-    if known.groupBy("class", "id").count().where("count > 1").limit(1).count():  # repeated rows
-        sets = sets.dropDuplicates(["class"])
-    sets = stored(sets, "near-sets")
-    linked = _verifier(num, den)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "near-pairs")  # of known size, so a few pairs are joined without moving the sets
-        left, right = sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("class").alias("b"), F.col("grams").alias("gb"))
-        return pairs.join(left, "a").join(right, "b").where(linked("ga", "gb")).select("a", "b")
-
-    member = classes.select("class", "grp")
-    inside = member.alias("p").join(member.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.class") < F.col("q.class"))).select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
-    links = stored(verified(inside), "near-links")
-    # First round: all pairs of grams with few groups.
-    more = stored(verified(_expanded(pairs, member)), "near-links")
-    label = components(links.union(more), "near")
-    # Second round: other grams whose groups are still in several components. A group's component is that of its classes if they are all in one, else its own;
-    # it only chooses grams and groups to compare. Links are left out by the component of each class.
-    got = member.join(label, member["class"] == label["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("root"))
-    part = got.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.encode(F.col("grp").cast("string"), "UTF-8")).alias("part"))
-    now = index.join(part, "grp")
-    open_ = now.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("grams"), F.count("grp").alias("k")).where("lo != hi")
-    blocks = F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("k") / BLOCK_SETS)).cast("int")
-    now = now.join(open_.select("gram", "k", blocks.alias("blocks")), "gram")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "gram")))  # the most frequent first: members of one family have them in common
-    now = stored(now.join(now.groupBy("grp").agg(F.transform(F.slice(ranked, 1, BLOCK_HEAD), lambda x: x["gram"]).alias("head")), "grp"), "near-open")
-    heads = now.where(F.array_contains("head", F.col("gram"))).drop("head", "part").join(got.withColumnRenamed("root", "part"), "grp").join(sets, "class")
-    last = stored(_block_links(heads, num, den).union(verified(_expanded(_apart(now, num, den), member))), "near-links")
-    label = components(links.union(more).union(last), "near")
+    order = gram_order(rows.select("text"), n, heavy)
+    prefix = stored(profiles(rows, n, num, den, order), "near-profiles")
+    known = prefix.where(F.col("class").isNotNull() & F.col("id").isNotNull())
+    size = known.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    bits = max(3, min(14, (size // 8 // RANGE_GRAMS).bit_length()))
+    classes = stored(known.groupBy("class").agg(F.min("id").alias("least"), F.min("grp").alias("grp"), F.min("n").alias("n")), "near-classes")
+    crowd = classes.groupBy("grp").agg(F.count("class").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.col("grp").alias("gram"), "grp", "n", "k")
+    entries = stored(shared_grams(known.select("grp", "n", "prefix"), bits, num, den, order).unionByName(crowd), "near-index")
+    own = stored(prefix.drop("grp", "prefix"), "near-rows")
+    dropped(prefix)
+    # First round: every class with a candidate partner in its home's cell.
+    placed = stored(home_cells(classes.select("class", "least", "grp", "n"), homes(entries)), "near-homes")
+    cells = placed.select(F.col("home").alias("key"), F.col("sub").alias("i"), F.col("sub").alias("j"), F.col("sub").alias("block"), "class", F.col("least").alias("id"), F.col("class").alias("part"), F.col("class").alias("done"))
+    more = cells.groupBy("key", "i").agg(F.count("class").alias("m")).where("m > 1").drop("m")
+    links = stored(cell_links(cells.dropDuplicates([*CELL, "class"]).join(more, ["key", "i"], "left_semi"), rows, n, num, den), "near-links")
+    label = components(links, "near")
+    # Second round: grams whose classes are in several components and did not all meet in one cell.
+    member = placed.where(~F.col("guest")).join(label, F.col("class") == F.col("node"), "left").join(classes.select("class", "grp", "n"), "class")
+    done = F.concat(F.hex("home"), F.lit(":"), F.col("sub")).cast("binary")
+    member = stored(member.select("class", "least", "grp", "n", F.coalesce("root", "class").alias("part"), done.alias("done")), "near-members")
+    of = member.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("done").alias("from"), F.max("done").alias("to"))
+    spans = entries.join(of, "grp").groupBy("gram").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("from").alias("from"), F.max("to").alias("to"),
+        F.count("grp").alias("k"), F.bit_xor(F.xxhash64("grp")).alias("x"), F.sum(F.hash("grp").cast("long")).alias("y"),
+    )
+    open_ = spans.where("lo != hi and `from` != `to`").groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))
+    now = stored(entries.select("gram", "grp").join(open_.select("gram"), "gram").join(member, "grp").select("gram", "class", "n", "least", "part", "done"), "near-open")
+    again = stored(cell_links(stored(block_cells(now), "near-blocks"), rows, n, num, den), "near-links")
+    label = components(links.union(again), "near")
     reach = classes.join(label, classes["class"] == label["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = reach.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(reach.join(least, "root").select("class", "component_id", F.col("least").alias("class_id")), "near-named")
     return own.join(named, "class", "left").select(
-        "id", F.col("n").alias("n_shingles"),
+        "id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id")).alias("component_id"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "id")).alias("class_id"),
     )
 
 
-def drop_near_duplicates(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The first row of each component, with the columns of ``documents``."""
-    rows = stored(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_all"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row")), "near-rows")
-    gone = jaccard_components(rows, "row", n, num, den).where("id != component_id").select(F.col("id").alias("row"))
-    return rows.join(gone, "row", "left_anti").select("_all.*")
+def drop_near_duplicates(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100, files: bool = False) -> DataFrame:
+    """The first row of each component, with the columns of ``documents``; ``files`` as in ``numbered``."""
+    rows = numbered(documents, F.col("text").alias("text"), files=files)
+    gone = jaccard_components(rows.select("_row", "text"), "_row", n, num, den).where("id != component_id").select(F.col("id").alias("_row"))
+    return raw(without(rows, "_row", stored(gone, "near-gone")))
