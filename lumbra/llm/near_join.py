@@ -5,8 +5,8 @@
    its bucket's count on a logarithmic scale, then its hash. Any order is valid; grams that share a bucket only make the filter weaker.
 3. The prefix of a set of n grams are its n - ceil(t n) + 1 first; two sets with similarity t share one gram of their prefixes. Classes
    with the same prefix and size are collapsed into one group, and the index of prefix grams holds groups only, of these only the grams that two
-   groups of similar sizes share. A group of several classes has one more gram, its own number. Grams in buckets that are frequent everywhere
-   (``HEAVY``) are never gathered: their entries are rows from the start.
+   groups of similar sizes share, and once for all grams that the same groups share. A group of several classes has one more gram, its own number. Grams in buckets that are frequent everywhere
+   (``HEAVY``) are never gathered: their entries are rows from the start. Entries whose places in the prefixes leave too little to share are left out.
 4. Groups that share a gram are candidates. Each group's home is the most central group it shares a gram with (the one whose grams reach most groups).
    A home's groups are expanded to their classes and dealt out to cells of bounded size, the home's own class in each. The classes of a cell are
    compared in memory; whole texts are shuffled once to come to their cells, and links are joined to components.
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import among, dropped, numbered, raw, stored, without
-from .words import gram_set, word_hashes
+from .words import gram_set, mixed, word_hashes
 
 BUCKETS_BITS, SLICES = 24, 256
 HEAVY = 20_000  # a gram in a bucket with so many texts, and four times the mean, is heavy
 CELL_SETS, CELL_GRAMS = 512, 1_000_000
+NEIGHBOURS = 16  # entries of a gram that are compared by place
 RANGE_GRAMS = 1_000_000  # prefix grams that one matching task is meant to hold
 STEP = 256
 
@@ -101,9 +102,9 @@ def gram_order(texts: DataFrame, n: int, heavy: int = HEAVY) -> Order:
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(pa.decompress(blob, width * 2, "zstd", asbytes=True), np.uint16)
-                got[k] = got[k] + part if k in got else part.astype(np.int64)
+                got[k] = got[k] + part if k in got else part.astype(np.uint32)
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([_rank(x).tobytes() for x in got.values()], pa.binary()), pa.array([int(x.sum()) for x in got.values()], pa.int64())], names=["slice", "ranks", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([_rank(x).tobytes() for x in got.values()], pa.binary()), pa.array([int(x.sum(dtype=np.int64)) for x in got.values()], pa.int64())], names=["slice", "ranks", "grams"])
 
     ranks, grams = np.zeros(1 << BUCKETS_BITS, np.uint8), 0
     for r in texts.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(sums, "slice int, ranks binary, grams bigint").collect():  # SLICES rows
@@ -131,19 +132,48 @@ def profiles(rows: DataFrame, n: int, num: int, den: int, order: Order) -> DataF
     return rows.mapInArrow(run, PROFILE)
 
 
-ENTRY = "gram bigint, grp bigint, n int, k bigint"
+ENTRY = "gram bigint, grp bigint, n int, k bigint, times bigint"
 
 
-def _entries(grams: np.ndarray, groups: np.ndarray, sizes: np.ndarray, k: np.ndarray):
+def _entries(grams: np.ndarray, groups: np.ndarray, sizes: np.ndarray, k: np.ndarray, times: np.ndarray):
     for at in range(0, len(grams), 50_000):
         part = slice(at, at + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[part].view(np.int64)), pa.array(groups[part]), pa.array(sizes[part].astype(np.int32)), pa.array(k[part].astype(np.int64))], names=["gram", "grp", "n", "k"])
+        columns = (grams[part].view(np.int64), groups[part], sizes[part].astype(np.int32), k[part].astype(np.int64), times[part].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "grp", "n", "k", "times"])
+
+
+def _partnered(grams: np.ndarray, sizes: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which entries, sorted by gram and size, can have a partner at their gram.
+
+    Sizes must be similar. If the gram, at its places in two prefixes, is the first that two sets share, they share no more than what follows it there in either; if that is
+    too little, the pair has an earlier gram in common or is none. Places are compared for up to ``NEIGHBOURS`` next entries; larger grams keep all of similar size.
+    """
+    kept = np.zeros(len(grams), bool)
+    start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    times = np.diff(np.append(start, len(grams)))
+    times = np.repeat(times, times)
+    for d in range(1, NEIGHBOURS + 1):
+        if d >= len(grams):
+            break
+        i = np.flatnonzero(grams[d:] == grams[:-d])
+        i = i[sizes[i] * den >= sizes[i + d] * num]  # at i the smaller set
+        if not len(i):
+            break
+        few = times[i] <= NEIGHBOURS + 1
+        most = 1 + np.minimum(sizes[i] - place[i], sizes[i + d] - place[i + d])
+        i = i[~few | (most * (num + den) >= num * (sizes[i] + sizes[i + d]))]
+        kept[i] = kept[i + d] = True
+    return kept
 
 
 def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Order) -> DataFrame:
-    """From rows (grp, n, prefix): the index (gram, group, n, groups of the gram) of grams that groups of similar sizes share."""
+    """From rows (grp, n, prefix): the index (gram, group, n, groups of the gram, times) of grams that groups of similar sizes share.
+
+    Grams that the same groups share are one entry each, under a hash of these groups; ``times`` says how many they are.
+    """
     ranges = 1 << bits
     shared = prefixes.sparkSession.sparkContext.broadcast(order)
+    blobs = {"grams": np.uint64, "owner": np.int32, "place": np.uint16, "groups": np.int64, "sizes": np.int32}
 
     def slices(batches):
         held, size = {}, 0
@@ -154,18 +184,18 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Orde
             sizes = np.fromiter((s for _, s in held), np.int32, len(held))
             grams = [np.frombuffer(p, np.uint64) for p in held.values()]
             of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+            place_in = np.concatenate([np.minimum(np.arange(len(x)), 65535) for x in grams]).astype(np.uint16)  # a later place than noted only weakens the filter
             grams = np.concatenate(grams)
-            light = own.of(grams) < own.heavy
-            grams, of = grams[light], of[light]
-            by = np.argsort(grams)
-            grams, of = grams[by], of[by]
+            light = np.flatnonzero(own.of(grams) < own.heavy)
+            by = light[np.argsort(grams[light])]
+            grams, of, place_in = grams[by], of[by], place_in[by]
             cut = np.searchsorted(grams >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64))
-            columns = [[], [], [], []]
+            columns = [[] for _ in blobs]
             for a, b in zip(cut, cut[1:], strict=False):
-                mine, place = np.unique(of[a:b], return_inverse=True)
-                for column, x in zip(columns, (grams[a:b], place.astype(np.int32), groups[mine], sizes[mine]), strict=True):
+                mine, owner = np.unique(of[a:b], return_inverse=True)
+                for column, x in zip(columns, (grams[a:b], owner.astype(np.int32), place_in[a:b], groups[mine], sizes[mine]), strict=True):
                     column.append(x.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "grams", "place", "groups", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", *blobs])
 
         for batch in batches:
             for g, k, p in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -181,27 +211,31 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Orde
     def match(batches):
         parts: dict[int, list] = {}
         for batch in batches:
-            columns = batch.to_pydict()
-            for r, *blobs in zip(*(columns[c] for c in ("range", "grams", "place", "groups", "sizes")), strict=True):
-                grams, place, groups, sizes = (np.frombuffer(b, t) for b, t in zip(blobs, (np.uint64, np.int32, np.int64, np.int32), strict=True))
-                parts.setdefault(r, []).append((grams, groups[place], sizes[place]))
-        for blobs in parts.values():
-            grams, groups, sizes = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            columns = [batch.column(k).to_pylist() for k in range(len(blobs) + 1)]
+            for r, *own in zip(*columns, strict=True):
+                grams, owner, place, groups, sizes = (np.frombuffer(x, t) for x, t in zip(own, blobs.values(), strict=True))
+                parts.setdefault(r, []).append((grams, groups[owner], sizes[owner], place))
+        for held in parts.values():
+            grams, groups, sizes, place = (np.concatenate(x) for x in zip(*held, strict=True))
             if not len(grams):
                 continue
             order = np.lexsort((groups, grams))
-            grams, groups, sizes = grams[order], groups[order], sizes[order]
-            new = np.append(True, (grams[1:] != grams[:-1]) | (groups[1:] != groups[:-1]))
-            grams, groups, sizes = grams[new], groups[new], sizes[new]
-            order = np.lexsort((sizes, grams))  # a group whose neighbours by size are too small or too large has no partner at this gram
-            grams, groups, sizes = grams[order], groups[order], sizes[order]
-            same = (grams[1:] == grams[:-1]) & (sizes[:-1].astype(np.int64) * den >= sizes[1:].astype(np.int64) * num)
-            two = np.append(same, False) | np.append(False, same)
-            grams, groups, sizes = grams[two], groups[two], sizes[two]
+            order = order[np.append(True, (grams[order][1:] != grams[order][:-1]) | (groups[order][1:] != groups[order][:-1]))]
+            order = order[np.lexsort((sizes[order], grams[order]))]
+            grams, groups, sizes, place = grams[order], groups[order], sizes[order], place[order]
+            kept = _partnered(grams, sizes.astype(np.int64), place.astype(np.int64), num, den)
+            grams, groups, sizes = grams[kept], groups[kept], sizes[kept]
             if len(grams):
                 start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-                times = np.diff(np.append(start, len(grams)))
-                yield from _entries(grams, groups, sizes, np.repeat(times, times))
+                k = np.diff(np.append(start, len(grams)))
+                name = mixed(np.add.reduceat(mixed(groups.view(np.uint64)), start) + k.astype(np.uint64))
+                _, first, times = np.unique(name, return_index=True, return_counts=True)
+                one = np.zeros(len(k), bool)
+                one[first] = True
+                many = np.zeros(len(k), np.int64)
+                many[first] = times
+                shown = np.repeat(one, k)
+                yield from _entries(np.repeat(name, k)[shown], groups[shown], sizes[shown], np.repeat(k, k)[shown], np.repeat(many, k)[shown])
 
     def heavy(batches):
         own = shared.value
@@ -211,9 +245,10 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Orde
             grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
             many = own.of(grams) >= own.heavy
             grams, of = grams[many], of[many]
-            yield from _entries(grams, np.asarray(batch.column(0))[of], np.asarray(batch.column(1))[of], np.ones(len(grams)))
+            yield from _entries(grams, np.asarray(batch.column(0))[of], np.asarray(batch.column(1))[of], *[np.ones(len(grams))] * 2)
 
-    found = prefixes.mapInArrow(slices, "range int, grams binary, place binary, groups binary, sizes binary").repartitionById(ranges, F.col("range")).mapInArrow(match, ENTRY)
+    found = prefixes.mapInArrow(slices, "range int, " + ", ".join(f"{c} binary" for c in blobs)).repartitionById(ranges, F.col("range")).mapInArrow(match, ENTRY)
+    found = found.groupBy("gram", "grp").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.sum("times").alias("times"))
     if int(order.ranks.max()) < order.heavy:
         return found
     rows = prefixes.mapInArrow(heavy, ENTRY).dropDuplicates(["gram", "grp"]).drop("k")
@@ -221,7 +256,7 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Orde
 
 
 def _compare(names: list, sets: list[np.ndarray], part: list, done: list, first: np.ndarray, other: np.ndarray, num: int, den: int):
-    """Links (a forest) between classes of different parts that have not met before, of block ``first`` with block ``other``."""
+    """Links between classes of different parts that have not met before, of block ``first`` with block ``other``: each set of parts that they join as a star."""
     rows, cols = np.flatnonzero(first), np.flatnonzero(other)
     if not len(rows) or not len(cols) or len(set(part)) < 2:
         return
@@ -258,7 +293,13 @@ def _compare(names: list, sets: list[np.ndarray], part: list, done: list, first:
             u, v = root(part[x]), root(part[y])
             if u != v:
                 parent[u] = v
-                yield names[x], names[y]
+    centre: dict = {}
+    for name, own in sorted(dict(zip(part, names, strict=True)).items()):  # one class for each part
+        up = root(name)
+        if up in centre:
+            yield centre[up], own
+        else:
+            centre[up] = own
 
 
 CELL = ["key", "i", "j"]
@@ -309,15 +350,17 @@ def cell_links(cells: DataFrame, rows: DataFrame, n: int, num: int, den: int) ->
 
 def components(links: DataFrame, tag: str) -> DataFrame:
     """(node, root) of every node of links (a, b): the least node that can be reached. Least neighbours are followed and then jumped over until nothing changes."""
-    edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
-    got = stored(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).withColumnRenamed("x", "node"), f"{tag}-label")
+    a, b = F.col("a"), F.col("b")
+    ends = F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((a, b), (b, a), (a, a), (b, b))])).alias("e")
+    edges = stored(links.select(ends).select("e.*").distinct(), f"{tag}-edges")  # each node is a neighbour of its own
+    got = stored(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root")), f"{tag}-label")
     while True:
         label = got.select("node", "root")
-        near = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("seen"))
-        least = label.join(near.withColumnRenamed("x", "node"), "node").select("node", "root", F.least("root", "seen").alias("less"))
+        near = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node"))
+        near = near.agg(F.min("root").alias("less"), F.max(F.when(F.col("x") == F.col("y"), F.col("root"))).alias("was"))
         jump = label.select(F.col("node").alias("less"), F.col("root").alias("far"))
-        new = F.coalesce("far", "less")
-        after = stored(least.join(jump, "less", "left").select("node", new.alias("root"), (new != F.col("root")).alias("moved")), f"{tag}-label")
+        new = F.least("less", "far")
+        after = stored(near.join(jump, "less").select("node", new.alias("root"), (new != F.col("was")).alias("moved")), f"{tag}-label")
         dropped(got)
         got = after
         if got.where("moved").limit(1).count() == 0:
@@ -327,7 +370,7 @@ def components(links: DataFrame, tag: str) -> DataFrame:
 
 def homes(entries: DataFrame) -> DataFrame:
     """(grp, home): the most central group that shares a gram with it, its own included."""
-    weight = entries.groupBy("grp").agg(F.sum("k").alias("c"))
+    weight = entries.groupBy("grp").agg(F.sum(F.col("k") * F.col("times")).alias("c"))
     hub = entries.join(weight, "grp").groupBy("gram").agg(F.max(F.struct("c", "grp")).alias("hub"))
     return entries.join(hub, "gram").groupBy("grp").agg(F.max("hub")["grp"].alias("home"))
 
@@ -368,7 +411,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     size = known.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     bits = max(3, min(14, (size // 8 // RANGE_GRAMS).bit_length()))
     classes = stored(known.groupBy("class").agg(F.min("id").alias("least"), F.min("grp").alias("grp"), F.min("n").alias("n")), "near-classes")
-    crowd = classes.groupBy("grp").agg(F.count("class").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.col("grp").alias("gram"), "grp", "n", "k")
+    crowd = classes.groupBy("grp").agg(F.count("class").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.col("grp").alias("gram"), "grp", "n", "k", F.lit(1).cast("long").alias("times"))
     entries = stored(shared_grams(known.select("grp", "n", "prefix"), bits, num, den, order).unionByName(crowd), "near-index")
     own = stored(prefix.drop("grp", "prefix"), "near-rows")
     dropped(prefix)
@@ -389,8 +432,13 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     )
     open_ = spans.where("lo != hi and `from` != `to`").groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))
     now = stored(entries.select("gram", "grp").join(open_.select("gram"), "gram").join(member, "grp").select("gram", "class", "n", "least", "part", "done"), "near-open")
-    again = stored(cell_links(stored(block_cells(now), "near-blocks"), rows, n, num, den), "near-links")
-    label = components(links.union(again), "near")
+    if now.limit(1).count():
+        again = stored(cell_links(stored(block_cells(now), "near-blocks"), rows, n, num, den), "near-links")
+        part_of = member.select("class", "part")
+        joins = again.join(part_of.select(F.col("class").alias("a"), F.col("part").alias("pa")), "a").join(part_of.select(F.col("class").alias("b"), F.col("part").alias("pb")), "b")
+        joined = components(joins.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "near")
+        parts = joined.select(F.col("node").alias("part"), F.col("root").alias("whole"))
+        label = member.join(parts, "part", "left").select(F.col("class").alias("node"), F.coalesce("whole", "part").alias("root"))
     reach = classes.join(label, classes["class"] == label["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = reach.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(reach.join(least, "root").select("class", "component_id", F.col("least").alias("class_id")), "near-named")
