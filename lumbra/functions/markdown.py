@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Structures that must be equally many: headings, fences, list items.
-COUNTED = {"heading": r"(?m)^ {0,3}#{1,6} ", "fence": r"(?m)^ {0,3}```", "list": r"(?m)^ *(?:[-*+]|\d+\.) "}
-#: Pieces of the source that must occur as often in the translation.
-KEPT = {"code": r"`[^`\n]+`", "url": r"https?://[^\s)>\]]+", "placeholder": r"\{[A-Za-z0-9_]+\}"}
+#: Structures that must be equally many.
+COUNTED = {"headings": r"(?md)^#{1,6}\s", "fence_markers": r"(?md)^[ \t]{0,3}(?:`{3,}|~{3,})", "list_markers": r"(?md)^\s*(?:[-*+]|\d+\.)\s"}
+#: Pieces of the source that must occur in the translation as often as they are found in the source.
+KEPT = {"fenced_code": r"```[\s\S]*?```", "inline_code": r"`[^`\r\n]+`", "urls": r"https?://[^\s)]+", "placeholders": r"\{\{?[^{}\r\n]+\}?\}"}
 
 
 def _times(text: Column, piece: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, piece, F.lit("")))) / F.length(piece)
 
 
+def _changed(found: Column, translated: Column) -> Column:
+    """Does one of the ``found`` pieces stand in the translation more or less often than it was found."""
+    return F.exists(F.array_distinct(found), lambda p: F.size(F.filter(found, lambda q: q == p)) != _times(translated, p))
+
+
 def markdown_check(source: Column, translated: Column) -> Column:
     """The first failing check: a counted structure, then a kept piece; else ok."""
     out = None
@@ -22,6 +27,5 @@ def markdown_check(source: Column, translated: Column) -> Column:
         bad = F.regexp_count(source, F.lit(pattern)) != F.regexp_count(translated, F.lit(pattern))
         out = F.when(bad, name) if out is None else out.when(bad, name)
     for name, pattern in KEPT.items():
-        pieces = F.array_distinct(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)))
-        out = out.when(F.exists(pieces, lambda p: _times(source, p) != _times(translated, p)), name)
+        out = out.when(_changed(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), translated), name)
     return out.otherwise("ok")

@@ -37,7 +37,7 @@ def slashes(path: Column) -> Column:
 
 def collapse(text: Column, most: int) -> Column:
     """Trimmed non-empty lines joined with blanks, cut at ``most`` characters."""
-    lines = F.filter(F.transform(split_lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(split_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.left(F.array_join(lines, " "), F.lit(most))
 
 
@@ -81,10 +81,6 @@ def token_bounds(characters: Column) -> Column:
     return F.struct(*[F.ceil(characters / d).cast("long").alias(n) for n, d in (("point", 4), ("lower", 6), ("upper", 3))])
 
 
-def size_bucket(characters: Column) -> Column:
-    return F.when(characters == 0, "empty").when(characters <= 4096, "small").when(characters <= 16384, "medium").otherwise("large")
-
-
 def context_tier(characters: Column) -> Column:
     out = None
     for most, context in CONTEXT_TIERS:
@@ -92,10 +88,11 @@ def context_tier(characters: Column) -> Column:
     return out.otherwise(LARGEST_CONTEXT)
 
 
-def clamp_head_tail(text: Column, most: int, marker: str) -> Column:
-    """Texts over ``most`` characters keep the first sixth and the last five sixths of it around a marker."""
-    head = most // 6
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(head)), F.lit(marker), F.right(text, F.lit(most - head)))).otherwise(text)
+def clamp_head_tail(text: Column, most: int = 720_000) -> Column:
+    """Texts over ``most`` characters keep the first sixth and the last five sixths of it, and say how many are left out between."""
+    head, n = most // 6, F.length(text)
+    told = F.concat(F.lit("\n\n[... "), (n - most).cast("string"), F.lit(" characters omitted from the middle ...]\n\n"))
+    return F.when(n > most, F.concat(F.left(text, F.lit(head)), told, F.right(text, F.lit(most - head)))).otherwise(text)
 
 
 def diagnostic_shape(message: Column) -> Column:

@@ -6,7 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+UNROLLED = 256  # dimensions up to which a product is one expression of generated code
+
+
 def dot(vector: Column, query: list[float]) -> Column:
+    if len(query) <= UNROLLED:
+        total = F.lit(0.0)
+        for k, x in enumerate(query):
+            total = total + F.get(vector, F.lit(k)).cast("double") * F.lit(float(x))
+        return total
     other = F.array(*[F.lit(float(x)) for x in query])
     return F.aggregate(F.zip_with(vector, other, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 

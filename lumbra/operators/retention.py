@@ -7,17 +7,7 @@ from pyspark.sql import functions as F
 
 from lumbra.functions.times import micros
 
-
-RANGES, SAMPLE = 256, 8192  # of the order by time and directory, and the keys that choose their bounds
-
-
-def _ranges(keys: DataFrame) -> DataFrame:
-    """Ranges (range, from_at, from_name, to_at, to_name) of keys (at, name) with about as many rows each; the bounds come from a fixed choice by hash."""
-    chosen = sorted((r["at"], r["name"].encode()) for r in keys.orderBy(F.xxhash64("at", "name"), "at", "name").limit(SAMPLE).collect())
-    bounds = sorted(set(chosen[:: max(1, len(chosen) // RANGES)][1:]))
-    bounds = [None, *[(at, name.decode()) for at, name in bounds], None]
-    rows = [(k, *(a or (None, None)), *(b or (None, None))) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-    return keys.sparkSession.createDataFrame(rows, "range int, from_at bigint, from_name string, to_at bigint, to_name string")
+from .ranges import ranged, with_sums_before
 
 
 def quarantine_plan(entries: DataFrame, now: str, grace_days: int, retention_days: int, limit: int, budget: int) -> DataFrame:
@@ -30,15 +20,9 @@ def quarantine_plan(entries: DataFrame, now: str, grace_days: int, retention_day
     got = entries.withColumn("free", age >= grace_days * day).withColumn("aged", age >= retention_days * day)
     totals = got.agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"), F.count_if(F.col("aged") & F.col("free")).alias("n_aged"), F.sum(F.when(F.col("aged") & F.col("free"), F.col("bytes")).otherwise(0)).alias("aged_bytes"))
     rest = got.where(F.col("free") & ~F.col("aged")).select("directory", "quarantined_at", "bytes", micros("quarantined_at").alias("at"), F.coalesce("directory", F.lit("")).alias("name"))
-    after = F.col("from_at").isNull() | (F.col("at") > F.col("from_at")) | ((F.col("at") == F.col("from_at")) & (F.col("name") >= F.col("from_name")))
-    until = F.col("to_at").isNull() | (F.col("at") < F.col("to_at")) | ((F.col("at") == F.col("to_at")) & (F.col("name") < F.col("to_name")))
-    rest = rest.join(F.broadcast(_ranges(rest.select("at", "name"))), after & until).select("range", "directory", "quarantined_at", "bytes")
-    # Sums before each range: RANGES rows and a few, whatever the input.
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rest.groupBy("range").agg(F.count("*").alias("rows"), F.sum("bytes").alias("sum"))
-    sums = sums.select(F.col("range"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("bytes_before"))
+    rest = with_sums_before(ranged(rest), rows_before=F.count("*"), bytes_before=F.sum("bytes"))
     old = Window.partitionBy("range").orderBy("quarantined_at", "directory")
-    rest = rest.join(F.broadcast(sums), "range").crossJoin(F.broadcast(totals))  # one row
+    rest = rest.crossJoin(F.broadcast(totals))  # one row
     over = F.col("rows_before") + F.row_number().over(old) <= F.col("n") - F.col("n_aged") - limit
     before = F.col("bytes_before") + F.coalesce(F.sum("bytes").over(old.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # those over the number are the oldest
     rest = rest.withColumn("over", over).withColumn("left_bytes", F.col("all_bytes") - F.col("aged_bytes") - before)

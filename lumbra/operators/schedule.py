@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumbra.functions.times import micros
 
+from .ranges import ranged, sortable, with_sums_before
+
 
 def schedule(candidates: DataFrame, now: str, resident: str | None, starved_minutes: int = 15) -> DataFrame:
     """The order in which the chosen model's ready jobs run.
@@ -21,8 +23,10 @@ def schedule(candidates: DataFrame, now: str, resident: str | None, starved_minu
     groups = ready.groupBy("model").agg(F.min("predicted_us").alias("p"), F.min("created_at").alias("c"), F.min("priority").alias("r"), F.min("sequence").alias("s"))
     groups = groups.orderBy(F.desc(F.col("model").eqNullSafe(F.lit(resident))), "p", "c", "r", "s").limit(1).select("model", F.lit(1).alias("stage"))
     chosen = starved.unionByName(groups).orderBy("stage").limit(1).select("model")
-    order = Window.orderBy("predicted_us", "created_at", "priority", "sequence")
-    return ready.join(F.broadcast(chosen), "model", "left_semi").select("job_id", "model", F.row_number().over(order).alias("place"))
+    own = ready.join(F.broadcast(chosen), "model", "left_semi").withColumn("at", F.col("predicted_us").cast("long")).withColumn("name", sortable(micros("created_at"), F.col("priority"), F.col("sequence")))
+    own = with_sums_before(ranged(own), before=F.count("*"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("at", "name"))
+    return own.select("job_id", "model", place.cast("int").alias("place"))
 
 
 def first_enqueued(requests: DataFrame, key: str) -> DataFrame:

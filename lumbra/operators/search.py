@@ -37,39 +37,64 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.copysign(whole + (scaled - whole >= 0.5), x) / 1e6
 
 
-def best_of_each(queries: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """(query, ordinal, score, rank) of the ``most`` best rows (ordinal, vector) for each of ``queries`` (query, vector), by dot product to six places; ties by ordinal.
+def _scored_in_blocks(queries: DataFrame, rows: DataFrame, keep) -> DataFrame:
+    """(query, ordinal, score) of what ``keep`` leaves of a task's scores so far, for rows (ordinal, vector) and queries (query, vector), by dot product to six places.
 
-    Query vectors are broadcast in blocks and scored against all rows inside tasks; only the ``most`` best of each task for each query are rows.
+    Query vectors are broadcast in blocks and scored against all rows inside tasks. ``keep(ids, ordinals, scores, held)`` gets the scores of some rows and what it
+    held before; it returns (what is held on, finished columns or None).
     """
     context, found = rows.sparkSession.sparkContext, None
+    schema = "query bigint, ordinal bigint, score double"
     for ids, vectors in _blocks(queries):
-        shared = context.broadcast((ids, vectors))
+        shared = context.broadcast((np.array(ids, np.int64), vectors))
 
         def run(batches, shared=shared):
             ids, vectors = shared.value
-            score, ordinal = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_STEP):
-                    part = batch.slice(at, ROW_STEP)
-                    own = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    dots = np.zeros((len(ids), len(own)))
-                    for k in range(own.shape[1]):  # in the order in which a plain sum adds
-                        dots += vectors[:, k, None] * own[None, :, k]
-                    new = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), dots.shape)
-                    score, ordinal = np.hstack([score, _rounded(dots)]), np.hstack([ordinal, new])
-                    by = np.lexsort((ordinal, -score))[:, :most]
-                    score, ordinal = np.take_along_axis(score, by, 1), np.take_along_axis(ordinal, by, 1)
-            if score.size:
-                of = np.repeat(np.array(ids, np.int64), score.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ordinal.ravel()), pa.array(score.ravel())], names=["query", "ordinal", "score"])
-
-        scored = rows.select("ordinal", "vector").mapInArrow(run, "query bigint, ordinal bigint, score double")
+            held = None
+            for batch in [*batches, None]:
+                for at in range(0, batch.num_rows if batch else 1, ROW_STEP):
+                    if batch is None:
+                        held, done = keep(ids, None, None, held)
+                    else:
+                        part = batch.slice(at, ROW_STEP)
+                        own = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                        dots = np.zeros((len(ids), len(own)))
+                        for k in range(own.shape[1]):  # in the order in which a plain sum adds
+                            dots += vectors[:, k, None] * own[None, :, k]
+                        held, done = keep(ids, part.column(0).to_numpy(zero_copy_only=False), _rounded(dots), held)
+                    if done is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], names=["query", "ordinal", "score"])
+
+        scored = rows.select("ordinal", "vector").mapInArrow(run, schema)
         found = scored if found is None else found.unionByName(scored)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query bigint, ordinal bigint, score double")
+    return rows.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def best_of_each(queries: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(query, ordinal, score, rank) of the ``most`` best rows for each query; ties by ordinal. Only the ``most`` best of each task for each query are rows."""
+
+    def keep(ids, ordinals, scores, held):
+        if ordinals is None:
+            return None, held and (np.repeat(ids, held[0].shape[1]), held[1].ravel(), held[0].ravel())
+        new = np.broadcast_to(ordinals, scores.shape)
+        score, ordinal = (scores, new) if held is None else (np.hstack([held[0], scores]), np.hstack([held[1], new]))
+        by = np.lexsort((ordinal, -score))[:, :most]
+        return (np.take_along_axis(score, by, 1), np.take_along_axis(ordinal, by, 1)), None
+
     order = Window.partitionBy("query").orderBy(F.desc("score"), "ordinal")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return _scored_in_blocks(queries, rows, keep).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def above(queries: DataFrame, rows: DataFrame, floor: float) -> DataFrame:
+    """(query, ordinal, score) of all rows that reach ``floor`` for a query."""
+
+    def keep(ids, ordinals, scores, held):
+        if ordinals is None:
+            return None, None
+        q, r = np.nonzero(scores >= floor)
+        return None, (ids[q], ordinals[r], scores[q, r])
+
+    return _scored_in_blocks(queries, rows, keep)
 
 
 def hybrid(scored: DataFrame, floor: float | None = None) -> DataFrame:

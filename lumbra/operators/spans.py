@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STRETCH = 64
+
+
+def meeting(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``spans`` twice: as s in the stretch of their first line, as p in all their stretches. A span that holds another is in the stretch of that one's first line."""
+    of = lambda line: F.floor(F.col(line) / STRETCH).cast("int")
+    every = F.when(F.col("last") >= F.col("first"), F.sequence(of("first"), of("last"))).otherwise(F.array(of("first")))
+    return spans.withColumn("stretch", of("first")).alias("s"), spans.withColumn("stretch", F.explode(every)).alias("p")
+
+
 def parents(spans: DataFrame) -> DataFrame:
     """spans (doc, id, first, last) with ``parent``: the id of the containing span that begins last, the shortest of these; null at the top.
 
-    Of spans with equal lines the smallest id counts as the outer one. The join is on the document, so one file's spans meet in one task.
+    Of spans with equal lines the smallest id counts as the outer one. Spans meet where they share a stretch of ``STRETCH`` lines, so a file with many of them is split.
     """
-    s, p = spans.alias("s"), spans.alias("p")
+    s, p = meeting(spans)
     same = (F.col("p.first") == F.col("s.first")) & (F.col("p.last") == F.col("s.last"))
     holds = (F.col("p.first") <= F.col("s.first")) & (F.col("p.last") >= F.col("s.last")) & (~same | (F.col("p.id") < F.col("s.id")))
-    held = s.join(p, (F.col("s.doc") == F.col("p.doc")) & holds).groupBy(F.col("s.doc").alias("doc"), F.col("s.id").alias("id")).agg(
+    held = s.join(p, (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds).groupBy(F.col("s.doc").alias("doc"), F.col("s.id").alias("id")).agg(
         F.max_by("p.id", F.struct("p.first", -F.col("p.last"), "p.id")).alias("parent")
     )
     return spans.join(held, ["doc", "id"], "left").select("doc", "id", "first", "last", "parent")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lumbra.functions.times import micros
 
+from .ranges import bucketed
+
 SAMPLES = 101
+BUCKET_SECONDS = 86_400  # of a piece of a key's history
 
 
 def summary(jobs: DataFrame) -> DataFrame:
@@ -38,19 +41,34 @@ def predicted(jobs: DataFrame, keys: list[str]) -> DataFrame:
     return recent.groupBy(*keys).agg(F.count("*").alias("samples"), F.expr("percentile(execution_us, 0.5)").alias("median_us"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY execution_us)").cast("long").alias("p90_us"))
 
 
-def circuit_opens(jobs: DataFrame, key: str, consecutive: int = 2) -> DataFrame:
-    """For each key the first job that is the n-th technical failure in a row."""
-    order = Window.partitionBy(key).orderBy("recorded_at", "job_id")
-    bad = F.col("outcome") == "technical_failure"
-    run = jobs.withColumn("_run", F.sum(F.when(~bad, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(bad)
-    nth = Window.partitionBy(key, "_run").orderBy("recorded_at", "job_id")
-    run = run.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") == consecutive)
-    return run.groupBy(key).agg(F.min(F.struct("recorded_at", "job_id")).alias("_f")).select(key, F.col("_f.job_id").alias("job_id"))
-
-
-def silences(beats: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Gaps of more than ``seconds`` between one beat of a key and the next."""
-    order = Window.partitionBy(key).orderBy("recorded_at", "job_id")
-    got = beats.withColumn("_next", F.lead("recorded_at").over(order))
+def circuit_opens(jobs: DataFrame, key: str, consecutive: int = 2, seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """For each key the first job that is the n-th technical failure in a row.
+
+    A key's history is cut by time. A piece hands on the failures at its end, or all it has and what it was handed if it holds nothing else; only these edges
+    pass through one window per key.
+    """
+    own = bucketed(jobs, "recorded_at", seconds).withColumn("_bad", F.col("outcome").eqNullSafe("technical_failure"))
+    order = Window.partitionBy(key, "bucket").orderBy("recorded_at", "job_id")
+    own = own.withColumn("_run", F.sum(F.when(~F.col("_bad"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = own.groupBy(key, "bucket", "_run").agg(F.count_if("_bad").alias("_n"))
+    edges = runs.groupBy(key, "bucket").agg(F.max_by("_n", "_run").alias("_end"), F.max("_run").alias("_good"))
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # The failures handed on: the end of the last piece with a success, and all pieces after it.
+    whole = F.sum(F.when(F.col("_good") == 0, F.col("_end")).otherwise(0)).over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    edges = edges.withColumn("_whole", whole)
+    last = F.last(F.when(F.col("_good") > 0, F.col("_end") - F.col("_whole")), ignorenulls=True).over(before)
+    edges = edges.withColumn("_carried", F.coalesce(F.last("_whole").over(before), F.lit(0)) + F.coalesce(last, F.lit(0))).select(key, "bucket", "_carried")
+    nth = F.row_number().over(Window.partitionBy(key, "bucket", "_run").orderBy("recorded_at", "job_id")) + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
+    hits = own.where("_bad").join(edges, [key, "bucket"]).withColumn("_nth", nth).where(F.col("_nth") == consecutive)
+    return hits.groupBy(key).agg(F.min(F.struct("recorded_at", "job_id")).alias("_f")).select(key, F.col("_f.job_id").alias("job_id"))
+
+
+def silences(beats: DataFrame, key: str, seconds: int, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Gaps of more than ``seconds`` between one beat of a key and the next. A key's history is cut by time; the last beat of a piece looks for the first of the next one."""
+    own = bucketed(beats, "recorded_at", bucket_seconds)
+    first = own.groupBy(key, "bucket").agg(F.min("recorded_at").alias("_first"))
+    first = first.select(key, "bucket", F.lead("_first").over(Window.partitionBy(key).orderBy("bucket")).alias("_later"))
+    following = F.lead("recorded_at").over(Window.partitionBy(key, "bucket").orderBy("recorded_at", "job_id"))
+    got = own.withColumn("_next", following).join(first, [key, "bucket"]).withColumn("_next", F.coalesce("_next", "_later"))
     gap = micros("_next") - micros("recorded_at")
     return got.where(gap > seconds * 1_000_000).select(key, "job_id", gap.alias("gap_us"))

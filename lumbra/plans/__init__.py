@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, jobs, retrieval
+from . import corpus, graphs, jobs, operations, retrieval, semantics
 
-MODULES = [retrieval, jobs, graphs]
+MODULES = [retrieval, jobs, graphs, corpus, semantics, operations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

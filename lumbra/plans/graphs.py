@@ -39,7 +39,7 @@ def uncovered_lines(spark, sf_dir):
 def model_routing(spark, sf_dir):
     """Orders as jobs, suppliers as models, customers' nations as profiles."""
     o = table(spark, sf_dir, "orders")
-    jobs = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 25).cast("int").alias("profile"), (F.col("o_orderkey") % 900).alias("context"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") % 20).alias("override"))
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 25).cast("int").alias("profile"), (F.col("o_orderkey") % 900).alias("context"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") % 29 + 1).alias("override"))
     s = table(spark, sf_dir, "supplier")
     kind = F.when(F.col("s_suppkey") % 11 == 0, "experiment").when(F.col("s_suppkey") % 2 == 0, "candidate").otherwise("fallback")
     catalogue = s.select(F.col("s_nationkey").alias("profile"), F.col("s_suppkey").alias("model"), F.col("s_suppkey").alias("place"), kind.alias("kind"))
@@ -51,7 +51,11 @@ def markdown_validation(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
     b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translated"))
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", markdown.markdown_check(F.col("source"), F.col("translated")).alias("result"))
+    head, rest = F.lit("# H\n"), F.concat(F.lit("\n"), "source")
+    kept = F.when(F.col("conv_id") % 3 == 0, "`a b` {{ x y }} {z}").when(F.col("conv_id") % 3 == 1, "`a b` {{ x y }}").otherwise("{z} {{ x y }}")
+    own = F.col("turn") % 5 == 0  # some pairs with structures, kept or not
+    p = a.join(b, ["conv_id", "turn"]).withColumn("translated", F.when(own, F.concat(head, kept, rest)).otherwise(F.col("translated"))).withColumn("source", F.when(own, F.concat(head, F.lit("`a b` {{ x y }} {z}"), rest)).otherwise(F.col("source")))
+    return p.select("conv_id", "turn", markdown.markdown_check(F.col("source"), F.col("translated")).alias("result"))
 
 
 def archive_plan(spark, sf_dir):
@@ -78,6 +82,15 @@ QUERIES = {f.__name__: f for f in (retrieval_metrics, span_parents, uncovered_li
 
 _SPANS = "s AS (SELECT DISTINCT l_orderkey AS doc, f * 1000 + l AS id, f AS first, l AS last FROM (SELECT *, f + trunc(l_quantity)::INT % 25 AS l FROM (SELECT *, (l_suppkey % 40 + 1)::INT AS f FROM lineitem)))"
 
+_PAIRS = r"p AS (SELECT a.conv_id, a.turn, {x} AS x, {y} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1 WHERE a.role = 'user' AND b.role = 'assistant')"
+_COUNTED = (("headings", r"(?m)^#{1,6}\s"), ("fence_markers", r"(?m)^[ \t]{0,3}(?:`{3,}|~{3,})"), ("list_markers", r"(?m)^\s*(?:[-*+]|\d+\.)\s"))
+_KEPT = (("fenced_code", r"```[\s\S]*?```"), ("inline_code", r"`[^`\r\n]+`"), ("urls", r"https?://[^\s)]+"), ("placeholders", r"\{\{?[^{}\r\n]+\}?\}"))
+_MARKDOWN = (
+    "WITH " + _PAIRS.format(x="CASE a.turn % 5 WHEN 0 THEN '# H' || chr(10) || '`a b` {{ x y }} {z}' || chr(10) || a.text ELSE a.text END", y="CASE a.turn % 5 WHEN 0 THEN '# H' || chr(10) || CASE WHEN a.conv_id % 3 = 0 THEN '`a b` {{ x y }} {z}' WHEN a.conv_id % 3 = 1 THEN '`a b` {{ x y }}' ELSE '{z} {{ x y }}' END || chr(10) || a.text ELSE b.text END")
+    + " SELECT conv_id, turn, CASE " + " ".join(f"WHEN len(regexp_extract_all(x, '{p}')) != len(regexp_extract_all(y, '{p}')) THEN '{n}'" for n, p in _COUNTED) + " "
+    + " ".join(f"WHEN len([t for t in list_distinct(regexp_extract_all(x, '{p}')) if len([u for u in regexp_extract_all(x, '{p}') if u = t]) != (length(y) - length(replace(y, t, ''))) / length(t)]) > 0 THEN '{n}'" for n, p in _KEPT) + " ELSE 'ok' END AS result FROM p"
+)
+
 ORACLES = {
     "retrieval_metrics": """
         WITH m AS (SELECT o_orderkey AS id, min(l_linenumber) AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_partkey % 9 = o_custkey % 9 AND (o_custkey % 2 != 0 OR l_suppkey % 2 = 0) WHERE l_linenumber <= 10 GROUP BY 1),
@@ -90,18 +103,12 @@ ORACLES = {
         WITH {_SPANS}, l AS (SELECT o_orderkey AS doc, unnest(range(1, 61))::INT AS line FROM orders), f AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc = l.doc AND line BETWEEN first AND last)),
         g AS (SELECT *, line - row_number() OVER (PARTITION BY doc ORDER BY line) AS island FROM f) SELECT doc, min(line) AS first, max(line) AS last FROM g GROUP BY doc, island""",
     "model_routing": """
-        WITH j AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS profile, o_orderkey % 900 AS context, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 20 END AS override FROM orders),
-        f AS (SELECT job_id, s_suppkey AS model, CASE WHEN s_suppkey = override THEN 0 WHEN s_suppkey % 11 = 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END AS stage FROM j JOIN supplier ON s_nationkey = profile
-              WHERE s_suppkey % 5 != 0 AND s_suppkey % 13 != 0 AND context <= (s_suppkey % 7 + 1) * 128),
+        WITH j AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS profile, o_orderkey % 900 AS context, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 29 + 1 END AS override FROM orders),
+        f AS (SELECT job_id, s_suppkey AS model, CASE WHEN override IS NOT NULL THEN 0 WHEN s_suppkey % 11 = 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END AS stage FROM j JOIN supplier ON s_nationkey = profile
+              WHERE s_suppkey % 5 != 0 AND s_suppkey % 13 != 0 AND context <= (s_suppkey % 7 + 1) * 128 AND (override IS NULL OR s_suppkey = override)),
         b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY stage, CASE WHEN stage = 2 AND model % 3 = 0 THEN 0 ELSE 1 END, model) = 1)
-        SELECT j.job_id, model, stage FROM j LEFT JOIN b ON j.job_id = b.job_id""",
-    "markdown_validation": r"""
-        WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1 WHERE a.role = 'user' AND b.role = 'assistant'),
-        k AS (SELECT conv_id, turn, x, y, list_distinct(regexp_extract_all(x, '`[^`\n]+`')) AS code, list_distinct(regexp_extract_all(x, 'https?://[^\s)>\]]+')) AS url, list_distinct(regexp_extract_all(x, '\{[A-Za-z0-9_]+\}')) AS hole FROM p)
-        SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(x, '(?m)^ {0,3}#{1,6} ')) != len(regexp_extract_all(y, '(?m)^ {0,3}#{1,6} ')) THEN 'heading' WHEN len(regexp_extract_all(x, '(?m)^ {0,3}```')) != len(regexp_extract_all(y, '(?m)^ {0,3}```')) THEN 'fence'
-               WHEN len(regexp_extract_all(x, '(?m)^ *(?:[-*+]|\d+\.) ')) != len(regexp_extract_all(y, '(?m)^ *(?:[-*+]|\d+\.) ')) THEN 'list'
-               WHEN len(list_filter(code, lambda t: length(x) - length(replace(x, t, '')) != length(y) - length(replace(y, t, '')))) > 0 THEN 'code' WHEN len(list_filter(url, lambda t: length(x) - length(replace(x, t, '')) != length(y) - length(replace(y, t, '')))) > 0 THEN 'url'
-               WHEN len(list_filter(hole, lambda t: length(x) - length(replace(x, t, '')) != length(y) - length(replace(y, t, '')))) > 0 THEN 'placeholder' ELSE 'ok' END AS result FROM k""",
+        SELECT j.job_id, model, stage, CASE WHEN model IS NULL THEN CASE WHEN override IS NOT NULL THEN 'invalid_override' ELSE 'unavailable' END END AS problem FROM j LEFT JOIN b ON j.job_id = b.job_id""",
+    "markdown_validation": _MARKDOWN,
     "archive_plan": """
         WITH e AS (SELECT o_orderkey::VARCHAR AS directory, o_orderdate AS since, CASE WHEN o_orderkey % 4 != 0 THEN trunc(o_totalprice)::BIGINT END AS bytes, (epoch_us(TIMESTAMP '1998-08-02') - epoch_us(o_orderdate)) / 86400000000.0 AS days FROM orders),
         r AS (SELECT *, row_number() OVER (ORDER BY since, directory) AS nth FROM e),

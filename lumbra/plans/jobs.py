@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumbra.functions import text as T
 from lumbra.functions.times import micros
-from lumbra.operators import retention, schedule, snapshot, telemetry
+from lumbra.operators import retention, schedule, telemetry
 
 from .retrieval import table
 
@@ -63,14 +63,23 @@ def watchdog_islands(spark, sf_dir):
 
 
 def retained_telemetry(spark, sf_dir):
-    age = micros(F.lit(NOW)) - micros("recorded_at")
-    return jobs(spark, sf_dir).where(age <= 14 * 86_400_000_000).select("job_id")
+    age = micros(F.lit("2024-02-12 12:00:00")) - micros("recorded_at")
+    return jobs(spark, sf_dir).where(age <= 30 * 86_400_000_000).select("job_id")
 
 
-def schedule_order(spark, sf_dir):
+def _queued(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
     got = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("sequence"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("m"), (F.col("o_custkey") % 7).cast("string")).alias("model"), (F.col("o_totalprice") * 100).cast("long").alias("predicted_us"), (F.col("o_orderkey") % 4 != 0).alias("dependency_ready"), (F.col("o_orderkey") % 5 == 0).alias("maintenance"))
-    return schedule.schedule(got, "1990-01-01 00:00:00", "m3")
+    return got
+
+
+def schedule_order(spark, sf_dir):
+    return schedule.schedule(_queued(spark, sf_dir), "1990-01-01 00:00:00", "m3")
+
+
+def schedule_starved(spark, sf_dir):
+    """All jobs have waited too long: the oldest one's model comes first, whatever is resident."""
+    return schedule.schedule(_queued(spark, sf_dir), "1999-01-01 00:00:00", "m3")
 
 
 def queue_dedup(spark, sf_dir):
@@ -79,17 +88,10 @@ def queue_dedup(spark, sf_dir):
     return schedule.first_enqueued(o.select(F.col("o_orderkey").alias("sequence"), F.col("o_custkey").alias("key"), state.alias("state")), "key")
 
 
-def _quarantined(orders):
-    got = orders.select(F.col("o_orderkey").cast("string").alias("directory"), F.col("o_orderdate").alias("quarantined_at"), F.col("o_totalprice").cast("long").alias("bytes"))
-    return retention.quarantine_plan(got, "1998-08-02 00:00:00", 100, 2000, 100, 3_000_000)
-
-
 def quarantine_plan(spark, sf_dir):
-    return _quarantined(table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0"))
-
-
-def quarantine_plan_all(spark, sf_dir):
-    return _quarantined(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
+    got = o.select(F.col("o_orderkey").cast("string").alias("directory"), F.col("o_orderdate").alias("quarantined_at"), F.col("o_totalprice").cast("long").alias("bytes"))
+    return retention.quarantine_plan(got, "1998-08-02 00:00:00", 100, 2000, 100, 3_000_000)
 
 
 def newest_generations(spark, sf_dir):
@@ -117,12 +119,7 @@ def diagnostic_digest(spark, sf_dir):
     return got
 
 
-def semantic_generation(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", snapshot.generation_id([F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")], F.col("o_custkey") % 3).alias("generation_id"))
-
-
-QUERIES = {f.__name__: f for f in (telemetry_summary, telemetry_by_model, telemetry_by_profile, outcome_histogram, failure_outliers, duration_prediction, circuit_breaker, watchdog_islands, retained_telemetry, schedule_order, queue_dedup, quarantine_plan, quarantine_plan_all, newest_generations, plain_translation_check, shared_budget, diagnostic_digest, semantic_generation)}
+QUERIES = {f.__name__: f for f in (telemetry_summary, telemetry_by_model, telemetry_by_profile, outcome_histogram, failure_outliers, duration_prediction, circuit_breaker, watchdog_islands, retained_telemetry, schedule_order, schedule_starved, queue_dedup, quarantine_plan, newest_generations, plain_translation_check, shared_budget, diagnostic_digest)}
 
 _BREAKDOWN = "WITH {jobs} SELECT {key}, count(*) AS jobs, count_if(outcome = 'succeeded') AS succeeded, count_if(was_cold) AS cold, quantile_disc(execution_us, 0.5) AS median_us, quantile_disc(execution_us, 0.9) AS p90_us, max(execution_us) AS longest_us, sum(net_tokens)::BIGINT AS net_tokens FROM j GROUP BY {key}"
 ORACLES = {
@@ -135,19 +132,15 @@ ORACLES = {
     "circuit_breaker": f"""WITH {_JOBS}, l AS (SELECT *, lag(outcome) OVER w AS before, lag(outcome, 2) OVER w AS earlier FROM j WINDOW w AS (PARTITION BY profile ORDER BY recorded_at, job_id))
         SELECT profile, arg_min(job_id, (recorded_at, job_id)) AS job_id FROM l WHERE outcome = 'technical_failure' AND before = 'technical_failure' AND earlier IS DISTINCT FROM 'technical_failure' GROUP BY 1""",
     "watchdog_islands": f"WITH {_JOBS}, n AS (SELECT user_id, job_id, epoch_us(lead(recorded_at) OVER (PARTITION BY user_id ORDER BY recorded_at, job_id)) - epoch_us(recorded_at) AS gap_us FROM j) SELECT * FROM n WHERE gap_us > 600000000",
-    "retained_telemetry": f"WITH {_JOBS} SELECT job_id FROM j WHERE epoch_us(TIMESTAMP '{NOW}') - epoch_us(recorded_at) <= 14 * 86400000000",
+    "retained_telemetry": f"WITH {_JOBS} SELECT job_id FROM j WHERE epoch_us(TIMESTAMP '2024-02-12 12:00:00') - epoch_us(recorded_at) <= 30 * 86400000000",
     "schedule_order": """
         WITH c AS (SELECT o_orderkey AS job_id, o_orderdate AS created_at, left(o_orderpriority, 1)::INT AS priority, 'm' || (o_custkey % 7) AS model, trunc(o_totalprice * 100)::BIGINT AS predicted_us FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 != 0 AND o_orderkey % 5 != 0)
         SELECT job_id, model, row_number() OVER (ORDER BY predicted_us, created_at, priority, job_id)::INT AS place FROM c WHERE model = 'm3'""",
+    "schedule_starved": """
+        WITH c AS (SELECT o_orderkey AS job_id, o_orderdate AS created_at, left(o_orderpriority, 1)::INT AS priority, 'm' || (o_custkey % 7) AS model, trunc(o_totalprice * 100)::BIGINT AS predicted_us FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 != 0 AND o_orderkey % 5 != 0)
+        SELECT job_id, model, row_number() OVER (ORDER BY predicted_us, created_at, priority, job_id)::INT AS place FROM c WHERE model = (SELECT model FROM c ORDER BY created_at, priority, job_id LIMIT 1)""",
     "queue_dedup": "WITH f AS (SELECT o_custkey AS key, min(o_orderkey) AS first FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1) SELECT o_orderkey AS sequence, o_custkey AS key, CASE WHEN o_orderstatus IN ('O', 'P') THEN first ELSE o_orderkey END AS job_sequence FROM orders LEFT JOIN f ON o_custkey = key",
     "quarantine_plan": """
-        WITH e AS (SELECT o_orderkey::VARCHAR AS directory, o_orderdate AS since, trunc(o_totalprice)::BIGINT AS bytes, epoch_us(TIMESTAMP '1998-08-02') - epoch_us(o_orderdate) AS age FROM orders WHERE o_orderkey % 11 = 0),
-        a AS (SELECT *, age >= 100 * 86400000000 AS free, age >= 2000 * 86400000000 AS aged FROM e),
-        r AS (SELECT *, row_number() OVER (ORDER BY since, directory) AS nth FROM a WHERE free AND NOT aged),
-        o AS (SELECT *, nth <= (SELECT count(*) FROM a) - (SELECT count(*) FROM a WHERE free AND aged) - 100 AS over FROM r),
-        k AS (SELECT *, (SELECT sum(bytes) FROM a) - coalesce((SELECT sum(bytes) FROM a WHERE free AND aged), 0) - coalesce((SELECT sum(bytes) FROM o WHERE over), 0) - coalesce(sum(bytes) OVER (ORDER BY since, directory ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM o WHERE NOT over)
-        SELECT directory, 'age' AS reason FROM a WHERE free AND aged UNION ALL SELECT directory, 'count' FROM o WHERE over UNION ALL SELECT directory, 'bytes' FROM k WHERE held > 3000000""",
-    "quarantine_plan_all": """
         WITH e AS (SELECT o_orderkey::VARCHAR AS directory, o_orderdate AS since, trunc(o_totalprice)::BIGINT AS bytes, epoch_us(TIMESTAMP '1998-08-02') - epoch_us(o_orderdate) AS age FROM orders),
         a AS (SELECT *, age >= 100 * 86400000000 AS free, age >= 2000 * 86400000000 AS aged FROM e),
         r AS (SELECT *, row_number() OVER (ORDER BY since, directory) AS nth FROM a WHERE free AND NOT aged),
@@ -162,5 +155,4 @@ ORACLES = {
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1 WHERE a.role = 'user' AND b.role = 'assistant'""",
     "shared_budget": "SELECT conv_id, turn, greatest(0, least(length(text), 2000 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS kept_chars FROM conversations",
     "diagnostic_digest": "SELECT event_type AS kind, 'bad '''' in ' || event_type AS shape, arg_min('bad ''' || user_id || ''' in ' || event_type, event_id) AS first_message, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2",
-    "semantic_generation": "SELECT o_orderkey, sha256(o_orderkey || chr(10) || o_orderstatus || chr(10) || o_orderpriority || CASE WHEN o_custkey % 3 > 0 THEN chr(10) || (o_custkey % 3) ELSE '' END) AS generation_id FROM orders",
 }

@@ -11,6 +11,7 @@ from lumbra.operators import chunks, graph, search, snapshot
 
 TERMS = ["tion", "ering", "src1", "f3"]
 FLOOR, PER_FILE, K = 0.05, 3, 10
+HIGH_FLOOR = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,22 +30,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("ordinal", "path", vector.alias("vector"), T.lexical_score(TERMS, F.col("symbol"), F.col("signature"), F.col("body"), F.col("path")).alias("lexical"))
 
 
-def vector_topk(spark, sf_dir):
+def _asked_vectors(spark, sf_dir):
+    """The stated set of queries, every row whose id is divisible by 50, and all rows."""
     e = table(spark, sf_dir, "embeddings")
-    scored = e.select(F.col("vec_id").alias("ordinal"), F.round(dot(F.col("embedding"), query_vector(spark, sf_dir)), 6).alias("score"))
-    return search.best(scored, "score", 20, "rank")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"))
 
 
-def vector_topk_all(spark, sf_dir):
-    """The search for the stated set of queries: every row whose id is divisible by 50."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return search.best_of_each(queries, e.select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector")), 20)
+def vector_topk(spark, sf_dir):
+    return search.best_of_each(*_asked_vectors(spark, sf_dir), 20)
 
 
 def vector_floor(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.round(dot(F.col("embedding"), query_vector(spark, sf_dir)), 6).alias("score")).where(F.col("score") >= FLOOR)
+    return search.above(*_asked_vectors(spark, sf_dir), HIGH_FLOOR)
 
 
 def lexical_score(spark, sf_dir):
@@ -176,22 +173,17 @@ def occurrence_at(spark, sf_dir):
     return graph.at_position(occurrences(spark, sf_dir), points).select("point_id", "start_line", "end_line", "symbol")
 
 
-def merged_roles(spark, sf_dir):
-    return occurrences(spark, sf_dir).groupBy("doc", "symbol").agg(F.bit_or("roles").alias("roles"), F.count("*").alias("n"))
-
-
 _OCC = """
     o AS (SELECT l_orderkey AS doc, l_linenumber AS start_line, (l_linenumber + l_quantity::INT % 5 + 1)::INT AS end_line, l_partkey AS symbol,
           CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS roles FROM lineitem),
     s AS (SELECT p_partkey AS symbol FROM part WHERE p_size = 7)"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_all, vector_floor, lexical_score, rrf_hybrid, hybrid_capped, tokenize_terms, window_chunks, log_fragments, canonical_hash, collapsed_text, token_estimate, incremental_partition, deleted_paths, overlay_visible, build_plan, embedding_cache_join, goto_definition, find_references, find_implementations, occurrence_at, merged_roles)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_floor, lexical_score, rrf_hybrid, hybrid_capped, tokenize_terms, window_chunks, log_fragments, canonical_hash, collapsed_text, token_estimate, incremental_partition, deleted_paths, overlay_visible, build_plan, embedding_cache_join, goto_definition, find_references, find_implementations, occurrence_at)}
 
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 ORACLES = {
-    "vector_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS ordinal, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT ordinal, score, row_number() OVER (ORDER BY score DESC, ordinal)::INT AS rank FROM s QUALIFY rank <= 20",
-    "vector_topk_all": "WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS ordinal, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT query, ordinal, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal)::INT AS rank FROM s QUALIFY rank <= 20",
-    "vector_floor": f"WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT * FROM s WHERE score >= {FLOOR}",
+    "vector_topk": "WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS ordinal, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT query, ordinal, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal)::INT AS rank FROM s QUALIFY rank <= 20",
+    "vector_floor": f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS ordinal, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) SELECT * FROM s WHERE score >= {HIGH_FLOOR}",
     "lexical_score": f"WITH {_SCORED} SELECT ordinal, path, lexical::DOUBLE AS lexical FROM c WHERE lexical > 0",
     "rrf_hybrid": f"WITH {_FUSED} SELECT ordinal, position::INT AS position, round(rrf, 12) AS rrf FROM p",
     "hybrid_capped": f"""WITH {_FUSED}, n AS (SELECT ordinal, path, position, vector, lexical, row_number() OVER (PARTITION BY lower(path) ORDER BY position) AS nth FROM p JOIN c USING (ordinal))
@@ -213,7 +205,7 @@ ORACLES = {
         WITH s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, greatest(length(text) - 100, 1), 900) END) AS start FROM documents)
         SELECT doc_id, (start // 900)::INT AS part, start::INT AS start, md5(substring(text, start + 1, 1000)) AS md5 FROM s""",
     "canonical_hash": "SELECT doc_id, sha256(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(13) || chr(10))) AS hash FROM documents",
-    "collapsed_text": "SELECT doc_id, left(array_to_string([trim(x) for x in string_split(text, chr(10)) if trim(x) != ''], ' '), 200) AS collapsed FROM documents",
+    "collapsed_text": "SELECT doc_id, left(array_to_string([trim(x, ' ' || chr(9) || chr(13)) for x in string_split(text, chr(10)) if trim(x, ' ' || chr(9) || chr(13)) != ''], ' '), 200) AS collapsed FROM documents",
     "token_estimate": rf"""
         WITH l AS (SELECT *, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^Ѐ-ӿ]', '', 'g')) AS cyr FROM conversations),
         s AS (SELECT *, CASE WHEN letters > 0 THEN cyr::DOUBLE / letters ELSE 0.0 END AS share FROM l)
@@ -228,5 +220,4 @@ ORACLES = {
     "find_references": f"WITH {_OCC} SELECT * FROM o WHERE roles & 2 != 0 AND symbol IN (FROM s) UNION ALL SELECT * FROM o WHERE roles & 1 != 0 AND symbol IN (FROM s)",
     "find_implementations": f"WITH {_OCC} SELECT DISTINCT * FROM o WHERE roles & 1 != 0 AND symbol IN (SELECT p_partkey FROM part WHERE p_partkey % 97 + 1 IN (FROM s))",
     "occurrence_at": f"WITH {_OCC} SELECT o_orderkey AS point_id, start_line, end_line, symbol FROM o JOIN orders ON doc = o_orderkey WHERE start_line <= 4 AND 4 < end_line QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY end_line - start_line, start_line, symbol) = 1",
-    "merged_roles": f"WITH {_OCC} SELECT doc, symbol, bit_or(roles) AS roles, count(*) AS n FROM o GROUP BY doc, symbol",
 }

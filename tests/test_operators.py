@@ -34,7 +34,7 @@ def test_uncovered(spark):
 
 @pytest.mark.parametrize(
     ("source", "translated", "want"),
-    [("# A\n", "A\n", "heading"), ("```\nx\n```\n", "x", "fence"), ("- a\n- b", "- a", "list"), ("`x` y", "x y", "code"), ("see http://a.b/c", "see http://a.b/", "url"), ("{n} of", "of", "placeholder"), ("# `x` {n}", "# {n} `x`", "ok"), ("", "", "ok")],
+    [("# A\n", "A\n", "headings"), ("```\nx\n```\n", "x", "fence_markers"), ("- a\n- b", "- a", "list_markers"), ("`x` y", "x y", "inline_code"), ("see http://a.b/c", "see http://a.b/", "urls"), ("{n} of", "of", "placeholders"), ("# `x` {n}", "# {n} `x`", "ok"), ("", "", "ok")],
 )
 def test_markdown(spark, source, translated, want):
     row = spark.createDataFrame([(source, translated)], "a string, b string")
@@ -78,9 +78,9 @@ def test_quarantine_plan_in_ranges(spark, monkeypatch):
     """Equal times, null bytes and names over many ranges, against a loop; no window is without partition but the one over the ranges."""
     from datetime import datetime, timedelta
 
-    from lumbra.operators import retention
+    from lumbra.operators import ranges, retention
 
-    monkeypatch.setattr(retention, "RANGES", 7)
+    monkeypatch.setattr(ranges, "RANGES", 7)
     now = datetime(2024, 1, 31)
     rows = [(f"d{k * 37 % 101}", now - timedelta(days=k % 20), None if k == 50 else k) for k in range(100)]
     entries = spark.createDataFrame(rows, "directory string, quarantined_at timestamp_ntz, bytes bigint")
