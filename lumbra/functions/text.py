@@ -36,7 +36,7 @@ def slashes(path: Column) -> Column:
 
 
 def collapse(text: Column, most: int) -> Column:
-    """Trimmed non-empty lines joined with blanks, cut at ``most`` characters."""
+    """Trimmed non-empty lines joined with blanks, cut at ``most`` code points (not UTF-16 units, here and wherever texts are cut)."""
     lines = F.filter(F.transform(split_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.left(F.array_join(lines, " "), F.lit(most))
 

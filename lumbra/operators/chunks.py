@@ -11,7 +11,7 @@ WINDOW, OVERLAP, MOST_CHARS = 60, 12, 6000
 
 
 def line_windows(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Windows of 60 lines that overlap by 12. The label counts ceil(lines / 48) parts, also where the last of them has no lines of its own; blank windows are left out after numbering."""
+    """Windows of 60 lines that overlap by 12, with the text that is embedded: the path and the lines as a header, then the body. The label counts ceil(lines / 48) parts, also where the last of them has no lines of its own; blank windows are left out after numbering."""
     step = WINDOW - OVERLAP
     lines = files.where(~F.contains(F.col(text), F.char(F.lit(0)))).select(F.col(path).alias("path"), split_lines(F.col(text)).alias("lines")).withColumn("n", F.size("lines"))
     got = lines.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)))).where((F.col("start") == 0) | (F.col("start") + OVERLAP < F.col("n")))
@@ -21,13 +21,14 @@ def line_windows(files: DataFrame, path: str = "path", text: str = "text") -> Da
     return (
         got.select("path", (F.col("start") + 1).alias("start_line"), F.least(F.col("start") + WINDOW, F.col("n")).alias("end_line"), label.alias("label"), F.left(body, F.lit(MOST_CHARS)).alias("body"))
         .where(F.regexp_replace("body", r"\s", "") != "")
+        .withColumn("embedded", F.concat(F.lit("File: "), "path", F.lit("\nLines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n\n"), "body"))
     )
 
 
 def text_fragments(texts: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """Fragments of ``size`` characters; each but the first begins with the last ``overlap`` characters before it."""
+    """Fragments of ``size`` characters; each but the first begins with the last ``overlap`` characters before it. ``fresh`` is what it has beyond them."""
     fresh = max(1, size - overlap)
     n = F.length(F.col(text))
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(fresh)))
     got = texts.select(F.col(key), F.col(text).alias("_t"), F.posexplode(starts).alias("part", "at"))
-    return got.select(key, "part", F.col("at").alias("start"), F.substring(F.col("_t"), F.col("at") + 1, F.lit(size)).alias("fragment"))
+    return got.select(key, "part", F.col("at").alias("start"), F.substring(F.col("_t"), F.col("at") + 1, F.lit(size)).alias("fragment"), F.substring(F.col("_t"), F.col("at") + 1 + F.when(F.col("part") > 0, overlap).otherwise(0), F.lit(size)).alias("_f"), F.when(F.col("part") > 0, size - overlap).otherwise(size).alias("_s")).withColumn("fresh", F.left("_f", "_s")).drop("_f", "_s")

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 def route(jobs: DataFrame, catalogue: DataFrame, models: DataFrame) -> DataFrame:
-    """(job_id, model, stage, problem) from jobs (job_id, profile, context, override), catalogue (profile, model, place, kind) and models (model, installed, most_context, disabled, resident).
+    """(job_id, model, stage, problem) from jobs (job_id, profile, context, pixels, override), catalogue (profile, model, place, kind) and models (model, installed, most_context, most_pixels, disabled, resident, lifecycle).
 
     A job with an override takes that model; if it isn't on the profile's route or can't take the job, the job has the problem ``invalid_override`` and no other model.
     Other jobs go by stages: 1 an active experiment, 2 candidates, resident ones first, 3 fallbacks; then by the catalogue's order. Models that aren't
-    installed, are disabled or hold too little context are passed over; a job that none can take has the problem ``unavailable``.
+    installed, are disabled (by themselves or their lifecycle), hold too little context or too few pixels (null: no images) are passed over; a job that none can take has the problem ``unavailable``.
     """
     own = F.col("override").isNotNull()
     stage = F.when(own, 0).when(F.col("kind") == "experiment", 1).when(F.col("kind") == "candidate", 2).otherwise(3)
-    fit = jobs.join(catalogue, "profile").join(models, "model").where(F.col("installed") & ~F.col("disabled") & (F.col("context") <= F.col("most_context")))
+    fit = jobs.join(catalogue, "profile").join(models, "model").where(F.col("installed") & ~F.col("disabled") & (F.col("lifecycle") != "disabled") & (F.col("context") <= F.col("most_context")) & (F.col("pixels").isNull() | (F.col("pixels") <= F.col("most_pixels"))))
     fit = fit.where(~own | (F.col("model") == F.col("override"))).withColumn("stage", stage)
     rank = F.struct("stage", ((F.col("stage") != 2) | ~F.col("resident")).alias("later"), "place", "model")
     best = fit.groupBy("job_id").agg(F.min(rank).alias("best"))  # combined before the shuffle, so no window over a job's models

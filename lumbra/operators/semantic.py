@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumbra.functions.paths import extension
+from lumbra.functions.source import inferable
+from lumbra.functions.text import slashes, split_lines
+
 from .graph import DEFINITION
 
 ROLE_IMPORT, ROLE_WRITE, ROLE_READ = 4, 8, 16
@@ -15,6 +19,13 @@ KINDS = {
 }
 
 
+#: A text in tokens and what stands between them.
+TOKENS = r"[\p{L}\p{Nd}_$-]+|[^\p{L}\p{Nd}_$-]+"
+#: Words before a declared name, and ends of attributes that name things.
+DECLARING = ("class", "interface", "enum", "struct", "record", "def", "function", "type", "namespace", "module", "const", "let", "var", "trait", "protocol")
+NAMING = ('id="', 'name="', 'x:Name="', 'x:Key="')
+
+
 def relationships(occurrences: DataFrame, edges: DataFrame, symbols: DataFrame, incoming: bool, kind: str | None = None) -> DataFrame:
     """Definitions of the symbols related to the given ones, with the kind of the relationship, once each. edges (source, target, kind)."""
     near, far = ("target", "source") if incoming else ("source", "target")
@@ -144,3 +155,48 @@ def unambiguous(uses: DataFrame, resources: DataFrame) -> DataFrame:
 def located(occurrences: DataFrame, most: int) -> DataFrame:
     """The first ``most`` places by document, start and end."""
     return occurrences.orderBy("doc", "sl", "sc", "el", "ec", "symbol").limit(most)
+
+
+def imported_range(numbers: Column) -> Column:
+    """struct(sl, sc, el, ec) of an imported range of four numbers, or of three on one line; null if it isn't one or ends before it starts."""
+    n = F.size(numbers)
+    four = F.when(n == 4, numbers).when(n == 3, F.array(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), F.get(numbers, F.lit(0)), F.get(numbers, F.lit(2))))
+    at = [F.get(four, F.lit(k)) for k in range(4)]
+    good = F.forall(four, lambda x: x >= 0) & ((at[2] > at[0]) | ((at[2] == at[0]) & (at[3] >= at[1])))
+    return F.when(good, F.struct(*[a.alias(c) for a, c in zip(at, ("sl", "sc", "el", "ec"), strict=True)]))
+
+
+def definition_catalogue(occurrences: DataFrame) -> DataFrame:
+    """Definitions (doc, symbol, sl, sc, enclosing) that chunks can be cut along: with a body, or of a kind whose extent can be inferred. Equal paths but for their slashes are one document."""
+    own = occurrences.where(F.col("roles").bitwiseAND(DEFINITION) != 0)
+    return own.where(F.col("enclosing").isNotNull() | inferable(F.col("symbol"))).select(slashes(F.col("doc")).alias("doc"), "symbol", "sl", "sc", "enclosing")
+
+
+def token_positions(files: DataFrame, name: str) -> DataFrame:
+    """(doc, line, col, declares) of every whole-token occurrence of ``name`` in files (doc, text), by text alone.
+
+    Letters, digits, ``_``, ``$`` and ``-`` make tokens. ``declares`` says that a declaring word or an attribute that names things stands before it, or, by the file's
+    kind, a selector's sign before or a colon after it.
+    """
+    lines = files.select("doc", F.posexplode(split_lines(F.col("text"))).alias("line", "body")).where(F.contains("body", F.lit(name)))
+    pieces = lines.select("doc", "line", "body", F.posexplode(F.regexp_extract_all("body", F.lit(TOKENS), F.lit(0))).alias("k", "piece"), F.regexp_extract_all("body", F.lit(TOKENS), F.lit(0)).alias("all"))
+    found = pieces.where(F.col("piece") == name).withColumn("before", F.array_join(F.slice("all", 1, F.col("k")), ""))
+    word = F.regexp_extract("before", r"([^ \t(){}\[\]:;,=]+)[ \t(){}\[\]:;,=]*$", 1)
+    compact, after = F.regexp_replace("before", r"\s+$", ""), F.regexp_replace(F.substr("body", F.length("before") + len(name) + 1), r'^\s*"?\s*', "")
+    ends = F.lit(False)
+    for lead in NAMING:
+        ends = ends | F.lower(compact).endswith(lead.lower())
+    kind = extension(F.col("doc"))
+    declares = F.lower(word).isin(*DECLARING) | ends | ((kind == ".css") & (compact.endswith(".") | compact.endswith("#"))) | (after.startswith(":") & kind.isin(".yaml", ".yml", ".json"))
+    return found.select("doc", "line", F.length("before").alias("col"), declares.alias("declares"))
+
+
+def live_documents(snapshot: DataFrame, opened: DataFrame) -> DataFrame:
+    """snapshot (doc, text) with the newest version of each open document (doc, version, text) in its place; ``stale`` says that a version was sent after a newer one.
+
+    opened has ``sequence``, the order in which versions were sent.
+    """
+    top = Window.partitionBy("doc").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    late = opened.withColumn("_late", F.coalesce(F.col("version") <= F.max("version").over(top), F.lit(False)))
+    live = late.groupBy("doc").agg(F.max_by("text", "version").alias("live"), F.max("version").alias("version"), F.bool_or("_late").alias("stale"))
+    return snapshot.join(live, "doc", "full_outer").select("doc", F.coalesce("live", "text").alias("text"), "version", F.coalesce("stale", F.lit(False)).alias("stale"))

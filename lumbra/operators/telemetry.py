@@ -10,19 +10,21 @@ from lumbra.functions.times import micros
 from .ranges import bucketed
 
 SAMPLES = 101
+#: Median and 90th percentile of a kind of job without samples, in seconds.
+DEFAULTS = {"short": (5, 10), "medium": (15, 30), "long": (60, 120)}
 BUCKET_SECONDS = 86_400  # of a piece of a key's history
 
 
 def summary(jobs: DataFrame) -> DataFrame:
     ok = F.count_if(F.col("outcome") == "succeeded")
-    return jobs.agg(F.count("*").alias("jobs"), F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at"), ok.alias("succeeded"), F.count_if("was_cold").alias("cold"), F.sum("net_tokens").alias("net_tokens"))
+    return jobs.agg(F.count("*").alias("jobs"), F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at"), ok.alias("succeeded"), F.count_if("was_cold").alias("cold"), F.count_if("used_fallback").alias("fallbacks"), F.sum("net_tokens").alias("net_tokens"))
 
 
 def breakdown(jobs: DataFrame, key: str) -> DataFrame:
-    """Jobs, successes, cold starts, nearest-rank median and 90th percentile of the execution, longest execution and tokens for each key."""
+    """Jobs, successes, cold starts, fallbacks, nearest-rank median and 90th percentile of the execution, longest execution and tokens for each key."""
     disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY execution_us)")
     return jobs.groupBy(key).agg(
-        F.count("*").alias("jobs"), F.count_if(F.col("outcome") == "succeeded").alias("succeeded"), F.count_if("was_cold").alias("cold"),
+        F.count("*").alias("jobs"), F.count_if(F.col("outcome") == "succeeded").alias("succeeded"), F.count_if("was_cold").alias("cold"), F.count_if("used_fallback").alias("fallbacks"),
         disc(0.5).cast("long").alias("median_us"), disc(0.9).cast("long").alias("p90_us"), F.max("execution_us").alias("longest_us"), F.sum("net_tokens").alias("net_tokens"),
     )
 
@@ -41,6 +43,13 @@ def predicted(jobs: DataFrame, keys: list[str]) -> DataFrame:
     return recent.groupBy(*keys).agg(F.count("*").alias("samples"), F.expr("percentile(execution_us, 0.5)").alias("median_us"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY execution_us)").cast("long").alias("p90_us"))
 
 
+def with_defaults(requests: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """requests (keys, .., duration_class) with median_us and p90_us of their keys' ``predicted``, or the defaults of their class."""
+    pick = lambda k: F.when(F.col("duration_class") == "short", DEFAULTS["short"][k]).when(F.col("duration_class") == "medium", DEFAULTS["medium"][k]).otherwise(DEFAULTS["long"][k]) * 1_000_000
+    got = requests.join(predictions.drop("samples"), keys, "left")
+    return got.withColumn("median_us", F.coalesce("median_us", pick(0).cast("double"))).withColumn("p90_us", F.coalesce("p90_us", pick(1).cast("long")))
+
+
 def circuit_opens(jobs: DataFrame, key: str, consecutive: int = 2, seconds: int = BUCKET_SECONDS) -> DataFrame:
     """For each key the first job that is the n-th technical failure in a row.
 

@@ -39,11 +39,11 @@ def uncovered_lines(spark, sf_dir):
 def model_routing(spark, sf_dir):
     """Orders as jobs, suppliers as models, customers' nations as profiles."""
     o = table(spark, sf_dir, "orders")
-    jobs = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 25).cast("int").alias("profile"), (F.col("o_orderkey") % 900).alias("context"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") % 29 + 1).alias("override"))
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 25).cast("int").alias("profile"), (F.col("o_orderkey") % 900).alias("context"), F.when(F.col("o_orderkey") % 6 == 0, F.col("o_custkey") % 50).alias("pixels"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") % 29 + 1).alias("override"))
     s = table(spark, sf_dir, "supplier")
     kind = F.when(F.col("s_suppkey") % 11 == 0, "experiment").when(F.col("s_suppkey") % 2 == 0, "candidate").otherwise("fallback")
     catalogue = s.select(F.col("s_nationkey").alias("profile"), F.col("s_suppkey").alias("model"), F.col("s_suppkey").alias("place"), kind.alias("kind"))
-    models = s.select(F.col("s_suppkey").alias("model"), (F.col("s_suppkey") % 5 != 0).alias("installed"), ((F.col("s_suppkey") % 7 + 1) * 128).alias("most_context"), (F.col("s_suppkey") % 13 == 0).alias("disabled"), (F.col("s_suppkey") % 3 == 0).alias("resident"))
+    models = s.select(F.col("s_suppkey").alias("model"), (F.col("s_suppkey") % 5 != 0).alias("installed"), ((F.col("s_suppkey") % 7 + 1) * 128).alias("most_context"), (F.col("s_suppkey") % 13 == 0).alias("disabled"), (F.col("s_suppkey") % 3 == 0).alias("resident"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") % 40).alias("most_pixels"), F.when(F.col("s_suppkey") % 17 == 0, "disabled").otherwise("stable").alias("lifecycle"))
     return routing.route(jobs, catalogue, models)
 
 
@@ -103,9 +103,9 @@ ORACLES = {
         WITH {_SPANS}, l AS (SELECT o_orderkey AS doc, unnest(range(1, 61))::INT AS line FROM orders), f AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc = l.doc AND line BETWEEN first AND last)),
         g AS (SELECT *, line - row_number() OVER (PARTITION BY doc ORDER BY line) AS island FROM f) SELECT doc, min(line) AS first, max(line) AS last FROM g GROUP BY doc, island""",
     "model_routing": """
-        WITH j AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS profile, o_orderkey % 900 AS context, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 29 + 1 END AS override FROM orders),
+        WITH j AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS profile, o_orderkey % 900 AS context, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey % 50 END AS pixels, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 29 + 1 END AS override FROM orders),
         f AS (SELECT job_id, s_suppkey AS model, CASE WHEN override IS NOT NULL THEN 0 WHEN s_suppkey % 11 = 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END AS stage FROM j JOIN supplier ON s_nationkey = profile
-              WHERE s_suppkey % 5 != 0 AND s_suppkey % 13 != 0 AND context <= (s_suppkey % 7 + 1) * 128 AND (override IS NULL OR s_suppkey = override)),
+              WHERE s_suppkey % 5 != 0 AND s_suppkey % 13 != 0 AND s_suppkey % 17 != 0 AND (pixels IS NULL OR (s_suppkey % 4 != 0 AND pixels <= s_suppkey % 40)) AND context <= (s_suppkey % 7 + 1) * 128 AND (override IS NULL OR s_suppkey = override)),
         b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY stage, CASE WHEN stage = 2 AND model % 3 = 0 THEN 0 ELSE 1 END, model) = 1)
         SELECT j.job_id, model, stage, CASE WHEN model IS NULL THEN CASE WHEN override IS NOT NULL THEN 'invalid_override' ELSE 'unavailable' END END AS problem FROM j LEFT JOIN b ON j.job_id = b.job_id""",
     "markdown_validation": _MARKDOWN,

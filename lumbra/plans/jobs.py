@@ -19,19 +19,19 @@ def jobs(spark, sf_dir):
     outcome = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0), "technical_failure").when(F.col("event_id") % 41 == 0, "technical_failure").otherwise("succeeded")
     return e.select(
         F.col("event_id").alias("job_id"), F.col("event_type").alias("model"), F.concat(F.lit("profile"), (F.col("user_id") % 5).cast("string")).alias("profile"), F.col("ts").alias("recorded_at"),
-        F.round(F.abs(F.col("value")) * 1000).cast("long").alias("execution_us"), outcome.alias("outcome"), (F.col("event_id") % 7 == 0).alias("was_cold"), (F.length("props") / 4).cast("long").alias("net_tokens"), "user_id",
+        F.round(F.abs(F.col("value")) * 1000).cast("long").alias("execution_us"), outcome.alias("outcome"), (F.col("event_id") % 7 == 0).alias("was_cold"), (F.col("event_id") % 11 == 0).alias("used_fallback"), (F.length("props") / 4).cast("long").alias("net_tokens"), "user_id",
     )
 
 
 _JOBS = """
     j AS (SELECT event_id AS job_id, event_type AS model, 'profile' || (user_id % 5) AS profile, ts AS recorded_at, round(abs(value) * 1000)::BIGINT AS execution_us,
           CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'technical_failure' WHEN event_id % 41 = 0 THEN 'technical_failure' ELSE 'succeeded' END AS outcome,
-          event_id % 7 = 0 AS was_cold, floor(length(props) / 4.0)::BIGINT AS net_tokens, user_id FROM events)"""
+          event_id % 7 = 0 AS was_cold, event_id % 11 = 0 AS used_fallback, floor(length(props) / 4.0)::BIGINT AS net_tokens, user_id FROM events)"""
 
 
 def telemetry_summary(spark, sf_dir):
     got = telemetry.summary(jobs(spark, sf_dir))
-    return got.select("jobs", micros("first_at").alias("first_us"), micros("last_at").alias("last_us"), "succeeded", "cold", "net_tokens")
+    return got.select("jobs", micros("first_at").alias("first_us"), micros("last_at").alias("last_us"), "succeeded", "cold", "fallbacks", "net_tokens")
 
 
 def telemetry_by_model(spark, sf_dir):
@@ -54,6 +54,15 @@ def duration_prediction(spark, sf_dir):
     return telemetry.predicted(jobs(spark, sf_dir), ["model", "profile"])
 
 
+def predicted_jobs(spark, sf_dir):
+    """Orders as waiting jobs: what is known of their kind, else the default of their class."""
+    o = table(spark, sf_dir, "orders")
+    model = F.element_at(F.array(*[F.lit(x) for x in ("purchase", "view", "unknown")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("short", "medium", "long")]), (F.col("o_custkey") % 3 + 1).cast("int"))
+    r = o.select("o_orderkey", model.alias("model"), F.concat(F.lit("profile"), (F.col("o_custkey") % 7).cast("string")).alias("profile"), kind.alias("duration_class"))
+    return telemetry.with_defaults(r, telemetry.predicted(jobs(spark, sf_dir), ["model", "profile"]), ["model", "profile"]).select("o_orderkey", "median_us", "p90_us")
+
+
 def circuit_breaker(spark, sf_dir):
     return telemetry.circuit_opens(jobs(spark, sf_dir), "profile")
 
@@ -119,16 +128,20 @@ def diagnostic_digest(spark, sf_dir):
     return got
 
 
-QUERIES = {f.__name__: f for f in (telemetry_summary, telemetry_by_model, telemetry_by_profile, outcome_histogram, failure_outliers, duration_prediction, circuit_breaker, watchdog_islands, retained_telemetry, schedule_order, schedule_starved, queue_dedup, quarantine_plan, newest_generations, plain_translation_check, shared_budget, diagnostic_digest)}
+QUERIES = {f.__name__: f for f in (telemetry_summary, telemetry_by_model, telemetry_by_profile, outcome_histogram, failure_outliers, duration_prediction, predicted_jobs, circuit_breaker, watchdog_islands, retained_telemetry, schedule_order, schedule_starved, queue_dedup, quarantine_plan, newest_generations, plain_translation_check, shared_budget, diagnostic_digest)}
 
-_BREAKDOWN = "WITH {jobs} SELECT {key}, count(*) AS jobs, count_if(outcome = 'succeeded') AS succeeded, count_if(was_cold) AS cold, quantile_disc(execution_us, 0.5) AS median_us, quantile_disc(execution_us, 0.9) AS p90_us, max(execution_us) AS longest_us, sum(net_tokens)::BIGINT AS net_tokens FROM j GROUP BY {key}"
+_BREAKDOWN = "WITH {jobs} SELECT {key}, count(*) AS jobs, count_if(outcome = 'succeeded') AS succeeded, count_if(was_cold) AS cold, count_if(used_fallback) AS fallbacks, quantile_disc(execution_us, 0.5) AS median_us, quantile_disc(execution_us, 0.9) AS p90_us, max(execution_us) AS longest_us, sum(net_tokens)::BIGINT AS net_tokens FROM j GROUP BY {key}"
 ORACLES = {
-    "telemetry_summary": f"WITH {_JOBS} SELECT count(*) AS jobs, epoch_us(min(recorded_at)) AS first_us, epoch_us(max(recorded_at)) AS last_us, count_if(outcome = 'succeeded') AS succeeded, count_if(was_cold) AS cold, sum(net_tokens)::BIGINT AS net_tokens FROM j",
+    "telemetry_summary": f"WITH {_JOBS} SELECT count(*) AS jobs, epoch_us(min(recorded_at)) AS first_us, epoch_us(max(recorded_at)) AS last_us, count_if(outcome = 'succeeded') AS succeeded, count_if(was_cold) AS cold, count_if(used_fallback) AS fallbacks, sum(net_tokens)::BIGINT AS net_tokens FROM j",
     "telemetry_by_model": _BREAKDOWN.format(jobs=_JOBS, key="model"),
     "telemetry_by_profile": _BREAKDOWN.format(jobs=_JOBS, key="profile"),
     "outcome_histogram": f"WITH {_JOBS} SELECT model, outcome, count(*) AS jobs FROM j GROUP BY ALL",
     "failure_outliers": f"WITH {_JOBS}, b AS (SELECT model, count(*) AS jobs, count_if(outcome != 'succeeded') AS failures FROM j GROUP BY 1) SELECT * FROM b WHERE jobs >= 10 AND failures > 0 AND failures * 4 >= jobs AND failures * 2 >= (SELECT sum(failures) FROM b)",
     "duration_prediction": f"WITH {_JOBS}, r AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY model, profile ORDER BY recorded_at DESC, job_id DESC) <= 101) SELECT model, profile, count(*) AS samples, quantile_cont(execution_us, 0.5)::DOUBLE AS median_us, quantile_disc(execution_us, 0.9) AS p90_us FROM r GROUP BY 1, 2",
+    "predicted_jobs": f"""
+        WITH {_JOBS}, r AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY model, profile ORDER BY recorded_at DESC, job_id DESC) <= 101), p AS (SELECT model, profile, quantile_cont(execution_us, 0.5)::DOUBLE AS m, quantile_disc(execution_us, 0.9) AS n FROM r GROUP BY 1, 2)
+        SELECT o_orderkey, coalesce(m, [5e6, 15e6, 60e6][o_custkey % 3 + 1])::DOUBLE AS median_us, coalesce(n, [10000000, 30000000, 120000000][o_custkey % 3 + 1])::BIGINT AS p90_us
+        FROM orders LEFT JOIN p ON model = ['purchase', 'view', 'unknown'][o_orderkey % 3 + 1] AND profile = 'profile' || (o_custkey % 7)""",
     "circuit_breaker": f"""WITH {_JOBS}, l AS (SELECT *, lag(outcome) OVER w AS before, lag(outcome, 2) OVER w AS earlier FROM j WINDOW w AS (PARTITION BY profile ORDER BY recorded_at, job_id))
         SELECT profile, arg_min(job_id, (recorded_at, job_id)) AS job_id FROM l WHERE outcome = 'technical_failure' AND before = 'technical_failure' AND earlier IS DISTINCT FROM 'technical_failure' GROUP BY 1""",
     "watchdog_islands": f"WITH {_JOBS}, n AS (SELECT user_id, job_id, epoch_us(lead(recorded_at) OVER (PARTITION BY user_id ORDER BY recorded_at, job_id)) - epoch_us(recorded_at) AS gap_us FROM j) SELECT * FROM n WHERE gap_us > 600000000",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lumbra.operators import batches, experiments, snapshot, states
 
 from .corpus import _pick
-from .jobs import NOW, jobs
 from .retrieval import _FILES as FILES_SQL
 from .retrieval import _files as changed_files
 from .retrieval import table
@@ -115,7 +114,7 @@ def read_plans(spark, sf_dir):
 def build_progress(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     p = states.progress(F.col("o_custkey"), F.col("o_custkey") + F.col("o_orderkey"), F.col("o_totalprice") / 1000)
-    return o.select("o_orderkey", F.round(p["rate"], 6).alias("rate"), F.round(p["remaining_s"], 4).alias("remaining_s"))
+    return o.select("o_orderkey", F.round(p["rate"], 6).alias("rate"), F.round(p["remaining_s"], 1).alias("remaining_s"))
 
 
 def index_status(spark, sf_dir):
@@ -210,13 +209,7 @@ def publishable_generations(spark, sf_dir):
     return states.publishable(generations, overlays)
 
 
-def cold_fallbacks(spark, sf_dir):
-    """Jobs that fell back, by model: the part of the summary beside successes and cold starts."""
-    j = jobs(spark, sf_dir).withColumn("used_fallback", F.col("job_id") % 11 == 0)
-    return j.groupBy("model").agg(F.count_if("used_fallback").alias("fallbacks"), F.count_if(F.col("was_cold") & F.col("used_fallback")).alias("cold_fallbacks"))
-
-
-QUERIES = {f.__name__: f for f in (trial_states, trial_reports, benchmark_cases, greedy_batches, next_budgets, reduced_logs, policy_bounds, repository_states, retained_generations, removed_overlays, overlay_plans, read_plans, build_progress, index_status, directory_sizes, log_tokens, job_accounts, csharp_coverage, present_worktrees, model_fits, expired_telemetry, evaluation_problems, catalogue_problems, missing_models, reusable_corpora, publishable_generations, cold_fallbacks)}
+QUERIES = {f.__name__: f for f in (trial_states, trial_reports, benchmark_cases, greedy_batches, next_budgets, reduced_logs, policy_bounds, repository_states, retained_generations, removed_overlays, overlay_plans, read_plans, build_progress, index_status, directory_sizes, log_tokens, job_accounts, csharp_coverage, present_worktrees, model_fits, expired_telemetry, evaluation_problems, catalogue_problems, missing_models, reusable_corpora, publishable_generations)}
 
 _LOG = """
     g AS (SELECT event_type AS profile, user_id % 40 AS model, event_id AS sequence, event_id % 900 AS workflow, CASE WHEN event_id % 13 = 0 THEN ['promote', 'continue', 'fallback', 'disable'][event_id // 13 % 4 + 1] END AS action,
@@ -273,7 +266,7 @@ ORACLES = {
         f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n) - 1 AS nth, parent = coalesce(lag('c' || n) OVER (PARTITION BY g ORDER BY n), 'c0') AS follows FROM h), w AS (SELECT *, bool_and(follows) OVER (PARTITION BY g) AS ok, max(n) OVER (PARTITION BY g) AS top FROM f)
         SELECT g AS generation, CASE WHEN ok AND n % 3 != 0 THEN 't' || (n - 1) ELSE 't0' END AS base_tree, 't' || n AS target_tree, 'c' || n AS commit, CASE WHEN ok THEN 'Commit' ELSE 'Collapsed' END AS kind, (CASE WHEN ok THEN nth ELSE 0 END)::INT AS nth FROM w WHERE ok OR n = top""",
     "read_plans": f"WITH {FILES_SQL} SELECT regexp_extract(path, '^[^/]*') AS source, count_if(state = 'changed') AS to_read, count_if(state = 'reused') AS reused, count_if(state = 'changed') > 20 AS refused FROM st GROUP BY 1",
-    "build_progress": "WITH x AS (SELECT *, o_custkey / greatest(0.001::DOUBLE, o_totalprice / 1000) AS rate FROM orders) SELECT o_orderkey, round(rate, 6) AS rate, round(o_orderkey / greatest(0.001::DOUBLE, rate), 4) AS remaining_s FROM x",
+    "build_progress": "WITH x AS (SELECT *, o_custkey / greatest(0.001::DOUBLE, o_totalprice / 1000) AS rate FROM orders) SELECT o_orderkey, round(rate, 6) AS rate, round(o_orderkey / greatest(0.001::DOUBLE, rate), 1) AS remaining_s FROM x",
     "index_status": f"""
         WITH {FILES_SQL}, ov AS (SELECT path FROM st WHERE state = 'changed'), b AS (SELECT path, lower(path) IN (FROM ov) AS o, path IN (SELECT path FROM del) AS d FROM old)
         SELECT count_if(NOT o AND NOT d) + (SELECT count(*) FROM ov) AS files, 3 * count_if(NOT o AND NOT d) + 2 * (SELECT count(*) FROM ov) AS chunks, count_if(o) AS shadowed, count_if(d AND NOT o) AS deleted FROM b""",
@@ -303,5 +296,4 @@ ORACLES = {
     "publishable_generations": """
         WITH g AS (SELECT o_custkey AS repository, max(o_orderkey) AS generation FROM orders GROUP BY 1), o AS (SELECT o_custkey AS repository, CASE WHEN o_custkey % 8 = 0 THEN o_orderkey ELSE generation END AS f, o_orderkey % 6 != 0 AS ready FROM orders JOIN g ON g.repository = o_custkey WHERE o_custkey % 4 != 2)
         SELECT g.repository, generation, coalesce(bool_and(ready AND f = generation), true) AS publishable FROM g LEFT JOIN o ON o.repository = g.repository GROUP BY ALL""",
-    "cold_fallbacks": "SELECT event_type AS model, count_if(event_id % 11 = 0) AS fallbacks, count_if(event_id % 77 = 0) AS cold_fallbacks FROM events GROUP BY 1",
 }

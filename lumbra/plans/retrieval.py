@@ -77,7 +77,7 @@ def tokenize_terms(spark, sf_dir):
 def window_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     got = chunks.line_windows(d.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text"))
-    return got.select("path", "start_line", "end_line", "label", F.length("body").alias("chars"))
+    return got.select("path", "start_line", "end_line", "label", F.length("body").alias("chars"), F.md5(F.col("embedded").cast("binary")).alias("embedded"))
 
 
 def log_fragments(spark, sf_dir):
@@ -85,6 +85,12 @@ def log_fragments(spark, sf_dir):
     return chunks.text_fragments(d, "doc_id", "text", 1000, 100).select("doc_id", "part", "start", F.md5(F.col("fragment")).alias("md5"))
 
 
+def log_fragment_tokens(spark, sf_dir):
+    """Estimated tokens of each document's fragments, each character counted once, up to the largest 32-bit number."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return chunks.text_fragments(d, "doc_id", "text", 1000, 100).groupBy("doc_id").agg(F.least(F.sum(T.token_estimate(F.col("fresh"))), F.lit(2_147_483_647)).alias("tokens"), F.sum(F.length("fresh")).alias("chars"))
+
+
 def canonical_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.canonical_hash(F.col("text")).alias("hash"))
 
@@ -178,7 +184,7 @@ _OCC = """
           CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS roles FROM lineitem),
     s AS (SELECT p_partkey AS symbol FROM part WHERE p_size = 7)"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_floor, lexical_score, rrf_hybrid, hybrid_capped, tokenize_terms, window_chunks, log_fragments, canonical_hash, collapsed_text, token_estimate, incremental_partition, deleted_paths, overlay_visible, build_plan, embedding_cache_join, goto_definition, find_references, find_implementations, occurrence_at)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_floor, lexical_score, rrf_hybrid, hybrid_capped, tokenize_terms, window_chunks, log_fragments, log_fragment_tokens, canonical_hash, collapsed_text, token_estimate, incremental_partition, deleted_paths, overlay_visible, build_plan, embedding_cache_join, goto_definition, find_references, find_implementations, occurrence_at)}
 
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 ORACLES = {
@@ -199,11 +205,16 @@ ORACLES = {
         s AS (SELECT path, lines, len(lines) AS n, unnest(range(0, len(lines), 48)) AS start FROM d),
         b AS (SELECT *, left(array_to_string(lines[start + 1:start + 60], chr(10)), 6000) AS body FROM s WHERE start = 0 OR start + 12 < n)
         SELECT path, (start + 1)::INT AS start_line, least(start + 60, n)::INT AS end_line,
-               CASE WHEN n > 48 THEN '[' || (start // 48 + 1) || '/' || ceil(n / 48.0)::INT || ']' ELSE '' END AS label, length(body)::INT AS chars
+               CASE WHEN n > 48 THEN '[' || (start // 48 + 1) || '/' || ceil(n / 48.0)::INT || ']' ELSE '' END AS label, length(body)::INT AS chars, md5('File: ' || path || chr(10) || 'Lines: ' || (start + 1) || '-' || least(start + 60, n) || chr(10) || chr(10) || body) AS embedded
         FROM b WHERE regexp_replace(body, '\s', '', 'g') != ''""",
     "log_fragments": """
         WITH s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, greatest(length(text) - 100, 1), 900) END) AS start FROM documents)
         SELECT doc_id, (start // 900)::INT AS part, start::INT AS start, md5(substring(text, start + 1, 1000)) AS md5 FROM s""",
+    "log_fragment_tokens": rf"""
+        WITH s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, greatest(length(text) - 100, 1), 900) END) AS start FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT doc_id, CASE WHEN start = 0 THEN substring(text, 1, 1000) ELSE substring(text, start + 101, 900) END AS f FROM s),
+        l AS (SELECT doc_id, f, length(regexp_replace(f, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(f, '[^Ѐ-ӿ]', '', 'g')) AS cyr FROM f), e AS (SELECT *, CASE WHEN letters > 0 THEN cyr::DOUBLE / letters ELSE 0.0 END AS share FROM l)
+        SELECT doc_id, sum(ceil(length(f) / (4.0::DOUBLE * (1 - share) + 2.2::DOUBLE * share)))::BIGINT AS tokens, sum(length(f))::BIGINT AS chars FROM e GROUP BY 1""",
     "canonical_hash": "SELECT doc_id, sha256(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(13) || chr(10))) AS hash FROM documents",
     "collapsed_text": "SELECT doc_id, left(array_to_string([trim(x, ' ' || chr(9) || chr(13)) for x in string_split(text, chr(10)) if trim(x, ' ' || chr(9) || chr(13)) != ''], ' '), 200) AS collapsed FROM documents",
     "token_estimate": rf"""

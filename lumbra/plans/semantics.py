@@ -110,6 +110,34 @@ def resource_definitions(spark, sf_dir):
     return semantic.unambiguous(uses, p.select((F.col("p_partkey") % 300).alias("key"), (F.col("p_partkey") % 7).alias("doc"))).drop("key")
 
 
+def definition_catalogue(spark, sf_dir):
+    o = ranged(spark, sf_dir).withColumn("doc", F.concat(F.lit("src\\"), F.col("doc").cast("string")))
+    named = F.concat(_pick(("scip-ts npm p 1 a", "scip-local d ", "dotnet "), F.col("symbol")), F.col("symbol").cast("string"), _pick(("#", ".", "()"), F.floor(F.col("symbol") / 3)))
+    return semantic.definition_catalogue(o.withColumn("symbol", named)).select("doc", "symbol", "sl", "sc", F.col("enclosing.el").alias("until"))
+
+
+def token_positions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" the "), F.lit(" Class the "))).otherwise(F.replace("text", F.lit(" the "), F.lit(" the: ")))
+    return semantic.token_positions(d.select(F.concat(F.col("doc_id").cast("string"), _pick((".ts", ".json"), F.col("doc_id"))).alias("doc"), text.alias("text")), "the")
+
+
+def live_documents(spark, sf_dir):
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    opened = e.select((F.col("user_id") % 1500).alias("doc"), F.when(k % 7 == 0, (k - 1000) * 2 + 1).otherwise(k * 2).alias("version"), F.col("event_type").alias("text"), k.alias("sequence"))
+    got = semantic.live_documents(d.select(F.col("doc_id").alias("doc"), "text"), opened)
+    return got.select("doc", F.md5(F.col("text").cast("binary")).alias("md5"), "version", "stale")
+
+
+def imported_ranges(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    n = [F.col("l_linenumber"), (F.col("l_suppkey") % 9).cast("int"), F.col("l_quantity").cast("int") % 8, (F.col("l_partkey") % 9).cast("int")]
+    numbers = F.when(F.col("l_orderkey") % 3 == 0, F.array(*n)).when(F.col("l_orderkey") % 3 == 1, F.array(*n[:3])).otherwise(F.array(*n[:2]))
+    r = semantic.imported_range(numbers)
+    return li.select("l_orderkey", "l_linenumber", *[r[c].alias(c) for c in ("sl", "sc", "el", "ec")])
+
+
 def _names(spark, sf_dir):
     s = _spans(spark, sf_dir)
     return s.select("doc", (F.col("first") + F.col("last") % 5).alias("line"), (F.col("id") % 11).cast("int").alias("column"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
@@ -153,7 +181,7 @@ def symbol_chunks(spark, sf_dir):
     return definitions.symbol_chunks(files.select("doc", "text"), found).select("doc", "kind", "symbol", "first", "last", F.length("body").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (incoming_relationships, outgoing_relationships, resolved_positions, occurrence_roles, ordered_locations, overlay_documents, overlay_occurrences, overlay_symbols, occurrence_differences, supplemented_documents, imported_symbols, resource_definitions, inferred_extents, qualified_paths, own_lines, split_bodies, region_windows, symbol_chunks)}
+QUERIES = {f.__name__: f for f in (incoming_relationships, outgoing_relationships, resolved_positions, occurrence_roles, ordered_locations, overlay_documents, overlay_occurrences, overlay_symbols, occurrence_differences, supplemented_documents, imported_symbols, resource_definitions, inferred_extents, qualified_paths, own_lines, split_bodies, region_windows, symbol_chunks, definition_catalogue, token_positions, live_documents, imported_ranges)}
 
 _RANGED = """
     r AS (SELECT l_orderkey AS doc, trunc(l_linenumber / 2.0)::INT AS sl, (l_suppkey % 9)::INT AS sc, (trunc(l_linenumber / 2.0)::INT + trunc(l_quantity)::INT % 3)::INT AS el, ((l_suppkey % 9)::INT + 1 + trunc(l_quantity)::INT % 7)::INT AS ec, l_partkey AS symbol,
@@ -193,6 +221,23 @@ ORACLES = {
                CASE {' '.join(f"WHEN p_partkey % 90 IN ({', '.join(map(str, c))}) THEN '{k}'" for k, c in semantic.KINDS.items())} ELSE 'Unknown' END AS kind,
                (CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 2 END + p_partkey // 2 % 2 * 4 + p_partkey // 4 % 2 * 8 + p_partkey // 8 % 2 * 16)::INT AS roles FROM part""",
     "resource_definitions": "WITH k AS (SELECT p_partkey % 300 AS key, count(DISTINCT p_partkey % 7) AS n, min(p_partkey % 7) AS d FROM part GROUP BY 1) SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN d END AS defined_in FROM lineitem LEFT JOIN k ON key = l_partkey % 400",
+    "definition_catalogue": f"""
+        WITH {_RANGED}, n AS (SELECT *, ['scip-ts npm p 1 a', 'scip-local d ', 'dotnet '][symbol % 3 + 1] || symbol || ['#', '.', '()'][symbol // 3 % 3 + 1] AS name FROM r WHERE roles & 1 != 0)
+        SELECT 'src/' || doc AS doc, name AS symbol, sl, sc, ee AS until FROM n WHERE ee IS NOT NULL OR (symbol % 3 = 0 AND symbol // 3 % 3 < 2)""",
+    "token_positions": r"""
+        WITH d AS (SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.json' END AS doc, string_split(replace(replace(replace(text, ' the ', CASE WHEN doc_id % 3 = 0 THEN ' Class the ' ELSE ' the: ' END), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc, unnest(range(0, len(lines))) AS line, unnest(lines) AS body FROM d), t AS (SELECT *, regexp_extract_all(body, '[\p{L}\p{Nd}_$-]+|[^\p{L}\p{Nd}_$-]+') AS p FROM l WHERE contains(body, 'the')),
+        k AS (SELECT doc, line, body, p, unnest(range(1, len(p) + 1)) AS k FROM t), f AS (SELECT doc, line, body, array_to_string(p[1:k - 1], '') AS before, array_to_string(p[k + 1:], '') AS after FROM k WHERE p[k] = 'the')
+        SELECT doc, line::INT AS line, length(before)::INT AS col, lower(regexp_extract(before, '([^ \t(){}\[\]:;,=]+)[ \t(){}\[\]:;,=]*$', 1)) IN ('class', 'interface', 'enum', 'struct', 'record', 'def', 'function', 'type', 'namespace', 'module', 'const', 'let', 'var', 'trait', 'protocol')
+               OR (ends_with(doc, '.json') AND starts_with(regexp_replace(after, '^\s*"?\s*', ''), ':')) AS declares FROM f""",
+    "live_documents": """
+        WITH o AS (SELECT user_id % 1500 AS doc, CASE WHEN event_id % 7 = 0 THEN (event_id - 1000) * 2 + 1 ELSE event_id * 2 END AS version, event_type AS text, event_id FROM events),
+        l AS (SELECT *, coalesce(version <= max(version) OVER (PARTITION BY doc ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM o), v AS (SELECT doc, arg_max(text, version) AS live, max(version) AS version, bool_or(late) AS stale FROM l GROUP BY doc)
+        SELECT coalesce(v.doc, doc_id) AS doc, md5(coalesce(live, text)) AS md5, version, coalesce(stale, false) AS stale FROM documents FULL JOIN v ON v.doc = doc_id""",
+    "imported_ranges": """
+        WITH n AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, (l_suppkey % 9)::INT AS b, (trunc(l_quantity)::INT % 8) AS c, (l_partkey % 9)::INT AS d FROM lineitem),
+        f AS (SELECT l_orderkey, l_linenumber, a, b, CASE WHEN l_orderkey % 3 = 0 THEN c ELSE a END AS e, CASE WHEN l_orderkey % 3 = 0 THEN d ELSE c END AS f, l_orderkey % 3 != 2 AS whole FROM n), g AS (SELECT *, whole AND (e > a OR (e = a AND f >= b)) AS good FROM f)
+        SELECT l_orderkey, l_linenumber, CASE WHEN good THEN a END AS sl, CASE WHEN good THEN b END AS sc, CASE WHEN good THEN e END AS el, CASE WHEN good THEN f END AS ec FROM g""",
     "inferred_extents": f"""
         WITH {_NAMED}, nm AS (SELECT l_orderkey AS doc, f + l % 5 AS line, ((f * 1000 + l) % 11)::INT AS col, 'n' || (f * 1000 + l) AS name FROM (SELECT *, f + trunc(l_quantity)::INT % 25 AS l FROM (SELECT *, (l_suppkey % 40 + 1)::INT AS f FROM lineitem))),
         rep AS (SELECT DISTINCT doc, first, last FROM sp WHERE first % 4 = 0),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType, StringType
 
@@ -44,3 +44,21 @@ def append_telemetry(records: DataFrame, path: str) -> None:
     if held:
         raise ValueError(f"telemetry must not hold content: {', '.join(held)}")
     records.write.mode("append").json(path)
+
+
+def in_file_order(records: DataFrame) -> DataFrame:
+    """Records of ``read_telemetry`` with ``file`` (its name) and ``nth``, the record's place in the order of the file names and of the records in each file."""
+    named = records.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_k", F.monotonically_increasing_id())
+    return named.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("_k"))).drop("_k")
+
+
+def first_of_workflows(records: DataFrame, workflow: str, order: str) -> DataFrame:
+    """One record for each workflow, the first by ``order``; records without a workflow all stay."""
+    names = records.columns
+    first = records.where(F.col(workflow).isNotNull()).groupBy(workflow).agg(F.min_by(F.struct(*names), F.struct(order, *[c for c in names if c != order])).alias("_r")).select("_r.*")
+    return records.where(F.col(workflow).isNull()).unionByName(first)
+
+
+def kept(records: DataFrame, recorded_at: str, now: str, days: int) -> DataFrame:
+    """Records that are not older than ``days``; what an append leaves of those before it."""
+    return records.where(F.col(recorded_at) >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))

@@ -13,8 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under the one that the cluster shares; a local one only where none is named."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder under the one that the cluster shares; a local one only where none is named and Spark runs in this process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{tag}-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, tag: str, mode: str) -> DataFrame:
