@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever an operator counts or shingles words: no ASCII white space. ``bytes.split()`` finds the same words.
@@ -33,22 +36,28 @@ def scratch(spark: SparkSession) -> str:
     return named
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a job of an operator's own runs: its shuffle files go when it ends, and texts reach Python in small batches.
+OWN_JOBS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later steps neither compute it twice nor depend on its executors.
+@contextlib.contextmanager
+def own_job(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in OWN_JOBS}
+    for k, v in OWN_JOBS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    The shuffle files of the job go as soon as the table is written.
-    """
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later steps neither compute it twice nor depend on its executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with own_job(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     got = spark.read.schema(df.schema).parquet(path)
     got.stored_at = path
     return got
@@ -62,21 +71,44 @@ def dropped(*tables: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-HINT_BITS = 1 << 26  # of the bitmap of ``may_hold``: 8 MB, whatever the input
+HINT_BITS = 1 << 27  # at most, of the bitmap of ``may_hold``: 16 MB, whatever the input
 
 
 def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """``rows`` with ``_hit``: false only where ``key`` is surely not among ``keys`` (one column of the same name).
 
-    The keys' hashes are a bitmap of fixed size, broadcast in pages, so rows that cannot match are told apart without a shuffle. A full
+    The keys' hashes are a bitmap of bounded size, broadcast in pages, so rows that cannot match are told apart without a shuffle. A full
     bitmap tells nothing apart and the rows are joined as they would be without it.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(HINT_BITS)) + 1
+    bits, n = 1 << 18, keys.count()
+    while bits < min(16 * n, HINT_BITS):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     pages = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("_bits"))
-    bit = F.bitmap_bit_position("_place")
-    byte = F.conv(F.hex(F.substr("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     found = rows.withColumn("_place", place(key)).join(F.broadcast(pages), F.bitmap_bucket_number("_place") == F.col("_page"), "left")  # at most HINT_BITS / 32768 pages of 4 KB
-    return found.withColumn("_hit", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_place", "_page", "_bits")
+    return found.withColumn("_hit", _bit("_bits", "_place")).drop("_place", "_page", "_bits")
+
+
+def _bit(page: str, number: str) -> Column:
+    """The bit of a number in its page of a bitmap; false without a page."""
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substr(page, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+
+MOST_PAGES = 4096  # of 4 KB, that ``flagged`` broadcasts
+
+
+def flagged(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: is the integer ``key`` among ``keys`` (one column of the same name). Exact.
+
+    The keys themselves are a bitmap; its pages are broadcast if they are few, as with ids that are numbered. Else the rows are joined.
+    """
+    pages = stored(keys.where(F.col(key).isNotNull()).groupBy(F.bitmap_bucket_number(key).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("_bits")), "pages")
+    if pages.count() > MOST_PAGES:
+        return rows.join(keys.distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    found = rows.join(F.broadcast(pages), F.bitmap_bucket_number(key) == F.col("_page"), "left")
+    return found.withColumn(name, _bit("_bits", key)).drop("_page", "_bits")
 
 
 def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -114,28 +146,68 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled documents, chosen by a hash of doc_id; texts over ``max_chars`` are not sampled.
+SAMPLE_TOTAL = 64_000_000  # characters that a sample of texts may have in all
+
+
+def lowest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows by ``order``, whose first column is a 64-bit hash, without a top ``most`` from every partition.
+
+    Rows are counted by the first bits of the hash, so only rows up to the range of hashes that holds the ``most``-th are compared.
+    """
+    part = F.shiftright(order[0], 50)
+    counts = rows.select(part.alias("_part")).groupBy("_part").count()  # at most 2 ** 14 rows
+    upto = counts.withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).where(F.col("_before") < most).agg(F.max("_part").alias("_upto"))
+    return rows.join(F.broadcast(upto), part <= F.col("_upto")).drop("_upto").orderBy(*order).limit(most)  # one row is broadcast
+
+
+def sampled(candidates: DataFrame, columns: list[str], rows: int, max_chars: int, total: int = SAMPLE_TOTAL) -> Iterator[Row]:
+    """At most ``rows`` of candidates (doc_id, text, ``columns``) with at most ``total`` characters in all, in the order of a hash of doc_id.
+
+    Null texts and texts over ``max_chars`` are not sampled. Rows are chosen by their hashes before any text is moved; they come one by one, so
+    that no more than their features need to be held.
+    """
+    fit = candidates.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).withColumn("_text", F.xxhash64("text"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_text"), *map(F.col, columns)]
+    top = lowest(fit.select("doc_id", "_text", F.length("text").alias("_chars"), *columns), order, rows)
+    top = top.withColumn("_sum", F.sum("_chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= total)
+    ids = top.select("doc_id", "_text").distinct()  # at most ``rows``
+    got = fit.join(F.broadcast(ids), ["doc_id", "_text"]).orderBy(*order).select("text", *columns)
+    return itertools.islice(got.toLocalIterator(), rows)  # partition by partition
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, max_chars: int, columns: tuple[str, ...] = ()) -> Iterator[Row]:
+    """Rows (text, y, ``columns``) of at most ``rows`` labelled documents, see ``sampled``.
 
     ``keep`` is a condition on doc_id. A document with several labels counts with the largest, a null label as none.
     """
-    ids = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep)
-        .groupBy("doc_id").agg(F.max(label).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    got = (
-        documents.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
-        .join(F.broadcast(ids), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y").collect()
-    )
-    return [(r.text, int(r.y)) for r in got]
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    ids = lowest(known, [F.xxhash64("doc_id"), F.col("doc_id")], rows)
+    return sampled(documents.select("doc_id", "text", *columns).join(F.broadcast(ids), "doc_id"), ["y", *columns], rows, max_chars)
+
+
+def judged(documents: DataFrame, columns: list[str], inputs: list[str], run, results: str) -> DataFrame:
+    """``columns`` of every document and the ``results`` that ``run(batch)`` gives for its columns ``inputs``, in steps of 512 rows.
+
+    Results take the place of columns of the same name.
+    """
+    names = [f.split()[0] for f in results.split(", ")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns if c not in names], F.lit(0).alias("_")).alias("_all")
+    rows = documents.select(whole, *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(inputs)])
+
+    def steps(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), *run(*(part.column(k + 1).to_pylist() for k in range(len(inputs))))], names=["_all", *names])
+
+    got = rows.mapInArrow(steps, f"_all {rows.schema['_all'].dataType.simpleString()}, {results}")
+    return got.select(*[F.col(f"_all.`{c}`").alias(c) for c in columns if c not in names], *names)
 
 
 class WordCodes(dict):
     """Word (bytes) to an integer code; computes a code once and forgets all when it holds too many."""
 
-    def __init__(self, code, most: int = 1_000_000):
+    def __init__(self, code, most: int = 100_000):
         super().__init__()
         self.code, self.most = code, most
 
@@ -145,6 +217,9 @@ class WordCodes(dict):
         got = self[word] = self.code(word)
         return got
 
+    def packed(self, text: str | None, kind: type) -> np.ndarray:
+        return np.fromiter(self.of(text), kind)
+
     def of(self, text: str | None) -> list[int]:
         return list(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else []
 

@@ -1,23 +1,25 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Hashed unigrams and bigrams of words are counted in ``BUCKETS`` buckets: for the raw multinomial over all texts, for the target over a bounded
-sample of trusted documents (``TRUSTED_ROWS`` labelled rows with quality 1). A document's score is the sum of
-log p_target - log p_raw over its n-grams divided by their number. The threshold is fixed by the trusted sample: the
-score that all but ``LOSS`` of its documents reach. Every document is thresholded; no draw is made.
+Hashed unigrams and bigrams of words are counted in ``BUCKETS`` buckets: for the raw multinomial over all texts, for the target over all
+trusted documents (quality label 1), these in ``FOLDS`` folds by a hash of their text. A document's score is the sum of
+log p_target - log p_raw over its n-grams divided by their number. The threshold is fixed by trusted documents that the table has not
+seen: each fold is scored with the counts of the others (also taken out of the raw counts), and the threshold is the score
+that all but ``LOSS`` of them reach. Every document is thresholded; no draw is made.
 
 Each task of the counting job sums its batches in one array per multinomial and emits it in slices; slices are summed per range of
-buckets, so what reaches the driver is ``BUCKETS`` numbers twice, whatever the input.
+buckets, so what reaches the driver is ``BUCKETS`` numbers for each multinomial, whatever the input.
 
 Beside the score every document has base measures and base rules (too few words, too many words in repeated 3-word windows).
 
 Defined results: null texts have no words and fail the base rules; without trusted documents the score is 0 and the
-threshold lets everything pass; repeated rows are measured alike; an empty table gives an empty table; other columns are only passed on.
+threshold lets everything pass; repeated rows are measured alike; an empty table gives an empty table; results take the place of columns
+of the same name, others are only passed on.
 """
 
 from __future__ import annotations
 
 import re
-
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import flagged, judged
 from .words import grams, word_hashes
 
 BUCKETS = 1 << 16
 SLICE = 1 << 12
-TRUSTED_ROWS = 20_000
+FOLDS = 5
 LOSS = 0.002
 BINS = 20_000  # of the histogram of the trusted scores
 MIN_WORDS, REPEAT_SHARE = 50, 50
@@ -82,52 +85,62 @@ def _chunked(batches, size: int = 512):
             yield part, texts, raw
 
 
-def trusted_ids(labels: DataFrame, keep: Column, rows: int = TRUSTED_ROWS) -> DataFrame:
-    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & keep).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
-def fit_ratio(documents: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRUSTED_ROWS, loss: float = LOSS) -> Ratio:
-    ids = trusted_ids(labels, F.lit(True) if keep is None else keep, rows).withColumn("trusted", F.lit(True))
-    marked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))  # at most ``rows`` ids
+def _count(marked: DataFrame) -> np.ndarray:
+    """Bucket counts of the n-grams of all texts, then those of the trusted ones for each fold, from (text, trusted)."""
+    rows = 1 + FOLDS
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((rows, BUCKETS), np.int64)
         for part, _, raw in _chunked(batches):
-            trusted = part.column(1).to_pylist()
             hashes = word_hashes(raw)
-            for chosen in (0, 1):
-                own = [h for h, t in zip(hashes, trusted, strict=True) if t or not chosen]
-                got = [buckets(h) for h in own if len(h)]
+            of = [1 + zlib.crc32(r) % FOLDS if t else 0 for r, t in zip(raw, part.column(1).to_pylist(), strict=True)]
+            for k in range(rows):
+                got = [buckets(h) for h, f in zip(hashes, of, strict=True) if f == k and len(h)]
                 if got:
-                    total[chosen] += np.bincount(np.concatenate(got), minlength=BUCKETS)
-        k = BUCKETS // SLICE
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([total[:, i * SLICE : (i + 1) * SLICE].tobytes() for i in range(k)], pa.binary())], names=["slice", "counts"])
+                    total[k] += np.bincount(np.concatenate(got), minlength=BUCKETS)
+        if total.any():
+            total[0] = total.sum(0)
+            k = BUCKETS // SLICE
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([total[:, i * SLICE : (i + 1) * SLICE].tobytes() for i in range(k)], pa.binary())], names=["slice", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(blob, np.int64).reshape(2, SLICE)
+                got = np.frombuffer(blob, np.int64).reshape(rows, SLICE)
                 sums[k] = sums[k] + got if k in sums else got
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    kind = "slice int, counts binary"
-    total = np.zeros((2, BUCKETS), np.float64)
-    for r in marked.mapInArrow(count, kind).repartitionById(BUCKETS // SLICE, F.col("slice")).mapInArrow(add, kind).collect():
-        total[:, r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64).reshape(2, SLICE)
-    if not total[1].any():
+    kind, total = "slice int, counts binary", np.zeros((rows, BUCKETS), np.float64)
+    for r in marked.select("text", "trusted").mapInArrow(count, kind).repartitionById(BUCKETS // SLICE, F.col("slice")).mapInArrow(add, kind).collect():
+        total[:, r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64).reshape(rows, SLICE)
+    return total
+
+
+def ratio_table(target: np.ndarray, raw: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """log p_target - log p_raw of each bucket."""
+    logs = [np.log((c + smooth) / (c.sum() + smooth * BUCKETS)) for c in (target, raw)]
+    return logs[0] - logs[1]
+
+
+def fit_ratio(documents: DataFrame, labels: DataFrame, keep: Column | None = None, loss: float = LOSS) -> Ratio:
+    """``keep`` is a condition on the labels' doc_id."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = flagged(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", good, "trusted")
+    counts = _count(marked)
+    target, raw = counts[1:], counts[0]
+    if not target.any():
         return Ratio(np.zeros(BUCKETS))
-    smooth = 0.5
-    logs = np.log((total + smooth) / (total.sum(1, keepdims=True) + smooth * BUCKETS))
-    model = Ratio(logs[1] - logs[0])
-    lo, hi = float(model.table.min()), float(model.table.max()) + 1e-9
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    model = Ratio(ratio_table(target.sum(0), raw))
+    unseen = [Ratio(ratio_table(target.sum(0) - t, raw - t)) for t in target]
+    lo, hi = float(min(m.table.min() for m in unseen)), float(max(m.table.max() for m in unseen)) + 1e-9
+    shared = documents.sparkSession.sparkContext.broadcast(unseen)
 
     def spread(batches):
         got = np.zeros(BINS, np.int64)
         own = shared.value
         for _, _, raw in _chunked(batches):
-            scores = [own.score(h) for h in word_hashes(raw) if len(h)]
+            scores = [own[zlib.crc32(r) % FOLDS].score(h) for r, h in zip(raw, word_hashes(raw), strict=True) if len(h)]
             got += np.histogram(scores, BINS, (lo, hi))[0]
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], names=["bin", "n"])
@@ -143,22 +156,14 @@ def fit_ratio(documents: DataFrame, labels: DataFrame, keep: Column | None = Non
 def judge_quality(documents: DataFrame, model: Ratio, columns: list[str]) -> DataFrame:
     """``columns`` of every document with the base measures, the score, base_failed and kept."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType for f in documents.schema.fields}
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(batches):
-        own = shared.value
-        for part, texts, raw in _chunked(batches):
-            hashes = word_hashes(raw)
-            got = np.array([base_measures(t, r, h) for t, r, h in zip(texts, raw, hashes, strict=True)], np.int64).reshape(len(texts), 5)
-            score = np.array([own.score(h) for h in hashes], np.float64)
-            failed = (got[:, 0] < MIN_WORDS) | (100 * got[:, 4] > REPEAT_SHARE * got[:, 0])
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(part.schema.get_field_index(c)) for c in columns), *(pa.array(got[:, k]) for k in range(5)), pa.array(score), pa.array(failed), pa.array(~failed & (score >= own.threshold))],
-                names=[*columns, *names, "llr", "base_failed", "kept"],
-            )
-
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + "".join(f", {n} bigint" for n in names) + ", llr double, base_failed boolean, kept boolean"
-    return documents.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
+    def run(texts: list) -> list:
+        own, raw = shared.value, [(t or "").encode("utf-8", "replace") for t in texts]
+        hashes = word_hashes(raw)
+        got = np.array([base_measures(t, r, h) for t, r, h in zip(texts, raw, hashes, strict=True)], np.int64).reshape(len(texts), 5)
+        score = np.array([own.score(h) for h in hashes], np.float64)
+        failed = (got[:, 0] < MIN_WORDS) | (100 * got[:, 4] > REPEAT_SHARE * got[:, 0])
+        return [*(pa.array(got[:, k]) for k in range(5)), pa.array(score), pa.array(failed), pa.array(~failed & (score >= own.threshold))]
 
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged(documents, columns, ["text"], run, ", ".join(f"{n} bigint" for n in names) + ", llr double, base_failed boolean, kept boolean")
