@@ -3,33 +3,37 @@
 A text's subwords are the character n-grams (``NGRAMS``) of its lower-cased letter runs with a mark at both ends; other
 characters separate words. Their hashed embeddings are averaged and a linear softmax gives the languages' probabilities,
 made honest by a temperature fitted on rows kept out of training. ``lang_rejected`` is the calibrated rejection: the
-probability is under the level below which the kept rows were right less often than ``TRUST``.
+probability is under the level down to which the kept rows are right in a share of ``TRUST``, or under that of all but ``LOSS`` of the
+kept rows that are right.
 
 Training uses a bounded sample of labelled rows (``SAMPLE_ROWS`` rows, texts up to ``SAMPLE_CHARS``); prediction averages over
 all subwords of every text, piece by piece, in bounded memory.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no language to learn from every text is
-``und``; ties go to the language that sorts first.
+``und``; ties go to the language that sorts first; repeated rows are judged alike; an empty table gives an empty table; results take the place
+of columns of the same name.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import judged, sampled
+
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 60_000
 NGRAMS = (1, 2, 3, 4)
 BUCKETS, DIM = 1 << 15, 16
 STEP_CHARS = 400_000
-TRUST = 0.9
-_LETTER = re.compile(r"[^\W\d_]")
-_GAP = re.compile(r"[\W\d_]+")
+TRUST, LOSS = 0.9, 0.005
+_LETTER = regex.compile(r"\p{L}")
+_GAP = regex.compile(r"[^\p{L}\p{M}]+")
 _MIX = [np.uint32(x) for x in (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]  # fixed values: odd multipliers of the rolling hash
 
 
@@ -38,8 +42,14 @@ def has_letter(text: str | None) -> bool:
 
 
 def pieces(text: str) -> list[str]:
-    """The letter runs of a text, lower-cased, with one blank around each, in pieces of at most about ``STEP_CHARS``."""
-    return [" " + _GAP.sub(" ", text[at : at + STEP_CHARS].lower()).strip() + " " for at in range(0, len(text), STEP_CHARS)]
+    """The letter runs of a text, lower-cased, with one blank around each, in pieces of about ``STEP_CHARS`` that end between runs."""
+    out, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + STEP_CHARS)
+        end = gap.end() if gap else len(text)
+        out.append(" " + _GAP.sub(" ", text[at:end].lower()).strip() + " ")
+        at = end
+    return out
 
 
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,34 +164,23 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, batch: int = 32, rate:
     order = np.argsort(-top)
     good = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     below = np.flatnonzero(good < TRUST)
-    model.reject_below = float(top[order][below[0]]) if len(below) else float(min(0.5, top.min()))
+    model.reject_below = max(float(top[order][below[0]]) if len(below) else 0.0, float(np.quantile(top[right], LOSS)) if right.any() else 0.0)
     return model
 
 
 def language_sample(documents: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    got = (
-        documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & keep)
-        .select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(rows).select("text", "lang").collect()
-    )
-    return [(r.text, r.lang) for r in got]
+    known = documents.where(F.col("lang").isNotNull() & keep).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    return [(r["text"], r["lang"]) for r in sampled(known, ["lang"], rows, max_chars)]  # at most SAMPLE_ROWS of SAMPLE_CHARS, SAMPLE_TOTAL in all
 
 
 def predict_language(documents: DataFrame, model: SubwordSoftmax, columns: list[str]) -> DataFrame:
     """``columns`` of every document with ``lang_pred``, ``lang_score`` and ``lang_rejected``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType for f in documents.schema.fields}
 
-    def run(batches):
+    def run(texts: list) -> list:
         own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                names, score = own.predict(part.column(part.schema.get_field_index("text")).to_pylist())
-                rejected = (score < own.reject_below) | np.array([x == "und" for x in names], bool)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(c)) for c in columns), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
-                    names=[*columns, "lang_pred", "lang_score", "lang_rejected"],
-                )
-
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + ", lang_pred string, lang_score double, lang_rejected boolean"
-    return documents.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+        names, score = own.predict(texts)
+        rejected = (score < own.reject_below) | np.array([x == "und" for x in names], bool)
+        return [pa.array(names, pa.string()), pa.array(score), pa.array(rejected)]
+
+    return judged(documents, columns, ["text"], run, "lang_pred string, lang_score double, lang_rejected boolean")

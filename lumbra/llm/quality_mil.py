@@ -8,19 +8,21 @@ Training uses a bounded sample of labelled rows (``SAMPLE_ROWS`` rows, texts up
 passage of every text. The attention's softmax is summed up piece by piece, so memory stays bounded for any text.
 
 Defined results: null, empty and blank texts are one empty passage; without labels of both classes every score is the share
-of label 1 (0 without labels); repeated rows are scored alike; columns other than the text are only passed on.
+of label 1 (0 without labels); repeated rows are scored alike; an empty table gives an empty table; ``quality_score`` takes the place of a
+column of the same name, others than the text are only passed on.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import WordCodes, labelled_sample, plain_word, platt, segments, sigmoid
+from .common import STEP_WORDS, WordCodes, judged, labelled_sample, plain_word, platt, segments, sigmoid
 
 SAMPLE_ROWS = 5000
 SAMPLE_CHARS = 200_000
@@ -60,12 +62,11 @@ def passages(pieces: list[list[int]]):
     return codes, np.repeat(starts, per) + nth * PASSAGE, piece_of, lengths
 
 
-def measured(codes: np.ndarray, at: np.ndarray, piece_of: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per passage: shares of upper-case, sign, digit, sentence-ending and repeated words, of words in repeated trigrams, mean word length, fill, log document length."""
+def repeats(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: does it come again in its document, does the trigram that it begins."""
     n = len(codes)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     word = (codes >> 32).astype(np.uint64)
-    size = np.diff(np.append(at, n)).astype(np.float64)
 
     def repeated(key: np.ndarray) -> np.ndarray:
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -79,10 +80,16 @@ def measured(codes: np.ndarray, at: np.ndarray, piece_of: np.ndarray, lengths: n
         ends = last - back
         ends = ends[ends >= 0]
         gram[ends] = np.arange(len(ends), dtype=np.uint64) * np.uint64(2) + np.uint64(back)
-    columns = [(codes >> b) & 1 for b in (24, 25, 26, 27)] + [repeated(mixed), repeated(gram), (codes >> 28) & 15]
+    return repeated(mixed), repeated(gram)
+
+
+def measured(codes: np.ndarray, at: np.ndarray, again: tuple[np.ndarray, np.ndarray], whole: np.ndarray) -> np.ndarray:
+    """Per passage: shares of upper-case, sign, digit, sentence-ending and repeated words, of words in repeated trigrams, mean word length, fill, log document length (of ``whole`` words)."""
+    size = np.diff(np.append(at, len(codes))).astype(np.float64)
+    columns = [(codes >> b) & 1 for b in (24, 25, 26, 27)] + [*again, (codes >> 28) & 15]
     sums = [np.add.reduceat(c.astype(np.float64), at) / size for c in columns]
     sums[6] /= 8
-    return np.column_stack([*sums, size / PASSAGE, np.log1p(lengths[piece_of]) / 8]).astype(np.float32)
+    return np.column_stack([*sums, size / PASSAGE, np.log1p(whole) / 8]).astype(np.float32)
 
 
 @dataclass
@@ -102,30 +109,46 @@ class AttentionMil:
             "v": normal(HIDDEN**-0.5, HIDDEN, GATE), "u": normal(HIDDEN**-0.5, HIDDEN, GATE), "att": normal(GATE**-0.5, GATE), "out": normal(0.3, HIDDEN), "out_b": np.zeros(1, np.float32),
         })
 
-    def encode(self, pieces: list[list[int]]):
+    def encode(self, pieces: list[list[int]], again: tuple[np.ndarray, np.ndarray] | None = None, words: int | None = None):
+        """``again`` and ``words`` are those of the whole document where a piece is a part of one."""
         codes, at, piece_of, lengths = passages(pieces)
+        again = repeats(codes, lengths) if again is None else again
+        whole = lengths[piece_of] if words is None else np.full(len(piece_of), words)
         word, shape = codes & (WORDS - 1), (codes >> 14) & (SHAPES - 1)
         size = np.diff(np.append(at, len(codes)))[:, None]
         mean = np.add.reduceat(self.p["words"][word] + self.p["shapes"][shape], at, axis=0) / size
-        z = np.hstack([mean, measured(codes, at, piece_of, lengths)]).astype(np.float32)
+        z = np.hstack([mean, measured(codes, at, again, whole)]).astype(np.float32)
         h = np.tanh(z @ self.p["enc"] + self.p["enc_b"])
         tv, su = np.tanh(h @ self.p["v"]), sigmoid(h @ self.p["u"])
         return h, (tv * su) @ self.p["att"], piece_of, (word, shape, at, size, z, tv, su)
 
     def logits(self, codes: list[list[int]]) -> np.ndarray:
         weight, total = np.zeros(len(codes)), np.zeros((len(codes), HIDDEN))
-        for part in segments(codes, 0):
-            h, e, piece_of, _ = self.encode([p for _, p in part])
-            doc = np.array([i for i, _ in part])[piece_of]
+
+        def add(h, e, doc):
             a = np.exp(np.clip(e, -30, 30))
             np.add.at(weight, doc, a)
             np.add.at(total, doc, a[:, None] * h)
+
+        long = [i for i, words in enumerate(codes) if len(words) > STEP_WORDS]
+        for part in segments([[] if i in long else words for i, words in enumerate(codes)], 0):
+            part = [(i, p) for i, p in part if i not in long]
+            if part:
+                h, e, piece_of, _ = self.encode([p for _, p in part])
+                add(h, e, np.array([i for i, _ in part])[piece_of])
+        for i in long:  # whole passages in each piece, measured against the whole document
+            words = np.array(codes[i], np.int64)
+            again = repeats(words, np.array([len(words)]))
+            for at in range(0, len(words), STEP_WORDS // PASSAGE * PASSAGE):
+                piece = slice(at, at + STEP_WORDS // PASSAGE * PASSAGE)
+                h, e, piece_of, _ = self.encode([words[piece]], (again[0][piece], again[1][piece]), len(words))
+                add(h, e, np.full(len(piece_of), i))
         return total / np.maximum(weight, 1e-30)[:, None] @ self.p["out"] + self.p["out_b"][0]
 
     def score(self, codes: list[list[int]]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(codes), self.prior)
-        return sigmoid(self.scale * self.logits(codes) + self.shift)
+        return np.round(sigmoid(self.scale * self.logits(codes) + self.shift), 6)  # the same in any batch
 
     def learn(self, pieces: list[list[int]], y: np.ndarray, weight: np.ndarray, rate: float, state: dict) -> None:
         """One Adagrad step on a batch of documents."""
@@ -160,15 +183,17 @@ class AttentionMil:
             p[name][own] -= rate * g / np.sqrt(seen[own])
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 5, batch: int = 32, seed: int = 5) -> AttentionMil:
+def train(sample: Iterable[tuple[str, int]], epochs: int = 5, batch: int = 32, seed: int = 5) -> AttentionMil:
     """A calibrated classifier from (text, label); every fifth row is kept for the calibration."""
-    y = np.array([r[1] for r in sample], np.float32)
-    if len(sample) < 10 or y.min() == y.max():
+    ids, codes, y = WordCodes(word_code), [], []
+    for text, label in sample:
+        codes.append(ids.packed(text, np.int64))
+        y.append(label)
+    y = np.array(y, np.float32)
+    if len(codes) < 10 or y.min() == y.max():
         return AttentionMil(prior=float(y.mean()) if len(y) else 0.0)
     model, state, rng = AttentionMil.fresh(seed), {}, np.random.default_rng(seed)
-    ids = WordCodes(word_code, 300_000)
-    codes = [ids.of(r[0]) for r in sample]
-    fit, held = [i for i in range(len(sample)) if i % 5], [i for i in range(len(sample)) if i % 5 == 0]
+    fit, held = [i for i in range(len(codes)) if i % 5], [i for i in range(len(codes)) if i % 5 == 0]
     if y[held].min() == y[held].max():
         held = fit
     share = float(y[fit].mean())
@@ -184,21 +209,11 @@ def train(sample: list[tuple[str, int]], epochs: int = 5, batch: int = 32, seed:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> AttentionMil:
-    return train(labelled_sample(documents, labels, "quality", keep, rows, max_chars))
+    return train((r["text"], r["y"]) for r in labelled_sample(documents, labels, "quality", keep, rows, max_chars))
 
 
 def score_quality(documents: DataFrame, model: AttentionMil, columns: list[str]) -> DataFrame:
     """``columns`` of every document with ``quality_score``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType for f in documents.schema.fields}
-
-    def run(batches):
-        own, ids = shared.value, WordCodes(word_code, 500_000)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                score = own.score([ids.of(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in columns), pa.array(score)], names=[*columns, "quality_score"])
-
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + ", quality_score double"
-    return documents.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+    words = WordCodes(word_code)
+    return judged(documents, columns, ["text"], lambda texts: [pa.array(shared.value.score([words.of(t) for t in texts]))], "quality_score double")

@@ -21,14 +21,14 @@ def vocabulary() -> dict:
     return {"vocabulary": names[0], "ranks": names[1], "pattern": public_tokenizers.PATTERN}
 
 
-def scored(documents: DataFrame, score: str, held_out) -> DataFrame:
-    return documents.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+def scored(documents: DataFrame, score: str, held_out, *more: str) -> DataFrame:
+    return documents.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"), *more)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(documents, labels, crc_mod("doc_id", 4) != 2)
-    return scored(toxicity.score_toxicity(documents, model, ["doc_id"]), "tox_score", crc_mod("doc_id", 4) == 2)
+    return scored(toxicity.score_toxicity(documents, model, ["doc_id"]), "tox_score", crc_mod("doc_id", 4) == 2, "tox_threshold", "toxic_found")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,19 @@
 A word is the sum of two hashed embeddings (two independent halves of one 32-bit hash, so that two words share both
 only by a rare accident). Filters of several widths slide over the words, the maximum of each filter over the whole text is
 taken, and a logistic layer scores the document. The raw score is calibrated (Platt) on rows kept out of training, and a
-threshold is calibrated for each language on the same rows.
+threshold is calibrated for each language on the same rows, drawn towards that of all rows.
 
 Training uses a bounded sample of labelled rows (``SAMPLE_ROWS`` rows, texts up to ``SAMPLE_CHARS``); scoring reads every
 whole text, in pieces of bounded size whose maxima are combined.
 
 Defined results: null, empty and blank texts are scored like a text without words; without labels of both classes every
-score is the share of label 1 (0 without labels); repeated rows are scored alike; only the columns named here are read.
+score is the share of label 1 (0 without labels); repeated rows are scored alike; an empty table gives an empty table; results take the
+place of columns of the same name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, labelled_sample, platt, segments, sigmoid, word_hash
+from .common import WordCodes, judged, labelled_sample, platt, segments, sigmoid, word_hash
 
 SAMPLE_ROWS = 10_000
 SAMPLE_CHARS = 200_000
+PRIOR_ROWS = 50  # what all languages together weigh in a language's threshold
 HALF, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 12
 PAD = HALF  # a zero row at the end of each embedding table
 
@@ -50,8 +53,8 @@ class TextCnn:
         return cls(tables, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32))
 
     @staticmethod
-    def flat(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both hash halves of all words, each piece followed by pads, and where pieces start."""
+    def flat(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both hash halves of all words, each piece followed by pads, where pieces start, and which places are words."""
         pads = max(WIDTHS) - 1 or 1
         lengths = np.fromiter((len(p) + pads for p in pieces), np.int64, len(pieces))
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -62,11 +65,11 @@ class TextCnn:
             real[s : s + len(p)] = True
         low, high = (codes & (HALF - 1)).astype(np.int64), (codes >> 16).astype(np.int64)
         low[~real] = high[~real] = PAD
-        return low, high, starts
+        return low, high, starts, real
 
     def convolve(self, pieces: list[list[int]]):
         """Maxima of each filter over each piece, with the words' vectors and the winning places for training."""
-        low, high, starts = self.flat(pieces)
+        low, high, starts, real = self.flat(pieces)
         x = self.tables[0][low] + self.tables[1][high]
         n = len(x)
         padded = np.vstack([x, np.zeros((max(WIDTHS) - 1, DIM), np.float32)])
@@ -75,10 +78,11 @@ class TextCnn:
             act = padded[:n] @ f[:DIM]
             for k in range(1, w):
                 act += padded[k : k + n] @ f[k * DIM : (k + 1) * DIM]
+            act[~real] = 0  # a window that begins after the piece is empty, whatever comes next
             act += b
             maxima.append(np.maximum.reduceat(act, starts, axis=0))
             acts.append(act)
-        return np.hstack(maxima), (low, high, starts, padded, acts)
+        return np.hstack(maxima), (low, high, starts, real, padded, acts)
 
     def logits(self, codes: list[list[int]]) -> np.ndarray:
         best = np.full((len(codes), len(self.out)), -np.inf, np.float32)
@@ -90,11 +94,11 @@ class TextCnn:
     def score(self, codes: list[list[int]]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(codes), self.prior)
-        return sigmoid(self.scale * self.logits(codes).astype(np.float64) + self.shift)
+        return np.round(sigmoid(self.scale * self.logits(codes).astype(np.float64) + self.shift), 6)  # the same in any batch
 
     def learn(self, pieces: list[list[int]], y: np.ndarray, weight: np.ndarray, rate: float, state: dict) -> None:
         """One Adagrad step on a batch of documents."""
-        pooled, (low, high, starts, padded, acts) = self.convolve(pieces)
+        pooled, (low, high, starts, real, padded, acts) = self.convolve(pieces)
         relu = np.maximum(pooled, 0)
         p = sigmoid(relu @ self.out + self.bias)
         err = ((p - y) * weight / len(y)).astype(np.float32)
@@ -124,9 +128,9 @@ class TextCnn:
             for off in range(w):
                 at_off = np.minimum(at + off, len(padded) - 1)
                 inside = at_off < len(low)
-                vec = padded[at_off]
+                vec = padded[at_off] * real[at][..., None]
                 grad_f[off * DIM : (off + 1) * DIM] = np.einsum("bfd,bf->df", vec, g)
-                live = (g != 0) & inside
+                live = (g != 0) & inside & real[at]
                 rows.append(at_off[live])
                 grads.append(g[live][:, None] * f[off * DIM : (off + 1) * DIM].T[np.nonzero(live)[1]])
             step(f"f{w}", f, grad_f + 1e-5 * f)
@@ -142,26 +146,29 @@ class TextCnn:
             table[own] -= rate * total / np.sqrt(seen[own])
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The threshold with the fewest errors; of equals, the middle of the gap nearest to ``default``."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray, default: float) -> float:
+    """The threshold with the least weight of errors; of equals, the middle of the gap nearest to ``default``."""
     if len(set(y.tolist())) < 2:
         return default
     cuts = np.unique(np.concatenate([p, [0.0, 1.0]]))
     mids = np.append((cuts[1:] + cuts[:-1]) / 2, default)
-    errors = ((p[None, :] >= mids[:, None]) != (y[None, :] == 1)).sum(1)
-    best = mids[errors == errors.min()]
+    errors = np.array([weight[(p >= m) != (y == 1)].sum() for m in mids])
+    best = mids[errors <= errors.min() + 1e-9]
     return float(best[np.abs(best - default).argmin()])
 
 
-def train(sample: list[tuple[str, int, str | None]], epochs: int = 10, batch: int = 32, seed: int = 7, default: float = 0.3) -> TextCnn:
+def train(sample: Iterable[tuple[str, int, str | None]], epochs: int = 10, batch: int = 32, seed: int = 7, default: float = 0.3) -> TextCnn:
     """A calibrated classifier from (text, label, language); every fifth row is kept for the calibration."""
-    y = np.array([r[1] for r in sample], np.float32)
-    if len(sample) < 10 or y.min() == y.max():
+    ids, codes, y, langs = WordCodes(word_hash), [], [], []
+    for text, label, lang in sample:
+        codes.append(ids.packed(text, np.uint32))
+        y.append(label)
+        langs.append(lang or "")
+    y = np.array(y, np.float32)
+    if len(codes) < 10 or y.min() == y.max():
         return TextCnn(prior=float(y.mean()) if len(y) else 0.0, threshold=default)
     model, state, rng = TextCnn.fresh(seed), {}, np.random.default_rng(seed)
-    ids = WordCodes(word_hash)
-    codes = [ids.of(r[0]) for r in sample]
-    fit, held = [i for i in range(len(sample)) if i % 5], [i for i in range(len(sample)) if i % 5 == 0]
+    fit, held = [i for i in range(len(codes)) if i % 5], [i for i in range(len(codes)) if i % 5 == 0]
     if y[held].min() == y[held].max():
         held = fit
     share = y[fit].mean()
@@ -176,51 +183,34 @@ def train(sample: list[tuple[str, int, str | None]], epochs: int = 10, batch: in
     logit = model.logits([codes[i] for i in held]).astype(np.float64)
     model.scale, model.shift = platt(logit, y[held])
     p = sigmoid(model.scale * logit + model.shift)
-    model.threshold = best_threshold(p, y[held], default)
-    langs = np.array([r[2] or "" for r in sample])[held]
-    for lang in sorted(set(langs.tolist())):
-        own = langs == lang
-        if own.sum() >= 50:
-            model.thresholds[lang] = best_threshold(p[own], y[held][own], default)
+    model.threshold = best_threshold(p, y[held], np.ones(len(held)), default)
+    langs = np.array(langs)[held]
+    for lang in sorted(set(langs.tolist())):  # all rows together count as PRIOR_ROWS of the language
+        model.thresholds[lang] = best_threshold(p, y[held], (langs == lang) + PRIOR_ROWS / len(held), model.threshold)
     return model
 
 
-def sample_with_language(documents: DataFrame, labels: DataFrame, keep: Column, rows: int, max_chars: int) -> list[tuple[str, int, str | None]]:
-    """``labelled_sample`` with the document's language, which only the thresholds use."""
-    tagged = documents.select("doc_id", F.to_json(F.struct(F.col("text").alias("t"), F.col("lang").cast("string").alias("l"))).alias("text"))
-    import json
-
-    out = []
-    for text, y in labelled_sample(tagged.where(F.length("text") <= max_chars), labels, "toxic", keep, rows, 2 * max_chars):
-        both = json.loads(text)
-        out.append((both.get("t", ""), y, both.get("l")))
-    return out
-
-
 def fit_toxicity(documents: DataFrame, labels: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> TextCnn:
-    return train(sample_with_language(documents, labels, keep, rows, max_chars))
+    """The language of a sampled row is only used for the thresholds."""
+    own = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    return train((r["text"], r["y"], r["lang"]) for r in labelled_sample(own, labels, "toxic", keep, rows, max_chars, ("lang",)))
 
 
 def score_toxicity(documents: DataFrame, model: TextCnn, columns: list[str]) -> DataFrame:
     """``columns`` of every document with ``tox_score``, its language's calibrated ``tox_threshold`` and ``toxic_found``."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType for f in documents.schema.fields}
-    read = list(dict.fromkeys([*columns, "text", "lang"]))
-
-    def run(batches):
-        own, ids = shared.value, WordCodes(word_hash)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                langs = part.column(part.schema.get_field_index("lang")).to_pylist()
-                score = own.score([ids.of(t) for t in texts])
-                cut = np.array([own.thresholds.get(x, own.threshold) for x in langs], np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(c)) for c in columns), pa.array(score), pa.array(cut), pa.array(score >= cut)],
-                    names=[*columns, "tox_score", "tox_threshold", "toxic_found"],
-                )
-
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + ", tox_score double, tox_threshold double, toxic_found boolean"
-    return documents.select(*read).mapInArrow(run, schema)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    words = WordCodes(word_hash)
+
+    def run(texts: list, langs: list) -> list:
+        own = shared.value
+        score = own.score([words.of(t) for t in texts])
+        cut = np.array([own.thresholds.get(x or "", own.threshold) for x in langs], np.float64)
+        return [pa.array(score), pa.array(cut), pa.array(score >= cut)]
+
+    return judged(documents, columns, ["text", "lang"], run, "tox_score double, tox_threshold double, toxic_found boolean")
+
+
+def without_toxic(documents: DataFrame, model: TextCnn) -> DataFrame:
+    """The documents under their language's threshold, with their columns."""
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), "text", "lang")
+    return score_toxicity(whole, model, ["whole"]).where(~F.col("toxic_found")).select("whole.*")
