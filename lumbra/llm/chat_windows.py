@@ -4,7 +4,7 @@ A turn is written ``### role: text</turn>`` and a line feed. Inside roles and te
 before each ``#`` of a run of three or more and inside ``</turn>``, and before ``:`` in roles; dropping one backslash of each pair
 gives the original back, so no text can imitate a mark.
 
-The prefix sums of the turns' token counts choose the windows: a window starts at the first turn not yet written, and
+The prefix sums of the written turns' token counts choose the windows: a window starts at the first turn not yet written, and
 ends before the turn whose prefix sum goes beyond the budget left by its context. The context repeats the system turn that opens the
 conversation and at most ``HISTORY`` turns, the latest ones, that take at most ``HISTORY_SHARE`` of the budget. Spans are always whole
 turns; a turn larger than the budget has a window of its own. Only assistant texts that are new in a window are under the loss
@@ -135,7 +135,7 @@ def windows(conversations: DataFrame, encoder_of, budget: int = BUDGET) -> DataF
                     if own is not None:
                         out.append(own.close())
                     own = Windows(conv, budget)
-                done = own.add(role, text, len(encoder.ids(text)) + 4)
+                done = own.add(role, text, len(encoder.ids(format_turn(role, text)[0])))
                 if done:
                     out.append(done)
             if len(out) >= 500:

@@ -3,8 +3,8 @@
 A document's ids are cut into whole windows and a rest. Whole windows are sequences of their own. A rest goes, as it comes,
 to the fill level where the sum of the squared numbers of partially filled windows at each level becomes least (a new window
 is level 0; of equal levels the fullest). The numbers stand in a level array, so placing a rest is one numpy pass over it.
-Where more than ``OPEN`` windows are open, and at the end of a partition, open windows are settled: the emptiest are cut
-to fill the fullest, which leaves one partial window at most. Every partition of the input packs on its own, without a
+Every rest of a partition is placed so. At its end the windows that are still open are settled: the emptiest are cut
+to fill the fullest, which leaves one partial window at most; what is held until then is the ids of rests, four bytes each, of one partition. Every partition of the input packs on its own, without a
 shuffle; a sequence's number carries its partition.
 
 Ids are those of a byte-level BPE vocabulary file for the ``tokenizers`` library, then an end id. The same vocabulary as ranks
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 END_ID = 0
-OPEN = 4096
 STEP_CHARS = 1_000_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")  # tokens never span such a place: a token may only begin with the blank
 _LONG = re.compile(r"\S{4000}|\s{4000}")
@@ -80,7 +79,6 @@ class Levels:
         self.window = window
         self.count = np.zeros(window, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
-        self.held = 0
         self.sequence = 0
 
     def place(self, piece: tuple, size: int) -> list[list] | None:
@@ -96,7 +94,6 @@ class Levels:
         if best:
             got = self.open[best].pop()
             n[best] -= 1
-            self.held -= 1
         else:
             got = []
         got.append(piece)
@@ -104,15 +101,13 @@ class Levels:
             return got
         self.open[best + size].append(got)
         n[best + size] += 1
-        self.held += 1
         return None
 
-    def settle(self, keep_last: bool) -> Iterator[list]:
-        """Cuts the emptiest open windows to fill the fullest. The rest stays open if ``keep_last``."""
+    def settle(self) -> Iterator[list]:
+        """All open windows: the emptiest are cut to fill the fullest."""
         flat = [(h, w) for h in range(self.window - 1, 0, -1) for w in self.open[h]]
         self.count[:] = 0
         self.open = [[] for _ in range(self.window)]
-        self.held = 0
         i, j, spare = 0, len(flat) - 1, []
         while i < j or (i == j and spare):
             fill, window = flat[i]
@@ -135,13 +130,8 @@ class Levels:
                 break
         if spare:
             flat, i, j = [(sum(len(p[2]) for p in spare), spare[::-1])], 0, 0
-        for fill, window in flat[i : j + 1]:
-            if keep_last:
-                self.open[fill].append(window)
-                self.count[fill] += 1
-                self.held += 1
-            else:
-                yield window
+        for _, window in flat[i : j + 1]:
+            yield window
 
 
 def pack(documents: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str = "", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -176,12 +166,9 @@ def pack(documents: DataFrame, vocabulary: str, ranks: str | None = None, patter
                     full = levels.place((doc, whole, ids[whole:].copy(), len(ids)), len(ids) - whole)
                     if full:
                         emit(full)
-                if levels.held > OPEN:
-                    for full in levels.settle(True):
-                        emit(full)
                 if len(rows) >= 2000:
                     yield flush()
-        for full in levels.settle(False):
+        for full in levels.settle():
             emit(full)
         yield flush()
 

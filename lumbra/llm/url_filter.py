@@ -1,16 +1,21 @@
 """URL filters: gradient-boosted trees on lexical features, after allow and block rules; DataFrame functions only.
 
 Features are expressions on the url: lengths of url, host and path, depths of path and host, digit ratio, entropy of the host's
-characters, number of parameters, hyphens, longest label, and the smoothed block rate of the host's last label (suffix statistics from
-the training sample, at most ``SUFFIXES`` labels, others at the prior). Trees are fitted by histogram boosting (logistic loss, Newton
-leaves) on a bounded sample of labelled urls (``SAMPLE_ROWS``, by a hash of the url); the fitted trees are one SQL expression, so
-judging a url needs no shuffle and no Python. Where no labels are given, those urls are labelled that a rule decides.
+characters, number of parameters, hyphens, longest label, and suffix statistics: the smoothed block rate of the host's last label over
+the labelled sample. A url's own fold (of ``FOLDS``, by a hash of the url) doesn't count in the rate that the trees are fitted on, so they don't see their labels
+in it. Trees are fitted by histogram boosting (logistic loss, Newton leaves) on a bounded sample of labelled urls
+(``SAMPLE_ROWS``, by a hash of the url); the fitted trees are one SQL expression and the rates one small table, so
+judging a url needs no shuffle and no Python.
+
+Labels are a table (url, block). Where none is given, those urls are labelled that a rule decides; as rules look at the host's suffix, suffix
+statistics are then left out, else the trees would only repeat the rules.
 
 A rule (host, path, verdict) fits its host and all subdomains if the url's path starts with the rule's path; the longest
 fitting rule wins, and of equally long ones the first by code point. Rules are a bounded list (``MAX_RULES``).
 
-Defined results: null urls and urls without ``://`` have empty host and path and are judged by the trees; without labels of both
-verdicts the trees are the prior (allow without labels); repeated rows are judged alike; an empty table gives an empty table.
+Defined results: null urls and urls without ``://`` have empty host and path and are judged by the trees; null labels are none, a url with several
+labels counts with the largest; without labels of both verdicts the trees are the prior (allow without labels); repeated rows are judged alike;
+an empty table gives an empty table; results take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MAX_RULES = 500
 SAMPLE_ROWS = 20_000
-SUFFIXES = 256
+FOLDS, PRIOR_WEIGHT = 5, 5
 TREES, DEPTH, RATE, BINS, LEAST = 30, 3, 0.3, 32, 5
 _URL = r"^(?s).*?://([^/?#]*)([^?#]*)"
 
@@ -115,55 +122,64 @@ def _expression(tree, columns: list[Column]) -> Column:
     return F.when(columns[f] <= cut, _expression(left, columns)).otherwise(_expression(right, columns))
 
 
+NAMES = ["length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "entropy", "parameters", "hyphens", "longest_label", "secure"]
+
+
 class UrlModel:
-    """Suffix statistics and trees; ``logit`` is a Column expression."""
+    """Suffix statistics (None where they are left out) and trees; ``logit`` is a Column expression."""
 
-    def __init__(self, rows: list):
-        known = [(r["suffix"], float(r["block"]), [r[n] for n in NAMES]) for r in rows]
-        y = np.array([k[1] for k in known])
+    def __init__(self, rows: list, with_suffixes: bool):
+        y = np.array([float(r["block"]) for r in rows])
+        x = np.array([[r[n] for n in NAMES] for r in rows]).reshape(len(rows), len(NAMES))
         self.prior = float(y.mean()) if len(y) else 0.0
-        sums: dict[str, list[float]] = {}
-        for s, b, _ in known:
-            got = sums.setdefault(s, [0.0, 0.0])
-            got[0] += b
-            got[1] += 1
-        top = sorted(sums.items(), key=lambda kv: (-kv[1][1], kv[0]))[:SUFFIXES]
-        self.rates = {s: (b + 5 * self.prior) / (n + 5) for s, (b, n) in top}
-        x = np.array([[*v, self.rates.get(s, self.prior)] for s, _, v in known]).reshape(len(known), len(NAMES) + 1)
+        self.rates: dict[str, float] | None = None
+        if with_suffixes:
+            fold = np.array([r["fold"] for r in rows], np.int64)
+            names, of = np.unique([r["suffix"] for r in rows], return_inverse=True) if rows else ([], np.zeros(0, np.int64))
+            blocked, n = np.bincount(of, y, len(names)), np.bincount(of, minlength=len(names))
+            own = of * FOLDS + fold
+            in_fold, n_fold = np.bincount(own, y, len(names) * FOLDS), np.bincount(own, minlength=len(names) * FOLDS)
+            rate = lambda b, k: (b + PRIOR_WEIGHT * self.prior) / (k + PRIOR_WEIGHT)
+            self.rates = dict(zip(map(str, names), rate(blocked, n).tolist(), strict=True))  # no more than rows of the sample
+            x = np.column_stack([x, rate(blocked[of] - in_fold[own], n[of] - n_fold[own])])
         self.base, self.trees = boost(x, y)
 
-    def logit(self, got: dict[str, Column], suffix: Column) -> Column:
-        pairs = [F.lit(v) for kv in sorted(self.rates.items()) for v in kv]
-        rate = F.coalesce(F.element_at(F.create_map(*pairs), suffix), F.lit(self.prior)) if pairs else F.lit(self.prior)
-        columns = [*(got[n] for n in NAMES), rate]
+    def logit(self, columns: list[Column]) -> Column:
         total = F.lit(self.base)
         for tree in self.trees:
             total = total + _expression(tree, columns)
         return total
 
 
-NAMES = ["length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "entropy", "parameters", "hyphens", "longest_label", "secure"]
-
+def parsed(pages: DataFrame) -> DataFrame:
+    """Columns (_all, _url) with host, path and the fitting rule."""
+    return pages.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url"))).withColumn("_rule", rule_of(F.col("_host"), F.col("_path")))
 
-def parsed(pages: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` with host, path and the fitting rule."""
-    got = pages.select(*columns, F.col("url").cast("string").alias("url")) if "url" not in columns else pages.select(*columns)
-    return got.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("_rule", rule_of(F.col("host"), F.col("path")))
 
-
-def fit_urls(pages: DataFrame, rows: int = SAMPLE_ROWS) -> UrlModel:
-    """From urls that a rule decides: block is the positive class."""
-    got = parsed(pages, ["url"]).where(F.col("_rule").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(rows)
-    got = got.select(suffix_of(F.col("host")).alias("suffix"), (F.col("_rule.verdict") == "block").cast("int").alias("block"), *(c.alias(n) for n, c in features(F.col("url"), F.col("host"), F.col("path")).items()))
-    return UrlModel(got.collect())
+def fit_urls(pages: DataFrame, labels: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> UrlModel:
+    """From labels (url, block); without them from the urls of ``pages`` that a rule decides. Block is the positive class."""
+    if labels is None:
+        got = parsed(pages.select(F.col("url").cast("string").alias("_url"))).where(F.col("_rule").isNotNull()).select("_url", (F.col("_rule.verdict") == "block").cast("int").alias("block"))
+    else:
+        got = labels.select(F.col("url").cast("string").alias("_url"), F.col("block").cast("int").alias("block")).where("block is not null").groupBy("_url").agg(F.max("block").alias("block"))
+    got = parsed(lowest(got, [F.xxhash64("_url"), F.col("_url"), F.col("block")], rows))
+    fold = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(FOLDS)).alias("fold")
+    got = got.select(suffix_of(F.col("_host")).alias("suffix"), fold, "block", *(c.alias(n) for n, c in features(F.col("_url"), F.col("_host"), F.col("_path")).items()))
+    return UrlModel(got.collect(), labels is not None)
 
 
 def judge(pages: DataFrame, model: UrlModel, columns: list[str]) -> DataFrame:
     """``columns`` of every page with host, path, rule, the trees' block probability and the verdict."""
-    got = parsed(pages, columns)
-    got = got.select("*", *(c.alias(f"_{n}") for n, c in features(F.col("url"), F.col("host"), F.col("path")).items()))
-    logit = model.logit({n: F.col(f"_{n}") for n in NAMES}, suffix_of(F.col("host")))
-    return got.withColumn("block_score", 1 / (1 + F.exp(-logit))).select(
-        *columns, "host", "path", F.col("_rule.rule").alias("rule"), "block_score",
-        F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")).alias("verdict"),
-    )
+    results = ("host", "path", "rule", "block_score", "verdict")
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns if c not in results], F.lit(0).alias("_")).alias("_all")
+    got = parsed(pages.select(whole, F.col("url").cast("string").alias("_url")))
+    got = got.select("*", *(c.alias(f"_{n}") for n, c in features(F.col("_url"), F.col("_host"), F.col("_path")).items()))
+    inputs = [F.col(f"_{n}") for n in NAMES]
+    if model.rates is not None:
+        rates = pages.sparkSession.createDataFrame([*model.rates.items()], "_suffix string, _rate double")
+        got = got.join(F.broadcast(rates), suffix_of(F.col("_host")) == F.col("_suffix"), "left")  # no more rows than the sample has
+        inputs.append(F.coalesce("_rate", F.lit(model.prior)))
+    got = got.withColumn("_score", 1 / (1 + F.exp(-model.logit(inputs))))
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_score") >= 0.5, "block").otherwise("allow"))
+    named = dict(zip(results, (F.col("_host"), F.col("_path"), F.col("_rule.rule"), F.col("_score"), verdict), strict=True))
+    return got.select(*[F.col(f"_all.`{c}`").alias(c) for c in columns if c not in results], *(c.alias(n) for n, c in named.items()))
