@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix join of word-shingle sets, exact.
 
 1. Every text becomes its set of distinct word n-grams (64-bit hashes). Texts with the same set are one class from here on.
-2. Grams are put in a global order, rare before frequent: all grams of all texts are counted in ``BUCKETS`` buckets of their hash, and a gram's rank is
+2. Grams are put in a global order, rare before frequent: all grams of all texts are counted in 2 ** ``BUCKETS_BITS`` buckets of their hash, and a gram's rank is
    its bucket's count on a logarithmic scale, then its hash. Any order is valid; grams that share a bucket only make the filter weaker.
 3. The prefix of a set of n grams are its n - ceil(t n) + 1 first; two sets with similarity t share one gram of their prefixes. Classes
    with the same prefix and size are collapsed into one group, and the index of prefix grams holds groups only, of these only the grams that two
@@ -25,15 +25,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, dropped, numbered, raw, stored, without
+from .common import among, dropped, numbered, own_job, raw, stored, without
 from .words import gram_set, mixed, word_hashes
 
-BUCKETS_BITS, SLICES = 24, 256
+BUCKETS_BITS, SLICES = 22, 64
 HEAVY = 20_000  # a gram in a bucket with so many texts, and four times the mean, is heavy
-CELL_SETS, CELL_GRAMS = 512, 1_000_000
+CELL_SETS, CELL_GRAMS = 256, 1_000_000
 NEIGHBOURS = 16  # entries of a gram that are compared by place
 RANGE_GRAMS = 1_000_000  # prefix grams that one matching task is meant to hold
 STEP = 256
@@ -107,7 +108,9 @@ def gram_order(texts: DataFrame, n: int, heavy: int = HEAVY) -> Order:
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([_rank(x).tobytes() for x in got.values()], pa.binary()), pa.array([int(x.sum(dtype=np.int64)) for x in got.values()], pa.int64())], names=["slice", "ranks", "grams"])
 
     ranks, grams = np.zeros(1 << BUCKETS_BITS, np.uint8), 0
-    for r in texts.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(sums, "slice int, ranks binary, grams bigint").collect():  # SLICES rows
+    with own_job(texts.sparkSession):
+        got = texts.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(sums, "slice int, ranks binary, grams bigint").collect()  # SLICES rows
+    for r in got:
         ranks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["ranks"], np.uint8)
         grams += r["grams"]
     return Order(ranks, int(_rank(np.array([max(heavy, 4 * grams >> BUCKETS_BITS)]))[0]))
@@ -116,9 +119,8 @@ def gram_order(texts: DataFrame, n: int, heavy: int = HEAVY) -> Order:
 PROFILE = "id bigint, n int, class binary, grp bigint, prefix binary"
 
 
-def profiles(rows: DataFrame, n: int, num: int, den: int, order: Order) -> DataFrame:
-    """Per row (id, text): size of the set, its class, its group and its prefix."""
-    shared = rows.sparkSession.sparkContext.broadcast(order)
+def profiles(rows: DataFrame, n: int, num: int, den: int, shared: Broadcast) -> DataFrame:
+    """Per row (id, text): size of the set, its class, its group and its prefix. ``shared`` is the broadcast ``Order``."""
 
     def run(batches):
         own = shared.value
@@ -166,13 +168,12 @@ def _partnered(grams: np.ndarray, sizes: np.ndarray, place: np.ndarray, num: int
     return kept
 
 
-def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Order) -> DataFrame:
+def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, shared: Broadcast) -> DataFrame:
     """From rows (grp, n, prefix): the index (gram, group, n, groups of the gram, times) of grams that groups of similar sizes share.
 
     Grams that the same groups share are one entry each, under a hash of these groups; ``times`` says how many they are.
     """
     ranges = 1 << bits
-    shared = prefixes.sparkSession.sparkContext.broadcast(order)
     blobs = {"grams": np.uint64, "owner": np.int32, "place": np.uint16, "groups": np.int64, "sizes": np.int32}
 
     def slices(batches):
@@ -249,7 +250,7 @@ def shared_grams(prefixes: DataFrame, bits: int, num: int, den: int, order: Orde
 
     found = prefixes.mapInArrow(slices, "range int, " + ", ".join(f"{c} binary" for c in blobs)).repartitionById(ranges, F.col("range")).mapInArrow(match, ENTRY)
     found = found.groupBy("gram", "grp").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.sum("times").alias("times"))
-    if int(order.ranks.max()) < order.heavy:
+    if int(shared.value.ranks.max()) < shared.value.heavy:
         return found
     rows = prefixes.mapInArrow(heavy, ENTRY).dropDuplicates(["gram", "grp"]).drop("k")
     return found.unionByName(rows.join(rows.groupBy("gram").agg(F.count("grp").alias("k")).where("k > 1"), "gram"))
@@ -380,13 +381,17 @@ def _parts(count, grams):
 
 
 def home_cells(classes: DataFrame, home: DataFrame) -> DataFrame:
-    """The first round's cells: classes dealt out within their home, with the home's least class in each cell."""
+    """The first round's cells: classes dealt out within their home, with the home's least class as a guest in each cell that it isn't a member of.
+
+    ``alone`` marks the only class of a home that is its own.
+    """
     own = classes.join(home, "grp")
-    size = own.groupBy("home").agg(_parts(F.count("class"), F.sum("n")).alias("subs"))
-    lead = own.groupBy("grp").agg(F.min(F.struct("class", "least")).alias("lead")).select(F.col("grp").alias("home"), "lead.*")
-    member = own.join(size, "home").select("home", F.pmod(F.xxhash64("class"), F.col("subs").cast("long")).cast("int").alias("sub"), "class", "least")
-    guests = lead.join(size, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "class", "least")
-    return member.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    size = own.groupBy("home").agg(F.count("class").alias("m"), _parts(F.count("class"), F.sum("n")).alias("subs"))
+    lead = own.groupBy("grp").agg(F.min(F.struct("class", "least", "n")).alias("lead"), F.min("home").alias("its")).select(F.col("grp").alias("home"), "lead.*", "its")
+    sub = F.pmod(F.xxhash64("class"), F.col("subs").cast("long")).cast("int")
+    member = own.join(size, "home").select("home", sub.alias("sub"), "class", "least", "grp", "n", F.lit(False).alias("guest"), ((F.col("m") == 1) & (F.col("grp") == F.col("home"))).alias("alone"))
+    guests = lead.join(size, "home").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where((F.col("its") != F.col("home")) | (F.col("sub") != sub))
+    return member.unionByName(guests.select("home", "sub", "class", "least", F.col("home").alias("grp"), "n", F.lit(True).alias("guest"), F.lit(False).alias("alone")))
 
 
 def block_cells(now: DataFrame) -> DataFrame:
@@ -405,7 +410,7 @@ def block_cells(now: DataFrame) -> DataFrame:
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int = 5, num: int = 80, den: int = 100, heavy: int = HEAVY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id that links with similarity >= num / den reach) and class_id (the same set)."""
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    order = gram_order(rows.select("text"), n, heavy)
+    order = documents.sparkSession.sparkContext.broadcast(gram_order(rows.select("text"), n, heavy))  # one byte a bucket
     prefix = stored(profiles(rows, n, num, den, order), "near-profiles")
     known = prefix.where(F.col("class").isNotNull() & F.col("id").isNotNull())
     size = known.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
@@ -413,16 +418,13 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     classes = stored(known.groupBy("class").agg(F.min("id").alias("least"), F.min("grp").alias("grp"), F.min("n").alias("n")), "near-classes")
     crowd = classes.groupBy("grp").agg(F.count("class").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.col("grp").alias("gram"), "grp", "n", "k", F.lit(1).cast("long").alias("times"))
     entries = stored(shared_grams(known.select("grp", "n", "prefix"), bits, num, den, order).unionByName(crowd), "near-index")
-    own = stored(prefix.drop("grp", "prefix"), "near-rows")
-    dropped(prefix)
     # First round: every class with a candidate partner in its home's cell.
     placed = stored(home_cells(classes.select("class", "least", "grp", "n"), homes(entries)), "near-homes")
-    cells = placed.select(F.col("home").alias("key"), F.col("sub").alias("i"), F.col("sub").alias("j"), F.col("sub").alias("block"), "class", F.col("least").alias("id"), F.col("class").alias("part"), F.col("class").alias("done"))
-    more = cells.groupBy("key", "i").agg(F.count("class").alias("m")).where("m > 1").drop("m")
-    links = stored(cell_links(cells.dropDuplicates([*CELL, "class"]).join(more, ["key", "i"], "left_semi"), rows, n, num, den), "near-links")
+    cells = placed.where(~F.col("alone")).select(F.col("home").alias("key"), F.col("sub").alias("i"), F.col("sub").alias("j"), F.col("sub").alias("block"), "class", F.col("least").alias("id"), F.col("class").alias("part"), F.col("class").alias("done"))
+    links = stored(cell_links(cells, rows, n, num, den), "near-links")
     label = components(links, "near")
     # Second round: grams whose classes are in several components and did not all meet in one cell.
-    member = placed.where(~F.col("guest")).join(label, F.col("class") == F.col("node"), "left").join(classes.select("class", "grp", "n"), "class")
+    member = placed.where(~F.col("guest")).join(label, F.col("class") == F.col("node"), "left")
     done = F.concat(F.hex("home"), F.lit(":"), F.col("sub")).cast("binary")
     member = stored(member.select("class", "least", "grp", "n", F.coalesce("root", "class").alias("part"), done.alias("done")), "near-members")
     of = member.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("done").alias("from"), F.max("done").alias("to"))
@@ -442,7 +444,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", n: int =
     reach = classes.join(label, classes["class"] == label["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = reach.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(reach.join(least, "root").select("class", "component_id", F.col("least").alias("class_id")), "near-named")
-    return own.join(named, "class", "left").select(
+    return prefix.select("id", "n", "class").join(named, "class", "left").select(
         "id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id")).alias("component_id"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "id")).alias("class_id"),
