@@ -11,34 +11,15 @@ import pytest
 from lumbra.llm import chat_windows, exact_dedup, mixing, near_join, packing, quality_rules, queries, url_filter
 from pyspark.sql import functions as F
 
-DATA = "/root/testdata/sf0.001"
-SCHEMA = "doc_id bigint, text string, lang string, source string, row string, id bigint, digest string"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def base():
-    rng = np.random.default_rng(1)
-    words = [f"w{k}" for k in range(300)]
-    texts = [None, "", "  ", "one", "one two", "É é", "A b C d e f", "a B c D e f", "x" * 5000, "<|endoftext|> 'll a   b\n\n c"]
-    texts += [" ".join(rng.choice(words, 40)) for _ in range(30)]
-    for t in texts[10:22]:
-        w = t.split(" ")
-        w[int(rng.integers(40))] = "edited"
-        texts.append(" ".join(w))
-    texts += [texts[11]] * 3 + ["line one here\nline one here\nother"]
-    rows = [(k, t, "en", f"s{k % 3}" if k % 5 else None, "r", 1, "d") for k, t in enumerate(texts)]
-    return rows + [rows[12], (None, "one two", None, None, None, None, None)]
+from llm_data import LOWER, SCHEMA, base, words
 
+DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(base(), SCHEMA)
 
 
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
-
-
 def test_exact_dedup(spark, docs):
     got = exact_dedup.deduplicate(docs, largest=True)
     assert got.columns == docs.columns
@@ -175,7 +156,7 @@ def test_sum_of_squares():
     for size in (5, 5, 3, 3, 4, 4, 7, 1):
         got = levels.place((0, 0, np.zeros(size, np.uint32), size), size)
         full += [got] if got else []
-    rest = list(levels.settle(False))
+    rest = list(levels.settle())
     assert sum(len(p[2]) for w in full + rest for p in w) == 32 and sum(sum(len(p[2]) for p in w) == 8 for w in full + rest) == 4
 
 
@@ -214,8 +195,8 @@ def test_mixing(spark, docs):
 
 def test_urls(spark):
     rows = [(1, "http://A.example.NET/en/x"), (2, "https://example.net"), (3, None), (4, "no scheme/en/"), (5, "http://x.org/fr/?q=1#f"), (6, "http://example.com/de/"), (7, "ftp://u@h.net:80/x"), (8, "http://a.net?x://b.org/fr/"), (8, "http://a.net?x://b.org/fr/")]
-    df = spark.createDataFrame([(*r, "h") for r in rows], "page_id bigint, url string, host string").drop("host")
-    got = {r.page_id: r for r in url_filter.judge(df, url_filter.fit_urls(df), ["page_id", "url"]).collect()}
+    df = spark.createDataFrame([(*r, "h") for r in rows], "page_id bigint, url string, host string")
+    got = {r.page_id: r for r in url_filter.judge(df, url_filter.fit_urls(df), ["page_id", "url", "host"]).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert [got[k].rule for k in (2, 3, 4, 5, 6, 7, 8)] == [None, None, None, "org/fr/", "example.com/de/", None, None]
     assert (got[8].host, got[8].path, got[4].host) == ("a.net", "", "")
