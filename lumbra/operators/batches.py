@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sizes of batches and of inputs, and where a text may be cut.
 MOST_ITEMS = 512
 FIRST_BUDGET, LEAST_BUDGET, MOST_BUDGET, TARGET_SECONDS = 48_000, 8_000, 400_000, 15
 MOST_INPUT = 48_000
