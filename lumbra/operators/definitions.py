@@ -125,8 +125,8 @@ def symbol_chunks(files: DataFrame, definitions: DataFrame) -> DataFrame:
     give nothing; files without a usable definition give windows only.
     """
     files = files.where(~F.contains("text", F.char(F.lit(0)))).select("doc", split_lines(F.col("text")).alias("lines"))
-    found = usable_spans(definitions, files)
-    nested = spans.parents(found.select("doc", "id", "first", "last"))
+    found = usable_spans(definitions, files).persist()  # used four times below; lost blocks are computed again
+    nested = spans.parents(found.select("doc", "id", "first", "last")).persist()
     named = qualified(found).select("doc", "id", "path")
     lines = files.select("doc", F.posexplode("lines").alias("k", "text")).select("doc", (F.col("k") + 1).alias("line"), "text")
     shown = own_lines(nested).join(lines, ["doc", "line"]).groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("lines"))
