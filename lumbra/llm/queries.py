@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with DuckDB SQL where SQL can express them."""
+"""The operators as queries over the driver's tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, exact_dedup, language_id, mixing, near_join, packing, quality_mil, quality_rules, toxicity, url_filter
+from . import chat_windows, decontamination, exact_dedup, language_id, lexical_search, mixing, near_join, packing, phrases, quality_mil, quality_rules, toxicity, url_filter
 from .common import crc_mod, table
 
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
@@ -85,12 +85,27 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.windows(rows, lambda: packing.Encoder(**files)))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_exact_dedup, op3_packing, op4_quality_classifier, op5_quality_rules, op6_language_id, op7_url_filters, op8_ngram_jaccard_join, op9_mixing, op10_chat_formatting]
+    own = [op1_toxicity, op2_exact_dedup, op3_packing, op4_quality_classifier, op5_quality_rules, op6_language_id, op7_url_filters, op8_ngram_jaccard_join, op9_mixing, op10_chat_formatting, op11_collocations, op12_lexical_search, op13_decontamination]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    terms = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # of lower-cased texts
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return {
         "op2_exact_dedup": f"""
@@ -110,4 +125,40 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
                    CASE WHEN copies > 0 THEN round(CASE WHEN a = 1 THEN least(middle / target, 1.0) ELSE 2 * least(middle / target, 1.0) / (a + sqrt(greatest(a * a + 4 * (1 - a) * least(middle / target, 1.0), 0.0))) END, 6) END AS position
             FROM c""",
+        "op11_collocations": f"""
+            WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+                 w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+                 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+                 i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+                 f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM i GROUP BY ALL HAVING count(*) >= 30),
+                 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+                 inner_ AS (SELECT lang, f AS above, array_to_string(w[i:i + m - 1], ' ') AS phrase
+                            FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+                 above AS (SELECT lang, phrase, max(above) AS above FROM inner_ GROUP BY ALL),
+                 own AS (SELECT c.* FROM c LEFT JOIN above USING (lang, phrase) WHERE above IS NULL OR 100 * above < 80 * f),
+                 cut AS (SELECT lang, phrase, f AS a, k AS words, unnest(range(1, k)) AS k, w FROM own),
+                 s AS (SELECT cut.lang, cut.phrase, a, cut.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+                       FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:cut.k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[cut.k + 1:], ' ')),
+                 least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least JOIN n USING (lang) QUALIFY rank <= 2000""",
+        "op12_lexical_search": f"""
+            WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({lower}, '{terms}') AS w FROM documents),
+                 t AS (SELECT sum((len(w) > 0)::INT)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+                 e AS (SELECT row, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+                 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({lower}, '{terms}')) AS term FROM benchmark),
+                 v AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM e, t GROUP BY term, n_docs),
+                 s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+                       FROM q JOIN e USING (term) JOIN v USING (term), t GROUP BY ALL)
+            SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+        "op13_decontamination": f"""
+            WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({lower}, '{terms}') AS w FROM documents),
+                 b AS (SELECT item_id, regexp_extract_all({lower}, '{terms}') AS w FROM benchmark),
+                 v AS (SELECT item_id, least(len(w), 10) AS m, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+                 win AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS words FROM v),
+                 p AS (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win)),
+                 h AS (SELECT row, i, x.m, item_id FROM (SELECT row, i, m, array_to_string(w[i:i + m - 1], ' ') AS words FROM p) x JOIN win USING (m, words)),
+                 hit AS (SELECT row, count(DISTINCT word_at) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS word_at FROM h) GROUP BY row),
+                 items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h) GROUP BY row)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)""",
     }
