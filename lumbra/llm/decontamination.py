@@ -168,10 +168,7 @@ def spaced(part: Part) -> tuple[np.ndarray, np.ndarray]:
     mask = np.zeros(len(out) + 1, np.int8)
     mask[begin] += 1
     mask[begin + size] -= 1
-    from_mask = np.zeros(len(part.raw) + 1, np.int8)
-    from_mask[part.start] += 1
-    from_mask[part.end] -= 1
-    out[np.cumsum(mask[:-1], dtype=np.int8).view(bool)] = part.raw[np.cumsum(from_mask[:-1], dtype=np.int8).view(bool)]
+    out[np.cumsum(mask[:-1], dtype=np.int8).view(bool)] = part.raw[part.inside]
     out[(begin + size + 1)[last]] = 0
     return out, begin - _PAD
 

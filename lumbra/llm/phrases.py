@@ -205,10 +205,9 @@ def count_level(stored_shards: DataFrame, lengths: tuple[int, ...], known: Frequ
         for row in _rows(batches):
             at = (row["n"], row["range"])
             if at not in sums:
-                sums[at] = np.zeros(width, np.uint8)
+                sums[at] = np.zeros(width, np.int64)
             slot = np.cumsum(_restored(row["slots"], row["size"], np.uint32), dtype=np.int64)
-            total = np.bincount(slot, _restored(row["counts"], row["size"], np.uint8), minlength=width)
-            sums[at] = np.minimum(sums[at] + total, least).astype(np.uint8)
+            np.add.at(sums[at], slot, _restored(row["counts"], row["size"], np.uint8).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
             [pa.array([n for n, _ in sums], pa.int32()), pa.array([r for _, r in sums], pa.int32()), pa.array([np.packbits(s >= least).tobytes() for s in sums.values()], pa.binary())],
             names=["n", "range", "flags"],

@@ -34,6 +34,7 @@ TERM_GAPS = gaps(range(0x30), range(0x3A, 0x61), range(0x7B, 0x80))
 @dataclass
 class Part:
     raw: np.ndarray  # A-Z lower-cased
+    inside: np.ndarray  # is a byte of ``raw`` in a word
     start: np.ndarray  # of each word in ``raw``
     end: np.ndarray
     texts: np.ndarray  # number of each text that it holds
@@ -47,21 +48,17 @@ class Part:
     def words(self) -> pa.Array:
         """All words, as they follow each other."""
         size = self.end - self.start
-        edge = np.zeros(len(self.raw) + 1, np.int32)
-        np.add.at(edge, self.start, 1)
-        np.add.at(edge, self.end, -1)
         offset = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=offset[1:])
-        own = self.raw[np.cumsum(edge[:-1]) > 0]
-        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offset), pa.py_buffer(np.ascontiguousarray(own))])
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offset), pa.py_buffer(self.raw[self.inside])])
 
 
-def _runs(data: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _part(data: bytes, gap: np.ndarray, texts: np.ndarray, begins: np.ndarray, again: int) -> Part:
     raw = _LOWER[np.frombuffer(data, np.uint8)]
     word = np.zeros(len(raw) + 2, np.int8)
     word[1:-1] = ~gap[raw]
     step = np.diff(word)
-    return raw, np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return Part(raw, word[1:-1].view(bool), np.flatnonzero(step == 1), np.flatnonzero(step == -1), texts, begins, again)
 
 
 def _long(data: bytes, number: int, gap: np.ndarray, keep: int) -> Iterator[Part]:
@@ -75,10 +72,10 @@ def _long(data: bytes, number: int, gap: np.ndarray, keep: int) -> Iterator[Part
             if found >= 0:
                 break
         end = min(end, len(data))
-        raw, start, stop = _runs(data[begin:end], gap)
-        yield Part(raw, start, stop, np.array([number]), np.array([0]), again)
-        at, again = end, min(keep, len(start))
-        begin = begin + int(start[-again]) if again else at
+        part = _part(data[begin:end], gap, np.array([number]), np.array([0]), again)
+        yield part
+        at, again = end, min(keep, len(part.start))
+        begin = begin + int(part.start[-again]) if again else at
 
 
 def parts(texts: list[str | None], gap: np.ndarray, keep: int = 0) -> Iterator[Part]:
@@ -88,8 +85,7 @@ def parts(texts: list[str | None], gap: np.ndarray, keep: int = 0) -> Iterator[P
     def together() -> Part:
         begins = np.zeros(len(held), np.int64)
         np.cumsum([len(h) + 1 for h in held[:-1]], out=begins[1:])
-        raw, start, end = _runs(b"\n".join(held), gap)
-        return Part(raw, start, end, np.array(numbers), begins, 0)
+        return _part(b"\n".join(held), gap, np.array(numbers), begins, 0)
 
     for k, text in enumerate(texts):
         data = (text or "").encode("utf-8", "replace")
