@@ -97,18 +97,34 @@ def _bit(page: str, number: str) -> Column:
 
 
 MOST_PAGES = 4096  # of 4 KB, that ``flagged`` broadcasts
+MOST_LEVELS = 12
 
 
 def flagged(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
-    """``rows`` with a boolean ``name``: is the integer ``key`` among ``keys`` (one column of the same name). Exact.
+    """``rows`` with a boolean ``name``: is the integer ``key`` among ``keys`` (one column of the same name). Exact, and no row moves.
 
-    The keys themselves are a bitmap; its pages are broadcast if they are few, as with ids that are numbered. Else the rows are joined.
+    The keys themselves are a bitmap; its pages are broadcast if they are few, as with ids that are numbered. Else bitmaps of hashes decide, each of bounded size: one
+    of the keys, one of the other ids that hit it, one of the keys that hit that, and so on until nothing hits; the first bitmap that an id doesn't hit
+    tells which side it is on. Only ids are shuffled to find them. Keys that fill the bitmaps are joined at last.
     """
     pages = stored(keys.where(F.col(key).isNotNull()).groupBy(F.bitmap_bucket_number(key).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("_bits")), "pages")
-    if pages.count() > MOST_PAGES:
-        return rows.join(keys.distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    found = rows.join(F.broadcast(pages), F.bitmap_bucket_number(key) == F.col("_page"), "left")
-    return found.withColumn(name, _bit("_bits", key)).drop("_page", "_bits")
+    if pages.count() <= MOST_PAGES:
+        found = rows.join(F.broadcast(pages), F.bitmap_bucket_number(key) == F.col("_page"), "left")
+        return found.withColumn(name, _bit("_bits", key)).drop("_page", "_bits")
+    inside = stored(keys.where(F.col(key).isNotNull()).distinct(), "keys")
+    outside = stored(may_hold(rows.select(key).where(F.col(key).isNotNull()), key, inside).where("_hit").select(key).distinct().join(inside, key, "left_anti"), "others")
+    sides, level = [inside, outside], 1
+    rows = may_hold(rows, key, inside).withColumn("_side", F.when(~F.col("_hit"), F.lit(False))).drop("_hit")
+    while not sides[1].isEmpty():  # sides[1] hits the bitmaps so far, wrongly
+        if level == MOST_LEVELS:
+            return rows.join(inside.withColumn("_in", F.lit(True)), key, "left").withColumn(name, F.coalesce("_side", "_in", F.lit(False))).drop("_in", "_side")
+        salted = F.concat_ws(":", F.lit(level), F.col(key))
+        one = lambda df: df.select(salted.alias("_salted"))  # noqa: E731,B023
+        hit = lambda df: may_hold(df.withColumn("_salted", salted), "_salted", one(sides[1])).drop("_salted")  # noqa: E731,B023
+        rows = hit(rows).withColumn("_side", F.coalesce("_side", F.when(~F.col("_hit"), F.lit(level % 2 == 1)))).drop("_hit")
+        sides = [sides[1], stored(hit(sides[0]).where("_hit").select(key), "others")]
+        level += 1
+    return rows.withColumn(name, F.coalesce("_side", F.lit(level % 2 == 1)) & F.col(key).isNotNull()).drop("_side")
 
 
 def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
