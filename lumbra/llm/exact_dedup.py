@@ -29,6 +29,7 @@ from .common import dropped, numbered, raw, stored, without
 FAN = 8
 NODE_ROWS = 500_000  # entries that a node is meant to hold
 RUN_ROWS = 200_000  # entries of a run that a partition starts with
+HOT_COPIES, HOT_TEXTS = 1000, 1000  # a group of more copies than both allow is told by a broadcast
 _ENTRY = np.dtype([("key", "S48"), ("known", "i1"), ("id", "<i8"), ("row", "<i8"), ("copies", "<i8")])  # key: digest, second digest, length
 
 
@@ -146,7 +147,11 @@ def decisions(prints: DataFrame, id_column: str = "doc_id", largest: bool = Fals
     got = prints.select(F.col(id_column).cast("long").alias("id"), "row", "digest", "second", "bytes")
     groups = merged_groups(got, prints.count(), largest).where("copies > 1")
     groups = stored(groups.select("digest", "second", "bytes", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), "copies"), "dedup-groups")
-    return got.join(groups, ["digest", "second", "bytes"], "left").select(
+    # A text with many copies is told by a broadcast, so its rows don't meet in one task: at most ``HOT_TEXTS`` groups can be that large.
+    key, hot = ["digest", "second", "bytes"], F.col("copies") > F.greatest(F.lit(HOT_COPIES), F.lit(prints.count() // HOT_TEXTS))
+    told = got.join(F.broadcast(groups.where(hot)), key, "left")
+    rest = told.where(F.col("copies").isNull()).select(got.columns).join(groups.where(~hot), key, "left")
+    return told.where(F.col("copies").isNotNull()).unionByName(rest).select(
         "id", "row", "digest",
         F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
