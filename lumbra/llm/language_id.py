@@ -7,7 +7,7 @@ probability is under the level down to which the kept rows are right in a share
 kept rows that are right.
 
 Training uses a bounded sample of labelled rows (``SAMPLE_ROWS`` rows, texts up to ``SAMPLE_CHARS``); prediction averages over
-all subwords of every text, piece by piece, in bounded memory.
+all subwords of every text, piece by piece; pieces end between letter runs, so memory is bounded but for a single run (a text in a script without gaps is one piece).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no language to learn from every text is
 ``und``; ties go to the language that sorts first; repeated rows are judged alike; an empty table gives an empty table; results take the place
