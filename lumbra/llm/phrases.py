@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,41 +181,59 @@ def _rows(batches) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+RANGES = 64  # of hashes, that are summed apart
+HELD = 4_000_000  # counts that a task holds before it sends them on
 _SLOTS = "n int, range int, size bigint, slots binary, counts binary"
+_NAMES = "range int, lang string, size bigint, phrases binary, counts binary"
 
 
-def count_level(stored_shards: DataFrame, lengths: tuple[int, ...], known: Frequent, least: int, bits: int, ranges: int) -> None:
-    """Adds the bitmaps of phrases of ``lengths`` words to ``known``."""
+def _batch(kind: str, *columns: list) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in kind.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def count_level(stored_shards: DataFrame, lengths: tuple[int, ...], known: Frequent, least: int, bits: int) -> None:
+    """Adds the bitmaps of phrases of ``lengths`` words to ``known``. A task sums its shards before it sends counts."""
     shared = stored_shards.sparkSession.sparkContext.broadcast(known)
-    width = (1 << bits) // ranges
+    width = (1 << bits) // RANGES
+
+    def sent(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for n, own in held.items():
+            key = np.sort(np.concatenate(own))
+            slot = (key >> np.uint64(8)).astype(np.uint32)
+            first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else slot.astype(np.int64)
+            many = np.minimum(np.add.reduceat(key & np.uint64(255), first), least).astype(np.uint8) if len(slot) else slot.astype(np.uint8)
+            slot = slot[first]
+            edge = np.searchsorted(slot, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64(width))
+            for r in np.flatnonzero(np.diff(edge)).tolist():
+                part = slice(edge[r], edge[r + 1])
+                yield _batch(_SLOTS, [n], [r], [edge[r + 1] - edge[r]], [_squeezed(np.diff(slot[part], prepend=np.uint32(r * width)))], [_squeezed(many[part])])
 
     def count(batches):
+        held, size = {}, 0
         for row in _rows(batches):
             for n, _, hashes, many in enumerated(row, lengths, shared.value):
-                slot = (hashes >> np.uint64(64 - bits)).astype(np.uint32)
-                order = np.argsort(slot, kind="stable")
-                slot, many = slot[order], np.minimum(many[order], least).astype(np.uint8)  # more than ``least`` tells nothing more
-                edge = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
-                for r in np.flatnonzero(np.diff(edge)):
-                    own = slot[edge[r] : edge[r + 1]]
-                    blobs = [_squeezed(np.diff(own, prepend=np.uint32(r * width))), _squeezed(many[edge[r] : edge[r + 1]])]
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([r], pa.int32()), pa.array([len(own)], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=[f.split()[0] for f in _SLOTS.split(", ")])
+                held.setdefault(n, []).append(hashes >> np.uint64(64 - bits) << np.uint64(8) | np.minimum(many, least).astype(np.uint64))  # more than ``least`` tells nothing more
+                size += len(hashes)
+            if size >= HELD:
+                yield from sent(held)
+                held, size = {}, 0
+        yield from sent(held)
 
     def add(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for row in _rows(batches):
             at = (row["n"], row["range"])
             if at not in sums:
-                sums[at] = np.zeros(width, np.int64)
+                sums[at] = np.zeros(width, np.int32)
             slot = np.cumsum(_restored(row["slots"], row["size"], np.uint32), dtype=np.int64)
-            np.add.at(sums[at], slot, _restored(row["counts"], row["size"], np.uint8).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n for n, _ in sums], pa.int32()), pa.array([r for _, r in sums], pa.int32()), pa.array([np.packbits(s >= least).tobytes() for s in sums.values()], pa.binary())],
-            names=["n", "range", "flags"],
-        )
-
-    part = F.col("n") * ranges + F.col("range")
-    moved = stored_shards.mapInArrow(count, _SLOTS).repartitionById(len(lengths) * ranges, F.pmod(part, F.lit(len(lengths) * ranges)))
+            own = sums[at]
+            own[slot] = np.minimum(own[slot] + _restored(row["counts"], row["size"], np.uint8), least)  # a slot is once in a row
+        yield _batch("n int, range int, flags binary", [n for n, _ in sums], [r for _, r in sums], [np.packbits(s >= least).tobytes() for s in sums.values()])
+
+    n = len(lengths) * RANGES
+    moved = stored_shards.mapInArrow(count, _SLOTS).repartitionById(n, F.pmod(F.col("n") * RANGES + F.col("range"), F.lit(n)))
     flags = {n: np.zeros((1 << bits) // 8, np.uint8) for n in lengths}
     for r in moved.mapInArrow(add, "n int, range int, flags binary").collect():  # at most 2 ** bits / 8 bytes for each length
         flags[r["n"]][r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(r["flags"], np.uint8)
@@ -222,31 +241,70 @@ def count_level(stored_shards: DataFrame, lengths: tuple[int, ...], known: Frequ
         known.bits[n] = (bits, own)
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables)
+    return whole.group_by([c for c in whole.column_names if c != "f"], use_threads=False).aggregate([("f", "sum")]).rename_columns([*(c for c in whole.column_names if c != "f"), "f"]) if len(tables) > 1 else whole
+
+
+def named_counts(stored_shards: DataFrame, known: Frequent, least: int, ranges: int) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases that occur ``least`` times. A task sums its shards and sends phrases in their order, compressed, for each range of hashes."""
+    shared = stored_shards.sparkSession.sparkContext.broadcast(known)
+
+    def sent(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if held:
+            whole = _summed(held).sort_by([("range", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+            key = pa.compute.run_end_encode(pa.compute.binary_join_element_wise(whole["range"].cast(pa.string()), whole["lang"], " ").combine_chunks())
+            start = 0
+            for end in key.run_ends.to_pylist():
+                own = whole.slice(start, end - start)
+                text = "\n".join(own["phrase"].to_pylist()).encode()
+                yield _batch(_NAMES, [own["range"][0].as_py()], [own["lang"][0].as_py()], [len(own)], [len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)], [_squeezed(np.asarray(own["f"]))])
+                start = end
+
+    def name(batches):
+        held, size = [], 0
+        for row in _rows(batches):
+            names = pa.array([b"", *row["vocabulary"].split(b"\n")], pa.binary()).cast(pa.string())
+            for n, words, hashes, count in enumerated(row, tuple(range(1, DEPTH + 1)), shared.value):
+                columns = [names.take(pa.array(words[:, j])) for j in range(n - 1, -1, -1)]
+                phrase = pa.compute.binary_join_element_wise(*columns, " ") if n > 1 else columns[0]
+                part = (hashes >> np.uint64(32)).astype(np.int64) * ranges >> 32
+                held.append(pa.table({"range": pa.array(part, pa.int32()), "lang": pa.array([row["lang"]]).take(pa.array(np.zeros(len(part), np.int32))), "phrase": phrase, "f": pa.array(count, pa.int64())}))
+                size += len(part)
+            if size >= HELD // 4:
+                yield from sent(held)
+                held, size = [], 0
+        yield from sent(held)
+
+    def add(batches):
+        held, size = [], 0
+        for row in _rows(batches):
+            blob = row["phrases"]
+            text = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True).decode()
+            held.append(pa.table({"lang": pa.array([row["lang"]]).take(pa.array(np.zeros(row["size"], np.int32))), "phrase": pa.array(text.split("\n")), "f": pa.array(_restored(row["counts"], row["size"], np.int64))}))
+            size += row["size"]
+            if size >= HELD // 4:
+                held = [_summed(held)]
+                size = len(held[0])
+        if held:
+            whole = _summed(held)
+            whole = whole.filter(pa.compute.greater_equal(whole["f"], least))
+            words = pa.compute.add(pa.compute.count_substring(whole["phrase"], " "), 1).cast(pa.int32())
+            yield from pa.table({"lang": whole["lang"], "phrase": whole["phrase"], "words": words, "f": whole["f"]}).to_batches(max_chunksize=20_000)
+
+    return stored_shards.mapInArrow(name, _NAMES).repartitionById(ranges, F.col("range")).mapInArrow(add, "lang string, phrase string, words int, f bigint")
+
+
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Stored (lang, phrase, words, f) of all phrases of up to ``DEPTH`` words that occur ``least`` times or more, and (lang, n): a language's words."""
     own = stored(shards(documents), "phrase-shards")
     totals = own.groupBy("lang").agg(F.sum("words").alias("n"))
-    size = own.agg(F.sum("words"), F.count("*")).first()
-    bits = min(MOST_BITS, max(16, 3 + int(size[0] or 1).bit_length()))
-    ranges = 1 << min(12, max(4, int(size[1]).bit_length() - 1))
+    size = own.agg(F.sum("words")).first()[0] or 0
+    bits = min(MOST_BITS, max(16, 3 + size.bit_length()))
     known = Frequent()
-    count_level(own, (1, 2), known, least, bits, ranges)
-    count_level(own, (3, 4), known, least, bits, ranges)
-    shared = documents.sparkSession.sparkContext.broadcast(known)
-
-    def named(batches):
-        for row in _rows(batches):
-            names = pa.array([b"", *row["vocabulary"].split(b"\n")], pa.binary()).cast(pa.string())
-            for n, words, _, count in enumerated(row, (1, 2, 3, 4), shared.value):
-                for at in range(0, len(words), 50_000):
-                    some = words[at : at + 50_000]
-                    columns = [names.take(pa.array(some[:, j])) for j in range(n - 1, -1, -1)]
-                    phrase = pa.compute.binary_join_element_wise(*columns, " ") if n > 1 else columns[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(some), pa.string()), phrase, pa.array([n] * len(some), pa.int32()), pa.array(count[at : at + 50_000], pa.int64())], names=["lang", "phrase", "words", "f"])
-
-    found = own.mapInArrow(named, "lang string, phrase string, words int, f bigint")
-    counts = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stored(counts, "phrase-counts"), totals
+    for lengths in ((1, 2), tuple(range(3, DEPTH + 1))):
+        count_level(own, lengths, known, min(least, 255), bits)
+    return stored(named_counts(own, known, least, min(4096, max(RANGES, size >> 23))), "phrase-counts"), totals
 
 
 def collocations(documents: DataFrame, least: int = LEAST, best: int = BEST, cover: int = COVER) -> DataFrame:
