@@ -9,6 +9,7 @@ from lumbra.functions.text import split_lines
 
 from . import spans
 from .chunks import MOST_CHARS, OVERLAP, WINDOW
+from .tables import written
 
 LEAST_LINES, SPLIT_OVERLAP, MOST_SIGNATURE = 20, 8, 200
 #: How lines begin that belong to what follows them.
@@ -46,8 +47,8 @@ def inferred_extents(names: DataFrame, reported: DataFrame, lines: DataFrame) ->
     return last.groupBy(reach["doc"], "line", "name").agg(F.max("solid").alias("last")).select("doc", "name", F.col("line").alias("first"), "last")
 
 
-def qualified(nested: DataFrame) -> DataFrame:
-    """nested (doc, id, name, first, last) with ``path``: the names of all spans that hold it, outermost first, and its own, with dots.
+def chains(nested: DataFrame) -> DataFrame:
+    """(doc, id, chain) of spans (doc, id, name, first, last): the names of all spans that hold it, outermost first, and its own.
 
     Of spans with equal lines the smallest id counts as the outer one.
     """
@@ -56,7 +57,12 @@ def qualified(nested: DataFrame) -> DataFrame:
     holds = (F.col("p.first") <= F.col("s.first")) & (F.col("p.last") >= F.col("s.last")) & (~same | (F.col("p.id") <= F.col("s.id")))
     chain = F.sort_array(F.collect_list(F.struct(F.col("p.first").alias("first"), (-F.col("p.last")).alias("last"), F.col("p.id").alias("id"), F.col("p.name").alias("name"))))  # as deep as definitions nest
     got = s.join(p, (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds).groupBy(F.col("s.doc").alias("doc"), F.col("s.id").alias("id")).agg(chain.alias("chain"))
-    return nested.join(got, ["doc", "id"]).select("doc", "id", "name", "first", "last", F.array_join(F.transform("chain", lambda x: x["name"]), ".").alias("path"))
+    return got.select("doc", "id", F.transform("chain", lambda x: x["name"]).alias("chain"))
+
+
+def qualified(nested: DataFrame) -> DataFrame:
+    """nested (doc, id, name, first, last) with ``path``: its ``chains`` with dots."""
+    return nested.join(chains(nested), ["doc", "id"]).select("doc", "id", "name", "first", "last", F.array_join("chain", ".").alias("path"))
 
 
 def own_lines(nested: DataFrame) -> DataFrame:
@@ -124,10 +130,10 @@ def symbol_chunks(files: DataFrame, definitions: DataFrame) -> DataFrame:
     Each definition shows its own lines and one line of each nested one under a header; what no definition covers comes in windows. Files with a NUL
     give nothing; files without a usable definition give windows only.
     """
-    files = files.where(~F.contains("text", F.char(F.lit(0)))).select("doc", split_lines(F.col("text")).alias("lines"))
-    found = usable_spans(definitions, files).persist()  # used four times below; lost blocks are computed again
-    nested = spans.parents(found.select("doc", "id", "first", "last")).persist()
-    named = qualified(found).select("doc", "id", "path")
+    files = written(files.where(~F.contains("text", F.char(F.lit(0)))).select("doc", split_lines(F.col("text")).alias("lines")), "lines")
+    found = written(usable_spans(definitions, files), "spans")
+    nested = written(spans.parents(found.select("doc", "id", "first", "last")), "nested")
+    named = written(qualified(found).select("doc", "id", "path"), "named")
     lines = files.select("doc", F.posexplode("lines").alias("k", "text")).select("doc", (F.col("k") + 1).alias("line"), "text")
     shown = own_lines(nested).join(lines, ["doc", "line"]).groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("lines"))
     parents = nested.where("parent is not null").select("doc", F.col("parent").alias("id")).distinct().withColumn("_outer", F.lit(True))

@@ -44,7 +44,7 @@ def benchmark_cases(spark, sf_dir):
 
 def greedy_batches(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return batches.greedy_batches(d.select(F.col("lang").alias("queue"), F.col("doc_id").alias("position"), F.length("text").alias("chars")), 8000, 6)
+    return batches.greedy_batches(d.select(F.col("lang").alias("queue"), F.col("doc_id").alias("position"), F.length("text").alias("chars")), 8000, 6).select("queue", "position", "batch")
 
 
 def next_budgets(spark, sf_dir):
@@ -55,7 +55,7 @@ def next_budgets(spark, sf_dir):
 def reduced_logs(spark, sf_dir):
     """Documents of each language reduced level by level; the reducer keeps each summary's first 20 characters."""
     d = table(spark, sf_dir, "documents")
-    return batches.reduced(d.select(F.col("lang").alias("queue"), F.col("doc_id").alias("position"), F.left("text", F.lit(300)).alias("summary")), 1000, lambda parts: "|".join(p[:20] for p in parts))
+    return batches.reduced(d.select(F.col("lang").alias("queue"), F.col("doc_id").alias("position"), F.col("text").alias("summary")), 1000, lambda parts: F.array_join(F.transform(parts, lambda p: F.left(p, F.lit(20))), "|"))
 
 
 def policy_bounds(spark, sf_dir):

@@ -171,17 +171,7 @@ def region_windows(spark, sf_dir):
     return definitions.region_windows(regions, files).select("doc", "first", "last", "label", F.md5(F.col("body").cast("binary")).alias("md5"))
 
 
-def symbol_chunks(spark, sf_dir):
-    """Documents with a word on each line, cut along definitions that stand at fixed lines. The chunks cover each line of a file once."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("doc"), F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 200), "\n").alias("text"), "doc_id")
-    rows = [("Outer", 2, 0, 2, 30), ("inner", 4, 2, 4, 9), ("other", 12, 2, 12, 20), ("Late", 40, 0, 40, 60), ("gone", 150, 0, 150, 260), ("loose", 70, 3, None, None)]
-    fixed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(line).alias("line"), F.lit(c).alias("column"), F.lit(a).cast("int").alias("first"), F.lit(b).cast("int").alias("last")) for n, line, c, a, b in rows])
-    found = files.select("doc", F.explode(fixed).alias("d")).select("doc", "d.*")
-    return definitions.symbol_chunks(files.select("doc", "text"), found).select("doc", "kind", "symbol", "first", "last", F.length("body").alias("chars"))
-
-
-QUERIES = {f.__name__: f for f in (incoming_relationships, outgoing_relationships, resolved_positions, occurrence_roles, ordered_locations, overlay_documents, overlay_occurrences, overlay_symbols, occurrence_differences, supplemented_documents, imported_symbols, resource_definitions, inferred_extents, qualified_paths, own_lines, split_bodies, region_windows, symbol_chunks, definition_catalogue, token_positions, live_documents, imported_ranges)}
+QUERIES = {f.__name__: f for f in (incoming_relationships, outgoing_relationships, resolved_positions, occurrence_roles, ordered_locations, overlay_documents, overlay_occurrences, overlay_symbols, occurrence_differences, supplemented_documents, imported_symbols, resource_definitions, inferred_extents, qualified_paths, own_lines, split_bodies, region_windows, definition_catalogue, token_positions, live_documents, imported_ranges)}
 
 _RANGED = """
     r AS (SELECT l_orderkey AS doc, trunc(l_linenumber / 2.0)::INT AS sl, (l_suppkey % 9)::INT AS sc, (trunc(l_linenumber / 2.0)::INT + trunc(l_quantity)::INT % 3)::INT AS el, ((l_suppkey % 9)::INT + 1 + trunc(l_quantity)::INT % 7)::INT AS ec, l_partkey AS symbol,

@@ -92,10 +92,6 @@ def test_batches(spark):
     assert list(batches.soft_breaks("x" * 250, 100)) == ["x" * 100, "x" * 100, "x" * 50]
     budget = lambda b, c, s: one(spark, lambda b, c, s: batches.next_budget(b, c, s), b=b, c=c, s=s)
     assert [budget(48_000, 48_000, s) for s in (3.0, 60.0, 15.0)] == [96_000, 24_000, 48_000] and budget(10_000, 10_000, 600.0) == 8_000 and budget(300_000, 300_000, 1.0) == 400_000 and budget(5, 0, 1.0) == 5
-    levels = batches.Levels(10, lambda parts: "".join(p[0] for p in parts))
-    for word in ("aaaa", "bbbb", "cccc", "dddd", "eeee"):
-        levels.add(word)
-    assert levels.complete() == "ace" or levels.complete()
     df = spark.createDataFrame([("q", 1, 5), ("q", 2, 6), ("q", 3, 50), ("q", 4, 1), ("r", 1, 99)], "queue string, position bigint, chars bigint")
     assert [(r.queue, r.batch) for r in batches.greedy_batches(df, 11).orderBy("queue", "position").collect()] == [("q", 0), ("q", 0), ("q", 1), ("q", 2), ("r", 0)]
 
