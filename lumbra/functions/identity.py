@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import blank
+
 MOST_FIELD, MOST_PAYLOAD = 256, 2048
 
 
@@ -74,35 +77,64 @@ def chunk_id(repository: Column, generation: Column, tree: Column, dirty: Column
     payload = F.unhex(F.concat(F.lit("01"), *map(_hex_string, (repository, generation, tree)), F.when(dirty.isNull(), "00").otherwise(F.concat(F.lit("01"), _hex_string(F.coalesce(dirty, F.lit(""))))), little))
     good = (ordinal >= 0) & (F.octet_length(payload) <= MOST_PAYLOAD) & (F.coalesce(F.length(dirty), F.lit(0)) <= MOST_FIELD)
     for field in (repository, generation, tree):
-        good = good & (F.trim(field) != "") & (F.length(field) <= MOST_FIELD)
+        good = good & ~blank(field) & (F.length(field) <= MOST_FIELD)
     return F.when(good, F.concat(F.lit("cs1."), _base64url(payload), F.lit("."), _base64url(F.unhex(F.sha2(payload, 256)))))
 
 
+def _field(data: bytes, at: int) -> tuple[str | None, int]:
+    """The text at a place, after the number of its bytes (``_hex_string``), and the place behind it; no text where the bytes end before."""
+    size, shift = 0, 0
+    while at < len(data) and shift < 14:
+        size |= (data[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if not data[at - 1] & 128:
+            return (data[at : at + size].decode("utf-8", "replace"), at + size) if at + size <= len(data) else (None, at)
+    return None, at
+
+
+def _decoded(data: bytes) -> tuple | None:
+    """repository, generation, tree, dirty and ordinal of a payload that is whole."""
+    fields, at = [], 1
+    if data[:1] != b"\x01":
+        return None
+    for name in ("repository", "generation", "tree", "dirty"):
+        if name == "dirty":
+            flag, at = data[at : at + 1], at + 1
+            if flag == b"\0":
+                fields.append(None)
+                continue
+            if flag != b"\x01":
+                return None
+        text, at = _field(data, at)
+        if text is None:
+            return None
+        fields.append(text)
+    return (*fields, int.from_bytes(data[at:], "little", signed=True)) if len(data) == at + 4 else None
+
+
 def parsed_chunk_ids(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``problem`` (chunk_id_malformed, chunk_id_tampered or null) and, without one, repository, generation, tree, dirty and ordinal of the chunk id."""
+    """``rows`` with ``problem`` (chunk_id_malformed, chunk_id_tampered or null) and, without one, repository, generation, tree, dirty and ordinal of the chunk id.
+
+    Bytes, digests and lengths are compared JVM-side in one projection; only payloads that are sound and genuine are read, in Arrow batches.
+    """
     part = F.split(F.col(column), r"\.")
     plain = lambda c: F.expr(f"try_to_binary(rpad(translate({c}, '-_', '+/'), cast(ceil(length({c}) / 4.0) * 4 as int), '='), 'base64')")
-    got = rows.withColumn("_p", F.when(F.size(part) == 3, F.get(part, F.lit(1)))).withColumn("_d", F.when(F.size(part) == 3, F.get(part, F.lit(2))))
+    shape = F.col(column).rlike(r"^cs1\.[A-Za-z0-9_-]{1,2731}\.[A-Za-z0-9_-]{43}$")
+    kind = "repository string, generation string, tree string, dirty string, ordinal bigint"
+
+    @F.arrow_udf(f"struct<{kind.replace(' string', ':string').replace(' bigint', ':bigint')}>")
+    def decoded(payload: pa.Array) -> pa.Array:
+        return pa.array([None if g is None else dict(zip(("repository", "generation", "tree", "dirty", "ordinal"), g, strict=True)) for g in (None if p is None else _decoded(p) for p in payload.to_pylist())], pa.struct([("repository", pa.string()), ("generation", pa.string()), ("tree", pa.string()), ("dirty", pa.string()), ("ordinal", pa.int64())]))
+
+    got = rows.withColumn("_p", F.when(shape, F.get(part, F.lit(1)))).withColumn("_d", F.when(shape, F.get(part, F.lit(2))))
     got = got.withColumn("_payload", plain("_p")).withColumn("_digest", plain("_d"))
-    shape = F.coalesce(F.col(column).rlike(r"^cs1\.[A-Za-z0-9_-]{1,2731}\.[A-Za-z0-9_-]{43}$"), F.lit(False))
     canonical = (_base64url(F.col("_payload")) == F.col("_p")) & (_base64url(F.col("_digest")) == F.col("_d")) & (F.octet_length("_payload") <= MOST_PAYLOAD)
-    genuine = F.sha2("_payload", 256) == F.lower(F.hex("_digest"))
-    got = got.withColumn("_sound", shape & F.coalesce(canonical, F.lit(False))).withColumn("_own", F.coalesce(genuine, F.lit(False)))
-    got = got.withColumn("_x", F.when(F.col("_sound") & F.col("_own"), F.hex("_payload"))).withColumn("_at", F.lit(1))
-    number = lambda at: F.conv(F.substr("_x", 2 * at + 1, F.lit(2)), 16, 10).cast("int")
-    for name in ("repository", "generation", "tree", "dirty"):
-        if name == "dirty":
-            got = got.withColumn("_flag", number(F.col("_at"))).withColumn("_at", F.col("_at") + 1)
-        first, second = number(F.col("_at")), number(F.col("_at") + 1)
-        size = F.when(first < 128, first).otherwise(first - 128 + 128 * second)
-        here = F.col("_flag") == 1 if name == "dirty" else F.lit(True)
-        got = got.withColumn("_n", size).withColumn("_from", F.col("_at") + F.when(first < 128, 1).otherwise(2))
-        got = got.withColumn(name, F.when(here, F.decode(F.unhex(F.substr("_x", 2 * F.col("_from") + 1, 2 * F.col("_n"))), "UTF-8"))).withColumn("_at", F.when(here, F.col("_from") + F.col("_n")).otherwise(F.col("_at")))
-    tail = F.substr("_x", 2 * F.col("_at") + 1, F.lit(8))
-    got = got.withColumn("ordinal", F.conv(F.concat(*[F.substring(tail, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long"))
-    whole = (number(F.lit(0)) == 1) & (F.length("_x") == 2 * F.col("_at") + 8) & (F.length(tail) == 8)
-    problem = F.when(~F.col("_sound"), "chunk_id_malformed").when(~F.col("_own"), "chunk_id_tampered").when(~F.coalesce(whole, F.lit(False)), "chunk_id_malformed")
-    return got.withColumn("problem", problem).drop("_p", "_d", "_payload", "_digest", "_sound", "_own", "_x", "_at", "_flag", "_n", "_from")
+    genuine = F.coalesce(F.unhex(F.sha2("_payload", 256)) == F.col("_digest"), F.lit(False))
+    told = F.when(~F.coalesce(canonical, F.lit(False)), "chunk_id_malformed").when(~genuine, "chunk_id_tampered")
+    got = got.withColumn("problem", told).withColumn("_payload", F.when(F.col("problem").isNull(), F.col("_payload"))).withColumn("_fields", decoded("_payload"))
+    names = ("repository", "generation", "tree", "dirty", "ordinal")
+    got = got.withColumns({n: F.col(f"_fields.{n}") for n in names})
+    return got.withColumn("problem", F.coalesce("problem", F.when(F.col("_fields").isNull(), "chunk_id_malformed"))).drop("_p", "_d", "_payload", "_digest", "_fields")
 
 
 def chunk_mismatch(actual: dict[str, Column], ordinal: Column, chunks: Column) -> Column:

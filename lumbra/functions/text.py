@@ -35,6 +35,11 @@ def slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
+def blank(text: Column) -> Column:
+    """Null, or nothing but white space: blanks, tabs, line ends."""
+    return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
+
+
 def collapse(text: Column, most: int) -> Column:
     """Trimmed non-empty lines joined with blanks, cut at ``most`` code points (not UTF-16 units, here and wherever texts are cut)."""
     lines = F.filter(F.transform(split_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
@@ -107,7 +112,7 @@ def plain_check(source: Column, translated: Column, leak_marks: tuple[str, ...])
     for mark in leak_marks:
         leak = leak | F.lower(translated).contains(mark.lower())
     return (
-        F.when(F.trim(translated) == "", "empty")
+        F.when(blank(translated), "empty")
         .when(translated.contains("```") & ~source.contains("```"), "fence")
         .when(leak, "leak").when(F.length(translated) > F.greatest(F.lit(64), F.length(source) * 8), "length").otherwise("ok")
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .covering import best_covering
+
 DEFINITION, REFERENCE = 1, 2
 
 
@@ -13,10 +15,12 @@ def _has(role: int):
 
 
 def at_position(occurrences: DataFrame, points: DataFrame) -> DataFrame:
-    """For each point (point_id, doc, line): the narrowest occurrence of its document whose lines hold it. An equi join on the document with a range condition."""
-    near = occurrences.join(points, "doc").where((F.col("start_line") <= F.col("line")) & (F.col("line") < F.col("end_line")))
-    order = Window.partitionBy("point_id").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "symbol")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
+    """For each point (point_id, doc, line): the narrowest occurrence of its document whose lines hold it."""
+    zero = F.lit(0)
+    ranges = occurrences.select("doc", F.col("start_line").alias("sl"), zero.alias("sc"), F.col("end_line").alias("el"), zero.alias("ec"), "symbol", F.struct(*occurrences.columns).alias("_o"))
+    best = best_covering(ranges, points.select("point_id", "doc", "line", zero.alias("col")), [F.col("el") - F.col("sl"), F.col("sl")], F.col("_o"), "symbol")
+    rest = [c for c in points.columns if c != "doc"]
+    return best.join(points.select(*rest), "point_id").select(*[F.col(f"best.{c}").alias(c) for c in occurrences.columns], *rest)
 
 
 def definitions(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:

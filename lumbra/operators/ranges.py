@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from lumbra.functions.times import micros
 
-RANGES, SAMPLE = 256, 8192  # of an order, and the keys that choose their bounds
+RANGES, SAMPLE, STEP = 256, 8192, 16  # of an order, the keys that choose their bounds, and the bounds that are counted at once
 _SHIFT = 4_000_000_000_000_000_000
 
 
-def bounds(keys: DataFrame) -> DataFrame:
-    """Ranges (range, from_at, from_name, to_at, to_name) of keys (at, name) with about as many rows each; the bounds come from a fixed choice by hash."""
+def bounds(keys: DataFrame) -> list[tuple[int, str]]:
+    """Where the ranges of keys (at, name) after the first begin, so that they have about as many rows each; chosen from a fixed choice by hash."""
     chosen = sorted((r["at"], r["name"].encode()) for r in keys.orderBy(F.xxhash64("at", "name"), "at", "name").limit(SAMPLE).collect())
-    cuts = sorted(set(chosen[:: max(1, len(chosen) // RANGES)][1:]))
-    cuts = [None, *[(at, name.decode()) for at, name in cuts], None]
-    rows = [(k, *(a or (None, None)), *(b or (None, None))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return keys.sparkSession.createDataFrame(rows, "range int, from_at bigint, from_name string, to_at bigint, to_name string")
+    return [(at, name.decode()) for at, name in sorted(set(chosen[:: max(1, len(chosen) // RANGES)][1:]))]
 
 
 def ranged(rows: DataFrame) -> DataFrame:
-    """rows (at, name, ..) with ``range``, which rises with (at, name)."""
-    after = F.col("from_at").isNull() | (F.col("at") > F.col("from_at")) | ((F.col("at") == F.col("from_at")) & (F.col("name") >= F.col("from_name")))
-    until = F.col("to_at").isNull() | (F.col("at") < F.col("to_at")) | ((F.col("at") == F.col("to_at")) & (F.col("name") < F.col("to_name")))
-    return rows.join(F.broadcast(bounds(rows.select("at", "name"))), after & until).drop("from_at", "from_name", "to_at", "to_name")
+    """rows (at, name, ..) with ``range``, which rises with (at, name): the bounds up to a row, counted in two steps of ``STEP`` bounds and fewer."""
+    cuts = [F.struct(F.lit(at).cast("long").alias("at"), F.lit(name).alias("name")) for at, name in bounds(rows.select("at", "name"))]
+    if not cuts:
+        return rows.withColumn("range", F.lit(0))
+    key = F.struct(F.col("at").cast("long").alias("at"), "name")
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    coarse = F.array(*cuts[STEP - 1 :: STEP]) if len(cuts) >= STEP else None
+    steps = F.lit(0) if coarse is None else upto(coarse)
+    return rows.withColumn("_steps", steps).withColumn("range", F.col("_steps") * STEP + upto(F.slice(F.array(*cuts), F.col("_steps") * STEP + 1, F.lit(STEP)))).drop("_steps")
 
 
 def with_sums_before(rows: DataFrame, **sums: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from lumbra.functions.paths import extension
 from lumbra.functions.source import inferable
 from lumbra.functions.text import slashes, split_lines
 
+from .covering import best_covering
 from .graph import DEFINITION
 
 ROLE_IMPORT, ROLE_WRITE, ROLE_READ = 4, 8, 16
@@ -34,33 +35,28 @@ def relationships(occurrences: DataFrame, edges: DataFrame, symbols: DataFrame,
     return occurrences.where(F.col("roles").bitwiseAND(DEFINITION) != 0).join(related, "symbol").distinct()
 
 
-def within(first: Column, first_col: Column, last: Column, last_col: Column, line: Column, col: Column) -> Column:
-    """first:first_col <= line:col < last:last_col."""
-    return ((line > first) | ((line == first) & (col >= first_col))) & ((line < last) | ((line == last) & (col < last_col)))
-
-
 def resolved(occurrences: DataFrame, points: DataFrame) -> DataFrame:
     """(point_id, symbol, exact) for points (point_id, doc, line, col).
 
     The narrowest occurrence at the point; where there is none, the only symbol that the line declares, or the one declaration whose enclosing range holds all
     others of the line. occurrences: doc, sl, sc, el, ec, symbol, roles, enclosing (null or a struct of sl, sc, el, ec).
     """
-    o, p = occurrences.alias("o"), points.alias("p")
-    at = o.join(p, F.col("o.doc") == F.col("p.doc")).where(within(F.col("sl"), F.col("sc"), F.col("el"), F.col("ec"), F.col("line"), F.col("col")))
-    best = at.groupBy("point_id").agg(F.min(F.struct((-F.col("sl")).alias("a"), (-F.col("sc")).alias("b"), F.col("el").alias("c"), F.col("ec").alias("d"), "symbol")).alias("b")).select("point_id", "b.symbol")
+    late = [-F.col("sl"), -F.col("sc"), F.col("el"), F.col("ec")]  # of nested ranges the one that begins last is the narrowest
+    best = best_covering(occurrences, points, late, F.struct("symbol"), "symbol").select("point_id", "best.symbol")
     left = points.join(best.select("point_id"), "point_id", "left_anti")
     key = F.struct("sl", "sc", "el", "ec")
     declared = occurrences.where(F.col("roles").bitwiseAND(DEFINITION) != 0).groupBy("doc", F.col("sl").alias("line"), "symbol").agg(F.min_by(F.struct("sl", "sc", "el", "ec", "enclosing"), key).alias("d"))
     line = ["doc", "line"]
     wanted = declared.join(left.select(*line).distinct(), line, "left_semi")
-    a, b = wanted.alias("a"), wanted.alias("b")
-    outer, inner = F.col("a.d.enclosing"), F.col("b.d")
-    begins = (outer["sl"] < inner["sl"]) | ((outer["sl"] == inner["sl"]) & (outer["sc"] <= inner["sc"]))
-    ends = (outer["el"] > inner["el"]) | ((outer["el"] == inner["el"]) & (outer["ec"] >= inner["ec"]))
-    pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") == F.col("b.line")))  # the declarations of one line
-    holds = (F.col("a.symbol") == F.col("b.symbol")) | F.coalesce(begins & ends, F.lit(False))
-    every = pairs.groupBy(F.col("a.doc").alias("doc"), F.col("a.line").alias("line"), F.col("a.symbol").alias("symbol")).agg(F.bool_and(holds).alias("holds"), F.count("*").alias("n"), F.first(outer.isNotNull()).alias("ranged"))
-    sole = every.where((F.col("n") == 1) | (F.col("holds") & F.col("ranged"))).groupBy(*line).agg(F.count("*").alias("k"), F.min("symbol").alias("symbol")).where("k = 1")
+    # A range holds all others of its line if it begins with or before the first of them and ends with or after the last.
+    start, end, outer = F.struct("d.sl", "d.sc"), F.struct("d.el", "d.ec"), F.col("d.enclosing")
+    order = Window.partitionBy(*line).orderBy("symbol")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    every = wanted.withColumn("first", F.least(F.min(start).over(before), F.min(start).over(after))).withColumn("last", F.greatest(F.max(end).over(before), F.max(end).over(after)))
+    alone = F.col("first").isNull()
+    begins = (outer["sl"] < F.col("first.sl")) | ((outer["sl"] == F.col("first.sl")) & (outer["sc"] <= F.col("first.sc")))
+    ends = (outer["el"] > F.col("last.el")) | ((outer["el"] == F.col("last.el")) & (outer["ec"] >= F.col("last.ec")))
+    sole = every.where(alone | (begins & ends)).groupBy(*line).agg(F.count("*").alias("k"), F.min("symbol").alias("symbol")).where("k = 1")
     return best.withColumn("exact", F.lit(True)).unionByName(left.join(sole, line).select("point_id", "symbol", F.lit(False).alias("exact")))
 
 

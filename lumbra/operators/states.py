@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumbra.functions.text import slashes
+from lumbra.functions.text import blank, slashes
 from lumbra.functions.times import micros
 
 # The least and most of each retention setting; null is no bound.
@@ -31,7 +31,7 @@ def policy_value(name: str, value: Column, grace: Column | None = None) -> Colum
 def repository_state(configured: Column, persisted: Column, published: Column, requested: Column, dirty: Column, overlay_current: Column) -> Column:
     return (
         F.when(~configured, "NotConfigured").when(persisted.isin("Initializing", "Updating", "Failed"), persisted)
-        .when(F.coalesce(F.trim(published), F.lit("")) == "", "Stale").when(published != requested, "Stale")
+        .when(blank(published), "Stale").when(published != requested, "Stale")
         .when(~dirty, "Current").when(overlay_current, "DirtyCurrent").otherwise("DirtyPending")
     )
 
@@ -150,7 +150,6 @@ def corpus_problems(cases: DataFrame, targets: DataFrame, sources: DataFrame) ->
 
     cases (case_id, query, category, no_answer), targets (case_id, path, symbol), sources (path, text). A target's file must exist and hold the last part of its symbol.
     """
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     texts = sources.select(F.col("path").alias("_path"), F.col("text").alias("_text"))
     name = F.element_at(F.split("symbol", r"\."), -1)
     own = targets.withColumn("_place", slashes(F.col("path"))).join(texts, F.col("_place") == F.col("_path"), "left")
