@@ -40,10 +40,25 @@ def blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
+def units(text: Column) -> Column:
+    """Length in UTF-16 code units: a character above U+FFFF counts as two."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def left_units(text: Column, most: int | Column) -> Column:
+    """The beginning of a text of at most ``most`` UTF-16 code units, never half a character."""
+    most = F.lit(most) if isinstance(most, int) else most
+    whole = F.encode(text, "UTF-16BE")
+    cut = F.substr(whole, F.lit(1), 2 * most)
+    broken = F.hex(F.substr(cut, F.octet_length(cut) - 1, F.lit(1))).between("D8", "DB")  # the first half of a pair
+    some = F.decode(F.substr(whole, F.lit(1), 2 * most - F.when(broken, 2).otherwise(0)), "UTF-16BE")
+    return F.when(units(text) <= most, text).when(units(text) == F.length(text), F.left(text, most)).otherwise(some)
+
+
 def collapse(text: Column, most: int) -> Column:
-    """Trimmed non-empty lines joined with blanks, cut at ``most`` code points (not UTF-16 units, here and wherever texts are cut)."""
+    """Trimmed non-empty lines joined with blanks, cut at ``most`` UTF-16 code units."""
     lines = F.filter(F.transform(split_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    return F.left(F.array_join(lines, " "), F.lit(most))
+    return left_units(F.array_join(lines, " "), most)
 
 
 def camel_pieces(word: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumbra.functions import markdown
 from lumbra.operators import evaluation, retention, routing, spans
-from lumbra.streaming import queue
+from lumbra.operators.tables import shared_folder
+from lumbra.streaming import queue, telemetry
 
 from .retrieval import table
 
@@ -78,7 +81,36 @@ def stream_latest_progress(spark, sf_dir):
     return queue.newest_batch(queue.drained(got, "latest-progress", "update"), "key")
 
 
-QUERIES = {f.__name__: f for f in (retrieval_metrics, span_parents, uncovered_lines, model_routing, markdown_validation, archive_plan, stream_joined_jobs, stream_latest_progress)}
+def _jobs_stream(spark, sf_dir):
+    e = _event_stream(spark, sf_dir)
+    return e.select(F.col("event_id").alias("job_id"), F.col("event_type").alias("model"), F.concat(F.lit("profile"), (F.col("user_id") % 5).cast("string")).alias("profile"), F.col("ts").alias("recorded_at"), F.round(F.abs(F.col("value")) * 1000).cast("long").alias("execution_us"), "user_id")
+
+
+def stream_durations(spark, sf_dir):
+    """The rolling durations after all events: what ``duration_prediction`` gives over the whole table."""
+    got = telemetry.rolling_durations(_jobs_stream(spark, sf_dir), ["model", "profile"])
+    keyed = queue.drained(got, "durations", "update").withColumn("key", F.struct("model", "profile"))
+    return queue.newest_batch(keyed.drop("model", "profile"), "key").select("key.model", "key.profile", "samples", "median_us", "p90_us")
+
+
+def stream_silences(spark, sf_dir):
+    """Gaps between the events of each user, users that are silent at the end, and jobs that failed by two unhealthy probes (events of one type are probes)."""
+    e = _event_stream(spark, sf_dir)
+    kind = F.when(F.col("event_type") != "error", "beat").when(F.col("event_id") % 3 != 0, "unhealthy").otherwise("healthy")
+    got = telemetry.silences(e.select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("job_id"), kind.alias("kind")), "user_id", 600, "1 hour")
+    return queue.drained(got, "silences", "append").drop("batch")
+
+
+def stream_tasks(spark, sf_dir):
+    """Task records: the first of each workflow, of the last days."""
+    path = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
+    e = _event_stream(spark, sf_dir).select((F.col("event_id") % 900).alias("workflow"), F.col("ts").alias("recorded_at"), "event_id")
+    first = telemetry.first_records(e, "workflow", "1 hour")
+    telemetry.keep_tasks(first, path)
+    return telemetry.kept_tasks(spark, path, first.schema).select("workflow", "event_id")
+
+
+QUERIES = {f.__name__: f for f in (retrieval_metrics, span_parents, uncovered_lines, model_routing, markdown_validation, archive_plan, stream_joined_jobs, stream_latest_progress, stream_durations, stream_silences, stream_tasks)}
 
 _SPANS = "s AS (SELECT DISTINCT l_orderkey AS doc, f * 1000 + l AS id, f AS first, l AS last FROM (SELECT *, f + trunc(l_quantity)::INT % 25 AS l FROM (SELECT *, (l_suppkey % 40 + 1)::INT AS f FROM lineitem)))"
 
@@ -121,4 +153,19 @@ ORACLES = {
         WITH g AS (SELECT *, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS ended FROM events)
         SELECT event_id AS sequence, user_id AS key, min(event_id) OVER (PARTITION BY user_id, ended) AS job_sequence FROM g WHERE event_type != 'purchase'""",
     "stream_latest_progress": "SELECT user_id AS key, event_id AS sequence, value AS progress FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_durations": """
+        WITH r AS (SELECT event_type AS model, 'profile' || (user_id % 5) AS profile, round(abs(value) * 1000)::BIGINT AS us FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts DESC, event_id DESC) <= 101)
+        SELECT model, profile, count(*) AS samples, quantile_cont(us, 0.5)::DOUBLE AS median_us, quantile_disc(us, 0.9) AS p90_us FROM r GROUP BY 1, 2""",
+    "stream_silences": """
+        WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id, CASE WHEN event_type != 'error' THEN 'beat' WHEN event_id % 3 != 0 THEN 'unhealthy' ELSE 'healthy' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+        s AS (SELECT user_id, nth, CASE WHEN kind = 'beat' THEN us END AS last, CASE WHEN kind = 'beat' THEN event_id END AS job, NULL::BIGINT AS probed, 0 AS bad, false AS failed FROM e WHERE nth = 1
+              UNION ALL SELECT user_id, nth, CASE WHEN kind = 'beat' THEN us ELSE last END, CASE WHEN kind = 'beat' THEN event_id ELSE job END, CASE WHEN kind = 'beat' THEN NULL WHEN counts THEN us ELSE probed END,
+                               CASE WHEN kind = 'beat' THEN 0 WHEN counts AND kind = 'unhealthy' THEN bad + 1 WHEN counts THEN 0 ELSE bad END, counts AND kind = 'unhealthy' AND bad = 1
+              FROM (SELECT e.*, last, job, probed, bad, e.kind != 'beat' AND last IS NOT NULL AND e.us - last >= 600000000 AND (probed IS NULL OR e.us - probed >= 60000000) AS counts FROM s JOIN e ON e.user_id = s.user_id AND e.nth = s.nth + 1)),
+        b AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS later FROM e WHERE kind = 'beat')
+        SELECT user_id AS key, event_id AS job_id, 'gap' AS event, later - us AS gap_us FROM b WHERE later - us > 600000000
+        UNION ALL SELECT user_id, event_id, 'silent', NULL FROM b WHERE later IS NULL AND (us + 600000000) // 1000 < (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) UNION ALL SELECT user_id, job, 'failed', NULL FROM s WHERE failed""",
+    "stream_tasks": """
+        WITH f AS (SELECT event_id % 900 AS workflow, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 900 ORDER BY ts, event_id) = 1)
+        SELECT workflow, event_id FROM f WHERE ts::DATE >= (SELECT max(ts)::DATE - 7 FROM f)""",
 }

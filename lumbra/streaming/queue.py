@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,18 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumbra.operators.tables import shared_folder
+
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under the one that the cluster shares; a local one only where none is named and Spark runs in this process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, tag: str, mode: str) -> DataFrame:
-    """All that ``stream`` gives for what there is now, with the ``batch`` that gave it; each batch has its own folder, so a repeated one replaces itself."""
-    spark, out = stream.sparkSession, _folder(spark=stream.sparkSession, tag=tag)
+def drained(stream: DataFrame, tag: str, mode: str, folder: str | None = None) -> DataFrame:
+    """All that ``stream`` gives for what there is now, with the ``batch`` that gave it; each batch has its own folder, so a repeated one replaces itself. With ``folder``, a later call on
+    the same folder goes on where this one ended."""
+    spark, out = stream.sparkSession, folder or _folder(stream.sparkSession, tag)
     schema = stream.schema.add("batch", "long")
 
     def put(rows: DataFrame, number: int) -> None:
