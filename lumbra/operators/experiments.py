@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import nearest_ranks
+
 BATCH = 10  # attempts after which a trial pauses
+OTHERS = {"structural_failures": "structural_failure", "context_failures": "context_failure", "cpu_offloads": "cpu_offload"}  # outcomes that are counted and end a run of technical failures
 CONSECUTIVE = 2  # technical failures in a row that open the circuit
 
 
@@ -27,7 +30,7 @@ def trial_states(log: DataFrame) -> DataFrame:
     tries = tries.join(acts.select(*pair, "promoted_at"), pair, "left")
     good_at = F.max(F.when(~bad, F.col("sequence")))
     counts = tries.groupBy(*pair).agg(
-        F.count("*").alias("attempts"), F.count_if(F.col("outcome") == "succeeded").alias("successes"), F.count_if(bad).alias("technical_failures"),
+        F.count("*").alias("attempts"), F.count_if(F.col("outcome") == "succeeded").alias("successes"), F.count_if(bad).alias("technical_failures"), *[F.count_if(F.col("outcome") == o).alias(c) for c, o in OTHERS.items()],
         F.greatest(good_at, F.max("promoted_at")).alias("calm_at"), F.max("sequence").alias("tried_at"),
     )
     run = tries.join(counts.select(*pair, "calm_at"), pair).where(bad & (F.col("calm_at").isNull() | (F.col("sequence") > F.col("calm_at")))).groupBy(*pair).agg(F.count("*").alias("consecutive"))
@@ -38,7 +41,7 @@ def trial_states(log: DataFrame) -> DataFrame:
     stopped = F.coalesce(F.col("action").isin("fallback", "disable"), F.lit(False))
     opened = F.coalesce(F.col("consecutive"), F.lit(0)) >= CONSECUTIVE
     return got.select(
-        *pair, n("attempts"), n("successes"), n("technical_failures"), n("consecutive"),
+        *pair, n("attempts"), n("successes"), n("technical_failures"), *map(n, OTHERS), n("consecutive"),
         F.when(after, full).otherwise(stopped).alias("paused"), F.when(after, opened).otherwise(F.coalesce(F.col("action") == "disable", F.lit(False))).alias("open"),
         F.coalesce(F.col("promoted_at").isNotNull() & ~stopped, F.lit(False)).alias("promoted"),
     )
@@ -68,3 +71,10 @@ def benchmark(cases: DataFrame, expected: DataFrame, actual: DataFrame) -> DataF
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("expected", "actual", "missing")}
     passed = (n["missing"] == 0) & (F.col("allow_additional") | (n["actual"] == n["expected"]))
     return got.select("case_id", passed.alias("passed"), *[v.alias(c) for c, v in n.items()])
+
+
+def benchmark_summary(results: DataFrame, latencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``benchmark`` results and latencies (case_id, us): one row (passed, total, correctness), and for each case its nearest-rank median and 95th percentile and its longest latency."""
+    whole = results.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total")).withColumn("correctness", F.when(F.col("total") > 0, F.col("passed") / F.col("total")))
+    ranks = nearest_ranks(latencies, "case_id", "us", {"p50_us": (1, 2), "p95_us": (19, 20)})
+    return whole, ranks.join(latencies.groupBy("case_id").agg(F.max("us").alias("longest_us")), "case_id")

@@ -65,6 +65,13 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.subtract(right).withColumn("side", F.lit("missing")).unionByName(right.subtract(left).withColumn("side", F.lit("extra")))
 
 
+def replacement_problems(deleted: DataFrame, changed: DataFrame) -> DataFrame:
+    """(doc, problem) of an overlay that is inconsistent: documents that are deleted twice, or deleted and changed. deleted and changed: doc; slashes don't tell paths apart."""
+    gone = deleted.select(slashes(F.col("doc")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n"))
+    both = gone.select("doc").intersect(changed.select(slashes(F.col("doc")).alias("doc"))).withColumn("problem", F.lit("deleted_and_changed"))
+    return both.unionByName(gone.where("n > 1").select("doc", F.lit("deleted_twice").alias("problem")))
+
+
 def affected(base_docs: DataFrame, current_docs: DataFrame, base_occurrences: DataFrame, current_occurrences: DataFrame, dirty: DataFrame) -> DataFrame:
     """(doc, deleted) of documents that an overlay replaces: dirty ones, those whose hash differs or is on one side only, and those whose set of occurrences differs."""
     both = base_docs.select("doc", F.col("hash").alias("old")).join(current_docs.select("doc", F.col("hash").alias("new")), "doc", "full_outer")
@@ -168,23 +175,30 @@ def definition_catalogue(occurrences: DataFrame) -> DataFrame:
     return own.where(F.col("enclosing").isNotNull() | inferable(F.col("symbol"))).select(slashes(F.col("doc")).alias("doc"), "symbol", "sl", "sc", "enclosing")
 
 
-def token_positions(files: DataFrame, name: str) -> DataFrame:
-    """(doc, line, col, declares) of every whole-token occurrence of ``name`` in files (doc, text), by text alone.
+def tokens_of(lines: DataFrame) -> DataFrame:
+    """lines (doc, line, body) by ``TOKENS``: (doc, line, body, k, piece, all)."""
+    pieces = F.regexp_extract_all("body", F.lit(TOKENS), F.lit(0))
+    return lines.select("doc", "line", "body", pieces.alias("all")).select("doc", "line", "body", "all", F.posexplode("all").alias("k", "piece"))
 
-    Letters, digits, ``_``, ``$`` and ``-`` make tokens. ``declares`` says that a declaring word or an attribute that names things stands before it, or, by the file's
-    kind, a selector's sign before or a colon after it.
-    """
-    lines = files.select("doc", F.posexplode(split_lines(F.col("text"))).alias("line", "body")).where(F.contains("body", F.lit(name)))
-    pieces = lines.select("doc", "line", "body", F.posexplode(F.regexp_extract_all("body", F.lit(TOKENS), F.lit(0))).alias("k", "piece"), F.regexp_extract_all("body", F.lit(TOKENS), F.lit(0)).alias("all"))
-    found = pieces.where(F.col("piece") == name).withColumn("before", F.array_join(F.slice("all", 1, F.col("k")), ""))
+
+def declares_before(found: DataFrame) -> DataFrame:
+    """Pieces of ``tokens_of`` with ``col`` and ``declares``: a declaring word or an attribute that names things stands before the piece, or, by the file's kind, a selector's sign before
+    or a colon after it."""
+    found = found.withColumn("before", F.array_join(F.slice("all", 1, F.col("k")), ""))
     word = F.regexp_extract("before", r"([^ \t(){}\[\]:;,=]+)[ \t(){}\[\]:;,=]*$", 1)
-    compact, after = F.regexp_replace("before", r"\s+$", ""), F.regexp_replace(F.substr("body", F.length("before") + len(name) + 1), r'^\s*"?\s*', "")
+    compact, after = F.regexp_replace("before", r"\s+$", ""), F.regexp_replace(F.substr("body", F.length("before") + F.length("piece") + 1), r'^\s*"?\s*', "")
     ends = F.lit(False)
     for lead in NAMING:
         ends = ends | F.lower(compact).endswith(lead.lower())
     kind = extension(F.col("doc"))
     declares = F.lower(word).isin(*DECLARING) | ends | ((kind == ".css") & (compact.endswith(".") | compact.endswith("#"))) | (after.startswith(":") & kind.isin(".yaml", ".yml", ".json"))
-    return found.select("doc", "line", F.length("before").alias("col"), declares.alias("declares"))
+    return found.withColumn("col", F.length("before")).withColumn("declares", declares)
+
+
+def token_positions(files: DataFrame, name: str) -> DataFrame:
+    """(doc, line, col, declares) of every whole-token occurrence of ``name`` in files (doc, text), by text alone. Letters, digits, ``_``, ``$`` and ``-`` make tokens."""
+    lines = files.select("doc", F.posexplode(split_lines(F.col("text"))).alias("line", "body")).where(F.contains("body", F.lit(name)))
+    return declares_before(tokens_of(lines).where(F.col("piece") == name)).select("doc", "line", "col", "declares")
 
 
 def live_documents(snapshot: DataFrame, opened: DataFrame) -> DataFrame:

@@ -94,13 +94,20 @@ def progress(done: Column, total: Column, seconds: Column) -> Column:
 
 
 def status_counts(base: DataFrame, overlay: DataFrame, deleted: DataFrame) -> DataFrame:
-    """One row: files and chunks that are visible, base files that the overlay shadows, deleted ones. base and overlay: path, chunks."""
+    """One row: files and chunks that are visible, base files that the overlay shadows, deleted ones, and the bytes of both indexes. base and overlay: path, chunks, bytes."""
     key = lambda d: d.select(F.lower("path").alias("_key")).distinct()
     b = base.withColumn("_key", F.lower("path")).join(key(overlay).withColumn("_o", F.lit(True)), "_key", "left").join(key(deleted).withColumn("_d", F.lit(True)), "_key", "left")
     seen = F.col("_o").isNull() & F.col("_d").isNull()
-    own = b.agg(F.count_if(seen).alias("bf"), F.coalesce(F.sum(F.when(seen, F.col("chunks"))), F.lit(0)).alias("bc"), F.count_if(F.col("_o").isNotNull()).alias("shadowed"), F.count_if(F.col("_o").isNull() & F.col("_d").isNotNull()).alias("deleted"))
-    more = overlay.agg(F.count("*").alias("of"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("oc"))
-    return own.crossJoin(F.broadcast(more)).select((F.col("bf") + F.col("of")).alias("files"), (F.col("bc") + F.col("oc")).alias("chunks"), "shadowed", "deleted")  # one row each
+    own = b.agg(F.count_if(seen).alias("bf"), F.coalesce(F.sum(F.when(seen, F.col("chunks"))), F.lit(0)).alias("bc"), F.count_if(F.col("_o").isNotNull()).alias("shadowed"), F.count_if(F.col("_o").isNull() & F.col("_d").isNotNull()).alias("deleted"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bb"))
+    more = overlay.agg(F.count("*").alias("of"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("oc"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("ob"))
+    return own.crossJoin(F.broadcast(more)).select((F.col("bf") + F.col("of")).alias("files"), (F.col("bc") + F.col("oc")).alias("chunks"), "shadowed", "deleted", (F.col("bb") + F.col("ob")).alias("bytes"))  # one row each
+
+
+def drift(index_tree: Column, head_tree: Column, dirty: Column, index_commit: Column, base_commit: Column, overlay_tree: Column, overlay_dirty: Column) -> Column:
+    """struct(requires_overlay, overlay_matches, base_moved): the tree isn't the index's or has changes; an overlay for exactly this tree and these changes is there; the index's commit isn't the base's any more."""
+    needs = ~index_tree.eqNullSafe(head_tree) | dirty.isNotNull()
+    fits = overlay_tree.isNotNull() & overlay_tree.eqNullSafe(head_tree) & overlay_dirty.eqNullSafe(dirty)
+    return F.struct(needs.alias("requires_overlay"), (needs & fits).alias("overlay_matches"), (~index_commit.eqNullSafe(base_commit)).alias("base_moved"))
 
 
 def coverage(files: DataFrame, documents: DataFrame, projects: DataFrame, required: bool) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumbra.functions.times import micros
 
+from .quantiles import nearest_ranks
 from .ranges import bucketed
 
 SAMPLES = 101
@@ -22,11 +23,12 @@ def summary(jobs: DataFrame) -> DataFrame:
 
 def breakdown(jobs: DataFrame, key: str) -> DataFrame:
     """Jobs, successes, cold starts, fallbacks, nearest-rank median and 90th percentile of the execution, longest execution and tokens for each key."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY execution_us)")
-    return jobs.groupBy(key).agg(
+    sums = jobs.groupBy(key).agg(
         F.count("*").alias("jobs"), F.count_if(F.col("outcome") == "succeeded").alias("succeeded"), F.count_if("was_cold").alias("cold"), F.count_if("used_fallback").alias("fallbacks"),
-        disc(0.5).cast("long").alias("median_us"), disc(0.9).cast("long").alias("p90_us"), F.max("execution_us").alias("longest_us"), F.sum("net_tokens").alias("net_tokens"),
+        F.max("execution_us").alias("longest_us"), F.sum("net_tokens").alias("net_tokens"),
     )
+    ranks = nearest_ranks(jobs, key, "execution_us", {"median_us": (1, 2), "p90_us": (9, 10)}).withColumnRenamed(key, "_key")
+    return sums.join(ranks, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").select(key, "jobs", "succeeded", "cold", "fallbacks", "median_us", "p90_us", "longest_us", "net_tokens")
 
 
 def outliers(jobs: DataFrame, least: int = 10) -> DataFrame:

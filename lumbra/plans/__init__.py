@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, corpus, graphs, jobs, operations, retrieval, semantics
+from . import bounds, chunking, corpus, graphs, jobs, operations, retrieval, semantics
 
-MODULES = [retrieval, chunking, jobs, graphs, corpus, semantics, operations]
+MODULES = [retrieval, bounds, chunking, jobs, graphs, corpus, semantics, operations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

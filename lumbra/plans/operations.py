@@ -17,7 +17,7 @@ ACTIONS = ("promote", "continue", "fallback", "disable")
 def _log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     act = F.when(F.col("event_id") % 13 == 0, _pick(ACTIONS, F.floor(F.col("event_id") / 13)))
-    outcome = F.when(F.col("event_id") % 3 == 0, "succeeded").otherwise("technical_failure")
+    outcome = F.when(F.col("event_id") % 3 == 0, "succeeded").when(F.col("event_id") % 11 == 0, "structural_failure").when(F.col("event_id") % 17 == 0, "context_failure").when(F.col("event_id") % 19 == 0, "cpu_offload").otherwise("technical_failure")
     return e.select(F.col("event_type").alias("profile"), (F.col("user_id") % 40).alias("model"), F.col("event_id").alias("sequence"), (F.col("event_id") % 900).alias("workflow"), F.when(act.isNull(), outcome).alias("outcome"), act.alias("action"))
 
 
@@ -119,8 +119,9 @@ def build_progress(spark, sf_dir):
 
 def index_status(spark, sf_dir):
     old, new = changed_files(spark, sf_dir)
-    changed = snapshot.partition_files(new, old).where("state = 'changed'").select("path", F.lit(2).alias("chunks"))
-    return states.status_counts(old.select("path", F.lit(3).alias("chunks")), changed, snapshot.deleted_paths(old, new))
+    size = F.length("path").cast("long").alias("bytes")
+    changed = snapshot.partition_files(new, old).where("state = 'changed'").select("path", F.lit(2).alias("chunks"), size)
+    return states.status_counts(old.select("path", F.lit(3).alias("chunks"), size), changed, snapshot.deleted_paths(old, new))
 
 
 def directory_sizes(spark, sf_dir):
@@ -213,7 +214,7 @@ QUERIES = {f.__name__: f for f in (trial_states, trial_reports, benchmark_cases,
 
 _LOG = """
     g AS (SELECT event_type AS profile, user_id % 40 AS model, event_id AS sequence, event_id % 900 AS workflow, CASE WHEN event_id % 13 = 0 THEN ['promote', 'continue', 'fallback', 'disable'][event_id // 13 % 4 + 1] END AS action,
-          CASE WHEN event_id % 13 != 0 THEN CASE WHEN event_id % 3 = 0 THEN 'succeeded' ELSE 'technical_failure' END END AS outcome FROM events)"""
+          CASE WHEN event_id % 13 != 0 THEN CASE WHEN event_id % 3 = 0 THEN 'succeeded' WHEN event_id % 11 = 0 THEN 'structural_failure' WHEN event_id % 17 = 0 THEN 'context_failure' WHEN event_id % 19 = 0 THEN 'cpu_offload' ELSE 'technical_failure' END END AS outcome FROM events)"""
 _CLAMP = lambda x, lo, hi: f"least(greatest({x}, {lo}), {hi})"
 _GEN = f"""
     n AS (SELECT o_custkey AS repository, o_orderkey AS id, o_orderdate AS published, trunc(o_totalprice)::BIGINT AS bytes, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AND o_custkey % 3 != 0 AS cur FROM orders),
@@ -226,9 +227,9 @@ ORACLES = {
         WITH {_LOG}, r AS (SELECT *, sum(CASE WHEN action = 'continue' THEN 1 ELSE 0 END) OVER (PARTITION BY profile, model ORDER BY sequence) AS round FROM g), c AS (SELECT * FROM r QUALIFY round = max(round) OVER (PARTITION BY profile, model)),
         a AS (SELECT profile, model, arg_max(action, sequence) AS action, max(CASE WHEN action = 'promote' THEN sequence END) AS promoted_at, max(sequence) AS acted_at FROM c WHERE action IS NOT NULL GROUP BY ALL),
         t AS (SELECT profile, model, sequence, outcome FROM c WHERE action IS NULL QUALIFY row_number() OVER (PARTITION BY profile, model, workflow ORDER BY sequence) = 1),
-        s AS (SELECT t.profile, t.model, count(*) AS attempts, count_if(outcome = 'succeeded') AS successes, count_if(outcome = 'technical_failure') AS technical_failures, greatest(max(CASE WHEN outcome != 'technical_failure' THEN sequence END), max(promoted_at)) AS calm, max(sequence) AS tried FROM t LEFT JOIN a USING (profile, model) GROUP BY ALL),
+        s AS (SELECT t.profile, t.model, count(*) AS attempts, count_if(outcome = 'succeeded') AS successes, count_if(outcome = 'technical_failure') AS technical_failures, count_if(outcome = 'structural_failure') AS structural_failures, count_if(outcome = 'context_failure') AS context_failures, count_if(outcome = 'cpu_offload') AS cpu_offloads, greatest(max(CASE WHEN outcome != 'technical_failure' THEN sequence END), max(promoted_at)) AS calm, max(sequence) AS tried FROM t LEFT JOIN a USING (profile, model) GROUP BY ALL),
         x AS (SELECT t.profile, t.model, count(*) AS consecutive FROM t JOIN s USING (profile, model) WHERE outcome = 'technical_failure' AND (calm IS NULL OR sequence > calm) GROUP BY ALL)
-        SELECT p.profile, p.model, coalesce(attempts, 0) AS attempts, coalesce(successes, 0) AS successes, coalesce(technical_failures, 0) AS technical_failures, coalesce(consecutive, 0) AS consecutive,
+        SELECT p.profile, p.model, coalesce(attempts, 0) AS attempts, coalesce(successes, 0) AS successes, coalesce(technical_failures, 0) AS technical_failures, coalesce(structural_failures, 0) AS structural_failures, coalesce(context_failures, 0) AS context_failures, coalesce(cpu_offloads, 0) AS cpu_offloads, coalesce(consecutive, 0) AS consecutive,
                CASE WHEN tried IS NOT NULL AND (acted_at IS NULL OR tried > acted_at) THEN attempts >= 10 ELSE coalesce(action IN ('fallback', 'disable'), false) END AS paused,
                CASE WHEN tried IS NOT NULL AND (acted_at IS NULL OR tried > acted_at) THEN coalesce(consecutive, 0) >= 2 ELSE coalesce(action = 'disable', false) END AS open,
                promoted_at IS NOT NULL AND NOT coalesce(action IN ('fallback', 'disable'), false) AS promoted
@@ -269,7 +270,7 @@ ORACLES = {
     "build_progress": "WITH x AS (SELECT *, o_custkey / greatest(0.001::DOUBLE, o_totalprice / 1000) AS rate FROM orders) SELECT o_orderkey, round(rate, 6) AS rate, round(o_orderkey / greatest(0.001::DOUBLE, rate), 1) AS remaining_s FROM x",
     "index_status": f"""
         WITH {FILES_SQL}, ov AS (SELECT path FROM st WHERE state = 'changed'), b AS (SELECT path, lower(path) IN (FROM ov) AS o, path IN (SELECT path FROM del) AS d FROM old)
-        SELECT count_if(NOT o AND NOT d) + (SELECT count(*) FROM ov) AS files, 3 * count_if(NOT o AND NOT d) + 2 * (SELECT count(*) FROM ov) AS chunks, count_if(o) AS shadowed, count_if(d AND NOT o) AS deleted FROM b""",
+        SELECT count_if(NOT o AND NOT d) + (SELECT count(*) FROM ov) AS files, 3 * count_if(NOT o AND NOT d) + 2 * (SELECT count(*) FROM ov) AS chunks, count_if(o) AS shadowed, count_if(d AND NOT o) AS deleted, (sum(length(path)) + (SELECT sum(length(path)) FROM ov))::BIGINT AS bytes FROM b""",
     "directory_sizes": "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS directory, count(*) AS files, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1",
     "log_tokens": "SELECT role, least(coalesce(sum(length(text) * 100000), 0), 2147483647)::BIGINT AS tokens FROM conversations GROUP BY 1",
     "job_accounts": "SELECT conv_id, turn, (length(text) + 3) // 4 AS gross, greatest(0, (length(text) + 3) // 4 - turn * 10) AS net, role || CASE WHEN turn % 2 = 0 THEN ':pass' ELSE ':fail' END AS validator FROM conversations",
