@@ -79,3 +79,9 @@ def escapes(path: Column) -> Column:
     moved = lambda s: F.when(s == "..", -1).when(s == ".", 0).otherwise(1)
     walk = F.aggregate(segments(path), step, lambda a, s: F.struct((a["depth"] + moved(s)).alias("depth"), F.least(a["least"], a["depth"] + moved(s)).alias("least")))
     return slashes(path).startswith("/") | path.rlike(r"^[A-Za-z]:") | (walk["least"] < 0)
+
+
+def resolved(path: Column) -> Column:
+    """The segments of a confined relative path, without ``.`` and with each ``..`` taking back one."""
+    step = lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
+    return F.aggregate(segments(path), F.array().cast("array<string>"), step)

@@ -36,15 +36,21 @@ def inferred_extents(names: DataFrame, reported: DataFrame, lines: DataFrame) ->
     out, of several on a line the leftmost counts; it runs to the line before the next boundary, without trailing trimmable lines, and is
     left out if one line is all.
     """
-    inside = names.join(reported, "doc").where((F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last"))).select("doc", "line").distinct()
-    own = names.join(inside, ["doc", "line"], "left_anti").groupBy("doc", "line").agg(F.min_by("name", F.struct("column", "name")).alias("name"))
+    # Spans and declarations in one order of lines: a declaration is inside where a span that began has not ended.
+    reach = reported.select("doc", F.col("first").alias("line"), "last", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("column"))
+    both = reach.unionByName(names.select("doc", "line", F.lit(None).cast(reported.schema["last"].dataType).alias("last"), "name", "column"))
+    upto = Window.partitionBy("doc").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    free = both.withColumn("_end", F.max("last").over(upto)).where("name is not null and (_end is null or _end < line)")
+    own = free.groupBy("doc", "line").agg(F.min_by("name", F.struct("column", "name")).alias("name"))
     ends = lines.groupBy("doc").agg((F.max("line") + 1).alias("line"))
     bounds = own.select("doc", "line", "name").unionByName(reported.select("doc", F.col("first").alias("line"), F.lit(None).cast("string").alias("name"))).unionByName(ends.select("doc", "line", F.lit(None).cast("string").alias("name")))
     bounds = bounds.groupBy("doc", "line").agg(F.max("name").alias("name"))
     reach = bounds.withColumn("until", F.lead("line").over(Window.partitionBy("doc").orderBy("line")) - 1).where("name is not null and until > line")
-    solid = lines.where(~F.col("trimmable")).select("doc", F.col("line").alias("solid"))
-    last = reach.join(solid, (reach["doc"] == solid["doc"]) & (F.col("solid") > F.col("line")) & (F.col("solid") <= F.col("until")))
-    return last.groupBy(reach["doc"], "line", "name").agg(F.max("solid").alias("last")).select("doc", "name", F.col("line").alias("first"), "last")
+    # The last solid line up to the end: the newest one before it, in the same order.
+    marks = lines.where(~F.col("trimmable")).select("doc", F.col("line").alias("at"), F.col("line").alias("solid"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(reach.schema["line"].dataType).alias("first"))
+    asked = reach.select("doc", F.col("until").alias("at"), F.lit(None).cast(lines.schema["line"].dataType).alias("solid"), "name", F.col("line").alias("first"))
+    so_far = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return marks.unionByName(asked).withColumn("last", F.max("solid").over(so_far)).where("name is not null and last > first").select("doc", "name", "first", "last")
 
 
 def chains(nested: DataFrame) -> DataFrame:

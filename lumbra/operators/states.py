@@ -139,10 +139,16 @@ def model_fit(adapters: DataFrame, choices: DataFrame) -> DataFrame:
     A chosen adapter wins, else that with most bytes. Of the enabled choices that it holds, by bytes, model and context: the first, the lower median and the last.
     """
     best = adapters.groupBy("machine").agg(F.max(F.struct(F.col("chosen").cast("int"), "bytes", "adapter")).alias("a")).select("machine", F.col("a.bytes").alias("room"))
-    held = best.join(choices.where("enabled"), F.col("bytes") <= F.col("room"))
-    ranked = held.groupBy("machine").agg(F.sort_array(F.collect_list(F.struct("bytes", "model", "context"))).alias("c"))  # the catalogue's choices, not data
-    n = F.size("c")
-    return best.select("machine").join(ranked, "machine", "left").select("machine", *[F.get("c", k)["model"].alias(name) for name, k in (("minimal", F.lit(0)), ("recommended", F.floor((n - 1) / 2).cast("int")), ("extended", n - 1))])
+    # How many choices a room holds follows from their place in one order; choices meet machines by that number, not by size.
+    order = Window.orderBy("bytes", "model", "context")
+    placed = choices.where("enabled").select("bytes", "model", "context").withColumn("nth", F.row_number().over(order) - 1)  # the catalogue of models, not data
+    upto = placed.groupBy("bytes").agg((F.max("nth") + 1).alias("n"))
+    marks = upto.select("bytes", "n", F.lit(0).alias("kind"), F.lit(None).cast(best.schema["machine"].dataType).alias("machine")).unionByName(best.select(F.col("room").alias("bytes"), F.lit(None).cast("int").alias("n"), F.lit(1).alias("kind"), "machine"))
+    held = marks.withColumn("n", F.max("n").over(Window.orderBy("bytes", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1").select("machine", "n")
+    picks = {"minimal": F.lit(0), "recommended": F.floor((F.col("n") - 1) / 2).cast("int"), "extended": F.col("n") - 1}
+    asked = held.where("n > 0").select("machine", F.explode(F.array(*[F.struct(F.lit(name).alias("pick"), at.cast("int").alias("nth")) for name, at in picks.items()])).alias("p")).select("machine", "p.*")
+    got = asked.join(placed.select("nth", "model"), "nth").groupBy("machine").agg(*[F.max(F.when(F.col("pick") == name, F.col("model"))).alias(name) for name in picks])
+    return best.select("machine").join(got, "machine", "left")
 
 
 def expired(files: DataFrame, now: str, days: int = TELEMETRY_DAYS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumbra.functions import identity, paths, report, source
 from lumbra.functions import text as T
 from lumbra.functions.vector import dot, normalised
-from lumbra.operators import batches
+from lumbra.operators import batches, snapshot
 
 from .retrieval import query_vector, table
 
@@ -54,10 +54,13 @@ def dirty_policy(spark, sf_dir):
 
 
 def confined_paths(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", _pick(RELATIVE, F.col("doc_id")).alias("path"))
-    known = d.where("doc_id % 2 = 0").select("doc_id", F.lit(True).alias("known"))
-    state = F.when(paths.escapes(F.col("path")), "outside").when(F.col("known").isNull(), "missing").otherwise("ok")
-    return d.join(known, "doc_id", "left").select("doc_id", state.alias("state"))
+    """Paths of each document under a root of its own, and what stands at them: some are missing, links, unavailable or folders, on the way or at the end."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace(_pick(RELATIVE, F.col("doc_id")), F.lit("a/"), F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("/"))).alias("path"))
+    at = F.col("doc_id").cast("string")
+    folder = d.select(F.concat(F.lit("a"), at).alias("path"), _pick(("folder", "link", "folder", "folder", "unavailable"), F.floor(F.col("doc_id") / 7)).alias("kind"))
+    files = [d.select(F.concat(F.lit("a"), at, F.lit(name)).alias("path"), _pick(kinds, F.floor(F.col("doc_id") / 35)).alias("kind")) for name, kinds in (("/b.cs", ("file", "link", "file")), ("/c.cs", ("file", "folder", "unavailable")))]
+    got = snapshot.confined(d, folder.unionByName(files[0]).unionByName(files[1]))
+    return got.select("doc_id", "state")
 
 
 def worktree_list(spark, sf_dir):
@@ -257,7 +260,10 @@ _CANON = "replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), ch
 ORACLES = {
     "corpus_scan": f"WITH {_PATHS} SELECT * FROM (SELECT doc_id, path, {_CHUNKER} AS chunker FROM f WHERE NOT list_has_any(seg[:-2], {_list([n.lower() for n in paths.EXCLUDED_FOLDERS])}) AND NOT contains('/' || lp, '/.claude/worktrees/') AND strlen(text) <= 20000) WHERE chunker IS NOT NULL",
     "dirty_policy": f"WITH {_PATHS} SELECT doc_id, doc_id % 7 != 0 AND NOT list_has_any(seg, {_list([n.lower() for n in paths.DIRTY_EXCLUDED_FOLDERS])}) AND ext NOT IN {_in(paths.SECRET_EXTENSIONS)} AND NOT ({' OR '.join(f"contains(seg[-1], '{p}')" for p in paths.SECRET_PARTS)}) AND ({_CHUNKER}) IS NOT NULL AS allowed FROM f",
-    "confined_paths": f"SELECT doc_id, CASE WHEN [{', '.join(str(x).lower() for x in LEFT_ROOT)}][doc_id % {len(RELATIVE)} + 1] THEN 'outside' WHEN doc_id % 2 != 0 THEN 'missing' ELSE 'ok' END AS state FROM documents",
+    "confined_paths": f"""
+        WITH d AS (SELECT doc_id, [{', '.join(str(x).lower() for x in LEFT_ROOT)}][doc_id % {len(RELATIVE)} + 1] AS out, ['folder', 'link', 'folder', 'folder', 'unavailable'][doc_id // 7 % 5 + 1] AS folder,
+                          CASE WHEN doc_id % 7 = 3 THEN ['file', 'folder', 'unavailable'][doc_id // 35 % 3 + 1] ELSE ['file', 'link', 'file'][doc_id // 35 % 3 + 1] END AS last FROM documents)
+        SELECT doc_id, CASE WHEN out THEN 'outside' WHEN folder != 'folder' THEN folder WHEN last = 'folder' THEN 'missing' WHEN last = 'file' THEN 'ok' ELSE last END AS state FROM d""",
     "worktree_list": "SELECT '/w/' || c_custkey AS path, md5(c_name) AS head, CASE WHEN c_custkey % 3 != 0 THEN 'refs/heads/b' || c_custkey END AS branch, c_custkey % 3 = 0 AS detached, c_custkey % 4 = 0 AS prunable FROM customer WHERE c_custkey % 5 != 0",
     "null_paths": "WITH n AS (SELECT p_partkey % 4 AS k, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'A/' ELSE 'a/' END || (p_partkey % 50) || '.cs' AS path FROM part) SELECT k, arg_min(path, p_partkey) AS path FROM n GROUP BY k, lower(path)",
     "query_prompts": f"SELECT item_id, md5(CASE WHEN item_id % 2 = 0 THEN 'Instruct: {TASK}' || chr(10) || 'Query: ' || text ELSE text END) AS md5 FROM benchmark",

@@ -156,7 +156,7 @@ def present_worktrees(spark, sf_dir):
 def model_fits(spark, sf_dir):
     s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     adapters = s.select(F.col("s_nationkey").alias("machine"), F.col("s_suppkey").alias("adapter"), (F.abs("s_acctbal") / 8).cast("long").alias("bytes"), (F.col("s_suppkey") % 10 == 0).alias("chosen"))
-    choices = p.where("p_partkey <= 60").select(F.col("p_partkey").alias("model"), (F.col("p_size") % 4).alias("context"), F.col("p_retailprice").cast("long").alias("bytes"), (F.col("p_partkey") % 3 != 0).alias("enabled"))
+    choices = p.select(F.col("p_partkey").alias("model"), (F.col("p_size") % 4).alias("context"), F.col("p_retailprice").cast("long").alias("bytes"), (F.col("p_partkey") % 3 != 0).alias("enabled"))
     return states.model_fit(adapters, choices)
 
 
@@ -183,7 +183,7 @@ def catalogue_problems(spark, sf_dir):
     models = s.select((F.col("s_suppkey") % 90).cast("string").alias("tag"), _pick(("stable", "experimental", "stable"), F.col("s_suppkey")).alias("lifecycle"), _pick(("recommended", "manual"), F.col("s_suppkey")).alias("policy"))
     n = table(spark, sf_dir, "nation")
     routes = n.where("n_nationkey % 6 != 0").select(F.col("n_nationkey").cast("string").alias("profile"), F.when(F.col("n_nationkey") % 4 == 0, "deterministic").otherwise("model").alias("mode"))
-    named = s.where("s_suppkey <= 60").select((F.col("s_suppkey") % 17).cast("string").alias("profile"), (F.col("s_suppkey") * 2).cast("string").alias("tag"), _pick(("candidate", "fallback", "candidate"), F.col("s_suppkey")).alias("role"))
+    named = s.select((F.col("s_suppkey") % 17).cast("string").alias("profile"), (F.col("s_suppkey") * 2).cast("string").alias("tag"), _pick(("candidate", "fallback", "candidate"), F.col("s_suppkey")).alias("role"))
     allowed = s.select((F.col("s_suppkey") % 95).cast("string").alias("tag"))
     return states.catalogue_problems(models, routes, named, allowed, n.select(F.col("n_nationkey").cast("string").alias("profile")))
 
@@ -278,7 +278,7 @@ ORACLES = {
     "present_worktrees": "SELECT s_suppkey % 60 IN (SELECT n_nationkey FROM nation) AS present, count(*) AS n FROM supplier GROUP BY 1",
     "model_fits": """
         WITH a AS (SELECT s_nationkey AS machine, trunc(abs(s_acctbal) / 8)::BIGINT AS room FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey % 10 = 0) DESC, trunc(abs(s_acctbal) / 8)::BIGINT DESC, s_suppkey DESC) = 1),
-        c AS (SELECT p_partkey AS model, p_size % 4 AS context, trunc(p_retailprice)::BIGINT AS bytes FROM part WHERE p_partkey <= 60 AND p_partkey % 3 != 0),
+        c AS (SELECT p_partkey AS model, p_size % 4 AS context, trunc(p_retailprice)::BIGINT AS bytes FROM part WHERE p_partkey % 3 != 0),
         l AS (SELECT machine, list(model ORDER BY bytes, model, context) AS c FROM a JOIN c ON bytes <= room GROUP BY 1)
         SELECT a.machine, c[1] AS minimal, c[(len(c) - 1) // 2 + 1] AS recommended, c[len(c)] AS extended FROM a LEFT JOIN l ON a.machine = l.machine""",
     "expired_telemetry": "SELECT event_id FROM events WHERE event_id % 8 != 0 AND epoch_us(ts) < epoch_us(TIMESTAMP '2024-02-12 12:00:00') - 30 * 86400000000",
@@ -288,7 +288,7 @@ ORACLES = {
         SELECT DISTINCT * FROM (SELECT c.id AS case_id, CASE WHEN trim(query) = '' THEN 'blank' WHEN times > 1 THEN 'duplicate' WHEN none = (coalesce(n, 0) > 0) THEN 'inconsistent' WHEN missing THEN 'missing' WHEN absent THEN 'symbol_absent' END AS problem FROM c JOIN m USING (id) LEFT JOIN j ON j.id = c.id) WHERE problem IS NOT NULL""",
     "catalogue_problems": """
         WITH m AS (SELECT (s_suppkey % 90)::VARCHAR AS tag, s_suppkey % 3 = 1 AS trial, s_suppkey % 2 = 0 AS good FROM supplier), r AS (SELECT n_nationkey AS k, n_nationkey::VARCHAR AS profile, n_nationkey % 4 = 0 AS fixed FROM nation WHERE n_nationkey % 6 != 0),
-        n AS (SELECT (s_suppkey % 17)::VARCHAR AS profile, (s_suppkey * 2)::VARCHAR AS tag, s_suppkey % 3 = 1 AS fallback FROM supplier WHERE s_suppkey <= 60), a AS (SELECT (s_suppkey % 95)::VARCHAR AS tag FROM supplier),
+        n AS (SELECT (s_suppkey % 17)::VARCHAR AS profile, (s_suppkey * 2)::VARCHAR AS tag, s_suppkey % 3 = 1 AS fallback FROM supplier), a AS (SELECT (s_suppkey % 95)::VARCHAR AS tag FROM supplier),
         p AS (SELECT profile, count_if(NOT fallback) AS c, count_if(fallback) AS f FROM n GROUP BY 1), x AS (SELECT r.profile, fixed, coalesce(c, 0) AS c, coalesce(f, 0) AS f FROM r LEFT JOIN p ON p.profile = r.profile)
         SELECT tag AS subject, 'duplicate_tag' AS problem FROM m GROUP BY tag HAVING count(*) > 1 UNION SELECT tag, 'duplicate_allowed' FROM a GROUP BY tag HAVING count(*) > 1 UNION SELECT n_nationkey::VARCHAR, 'no_route' FROM nation WHERE n_nationkey % 6 = 0
         UNION SELECT profile, 'incomplete' FROM x WHERE NOT fixed AND (c = 0 OR f = 0) UNION SELECT profile, 'names_models' FROM x WHERE fixed AND c + f > 0 UNION SELECT profile, 'unknown_model' FROM n WHERE tag NOT IN (SELECT tag FROM m) UNION SELECT tag, 'not_allowed' FROM a WHERE tag NOT IN (SELECT tag FROM m WHERE trial OR good)""",

@@ -138,15 +138,14 @@ def imported_ranges(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", *[r[c].alias(c) for c in ("sl", "sc", "el", "ec")])
 
 
-def _names(spark, sf_dir):
-    s = _spans(spark, sf_dir)
-    return s.select("doc", (F.col("first") + F.col("last") % 5).alias("line"), (F.col("id") % 11).cast("int").alias("column"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
-
-
 def inferred_extents(spark, sf_dir):
-    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(70))).alias("line")).withColumn("trimmable", (F.col("line") + F.col("doc")) % 3 == 0)
-    reported = _spans(spark, sf_dir).where("first % 4 = 0").select("doc", "first", "last").distinct()
-    return definitions.inferred_extents(_names(spark, sf_dir), reported, lines)
+    """Declarations and reported spans at lines of the documents' texts, a word on each line."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    words = F.split(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), " ")
+    lines = d.select(F.col("doc_id").alias("doc"), F.posexplode(words).alias("k", "word")).select("doc", (F.col("k") + 1).alias("line"), "word")
+    names = lines.where(F.length("word") == 9).select("doc", "line", (F.col("line") % 3).alias("column"), F.col("word").alias("name"))
+    reported = lines.where(F.length("word") == 10).select("doc", F.col("line").alias("first"), (F.col("line") + F.col("line") % 17).alias("last")).distinct()
+    return definitions.inferred_extents(names, reported, lines.select("doc", "line", (definitions.trimmable(F.col("word")) | (F.length("word") == 2)).alias("trimmable")))
 
 
 def qualified_paths(spark, sf_dir):
@@ -228,14 +227,13 @@ ORACLES = {
         WITH n AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, (l_suppkey % 9)::INT AS b, (trunc(l_quantity)::INT % 8) AS c, (l_partkey % 9)::INT AS d FROM lineitem),
         f AS (SELECT l_orderkey, l_linenumber, a, b, CASE WHEN l_orderkey % 3 = 0 THEN c ELSE a END AS e, CASE WHEN l_orderkey % 3 = 0 THEN d ELSE c END AS f, l_orderkey % 3 != 2 AS whole FROM n), g AS (SELECT *, whole AND (e > a OR (e = a AND f >= b)) AS good FROM f)
         SELECT l_orderkey, l_linenumber, CASE WHEN good THEN a END AS sl, CASE WHEN good THEN b END AS sc, CASE WHEN good THEN e END AS el, CASE WHEN good THEN f END AS ec FROM g""",
-    "inferred_extents": f"""
-        WITH {_NAMED}, nm AS (SELECT l_orderkey AS doc, f + l % 5 AS line, ((f * 1000 + l) % 11)::INT AS col, 'n' || (f * 1000 + l) AS name FROM (SELECT *, f + trunc(l_quantity)::INT % 25 AS l FROM (SELECT *, (l_suppkey % 40 + 1)::INT AS f FROM lineitem))),
-        rep AS (SELECT DISTINCT doc, first, last FROM sp WHERE first % 4 = 0),
-        c AS (SELECT doc, line, arg_min(name, (col, name)) AS name FROM nm WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.doc = nm.doc AND line BETWEEN first AND last) GROUP BY ALL),
-        b AS (SELECT doc, line FROM c UNION SELECT doc, first FROM rep UNION SELECT o_orderkey, 71 FROM orders),
-        u AS (SELECT doc, line, lead(line) OVER (PARTITION BY doc ORDER BY line) - 1 AS until FROM b),
-        x AS (SELECT c.doc, c.name, c.line, (SELECT max(k) FROM range(c.line + 1, until + 1) t(k) WHERE (k + c.doc) % 3 != 0) AS last FROM c JOIN u ON u.doc = c.doc AND u.line = c.line)
-        SELECT doc, name, line::INT AS first, last::INT AS last FROM x WHERE last IS NOT NULL""",
+    "inferred_extents": r'''
+        WITH w AS (SELECT doc_id AS doc, string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS w FROM documents WHERE text IS NOT NULL), l AS (SELECT doc, unnest(range(1, len(w) + 1))::INT AS line, unnest(w) AS word FROM w),
+        rep AS (SELECT doc, line AS first, line + line % 17 AS last FROM l WHERE length(word) = 10), e AS (SELECT doc, line, NULL::INT AS last, word AS name FROM l WHERE length(word) = 9 UNION ALL SELECT doc, first, last, NULL FROM rep),
+        c AS (SELECT doc, line, name FROM (SELECT *, max(last) OVER (PARTITION BY doc ORDER BY line RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM e) WHERE name IS NOT NULL AND (until IS NULL OR until < line)),
+        b AS (SELECT doc, line FROM c UNION SELECT doc, first FROM rep UNION SELECT doc, len(w) + 1 FROM w), u AS (SELECT doc, line, lead(line) OVER (PARTITION BY doc ORDER BY line) - 1 AS until FROM b),
+        s AS (SELECT doc, line FROM l WHERE NOT (word = '' OR length(word) = 2 OR starts_with(word, '//') OR starts_with(word, '/*') OR starts_with(word, '*') OR starts_with(word, '#')))
+        SELECT c.doc, c.name, c.line AS first, max(s.line) AS last FROM c JOIN u ON u.doc = c.doc AND u.line = c.line JOIN s ON s.doc = c.doc AND s.line > c.line AND s.line <= u.until GROUP BY ALL''',
     "qualified_paths": f"WITH {_NAMED} SELECT s.doc, s.id, string_agg('s' || (p.id % 100), '.' ORDER BY p.first, -p.last, p.id) AS path FROM sp s JOIN sp p ON p.doc = s.doc AND ({_NESTED} OR p.id = s.id) GROUP BY s.doc, s.id",
     "own_lines": f"""
         WITH {_NAMED}, n AS (SELECT s.*, (SELECT arg_max(p.id, (p.first, -p.last, p.id)) FROM sp p WHERE p.doc = s.doc AND {_NESTED}) AS parent FROM sp s),
