@@ -63,6 +63,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no labels of urls, so the rules' verdicts are the labels; suffix statistics would only repeat them and are not in this result."""
     pages = table(spark, sf_dir, "pages")
     model = url_filter.fit_urls(pages)
     return url_filter.judge(pages, model, ["page_id", "url"]).select("page_id", "host", "path", "rule", "verdict", "block_score")
