@@ -7,7 +7,8 @@ gives the original back, so no text can imitate a mark.
 The prefix sums of the written turns' token counts choose the windows: a window starts at the first turn not yet written, and
 ends before the turn whose prefix sum goes beyond the budget left by its context. The context repeats the system turn that opens the
 conversation and at most ``HISTORY`` turns, the latest ones, that take at most ``HISTORY_SHARE`` of the budget. Spans are always whole
-turns; a turn that doesn't fit beside the system turn has a window without it, so only a turn that is itself larger than the budget makes a window exceed it. Only assistant texts that are new in a window are under the loss
+turns; a turn that fits only without the system turn has a window without it, and a system turn over the budget isn't repeated, so only a turn that is itself larger than the budget
+makes a window exceed it. Only assistant texts that are new in a window are under the loss
 mask; repeated turns are masked. Rows are sorted by conversation and turn and streamed, so only a window's turns are in memory.
 
 Defined results: null texts and roles are empty; null turns come first; turns with the same number are ordered by role
@@ -96,7 +97,7 @@ class Windows:
         if self.context and not self.new and self.sum + tokens - self.base > self.budget:  # context gives way, the system turn last
             self.history.clear()
             self._start()
-            if self.context and self.sum + tokens - self.base > self.budget:
+            if self.system and self.sum + tokens - self.base > self.budget and (tokens <= self.budget or self.system[1] > self.budget):
                 self._start(alone=True)
         written, start, stop = format_turn(role, text)
         self.parts.append(written)
