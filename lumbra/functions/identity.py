@@ -57,7 +57,7 @@ def ready(state: Column, own: list[Column], wanted: list[Column]) -> Column:
 
 
 def _base64url(binary: Column) -> Column:
-    return F.rtrim(F.translate(F.regexp_replace(F.base64(binary), r"\s", ""), "+/=", "-_ "))
+    return F.translate(F.base64(binary), "+/=\r\n", "-_")  # the last three go
 
 
 def _byte(n: Column) -> Column:
@@ -75,10 +75,11 @@ def chunk_id(repository: Column, generation: Column, tree: Column, dirty: Column
     number = F.lpad(F.hex(ordinal.cast("int")), 8, "0")
     little = F.concat(*[F.substring(number, k, 2) for k in (7, 5, 3, 1)])
     payload = F.unhex(F.concat(F.lit("01"), *map(_hex_string, (repository, generation, tree)), F.when(dirty.isNull(), "00").otherwise(F.concat(F.lit("01"), _hex_string(F.coalesce(dirty, F.lit(""))))), little))
-    good = (ordinal >= 0) & (F.octet_length(payload) <= MOST_PAYLOAD) & (F.coalesce(F.length(dirty), F.lit(0)) <= MOST_FIELD)
+    good = (ordinal >= 0) & (F.coalesce(F.length(dirty), F.lit(0)) <= MOST_FIELD)
     for field in (repository, generation, tree):
         good = good & ~blank(field) & (F.length(field) <= MOST_FIELD)
-    return F.when(good, F.concat(F.lit("cs1."), _base64url(payload), F.lit("."), _base64url(F.unhex(F.sha2(payload, 256)))))
+    written = lambda p: F.when(F.octet_length(p) <= MOST_PAYLOAD, F.concat(F.lit("cs1."), _base64url(p), F.lit("."), _base64url(F.unhex(F.sha2(p, 256)))))
+    return F.when(good, F.get(F.transform(F.array(payload), written), F.lit(0)))  # the payload is made once
 
 
 def _field(data: bytes, at: int) -> tuple[str | None, int]:

@@ -42,7 +42,7 @@ def blank(text: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Length in UTF-16 code units: a character above U+FFFF counts as two."""
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def left_units(text: Column, most: int | Column) -> Column:

@@ -1,14 +1,17 @@
 """Syntactic chunks of C#-like sources, found from the text alone.
 
-A text becomes tokens: comments, strings, marks of structure and what stands between them. Depth, line and place of each token are prefix sums, by blocks of tokens first and then over
-the blocks of a text. A statement is what stands between two of ``{``, ``}`` and ``;`` outside parentheses; the block that holds it is the last one that was opened one
-level up. From the statements' heads follow namespaces, types and members; nothing but these heads is looked at.
+A text becomes tokens: comments, strings, marks of structure and what stands between them. Depth, line and place of each token are prefix sums over its text. A statement is what stands between
+two of ``{``, ``}`` and ``;`` outside parentheses; the block that holds it is the last one that was opened one level up. From the statements' heads follow namespaces, types and members;
+nothing but these heads is looked at. Tokens are found JVM-side and summed in Arrow batches, so texts are not shuffled to be cut.
 
 Fixed limits: interpolated strings that hold quotes inside their holes are read as ending there; attributes are part of a declaration's lines, not of its signature.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from . import definitions
 from .chunks import MOST_CHARS
 from .tables import written
 
-BLOCK = 4096  # tokens whose sums are taken at once
+STEP = 256  # texts that are summed at once
 MOST_SIGNATURE, MOST_SUMMARY, MOST_VALUE, LONG_EXPRESSION, MARKED = 400, 200, 120, 80, 500
 TOKEN = (
     r"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|#(?<=(?:^|\n)[ \t]{0,99}#)[^\n]*"  # comments and directives
@@ -26,52 +29,85 @@ TOKEN = (
     r"|'(?:\\[^\n'][^'\n]*+|\\'|[^'\\\n])'|[{};()]|[^/#\"'@${};()]++|."
 )
 TYPE = r"^[^({=:]*?\b(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+(@?\w+)"
+WORDS = ("class", "interface", "struct", "enum", "record", "namespace")
 NAMESPACE = r"^namespace\s+([\w.]+)"
 METHOD = r"^[^(=\[]*?(~?@?\w+)\s*(?:<[^(]*>)?\s*\("
 OPERATOR = r"^[^(]*?\boperator\s+([^\s(]+)\s*\("
 PROPERTY = r"^[^(=]*?(@?\w+)\s*(?:=>.*)?[{;]?$"
 
 
-def _is(token: Column, *starts: str) -> Column:
-    out = F.lit(False)
-    for s in starts:
-        out = out | token.startswith(s)
-    return out
+STATEMENT = "s bigint, depth int, head string, note string, first int, start int, last int, stop int, end string"
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(doc, k, token, silent, statement, depth, line, at) of files (doc, text): ``silent`` tokens are comments, directives and blanks; depth is that before the token, line that of its start."""
+def _before(steps: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the steps before each token of its text; ``first`` is each text's first token."""
+    upto = np.append(0, np.cumsum(steps))
+    return upto[:-1] - upto[first][text]
+
+
+def cut_statements(tokens: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The text and the columns of ``STATEMENT`` of each statement of texts, given as their tokens: head without comments, note the documentation before it, ``start`` and ``stop`` its places.
+
+    Depth and line are those of the last and the first token that isn't a comment, a directive or blank; what is blank or comments only is no statement.
+    """
+    many = np.asarray(pc.list_value_length(tokens).fill_null(0)).astype(np.int64)
+    token = tokens.flatten()
+    text, first = np.repeat(np.arange(len(many)), many), np.cumsum(many) - many
+    is_ = lambda *c: np.asarray(pc.is_in(token, value_set=pa.array(c)))
+    starts = lambda c: np.asarray(pc.starts_with(token, c))
+    size, breaks = (np.asarray(f).astype(np.int64) for f in (pc.utf8_length(token), pc.count_substring(token, "\n")))
+    sums = lambda x: _before(x.astype(np.int64), text, first)
+    depth, parens = (sums(is_(a).astype(np.int64) - is_(b)) for a, b in ("{}", "()"))
+    line, at = sums(breaks), sums(size)
+    bound = is_("{", "}", ";") & (parens <= 0)
+    number = sums(bound)
+    blank = np.asarray(pc.equal(pc.ascii_trim_whitespace(token), ""))
+    comment = starts("//") | starts("/*") | starts("#")
+    begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (number[1:] != number[:-1]))[: len(token)])
+    end = np.append(begin[1:], len(token))
+    loud = np.minimum.reduceat(np.where(blank | comment, len(token), np.arange(len(token))), begin) if len(begin) else begin
+    there = loud < len(token)
+    begin, end, loud = begin[there], end[there], loud[there]
+    spread = lambda mask: np.append(np.append(0, np.cumsum(mask))[begin], np.append(0, np.cumsum(mask))[end[-1:]])
+
+    def joined(mask: np.ndarray, sign: str) -> pa.Array:
+        inside = np.zeros(len(token) + 1, np.int64)
+        np.add.at(inside, begin, 1)
+        np.add.at(inside, end, -1)
+        mask = mask & (np.cumsum(inside[:-1]) > 0)  # of statements alone
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(spread(mask) if len(begin) else [0], pa.int32()), token.filter(pa.array(mask))), sign)
+
+    before = np.zeros(len(token), bool)
+    owner = np.repeat(np.arange(len(begin)), end - begin)
+    held = np.concatenate([np.arange(a, z) for a, z in zip(begin, end, strict=True)]) if len(begin) else begin
+    before[held] = held < loud[owner]
+    note = ["\n".join(x.strip() for x in n.split("\n") if x.strip()) if n else "" for n in joined((starts("///") | starts("/**")) & before, "\n").to_pylist()]
+    lead = token.take(pa.array(loud))
+    rest = pc.ascii_ltrim_whitespace(lead)
+    gap, lines = (np.asarray(f(lead)).astype(np.int64) - np.asarray(f(rest)) for f in (pc.utf8_length, lambda x: pc.count_substring(x, "\n")))
+    last = end - 1
+    sign = token.take(pa.array(last))
+    columns = [
+        pa.array(number[loud]), pa.array(depth[last], pa.int32()), pc.ascii_ltrim_whitespace(joined(~comment, "")), pa.array(note, pa.string()), pa.array(line[loud] + lines + 1, pa.int32()), pa.array(at[loud] + gap, pa.int32()),
+        pa.array(line[last] + 1, pa.int32()), pa.array(at[last] + size[last], pa.int32()), pc.if_else(pa.array(is_("{", "}", ";")[last]), sign, ""),
+    ]
+    return text[loud], columns
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """The statements (doc and ``STATEMENT``) of files (doc, text)."""
     lf = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = files.select("doc", F.posexplode(F.regexp_extract_all(lf, F.lit(TOKEN), F.lit(0))).alias("k", "token"))
-    token = F.col("token")
-    t = t.withColumn("silent", _is(token, "//", "/*", "#") | ~token.rlike(r"\S"))
-    change = lambda a, b: F.when(token == a, 1).when(token == b, -1).otherwise(0)
-    step = F.struct(change("{", "}").alias("depth"), change("(", ")").alias("parens"), (F.length(token) - F.length(F.replace(token, F.lit("\n")))).alias("line"), F.length(token).alias("at"))
-    t = written(t.withColumn("block", F.floor(F.col("k") / BLOCK)).withColumn("step", step), "tokens")
-    sums = t.groupBy("doc", "block").agg(*[F.sum(f"step.{c}").alias(c) for c in ("depth", "parens", "line", "at")])
-    over = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("doc", "block", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_0") for c in ("depth", "parens", "line", "at")])
-    inside = Window.partitionBy("doc", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(sums, ["doc", "block"]).select("doc", "k", "block", "token", "silent", *[(F.col(f"{c}_0") + F.coalesce(F.sum(f"step.{c}").over(inside), F.lit(0))).alias(c) for c in ("depth", "parens", "line", "at")])
-    # What a bound ends is one statement: those before it are counted in the same two steps.
-    ends = (token.isin("{", "}", ";") & (F.col("parens") <= 0)).cast("int")
-    t = written(t.withColumn("ends", ends), "tokens")
-    many = t.groupBy("doc", "block").agg(F.sum("ends").alias("n")).select("doc", "block", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n_0"))
-    return t.join(many, ["doc", "block"]).withColumn("statement", F.col("n_0") + F.coalesce(F.sum("ends").over(inside), F.lit(0))).drop("block", "n_0", "ends")
-
-
-def statements(found: DataFrame) -> DataFrame:
-    """Statements (doc, s, depth, head, note, first, start, last, stop, end) of ``tokens``: head without comments, note the documentation before it, ``start`` and ``stop`` its places in the text."""
-    blank = F.regexp_extract("token", r"^\s*", 0)  # before the first word
-    loud = F.when(~F.col("silent"), F.struct("k", (F.col("line") + F.length(blank) - F.length(F.replace(blank, F.lit("\n")))).alias("line"), (F.col("at") + F.length(blank)).alias("at")))
-    by = found.groupBy("doc", F.col("statement").alias("s")).agg(
-        F.sort_array(F.collect_list(F.struct("k", "token", "silent"))).alias("t"), F.min(loud).alias("f"), F.max(F.struct("k", "token", "depth", "line", "at")).alias("e"))
-    said = F.filter("t", lambda x: ~x["silent"] | ~x["token"].rlike(r"\S"))
-    notes = F.filter("t", lambda x: (x["k"] < F.col("f.k")) & (x["token"].startswith("///") | x["token"].startswith("/**")))
-    note = F.array_join(F.filter(F.transform(split_lines(F.array_join(F.transform(notes, lambda x: x["token"]), "\n")), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    head = F.regexp_replace(F.array_join(F.transform(said, lambda x: x["token"]), ""), r"^\s+", "")
-    stop = F.col("e.at") + F.length("e.token")
-    return by.where("f is not null").select("doc", "s", F.col("e.depth").alias("depth"), head.alias("head"), note.alias("note"), (F.col("f.line") + 1).alias("first"), F.col("f.at").alias("start"), (F.col("e.line") + 1).alias("last"), stop.alias("stop"), F.when(F.col("e.token").isin("{", "}", ";"), F.col("e.token")).otherwise("").alias("end"))
+    kind = files.schema["doc"].dataType.simpleString()
+    names = ["doc", *(f.split()[0] for f in STATEMENT.split(", "))]
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                own, columns = cut_statements(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *columns], names=names)
+
+    return files.select("doc", F.regexp_extract_all(lf, F.lit(TOKEN), F.lit(0)).alias("t")).mapInArrow(cut, f"doc {kind}, {STATEMENT}")
 
 
 def nested(rows: DataFrame) -> DataFrame:
@@ -99,24 +135,32 @@ def declarations(files: DataFrame) -> DataFrame:
     what is Type, Enum, Value or Member; ``own`` says that a member has a chunk of its own: methods, constructors, operators and indexers, and properties with a long expression or with
     an accessor that has a body. ``spelled`` says that its whole text is its summary: nested types and fields with an initialiser's block.
     """
-    rows = written(nested(statements(tokens(files))), "statements").withColumn("told", _declared(F.col("head")))
+    rows = nested(written(statements(files), "statements"))
     told, head = F.col("told"), F.col("head")
-    type_name, space = F.regexp_extract("told", TYPE, 1), F.regexp_extract("told", NAMESPACE, 1)
     opened = F.col("end") == "{"
-    rows = rows.withColumn("kind", F.when(space != "", "Namespace").when((type_name != "") & (F.col("end") != "}"), F.when(told.rlike(r"^[^({=:]*?\benum\s"), "Enum").otherwise("Type")).otherwise("Other")).withColumn("named", F.coalesce(F.nullif(space, F.lit("")), type_name))
-    rows = written(rows, "told")
+    # Only heads with a declaring word are read for it.
+    word = F.lit(False)
+    for w in WORDS:
+        word = word | F.contains("head", F.lit(w))
+    rows = rows.withColumn("told", F.when(word & (F.col("end") != "}"), _declared(head)))
+    space, type_name = (F.coalesce(F.regexp_extract("told", p, 1), F.lit("")) for p in (NAMESPACE, TYPE))
+    kind = F.when(space != "", "Namespace").when(type_name != "", F.when(told.rlike(r"^[^({=:]*?\benum\s"), "Enum").otherwise("Type")).otherwise("Other")
+    rows = written(rows.withColumn("kind", kind).withColumn("named", F.coalesce(F.nullif(space, F.lit("")), type_name)).drop("told"), "told")
     block = rows.where(opened & F.col("kind").isin("Namespace", "Type", "Enum")).select("doc", F.col("s").alias("id"), F.col("s").cast("int").alias("first"), F.coalesce("close", F.col("s")).cast("int").alias("last"), F.concat(F.substring("kind", 1, 1), F.lit(":"), "named").alias("name"))
     chains = definitions.chains(block).select("doc", F.col("id").alias("holder"), "chain")
     spaces = rows.where("kind = 'Namespace'").groupBy("doc").agg(F.min_by("named", "s").alias("declared"))
     holders = rows.select("doc", F.col("s").alias("holder"), F.col("kind").alias("held_by"))
-    # What follows an initialiser's block, up to its end, belongs to it.
+    every = rows
+    # Statements inside members are no declarations. What follows an initialiser's block, up to its end, belongs to it.
     filled = opened & told.rlike(r"^[^(=]*=(?!>)")
     place = Window.partitionBy("doc", "holder").orderBy("s")
+    rows = rows.join(holders, ["doc", "holder"], "left").where("held_by is null or held_by != 'Other'").withColumn("told", _declared(head))
     rows = rows.withColumn("filled", filled).withColumn("tail", F.coalesce(F.lag("filled").over(place), F.lit(False)))
     rows = rows.withColumn("after", F.when(F.col("filled"), F.lead(F.struct("last", "stop")).over(place))).where("not tail")
-    # Statements inside members are no declarations; of a member's own block only accessors are asked for.
-    got = written(rows.join(holders, ["doc", "holder"], "left").where("kind != 'Namespace' and (held_by is null or held_by != 'Other')"), "held")
-    inner = rows.join(got.where(opened & (F.col("kind") == "Other")).select("doc", F.col("s").alias("holder")), ["doc", "holder"], "left_semi").where("kind = 'Other' and end in ('{', ';')")
+    got = written(rows.where("kind != 'Namespace'"), "held")
+    # Of a member's own block only accessors are asked for.
+    openers = got.where(opened & (F.col("kind") == "Other")).select("doc", F.col("s").alias("holder"))
+    inner = every.join(openers, ["doc", "holder"], "left_semi").where("kind = 'Other' and end in ('{', ';')").withColumn("told", _declared(head))
     word = F.struct(F.col("s").alias("o"), F.regexp_extract("told", r"(\w+)(?:\s*=>.*)?$", 1).alias("word"))
     accessors = inner.groupBy("doc", F.col("holder").alias("s")).agg(F.bool_or(opened).alias("bodies"), F.array_sort(F.collect_list(word)).alias("accessors"))
     got = got.join(chains, ["doc", "holder"], "left").join(spaces, "doc", "left").join(accessors, ["doc", "s"], "left")
@@ -162,7 +206,7 @@ def _text_of(text: Column) -> Column:
 def syntax_chunks(files: DataFrame) -> DataFrame:
     """Chunks (doc, kind, symbol, signature, namespace, first, last, body) of files (doc, text): one of each type with a line for each member, one of each member that has its own (in
     parts if it is long), and the whole file where there is no type. Files that are marked as generated near their beginning give nothing."""
-    files = _written_by_hand(files)
+    files = written(_written_by_hand(files), "files")
     found = declarations(files)
     line = lambda name, c: F.when(c != "", F.concat(F.lit(name), c, F.lit("\n"))).otherwise("")
     top = F.concat(line("File: ", F.col("doc")), line("Namespace: ", F.col("namespace")))

@@ -93,12 +93,12 @@ def test_syntax_chunks(spark):
 
 
 def test_syntax_chunks_over_blocks(spark, monkeypatch):
-    """Sums by blocks of a few tokens give what sums over a whole text give, also for a long member in parts."""
+    """Texts one at a time give what many at once give, also for a long member in parts."""
     body = "\n".join(f'        Say("line {k} }}}}", \'{{\'); // }} note' for k in range(400))
     text = "class Big\n{\n    void Long()\n    {\n" + body + "\n    }\n    void Next() { }\n}\n"
-    df = spark.createDataFrame([("x/big.cs", text)], "doc string, text string")
+    df = spark.createDataFrame([("x/big.cs", text), ("x/none.cs", None), ("x/empty.cs", ""), ("x/end.cs", "// only a comment"), ("x/one.cs", "class A { int B() => 1; }")], "doc string, text string").coalesce(1)
     want = sorted(tuple(r) for r in syntax.syntax_chunks(df).collect())
-    monkeypatch.setattr(syntax, "BLOCK", 7)
+    monkeypatch.setattr(syntax, "STEP", 1)
     assert sorted(tuple(r) for r in syntax.syntax_chunks(df).collect()) == want
     long = sorted((r[5], r[6], r[2]) for r in want if r[2].startswith("Big.Long"))
     assert len(long) > 2 and long[0][:2] == (3, long[0][1]) and long[-1][1] == 405 and all(b[0] == a[1] - 7 for a, b in zip(long, long[1:], strict=False))
