@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,7 @@ def _bare(text: Column) -> Column:
 
 def trimmable(line: Column) -> Column:
     """Blank and comment lines, which belong to the next declaration."""
-    bare = _bare(line)
-    out = bare == ""
-    for lead in LEADS:
-        out = out | bare.startswith(lead)
-    return out
+    return line.rlike(r"^\s*(?:" + "|".join(re.escape(x) for x in LEADS) + "|$)")
 
 
 def inferred_extents(names: DataFrame, reported: DataFrame, lines: DataFrame) -> DataFrame:
