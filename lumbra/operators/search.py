@@ -35,7 +35,7 @@ def _scored_in_blocks(queries: DataFrame, rows: DataFrame, keep, floor: float |
     n_queries, n_rows, tasks = queries.count(), rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     high = max(1, -(-n_queries // QUERY_BLOCK))
     wide = max(1, -(-n_rows // max(LEAST_BLOCK, min(ROW_BLOCK, -(-n_rows * high // tasks)))))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")  # noqa: E731; of one type with ``every``: numbers of different types go to different tasks
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select(F.col("query").cast("long").alias("query"), "vector", block("query", high).alias("i"), every(wide).alias("j"))
     r = rows.select(F.col("ordinal").cast("long").alias("ordinal"), "vector", block("ordinal", wide).alias("j"), every(high).alias("i"))
