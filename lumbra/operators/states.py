@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumbra.functions.text import blank, slashes
 from lumbra.functions.times import micros
 
+from .tables import tasks_for
+
 # The least and most of each retention setting; null is no bound.
 POLICY = {
     "response_grace_minutes": (1, 1440), "response_retention_minutes": (1, 43_200), "response_budget_bytes": (16 << 20, None), "archive_retention_days": (1, 3650),
@@ -71,14 +73,17 @@ def overlay_plan(history: DataFrame, bases: DataFrame) -> DataFrame:
     history (generation, age, commit, tree, parent, parent_tree), age 0 is the newest. If each commit's first parent is the one before, the oldest's is
     the base, each is a layer, oldest first; else the newest tree is one collapsed layer.
     """
-    order = Window.partitionBy("generation").orderBy(F.desc("age"))
-    h = history.join(bases, "generation").withColumn("nth", F.row_number().over(order) - 1)
-    h = h.withColumn("follows", F.col("parent").eqNullSafe(F.coalesce(F.lag("commit").over(order), F.col("base_commit"))))
-    whole = h.groupBy("generation").agg(F.bool_and("follows").alias("connected"), F.min("age").alias("newest"))
-    h = h.join(whole, "generation")
-    steps = h.where("connected").select("generation", F.coalesce("parent_tree", "base_tree").alias("base_tree"), F.col("tree").alias("target_tree"), "commit", F.lit("Commit").alias("kind"), "nth")
-    one = h.where("not connected and age = newest").select("generation", "base_tree", F.col("tree").alias("target_tree"), "commit", F.lit("Collapsed").alias("kind"), F.lit(0).alias("nth"))
-    return steps.unionByName(one)
+    n = tasks_for(history, bases)
+    own = Window.partitionBy("generation")
+    order = own.orderBy(F.desc("age"))
+    # One sort serves the order of ages, the join and what holds for a whole generation.
+    h = history.repartition(n, "generation").withColumn("nth", F.row_number().over(order) - 1).withColumn("_before", F.lag("commit").over(order))
+    h = h.join(bases.repartition(n, "generation"), "generation").withColumn("follows", F.col("parent").eqNullSafe(F.coalesce("_before", "base_commit")))
+    h = h.withColumn("connected", F.bool_and("follows").over(own)).withColumn("newest", F.min("age").over(own))
+    connected = F.col("connected")
+    return h.where(connected | (F.col("age") == F.col("newest"))).select(
+        "generation", F.when(connected, F.coalesce("parent_tree", "base_tree")).otherwise(F.col("base_tree")).alias("base_tree"), F.col("tree").alias("target_tree"), "commit",
+        F.when(connected, "Commit").otherwise("Collapsed").alias("kind"), F.when(connected, F.col("nth")).otherwise(0).alias("nth"))
 
 
 def read_plan(states: DataFrame, key: str, most: int = INLINE_FILES) -> DataFrame:

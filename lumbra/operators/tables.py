@@ -24,3 +24,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+TASK_ROWS = 250_000
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """How many tasks have about ``TASK_ROWS`` rows of the tables each, so that a task's memory doesn't grow with the input."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, *(-(-t.count() // TASK_ROWS) for t in tables))
