@@ -51,12 +51,13 @@ def retained_generations(generations: DataFrame, now: str, keep: int) -> DataFra
     The current one stays, and so do those younger than a day that aren't older than it; then the newest until ``keep`` stay.
     """
     young = micros(F.lit(now)) - micros("published_at") < DAY
-    current = generations.where("is_current").groupBy("repository").agg(F.max("published_at").alias("_current"))
-    got = generations.join(current, "repository", "left").withColumn("_held", F.col("is_current") | (young & (F.col("_current").isNull() | (F.col("published_at") >= F.col("_current")))))
-    held = got.groupBy("repository").agg(F.count_if("_held").alias("_n"))
-    nth = F.row_number().over(Window.partitionBy("repository").orderBy(F.desc("published_at"), F.desc("id")))
-    rest = got.where("not _held").withColumn("_nth", nth).join(held, "repository").withColumn("kept", F.col("_nth") <= F.greatest(F.lit(0), keep - F.col("_n")))
-    return got.where("_held").select("repository", "id", "bytes", F.lit(True).alias("kept")).unionByName(rest.select("repository", "id", "bytes", "kept"))
+    own = Window.partitionBy("repository")
+    got = generations.withColumn("_current", F.max(F.when(F.col("is_current"), F.col("published_at"))).over(own))
+    got = got.withColumn("_held", F.coalesce(F.col("is_current") | (young & (F.col("_current").isNull() | (F.col("published_at") >= F.col("_current")))), F.lit(False)))
+    # What isn't held comes last, so its place is the row's less those that are held.
+    nth = F.row_number().over(own.orderBy(F.desc("_held"), F.desc("published_at"), F.desc("id")))
+    got = got.withColumn("_n", F.count_if("_held").over(own)).withColumn("_nth", nth - F.col("_n"))
+    return got.select("repository", "id", "bytes", (F.col("_held") | (F.col("_nth") <= F.greatest(F.lit(0), keep - F.col("_n")))).alias("kept"))
 
 
 def removed_overlays(overlays: DataFrame, generations: DataFrame, reachable: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumbra.operators import batches, experiments, snapshot, states
+from lumbra.operators.tables import tasks_for
 
 from .corpus import _pick
 from .retrieval import _FILES as FILES_SQL
@@ -74,8 +76,7 @@ def repository_states(spark, sf_dir):
 
 def _generations(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    newest = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("top"))
-    got = o.join(newest, "o_custkey")
+    got = o.repartition(tasks_for(o), "o_custkey").withColumn("top", F.max("o_orderkey").over(Window.partitionBy("o_custkey")))
     return got.select(F.col("o_custkey").alias("repository"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("published_at"), F.col("o_totalprice").cast("long").alias("bytes"), ((F.col("o_orderkey") == F.col("top")) & (F.col("o_custkey") % 3 != 0)).alias("is_current"))
 
 
