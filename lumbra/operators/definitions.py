@@ -71,11 +71,18 @@ def qualified(nested: DataFrame) -> DataFrame:
 
 def own_lines(nested: DataFrame) -> DataFrame:
     """(doc, id, line) of the lines that a span shows: those in none of its children (``spans.parents``), and each child's first."""
-    lines = nested.select("doc", "id", F.explode(F.sequence("first", "last")).alias("line"))
-    child = nested.where("parent is not null").select("doc", F.col("parent").alias("id"), "first", "last")
-    hidden = child.select("doc", "id", F.explode(F.sequence("first", "last")).alias("line")).distinct()
-    shown = child.select("doc", "id", F.col("first").alias("line")).distinct()
-    return lines.join(hidden, ["doc", "id", "line"], "left_anti").unionByName(shown)
+    child = nested.where("parent is not null").select("doc", F.col("parent").alias("id"), F.lit(1).alias("kind"), "first", "last")
+    every = nested.select("doc", "id", F.lit(0).alias("kind"), "first", "last").unionByName(child)
+    # A span and then its children by their first lines: what shows are the lines from where those before reach to a child's first, and behind the last child. Lines become rows at the end.
+    order = Window.partitionBy("doc", "id").orderBy("kind", "first", "last")
+    upto, reach = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), F.when(F.col("kind") == 0, F.col("first") - 1).otherwise(F.col("last"))
+    before = F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    again = (F.lag("kind").over(order) == 1) & (F.lag("first").over(order) == F.col("first"))
+    cut = every.select("doc", "id", "kind", "first", before.alias("_before"), F.max(reach).over(upto).alias("_reach"), F.first("last").over(upto).alias("_last"), F.coalesce(again, F.lit(False)).alias("_again"), F.lead("kind").over(order).isNull().alias("_end"))
+    gap = F.when((F.col("kind") == 1) & ~F.col("_again"), F.sequence(F.least(F.col("_before") + 1, F.col("first")), F.col("first")))
+    tail = F.when(F.col("_end") & (F.col("_reach") < F.col("_last")), F.sequence(F.col("_reach") + 1, F.col("_last")))
+    none = F.slice(F.array("first"), 1, 0)
+    return cut.select("doc", "id", F.explode(F.concat(F.coalesce(gap, none), F.coalesce(tail, none))).alias("line"))
 
 
 def split_windows(bodies: DataFrame) -> DataFrame:

@@ -24,10 +24,9 @@ def parents(spans: DataFrame) -> DataFrame:
     s, p = meeting(spans)
     same = (F.col("p.first") == F.col("s.first")) & (F.col("p.last") == F.col("s.last"))
     holds = (F.col("p.first") <= F.col("s.first")) & (F.col("p.last") >= F.col("s.last")) & (~same | (F.col("p.id") < F.col("s.id")))
-    held = s.join(p, (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds).groupBy(F.col("s.doc").alias("doc"), F.col("s.id").alias("id")).agg(
-        F.max_by("p.id", F.struct("p.first", -F.col("p.last"), "p.id")).alias("parent")
-    )
-    return spans.join(held, ["doc", "id"], "left").select("doc", "id", "first", "last", "parent")
+    meet = (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds
+    own = [F.col(f"s.{c}").alias(c) for c in ("doc", "id", "first", "last")]
+    return s.join(p, meet, "left").groupBy(*own).agg(F.max_by("p.id", F.struct("p.first", -F.col("p.last"), "p.id")).alias("parent"))
 
 
 def uncovered(docs: DataFrame, spans: DataFrame) -> DataFrame:
