@@ -11,6 +11,7 @@ from lumbra.functions.text import slashes, split_lines
 
 from .covering import best_covering
 from .graph import DEFINITION
+from .tables import tasks_for, written
 
 ROLE_IMPORT, ROLE_WRITE, ROLE_READ = 4, 8, 16
 #: Kind codes of imported symbols.
@@ -62,7 +63,10 @@ def resolved(occurrences: DataFrame, points: DataFrame) -> DataFrame:
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` that ``right`` lacks (side missing) and the other way round (side extra), once each."""
-    return left.subtract(right).withColumn("side", F.lit("missing")).unionByName(right.subtract(left).withColumn("side", F.lit("extra")))
+    n = tasks_for(left, right)
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)))
+    sides = both.repartition(n, *left.columns).groupBy(*left.columns).agg(F.min("_left").alias("_every"), F.max("_left").alias("_some"))
+    return sides.where(F.col("_every") == F.col("_some")).select(*left.columns, F.when(F.col("_some"), "missing").otherwise("extra").alias("side"))
 
 
 def replacement_problems(deleted: DataFrame, changed: DataFrame) -> DataFrame:
@@ -78,14 +82,16 @@ def affected(base_docs: DataFrame, current_docs: DataFrame, base_occurrences: Da
     changed = both.where(~F.col("old").eqNullSafe(F.col("new"))).select("doc")
     moved = differences(base_occurrences, current_occurrences).select("doc")
     every = changed.union(moved).union(dirty.select("doc")).distinct()
-    return every.join(both, "doc").select("doc", F.col("new").isNull().alias("deleted"))
+    # Read by several steps of an overlay, so found once.
+    return written(every.join(both, "doc").select("doc", F.col("new").isNull().alias("deleted")), "touched")
 
 
 def overlay(base: dict[str, DataFrame], current: dict[str, DataFrame], dirty: DataFrame) -> dict[str, DataFrame]:
     """The slices of ``current`` (docs, symbols, occurrences, edges) that differ from ``base``, and ``touched`` (doc, deleted)."""
     touched = affected(base["docs"], current["docs"], base["occurrences"], current["occurrences"], dirty)
     docs = touched.select("doc")
-    occurrences = current["occurrences"].join(docs, "doc", "left_semi")
+    n = tasks_for(current["occurrences"])
+    occurrences = current["occurrences"].repartition(n, "doc").join(docs.repartition(n, "doc"), "doc", "left_semi")
     impacted = base["occurrences"].join(docs, "doc", "left_semi").select("symbol").union(occurrences.select("symbol")).distinct()
     edges = _touching(current["edges"], impacted)
     wanted = occurrences.select("symbol").union(edges.select("source")).union(edges.select("target")).distinct()
@@ -112,7 +118,9 @@ def materialised(base: dict[str, DataFrame], layer: dict[str, DataFrame]) -> dic
     touched = layer["touched"].select("doc")
     impacted = base["occurrences"].unionByName(layer["occurrences"]).join(touched, "doc", "left_semi").select("symbol")
     docs = base["docs"].join(touched, "doc", "left_anti").unionByName(layer["docs"])
-    occurrences = base["occurrences"].join(touched, "doc", "left_anti").unionByName(layer["occurrences"])
+    n = tasks_for(base["occurrences"])
+    untouched = base["occurrences"].repartition(n, "doc").join(touched.repartition(n, "doc"), "doc", "left_anti")
+    occurrences = untouched.unionByName(layer["occurrences"])
     edges = _touching(base["edges"], impacted, "out").unionByName(layer["edges"])
     wanted = occurrences.select("symbol").union(edges.select("source")).union(edges.select("target")).distinct()
     symbols = first_by(layer["symbols"].withColumn("_p", F.lit(0)).unionByName(base["symbols"].withColumn("_p", F.lit(1))), "symbol", "_p")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumbra.operators import definitions, semantic, spans
+from lumbra.operators.tables import tasks_for
 
 from .corpus import _pick
 from .graphs import _spans
@@ -75,7 +76,7 @@ def overlay_occurrences(spark, sf_dir):
     """Base and overlay together have the occurrences of the current index."""
     base, current = _indexes(spark, sf_dir)
     got = semantic.materialised(base, semantic.overlay(base, current, _dirty(spark, sf_dir)))
-    return got["occurrences"].groupBy("doc", "symbol").agg(F.count("*").alias("n"))
+    return got["occurrences"].repartition(tasks_for(current["occurrences"]), "doc").groupBy("doc", "symbol").agg(F.count("*").alias("n"))
 
 
 def overlay_symbols(spark, sf_dir):
