@@ -43,7 +43,7 @@ def resolved(occurrences: DataFrame, points: DataFrame) -> DataFrame:
     others of the line. occurrences: doc, sl, sc, el, ec, symbol, roles, enclosing (null or a struct of sl, sc, el, ec).
     """
     late = [-F.col("sl"), -F.col("sc"), F.col("el"), F.col("ec")]  # of nested ranges the one that begins last is the narrowest
-    best = best_covering(occurrences, points, late, F.struct("symbol"), "symbol").select("point_id", "best.symbol")
+    best = written(best_covering(occurrences, points, late, F.struct("symbol"), "symbol").select("point_id", "best.symbol"), "covering")  # swept once, read twice
     left = points.join(best.select("point_id"), "point_id", "left_anti")
     key = F.struct("sl", "sc", "el", "ec")
     declared = occurrences.where(F.col("roles").bitwiseAND(DEFINITION) != 0).groupBy("doc", F.col("sl").alias("line"), "symbol").agg(F.min_by(F.struct("sl", "sc", "el", "ec", "enclosing"), key).alias("d"))
