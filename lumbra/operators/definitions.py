@@ -60,13 +60,13 @@ def chains(nested: DataFrame) -> DataFrame:
     same = (F.col("p.first") == F.col("s.first")) & (F.col("p.last") == F.col("s.last"))
     holds = (F.col("p.first") <= F.col("s.first")) & (F.col("p.last") >= F.col("s.last")) & (~same | (F.col("p.id") <= F.col("s.id")))
     chain = F.sort_array(F.collect_list(F.struct(F.col("p.first").alias("first"), (-F.col("p.last")).alias("last"), F.col("p.id").alias("id"), F.col("p.name").alias("name"))))  # as deep as definitions nest
-    got = s.join(p, (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds).groupBy(F.col("s.doc").alias("doc"), F.col("s.id").alias("id")).agg(chain.alias("chain"))
+    got = s.join(p.hint("merge"), (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds).groupBy(F.col("s.doc").alias("doc"), F.col("s.id").alias("id")).agg(chain.alias("chain"))
     return got.select("doc", "id", F.transform("chain", lambda x: x["name"]).alias("chain"))
 
 
 def qualified(nested: DataFrame) -> DataFrame:
     """nested (doc, id, name, first, last) with ``path``: its ``chains`` with dots."""
-    return nested.join(chains(nested), ["doc", "id"]).select("doc", "id", "name", "first", "last", F.array_join("chain", ".").alias("path"))
+    return nested.join(chains(nested).hint("merge"), ["doc", "id"]).select("doc", "id", "name", "first", "last", F.array_join("chain", ".").alias("path"))
 
 
 def own_lines(nested: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def split_windows(bodies: DataFrame) -> DataFrame:
 def region_windows(regions: DataFrame, files: DataFrame) -> DataFrame:
     """Windows (doc, first, last, label, body) of uncovered regions (doc, first, last) of files (doc, lines); blank ones go before the parts of a region are numbered."""
     step = WINDOW - OVERLAP
-    got = regions.join(files, "doc").withColumn("_m", F.col("last") - F.col("first") + 1)
+    got = regions.join(files.hint("merge"), "doc").withColumn("_m", F.col("last") - F.col("first") + 1)
     got = got.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_m") - 1, F.lit(step)))).where((F.col("_at") == 0) | (F.col("_at") + OVERLAP < F.col("_m")))
     start = F.col("first") + F.col("_at")
     end = F.least(F.col("last"), start + WINDOW - 1)
@@ -126,7 +126,7 @@ def usable_spans(definitions: DataFrame, files: DataFrame) -> DataFrame:
     """
     sizes = files.select("doc", F.size("lines").alias("n"))
     many = definitions.groupBy("doc").agg(F.count("*").alias("definitions"))
-    known = definitions.join(sizes, "doc").join(many, "doc")
+    known = definitions.join(sizes.hint("merge"), "doc").join(many.hint("merge"), "doc")
     good = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.col("n")) & ~((F.col("first") == 1) & (F.col("last") >= F.col("n")) & (F.col("definitions") > 1))
     reported = known.where(good & (F.col("name") != "")).groupBy("doc", "first", "last").agg(F.min_by("name", F.struct("line", "column", "name")).alias("name"))
     lines = files.select("doc", F.posexplode("lines").alias("line", "text")).select("doc", (F.col("line") + 1).alias("line"), trimmable(F.col("text")).alias("trimmable"))
@@ -141,15 +141,16 @@ def symbol_chunks(files: DataFrame, definitions: DataFrame) -> DataFrame:
     Each definition shows its own lines and one line of each nested one under a header; what no definition covers comes in windows. Files with a NUL
     give nothing; files without a usable definition give windows only.
     """
+    # Spans are small in Parquet and many as rows of lines, so no side of a join is left to be taken for a small one and sent through the driver.
     files = written(files.where(~F.contains("text", F.char(F.lit(0)))).select("doc", split_lines(F.col("text")).alias("lines")), "lines")
     found = written(usable_spans(definitions, files), "spans")
     nested = written(spans.parents(found.select("doc", "id", "first", "last")), "nested")
     named = written(qualified(found).select("doc", "id", "path"), "named")
     lines = files.select("doc", F.posexplode("lines").alias("k", "text")).select("doc", (F.col("k") + 1).alias("line"), "text")
-    shown = own_lines(nested).join(lines, ["doc", "line"]).groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("lines"))
+    shown = own_lines(nested).join(lines.hint("merge"), ["doc", "line"]).groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("lines"))
     parents = nested.where("parent is not null").select("doc", F.col("parent").alias("id")).distinct().withColumn("_outer", F.lit(True))
     above = named.select("doc", F.col("id").alias("parent"), F.col("path").alias("within"))
-    whole = nested.join(named, ["doc", "id"]).join(shown, ["doc", "id"]).join(parents, ["doc", "id"], "left").join(above, ["doc", "parent"], "left")
+    whole = nested.join(named.hint("merge"), ["doc", "id"]).join(shown.hint("merge"), ["doc", "id"]).join(parents.hint("merge"), ["doc", "id"], "left").join(above.hint("merge"), ["doc", "parent"], "left")
     signature = F.left(_bare(F.get("lines", F.lit(0))), F.lit(MOST_SIGNATURE))
     folder = F.regexp_extract("doc", r"^(.*)/[^/]*$", 1)
     header = F.concat(

@@ -26,13 +26,13 @@ def parents(spans: DataFrame) -> DataFrame:
     holds = (F.col("p.first") <= F.col("s.first")) & (F.col("p.last") >= F.col("s.last")) & (~same | (F.col("p.id") < F.col("s.id")))
     meet = (F.col("s.doc") == F.col("p.doc")) & (F.col("s.stretch") == F.col("p.stretch")) & holds
     own = [F.col(f"s.{c}").alias(c) for c in ("doc", "id", "first", "last")]
-    return s.join(p, meet, "left").groupBy(*own).agg(F.max_by("p.id", F.struct("p.first", -F.col("p.last"), "p.id")).alias("parent"))
+    return s.join(p.hint("merge"), meet, "left").groupBy(*own).agg(F.max_by("p.id", F.struct("p.first", -F.col("p.last"), "p.id")).alias("parent"))
 
 
 def uncovered(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Maximal runs (doc, first, last) of lines 1..n_lines of docs (doc, n_lines) outside all spans (doc, first, last)."""
     ends = docs.select("doc", (F.col("n_lines") + 1).alias("first"), (F.col("n_lines") + 1).alias("last"))
-    cut = spans.join(docs, "doc").where(F.col("first") <= F.col("n_lines")).select("doc", F.greatest("first", F.lit(1)).alias("first"), F.least("last", "n_lines").alias("last"))
+    cut = spans.join(docs.hint("merge"), "doc").where(F.col("first") <= F.col("n_lines")).select("doc", F.greatest("first", F.lit(1)).alias("first"), F.least("last", "n_lines").alias("last"))
     before = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     reach = cut.unionByName(ends).select("doc", (F.coalesce(F.max("last").over(before), F.lit(0)) + 1).alias("from"), (F.col("first") - 1).alias("last"))
     return reach.where(F.col("from") <= F.col("last")).select("doc", F.col("from").alias("first"), "last")
