@@ -12,15 +12,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbra.functions.text import collapse, split_lines
 
 from . import definitions
 from .chunks import MOST_CHARS
-from .tables import written
 
+TAKEN = "array<struct<parts: struct<kind: string, whole: string, header: string, own: string>, path: string, signature: string, namespace: string, first: int, last: int>>"
 STEP = 256  # texts that are summed at once
 MOST_SIGNATURE, MOST_SUMMARY, MOST_VALUE, LONG_EXPRESSION, MARKED = 400, 200, 120, 80, 500
 TOKEN = (
@@ -36,7 +36,8 @@ OPERATOR = r"^[^(]*?\boperator\s+([^\s(]+)\s*\("
 PROPERTY = r"^[^(=]*?(@?\w+)\s*(?:=>.*)?[{;]?$"
 
 
-STATEMENT = "s bigint, depth int, head string, note string, first int, start int, last int, stop int, end string"
+STATEMENT = "head string, note string, first int, start int, last int, stop int, end string"
+NESTING = "holder int, close int, previous int, following int, inner array<int>, above array<int>"
 
 
 def _before(steps: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -45,8 +46,8 @@ def _before(steps: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarra
     return upto[:-1] - upto[first][text]
 
 
-def cut_statements(tokens: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
-    """The text and the columns of ``STATEMENT`` of each statement of texts, given as their tokens: head without comments, note the documentation before it, ``start`` and ``stop`` its places.
+def cut_statements(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """The text, the depth and the columns of ``STATEMENT`` of each statement of texts, given as their tokens: head without comments, note the documentation before it, ``start`` and ``stop`` its places.
 
     Depth and line are those of the last and the first token that isn't a comment, a directive or blank; what is blank or comments only is no statement.
     """
@@ -77,10 +78,7 @@ def cut_statements(tokens: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
         mask = mask & (np.cumsum(inside[:-1]) > 0)  # of statements alone
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(spread(mask) if len(begin) else [0], pa.int32()), token.filter(pa.array(mask))), sign)
 
-    before = np.zeros(len(token), bool)
-    owner = np.repeat(np.arange(len(begin)), end - begin)
-    held = np.concatenate([np.arange(a, z) for a, z in zip(begin, end, strict=True)]) if len(begin) else begin
-    before[held] = held < loud[owner]
+    before = np.arange(len(token)) < np.repeat(np.append(loud, 0), np.append(np.diff(np.append(0, end)), len(token) - (end[-1] if len(end) else 0)))
     note = ["\n".join(x.strip() for x in n.split("\n") if x.strip()) if n else "" for n in joined((starts("///") | starts("/**")) & before, "\n").to_pylist()]
     lead = token.take(pa.array(loud))
     rest = pc.ascii_ltrim_whitespace(lead)
@@ -88,110 +86,167 @@ def cut_statements(tokens: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
     last = end - 1
     sign = token.take(pa.array(last))
     columns = [
-        pa.array(number[loud]), pa.array(depth[last], pa.int32()), pc.ascii_ltrim_whitespace(joined(~comment, "")), pa.array(note, pa.string()), pa.array(line[loud] + lines + 1, pa.int32()), pa.array(at[loud] + gap, pa.int32()),
+        pc.ascii_ltrim_whitespace(joined(~comment, "")), pa.array(note, pa.string()), pa.array(line[loud] + lines + 1, pa.int32()), pa.array(at[loud] + gap, pa.int32()),
         pa.array(line[last] + 1, pa.int32()), pa.array(at[last] + size[last], pa.int32()), pc.if_else(pa.array(is_("{", "}", ";")[last]), sign, ""),
     ]
-    return text[loud], columns
+    return text[loud], depth[last], columns
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by keys (first one first), and the first place of each place's run of equal keys (all but the last key) and the one behind it."""
+    order = np.lexsort(keys[::-1])
+    new = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys[:-1]], axis=0))[: len(order)]
+    begins = np.flatnonzero(new)
+    many = np.diff(np.append(begins, len(order)))
+    return order, np.repeat(begins, many), np.repeat(begins + many, many)
+
+
+def nested(text: np.ndarray, depth: np.ndarray, opened: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """The columns of ``NESTING`` of statements in their order, by their places in their text: ``holder``, the statement that opened the block they are in; ``close``, where the block that they open
+    ends; the statements before and after them in the same block; ``inner``, those in the block that they open; ``above``, the blocks that hold the one that they open, and that one."""
+    n = len(text)
+    base = np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1])[:n], np.arange(n), 0))
+    # A statement that a brace ends stands inside the block that the brace closes.
+    opens = np.flatnonzero(opened)
+    who, level, opening = np.append(np.arange(n), opens), np.append(depth, depth[opens] + 1), np.repeat([False, True], [n, len(opens)])
+    order, begin, end = _runs(text[who], level, who)
+    who, opening, place = who[order], opening[order], np.arange(len(order))
+    before = np.maximum.accumulate(np.where(opening, place, -1))
+    behind = np.minimum.accumulate(np.where(~opening & ends[who], place, len(order))[::-1])[::-1]
+    holder, close = np.full(n, -1), np.full(n, -1)
+    holder[who[~opening]] = np.where(before >= begin, who[before], -1)[~opening]
+    close[who[opening]] = np.where(behind < end, np.append(who, -1)[behind], -1)[opening]
+    order, begin, end = _runs(text, holder, np.arange(n))
+    place, previous, following = np.arange(n), np.full(n, -1), np.full(n, -1)
+    previous[order], following[order] = np.where(place > begin, order[place - 1], -1), np.where(place + 1 < end, np.append(order, -1)[place + 1], -1)
+    own = order[holder[order] >= 0]
+    own = own[np.argsort(holder[own], kind="stable")]
+    many = np.bincount(holder[own], minlength=n)
+    above, deep, held, until, at = [], np.zeros(n, np.int64), [], np.where(close >= 0, close, np.arange(n)), -1
+    for k in opens.tolist():
+        held = [p for p in held if until[p] >= k] if at == text[k] else []
+        at, chain = text[k], [*[p for p in held if until[p] >= until[k]], k]
+        above += chain
+        deep[k] = len(chain)
+        held.append(k)
+    place_in = lambda x: pa.array(np.where(x >= 0, x - base, 0), pa.int32(), mask=x < 0)
+    lists = lambda sizes, values, owner: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values - base[owner], pa.int32()))
+    return [*map(place_in, (holder, close, previous, following)), lists(many, own, own), lists(deep, np.array(above, np.int64), np.array(above, np.int64))]
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """The statements (doc and ``STATEMENT``) of files (doc, text)."""
-    lf = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    """Files (doc, text, with line feeds alone) with ``statements``, an array of all their statements in order (``STATEMENT`` and ``NESTING``). What one text tells stays in its row, so nothing is shuffled."""
     kind = files.schema["doc"].dataType.simpleString()
-    names = ["doc", *(f.split()[0] for f in STATEMENT.split(", "))]
+    names = [f.split(" ", 1)[0] for f in f"{STATEMENT}, {NESTING}".split(", ")]
+    fields = ", ".join(f.replace(" ", ": ", 1) for f in f"{STATEMENT}, {NESTING}".split(", "))
 
     def cut(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                own, columns = cut_statements(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *columns], names=names)
-
-    return files.select("doc", F.regexp_extract_all(lf, F.lit(TOKEN), F.lit(0)).alias("t")).mapInArrow(cut, f"doc {kind}, {STATEMENT}")
-
+                own, depth, columns = cut_statements(part.column(2))
+                signs = [np.asarray(pc.equal(columns[-1], c)) for c in "{}"]
+                rows = pa.StructArray.from_arrays([*columns, *nested(own, depth, *signs)], names=names)
+                ends = np.searchsorted(own, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["doc", "text", "statements"])
 
-def nested(rows: DataFrame) -> DataFrame:
-    """Statements with ``holder``, the statement that opened the block they are in, and for those that open a block its ``close`` (statement), ``close_line`` and ``close_stop``."""
-    bare = rows.select("doc", "s", "depth", "end", "last", "stop")
-    opens = bare.where("end = '{'").select("doc", (F.col("depth") + 1).alias("level"), "s", F.col("s").alias("opens"), F.lit(None).cast("struct<s:bigint,line:bigint,stop:bigint>").alias("closes"))
-    # A statement that a brace ends stands inside the block that the brace closes.
-    closing = F.when(F.col("end") == "}", F.struct(F.col("s").cast("bigint").alias("s"), F.col("last").cast("bigint").alias("line"), F.col("stop").cast("bigint").alias("stop")))
-    held = bare.select("doc", F.col("depth").alias("level"), "s", F.lit(None).cast("bigint").alias("opens"), closing.alias("closes"))
-    place = Window.partitionBy("doc", "level").orderBy("s")
-    both = opens.unionByName(held).withColumn("holder", F.last("opens", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("closed", F.first("closes", ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)))
-    holders = both.where("opens is null").select("doc", "s", "holder")
-    closed = both.where("opens is not null").select("doc", "s", F.col("closed.s").alias("close"), F.col("closed.line").alias("close_line"), F.col("closed.stop").alias("close_stop"))
-    return rows.join(holders, ["doc", "s"]).join(closed, ["doc", "s"], "left")
+    return files.select("doc", "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t")).mapInArrow(cut, f"doc {kind}, text string, statements array<struct<{fields}>>")
 
 
 def _declared(head: Column) -> Column:
     """A head without attributes and what ends it, on one line."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"^(?:\[[^\]]*\]\s*)+", ""), r"\s*[{;]$", ""), r"\s+", " "))
+    bare = F.regexp_replace(F.when(head.startswith("["), F.regexp_replace(head, r"^(?:\[[^\]]*\]\s*)+", "")).otherwise(head), r"\s*[{;]$", "")
+    return F.trim(let(bare, lambda x: F.when(x.rlike(r"\s\s|[^\S ]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used and wherever a plan is folded."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _if_has(text: Column, words: tuple[str, ...], found: Column, otherwise: Column) -> Column:
+    """``found`` of texts that hold one of the words, which a regular expression needs; the others aren't read for it."""
+    there = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        there = there | F.contains(text, F.lit(w))
+    return F.when(there, found).otherwise(otherwise)
+
+
+def _at(c: Column, k: Column, name: str) -> Column:
+    return F.get(c, k)[name]
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Written (doc, s, what, name, path, type, namespace, signature, summary, head, note, holder, first, last, start, stop, spelled, own) of all types and members of files (doc, text).
+    """Files (doc, text, with line feeds alone) with their ``statements`` and ``found``, an array of what each statement declares, null if nothing: what, name, path, type, namespace, signature, summary (null: its signature),
+    head, note, first, last, spelled, own and text of all types and members.
 
     what is Type, Enum, Value or Member; ``own`` says that a member has a chunk of its own: methods, constructors, operators and indexers, and properties with a long expression or with
     an accessor that has a body. ``spelled`` says that its whole text is its summary: nested types and fields with an initialiser's block.
     """
-    rows = nested(written(statements(files), "statements"))
-    told, head = F.col("told"), F.col("head")
-    opened = F.col("end") == "{"
-    # Only heads with a declaring word are read for it.
-    word = F.lit(False)
-    for w in WORDS:
-        word = word | F.contains("head", F.lit(w))
-    rows = rows.withColumn("told", F.when(word & (F.col("end") != "}"), _declared(head)))
-    space, type_name = (F.coalesce(F.regexp_extract("told", p, 1), F.lit("")) for p in (NAMESPACE, TYPE))
-    kind = F.when(space != "", "Namespace").when(type_name != "", F.when(told.rlike(r"^[^({=:]*?\benum\s"), "Enum").otherwise("Type")).otherwise("Other")
-    rows = written(rows.withColumn("kind", kind).withColumn("named", F.coalesce(F.nullif(space, F.lit("")), type_name)).drop("told"), "told")
-    block = rows.where(opened & F.col("kind").isin("Namespace", "Type", "Enum")).select("doc", F.col("s").alias("id"), F.col("s").cast("int").alias("first"), F.coalesce("close", F.col("s")).cast("int").alias("last"), F.concat(F.substring("kind", 1, 1), F.lit(":"), "named").alias("name"))
-    chains = definitions.chains(block).select("doc", F.col("id").alias("holder"), "chain")
-    spaces = rows.where("kind = 'Namespace'").groupBy("doc").agg(F.min_by("named", "s").alias("declared"))
-    holders = rows.select("doc", F.col("s").alias("holder"), F.col("kind").alias("held_by"))
-    every = rows
-    # Statements inside members are no declarations. What follows an initialiser's block, up to its end, belongs to it.
-    filled = opened & told.rlike(r"^[^(=]*=(?!>)")
-    place = Window.partitionBy("doc", "holder").orderBy("s")
-    rows = rows.join(holders, ["doc", "holder"], "left").where("held_by is null or held_by != 'Other'").withColumn("told", _declared(head))
-    rows = rows.withColumn("filled", filled).withColumn("tail", F.coalesce(F.lag("filled").over(place), F.lit(False)))
-    rows = rows.withColumn("after", F.when(F.col("filled"), F.lead(F.struct("last", "stop")).over(place))).where("not tail")
-    got = written(rows.where("kind != 'Namespace'"), "held")
-    # Of a member's own block only accessors are asked for.
-    openers = got.where(opened & (F.col("kind") == "Other")).select("doc", F.col("s").alias("holder"))
-    inner = every.join(openers, ["doc", "holder"], "left_semi").where("kind = 'Other' and end in ('{', ';')").withColumn("told", _declared(head))
-    word = F.struct(F.col("s").alias("o"), F.regexp_extract("told", r"(\w+)(?:\s*=>.*)?$", 1).alias("word"))
-    accessors = inner.groupBy("doc", F.col("holder").alias("s")).agg(F.bool_or(opened).alias("bodies"), F.array_sort(F.collect_list(word)).alias("accessors"))
-    got = got.join(chains, ["doc", "holder"], "left").join(spaces, "doc", "left").join(accessors, ["doc", "s"], "left")
-    is_type = F.col("kind").isin("Type", "Enum")
-    is_member = (F.col("held_by") == "Type") & (F.col("kind") == "Other") & (F.col("end") != "}") & ~told.startswith("=") & (told != "")
-    method, operator = F.regexp_extract("told", METHOD, 1), F.regexp_extract("told", OPERATOR, 1)
-    indexer = told.rlike(r"^[^(=]*?\bthis\s*\[")
-    called = (method != "") & ~told.rlike(r"^[^(]*?\b(?:delegate|event)\s")
-    arrow = F.regexp_extract("told", r"^[^(=]*?=>\s*(.*)$", 1)
-    braces = opened & ~F.col("filled") & ~called & (operator == "") & ~indexer
-    prop = (braces | (arrow != "")) & ~told.rlike(r"\bevent\s")
-    name = F.when(is_type, F.col("named")).when(operator != "", F.concat(F.lit("operator "), operator)).when(indexer, "this[]").when(called, method).otherwise(F.regexp_extract(F.regexp_replace("told", r"\s*(?:=.*)?$", ""), r"(@?\w+)$", 1))
-    until_close = F.regexp_extract("told", r"^([^(]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)).*$", 1)  # with three levels of parentheses
-    plain = F.trim(F.regexp_replace("told", r"\s*=>.*$", ""))
-    of_type = F.regexp_replace(F.regexp_replace("told", r"\s+where\s.*$", ""), r"^([^:]*?)\s+:", "$1:")
-    signature = F.when(is_type, of_type).when((called | (operator != "")) & (until_close != ""), F.regexp_replace(until_close, r"^(.*?\w>?)\s+\(", "$1(")).when(prop | indexer, plain).otherwise(told)
-    kinds = F.array_join(F.transform("accessors", lambda x: x["word"]), "; ")
-    summary = F.when(prop & braces, F.concat(plain, F.lit(" { "), F.coalesce(kinds, F.lit("")), F.lit("; }"))).when(~(called | (operator != "") | indexer | prop | is_type), F.concat(told, F.when(F.col("end") == ";", ";").otherwise(""))).otherwise(signature)
-    own = called | (operator != "") | indexer | (prop & F.when(arrow != "", F.length(arrow) > LONG_EXPRESSION).otherwise(F.coalesce("bodies", F.lit(False))))
-    # The values of an enum are one statement, up to the brace that closes it.
-    values = (F.col("held_by") == "Enum") & (F.col("end") == "}")
-    chain = F.coalesce("chain", F.array().cast("array<string>"))
-    above = F.array_join(F.transform(F.filter(chain, lambda x: ~x.startswith("N:")), lambda x: F.substring(x, 3, 1_000_000)), ".")
-    inside = F.filter(chain, lambda x: x.startswith("N:"))
-    namespace = F.coalesce(F.when(F.size(inside) > 0, F.substring(F.element_at(inside, -1), 3, 1_000_000)), "declared", F.lit(""))
-    what = F.when(is_type & (F.col("kind") == "Enum"), "Enum").when(is_type, "Type").when(is_member, "Member").when(values, "Value")
-    path = F.when(above == "", name).otherwise(F.concat(above, F.lit("."), name))
-    out = got.withColumn("what", what).where("what is not null").select(
-        "doc", "s", "what", name.alias("name"), path.alias("path"), above.alias("type"), namespace.alias("namespace"), F.left(signature, F.lit(MOST_SIGNATURE)).alias("signature"), F.left(summary, F.lit(MOST_SUMMARY)).alias("summary"),
-        head.alias("head"), "note", "holder", "first", F.coalesce("after.last", F.when(opened, F.col("close_line")), "last").alias("last"), "start", F.coalesce("after.stop", F.when(opened, F.col("close_stop")), "stop").alias("stop"), (F.col("filled") | is_type).alias("spelled"), ((F.col("what") == "Member") & own).alias("own"))
-    return written(out, "declarations")
+    st, no, none = F.col("statements"), F.lit(False), F.lit("")
+
+    def telling(x: Column) -> Column:
+        return F.when(x["end"] != "}", _if_has(x["head"], WORDS, _declared(x["head"]), F.lit(None)))
+
+    def kind_of(told: Column) -> Column:
+        space, type_name = (F.coalesce(F.regexp_extract(told, p, 1), F.lit("")) for p in (NAMESPACE, TYPE))
+        kind = F.when(space != "", "Namespace").when(type_name != "", F.when(told.rlike(r"^[^({=:]*?\benum\s"), "Enum").otherwise("Type")).otherwise("Other")
+        return F.struct(told.alias("told"), kind.alias("kind"), F.coalesce(F.nullif(space, F.lit("")), type_name).alias("named"))
+
+    kinds = F.col("kinds")
+    rows = statements(files).withColumn("kinds", F.transform(F.transform(st, telling), kind_of))
+    outside = lambda k: k.isNull() | (_at(kinds, k, "kind") != "Other")  # noqa: E731; what stands there may be a declaration
+
+    # Statements inside members are no declarations.
+    def asked(x: Column, k: Column) -> Column:
+        return F.when(outside(x["holder"]), F.coalesce(_at(kinds, k, "told"), _declared(x["head"])))
+
+    filled = lambda told, k: F.struct(told.alias("told"), ((_at(st, k, "end") == "{") & _if_has(told, ("=",), told.rlike(r"^[^(=]*=(?!>)"), no)).alias("filled"))
+    heads = F.col("heads")
+    rows = rows.withColumn("heads", F.transform(F.transform(st, asked), filled))
+
+    def read(x: Column, k: Column) -> Column:
+        """What the regular expressions of a declaration tell, once. What follows an initialiser's block, up to its end, belongs to it."""
+        kind, told = _at(kinds, k, "kind"), _at(heads, k, "told")
+        tail = F.coalesce(_at(heads, x["previous"], "filled"), F.lit(False))
+        method, held_by = _if_has(told, ("(",), F.regexp_extract(told, METHOD, 1), none), _at(kinds, x["holder"], "kind")
+        is_type = kind.isin("Type", "Enum")
+        member = (held_by == "Type") & (kind == "Other") & (x["end"] != "}") & ~told.startswith("=") & (told != "")
+        # The values of an enum are one statement, up to the brace that closes it.
+        values = (held_by == "Enum") & (x["end"] == "}")
+        what = F.when(is_type & (kind == "Enum"), "Enum").when(is_type, "Type").when(member, "Member").when(values, "Value")
+        chain = F.coalesce(F.filter(_at(st, x["holder"], "above"), lambda b: _at(kinds, b, "kind") != "Other"), F.array().cast("array<int>"))
+        spaces = F.filter(chain, lambda b: _at(kinds, b, "kind") == "Namespace")
+        above = F.array_join(F.transform(F.filter(chain, lambda b: _at(kinds, b, "kind") != "Namespace"), lambda b: _at(kinds, b, "named")), ".")
+        return F.when(outside(x["holder"]) & ~tail & (kind != "Namespace"), F.struct(
+            x.alias("x"), told.alias("told"), what.alias("what"), is_type.alias("is_type"), _at(kinds, k, "named").alias("named"), above.alias("type"), _at(kinds, F.element_at(F.when(F.size(spaces) > 0, spaces), -1), "named").alias("namespace"),
+            _if_has(told, ("delegate", "event"), told.rlike(r"^[^(]*?\b(?:delegate|event)\s"), no).alias("no_call"), method.alias("method"), _if_has(told, ("operator",), F.regexp_extract(told, OPERATOR, 1), none).alias("operator"), _if_has(told, ("this",), told.rlike(r"^[^(=]*?\bthis\s*\["), no).alias("indexer"),
+            _if_has(told, ("=>",), F.regexp_extract(told, r"^[^(=]*?=>\s*(.*)$", 1), none).alias("arrow"), _at(heads, k, "filled").alias("filled"), F.when(_at(heads, k, "filled"), F.get(st, x["following"])).alias("after"), F.get(st, x["close"]).alias("closing")))
+
+    def told_of(y: Column, declared: Column) -> Column:
+        x, told, what, operator, indexer, arrow, is_type = (y[c] for c in ("x", "told", "what", "operator", "indexer", "arrow", "is_type"))
+        opened, called = x["end"] == "{", (y["method"] != "") & ~y["no_call"]
+        braces = opened & ~y["filled"] & ~called & (operator == "") & ~indexer
+        prop = (braces | (arrow != "")) & ~_if_has(told, ("event",), told.rlike(r"\bevent\s"), no)
+        # Of a member's own block only accessors are asked for.
+        accessors = F.filter(x["inner"], lambda k: (_at(kinds, k, "kind") == "Other") & _at(st, k, "end").isin("{", ";"))
+        bodies = F.exists(accessors, lambda k: _at(st, k, "end") == "{")
+        name = F.when(is_type, y["named"]).when(operator != "", F.concat(F.lit("operator "), operator)).when(indexer, "this[]").when(called, y["method"]).otherwise(F.regexp_extract(F.regexp_replace(told, r"\s*(?:=.*)?$", ""), r"(@?\w+)$", 1))
+        until_close = F.regexp_extract(told, r"^([^(]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)).*$", 1)  # with three levels of parentheses
+        plain = F.trim(_if_has(told, ("=>",), F.regexp_replace(told, r"\s*=>.*$", ""), told))
+        of_type = F.regexp_replace(_if_has(told, ("where",), F.regexp_replace(told, r"\s+where\s.*$", ""), told), r"^([^:]*?)\s+:", "$1:")
+        close = let(until_close, lambda c: F.when(c != "", _if_has(c, (" (",), F.regexp_replace(c, r"^(.*?\w>?)\s+\(", "$1("), c)))
+        signature = F.when(is_type, of_type).otherwise(F.coalesce(F.when(called | (operator != ""), close), F.when(prop | indexer, plain), told))
+        words = F.array_join(F.transform(accessors, lambda k: F.regexp_extract(_declared(_at(st, k, "head")), r"(\w+)(?:\s*=>.*)?$", 1)), "; ")
+        summary = F.when(prop & braces, F.concat(plain, F.lit(" { "), words, F.lit("; }"))).when(~(called | (operator != "") | indexer | prop | is_type), F.concat(told, F.when(x["end"] == ";", ";").otherwise("")))
+        own = (what == "Member") & (called | (operator != "") | indexer | (prop & F.when(arrow != "", F.length(arrow) > LONG_EXPRESSION).otherwise(bodies)))
+        last, stop = (F.coalesce(y["after"][c], F.when(opened, y["closing"][c]), x[c]) for c in ("last", "stop"))
+        return F.struct(what.alias("what"), name.alias("name"), y["type"].alias("type"), F.coalesce(y["namespace"], declared, F.lit("")).alias("namespace"), F.left(signature, F.lit(MOST_SIGNATURE)).alias("signature"), summary.alias("summary"),
+                        x["head"].alias("head"), x["note"].alias("note"), x["first"].alias("first"), last.alias("last"), x["start"].alias("start"), stop.alias("stop"), (y["filled"] | is_type).alias("spelled"), own.alias("own"))
+
+    first_space = F.get(F.filter(kinds, lambda y: y["kind"] == "Namespace"), F.lit(0))["named"]
+    found = let(first_space, lambda declared: F.transform(F.transform(st, read), lambda y: F.when(y["what"].isNotNull(), told_of(y, declared))))
+    return rows.withColumn("found", found).select("doc", "text", "statements", "found")
 
 
 def _written_by_hand(files: DataFrame) -> DataFrame:
@@ -199,37 +254,47 @@ def _written_by_hand(files: DataFrame) -> DataFrame:
     return files.where(~F.contains(F.lower(F.left("text", F.lit(MARKED))), F.lit("<auto-generated"))).select("doc", F.array_join(split_lines(F.col("text")), "\n").alias("text"))
 
 
-def _text_of(text: Column) -> Column:
-    return F.substring(text, F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
+def _text_of(y: Column) -> Column:
+    return F.substring("text", y["start"] + 1, y["stop"] - y["start"])
 
 
 def syntax_chunks(files: DataFrame) -> DataFrame:
     """Chunks (doc, kind, symbol, signature, namespace, first, last, body) of files (doc, text): one of each type with a line for each member, one of each member that has its own (in
     parts if it is long), and the whole file where there is no type. Files that are marked as generated near their beginning give nothing."""
-    files = written(_written_by_hand(files), "files")
-    found = declarations(files)
+    st, found = F.col("statements"), F.col("found")
     line = lambda name, c: F.when(c != "", F.concat(F.lit(name), c, F.lit("\n"))).otherwise("")
-    top = F.concat(line("File: ", F.col("doc")), line("Namespace: ", F.col("namespace")))
-    own_line = F.array(F.struct("s", F.lit(0).alias("i"), F.concat(F.lit("    "), "summary").alias("line")))
-    pieces = F.transform(F.filter(F.split(F.regexp_replace("head", r"\s*\}$", ""), r",(?![^(]*\))"), lambda x: F.trim(x) != ""), lambda x, i: F.struct(F.col("s"), i.cast("int").alias("i"), F.concat(F.lit("    "), F.left(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(MOST_VALUE))).alias("line")))
-    listing = found.where("what in ('Member', 'Value') or type != ''")
-    spelled = listing.where("spelled").join(files, "doc").withColumn("summary", collapse(_text_of(F.col("text")), MOST_SUMMARY)).select(found.columns)
-    lines = listing.where("not spelled").unionByName(spelled).select("doc", "holder", F.explode(F.when(F.col("what") == "Value", pieces).otherwise(own_line)).alias("l"))
-    listed = lines.groupBy("doc", F.col("holder").alias("s")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("members"))
-    body = F.concat(top, line("", F.col("note")), F.col("signature"), F.lit("\n"), line("", F.coalesce("members", F.lit(""))))
-    types = found.where("what in ('Type', 'Enum')").join(listed, ["doc", "s"], "left").select("doc", F.lit("Type").alias("kind"), F.col("path").alias("symbol"), "signature", "namespace", "first", "last", F.left(body, F.lit(MOST_CHARS)).alias("body"))
-    header = F.concat(top, line("Type: ", F.col("type")), line("", F.col("note")))
-    members = found.where("own").join(files, "doc").select("doc", F.lit("Method").alias("kind"), "path", "signature", "namespace", "first", "last", header.alias("header"), split_lines(_text_of(F.col("text"))).alias("lines"))
-    bare = files.join(found.where("what in ('Type', 'Enum')").select("doc").distinct(), "doc", "left_anti").where(F.regexp_replace("text", r"\s", "") != "")
+    path = lambda y: F.when(y["type"] == "", y["name"]).otherwise(F.concat(y["type"], F.lit("."), y["name"]))
+    is_type = lambda y: y["what"].isin("Type", "Enum")
+    parted = lambda kind, whole, header, own: F.struct(F.lit(kind).alias("kind"), whole.alias("whole"), header.alias("header"), own.alias("own"))
+
+    def lines(k: Column) -> Column:
+        """What a type lists of a statement in its block."""
+        y = F.get(found, k)
+        pieces = F.transform(F.filter(F.split(F.regexp_replace(y["head"], r"\s*\}$", ""), r",(?![^(]*\))"), lambda x: F.trim(x) != ""), lambda x: F.left(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(MOST_VALUE)))
+        own = F.array(F.when(y["spelled"], collapse(_text_of(y), MOST_SUMMARY)).otherwise(F.left(F.coalesce(y["summary"], y["signature"]), F.lit(MOST_SUMMARY))))
+        return F.transform(F.when(y["what"] == "Value", pieces).when(y["what"] == "Member", own).when(y["type"] != "", own).otherwise(F.array().cast("array<string>")), lambda x: F.concat(F.lit("    "), x))
+
+    def chunk(y: Column, k: Column) -> Column:
+        top = F.concat(line("File: ", F.col("doc")), line("Namespace: ", y["namespace"]))
+        members = F.array_join(F.flatten(F.transform(F.get(st, k)["inner"], lines)), "\n")
+        whole = F.concat(top, line("", y["note"]), y["signature"], F.lit("\n"), line("", members))
+        header = F.concat(top, line("Type: ", y["type"]), line("", y["note"]))
+        parts = F.when(is_type(y), parted("Type", F.left(whole, F.lit(MOST_CHARS)), F.lit(""), F.lit(""))).otherwise(parted("Method", F.lit(None).cast("string"), header, _text_of(y)))
+        return F.when(is_type(y) | y["own"], F.struct(parts.alias("parts"), path(y).alias("path"), y["signature"].alias("signature"), y["namespace"].alias("namespace"), y["first"].alias("first"), y["last"].alias("last")))
+
+    rows = declarations(_written_by_hand(files))
     space = F.regexp_extract("text", r"(?m)^\s*" + NAMESPACE[1:], 1)
-    whole = bare.select("doc", F.lit("File").alias("kind"), F.regexp_extract("doc", r"[^/]*$", 0).alias("path"), F.col("doc").alias("signature"), space.alias("namespace"), F.lit(1).alias("first"), F.size(split_lines(F.col("text"))).alias("last"), line("File: ", F.col("doc")).alias("header"), split_lines(F.col("text")).alias("lines"))
-    cut = definitions.split_windows(members.unionByName(whole))
+    file = F.struct(parted("File", F.lit(None).cast("string"), line("File: ", F.col("doc")), F.col("text")).alias("parts"), F.regexp_extract("doc", r"[^/]*$", 0).alias("path"), F.col("doc").alias("signature"), space.alias("namespace"), F.lit(1).alias("first"), F.size(split_lines(F.col("text"))).alias("last"))
+    no_type = ~F.exists(found, lambda y: F.coalesce(is_type(y), F.lit(False)))
+    alone = F.when(no_type & (F.regexp_replace("text", r"\s", "") != ""), F.array(file))
+    rows = rows.select("doc", F.explode(F.concat(F.filter(F.transform(found, chunk), lambda c: c.isNotNull()), F.coalesce(alone, F.array().cast(TAKEN)))).alias("c"))
+    rows = rows.select("doc", "c.parts.kind", "c.path", "c.signature", "c.namespace", "c.first", "c.last", "c.parts.whole", "c.parts.header", split_lines(F.col("c.parts.own")).alias("lines"))
+    cut = definitions.split_windows(rows)
     end = F.when(F.col("label") == "", F.col("last")).otherwise(F.least(F.col("last"), F.col("first") + F.col("offset") + F.col("shown") - 1))
-    parts = cut.select("doc", "kind", F.concat("path", "label").alias("symbol"), "signature", "namespace", (F.col("first") + F.col("offset")).alias("first"), end.alias("last"), "body")
-    return types.unionByName(parts).withColumns({c: F.col(c).cast("int") for c in ("first", "last")})
+    return cut.select("doc", "kind", F.concat("path", "label").alias("symbol"), "signature", "namespace", (F.col("first") + F.col("offset")).cast("int").alias("first"), end.cast("int").alias("last"), F.coalesce("whole", "body").alias("body"))
 
 
 def definitions_of(files: DataFrame) -> DataFrame:
     """Definitions (doc, name, line, column, first, last) of all types and of members with a chunk of their own, as ``definitions.symbol_chunks`` takes them."""
-    found = declarations(_written_by_hand(files)).where("what in ('Type', 'Enum') or own")
-    return found.select("doc", "name", F.col("first").cast("int").alias("line"), F.lit(0).alias("column"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    found = declarations(_written_by_hand(files)).select("doc", F.explode(F.filter("found", lambda y: y["what"].isin("Type", "Enum") | y["own"])).alias("y"))
+    return found.select("doc", "y.name", F.col("y.first").cast("int").alias("line"), F.lit(0).alias("column"), F.col("y.first").cast("int").alias("first"), F.col("y.last").cast("int").alias("last"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumbra.operators import definitions, syntax
+from lumbra.operators.tables import tasks_for
 
 from .retrieval import table
 
@@ -13,12 +14,16 @@ def sources(spark, sf_dir):
     """Orders as C#-like files: a namespace, a class with a field, an automatic property and one with a body, a method for each line item, and a nested enum. Braces in strings and comments tell nothing."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    n, key = F.col("l_linenumber").cast("string"), F.col("o_orderkey").cast("string")
-    method = say("\n    /// <summary>Line ", n, ".</summary>\n    public int Line", n, '(int q, string s = "(")\n    {\n        if (q > 1) { return \'}\'; } /* } */\n        return ', F.col("l_partkey").cast("string"), ";\n    }\n")
-    methods = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), method.alias("m")))), lambda x: x["m"]), "").alias("methods"))  # at most 7
+    key = F.col("o_orderkey").cast("string")
+    item = lambda n, part: say("\n    /// <summary>Line ", n, ".</summary>\n    public int Line", n, '(int q, string s = "(")\n    {\n        if (q > 1) { return \'}\'; } /* } */\n        return ', part, "\n    }\n")
+    # The items of an order meet as numbers, in tasks of bounded rows; their text is made after that. Equal numbers stand in the order of their text.
+    tasks = tasks_for(li)
+    o, li = o.repartition(tasks, "o_orderkey"), li.repartition(tasks, "l_orderkey")
+    items = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.concat(F.col("l_partkey").cast("string"), F.lit(";")).alias("part")))).alias("items"))  # at most 7
+    methods = F.array_join(F.transform("items", lambda x: item(x["n"].cast("string"), x["part"])), "")
     head = say("namespace Shop.", F.col("o_orderstatus"), ';\n\n/// <summary>Order { ', key, '.</summary>\npublic sealed class Order', key, ' : IOrder\n{\n    private readonly string[] _open = { "{", "}" };\n    public int Count { get; private set; } = 5;\n\n    public string State\n    {\n        get { return @"""{"; }\n    }\n')
     tail = "\n    public enum Mode\n    {\n        Fast = 1, // {\n        Slow,\n    }\n}\n"
-    return o.join(methods, "o_orderkey", "left").select(say("src/o", key, ".cs").alias("doc"), say(head, F.coalesce("methods", F.lit("")), tail).alias("text"))
+    return o.join(items, "o_orderkey", "left").select(say("src/o", key, ".cs").alias("doc"), say(head, F.coalesce(methods, F.lit("")), tail).alias("text"))
 
 
 def syntax_chunks(spark, sf_dir):
