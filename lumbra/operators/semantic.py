@@ -183,30 +183,38 @@ def definition_catalogue(occurrences: DataFrame) -> DataFrame:
     return own.where(F.col("enclosing").isNotNull() | inferable(F.col("symbol"))).select(slashes(F.col("doc")).alias("doc"), "symbol", "sl", "sc", "enclosing")
 
 
-def tokens_of(lines: DataFrame) -> DataFrame:
-    """lines (doc, line, body) by ``TOKENS``: (doc, line, body, k, piece, all)."""
+def tokens_of(lines: DataFrame, name: str | None = None) -> DataFrame:
+    """lines (doc, line, body) by ``TOKENS``: (doc, line, body, k, piece, all), of the pieces that are ``name`` if it is given. Each row holds its whole line, so the others are left out before there are rows."""
     pieces = F.regexp_extract_all("body", F.lit(TOKENS), F.lit(0))
-    return lines.select("doc", "line", "body", pieces.alias("all")).select("doc", "line", "body", "all", F.posexplode("all").alias("k", "piece"))
+    rows = lines.select("doc", "line", "body", pieces.alias("all"))
+    if name is None:
+        return rows.select("doc", "line", "body", "all", F.posexplode("all").alias("k", "piece"))
+    places = F.filter(F.transform("all", lambda x, k: F.when(x == name, k)), lambda k: k.isNotNull())
+    return rows.select("doc", "line", "body", "all", F.explode(places).alias("k")).withColumn("piece", F.lit(name))
 
 
 def declares_before(found: DataFrame) -> DataFrame:
     """Pieces of ``tokens_of`` with ``col`` and ``declares``: a declaring word or an attribute that names things stands before the piece, or, by the file's kind, a selector's sign before
     or a colon after it."""
     found = found.withColumn("before", F.array_join(F.slice("all", 1, F.col("k")), ""))
-    word = F.regexp_extract("before", r"([^ \t(){}\[\]:;,=]+)[ \t(){}\[\]:;,=]*$", 1)
-    compact, after = F.regexp_replace("before", r"\s+$", ""), F.regexp_replace(F.substr("body", F.length("before") + F.length("piece") + 1), r'^\s*"?\s*', "")
+    # No declaring word or sign is longer than what is left of the tail, so of a long line only the tail is read, unless it is all signs and blanks.
+    tail = F.substr("before", F.greatest(F.length("before") - 199, F.lit(1)), F.lit(200))
+    near = F.when(tail.rlike(r"[^\s(){}\[\]:;,=][\s(){}\[\]:;,=]{0,150}$"), tail).otherwise(F.col("before"))
+    found = found.withColumn("_near", near)
+    word = F.regexp_extract("_near", r"([^ \t(){}\[\]:;,=]+)[ \t(){}\[\]:;,=]*$", 1)
+    compact, after = F.regexp_replace("_near", r"\s+$", ""), F.regexp_replace(F.substr("body", F.length("before") + F.length("piece") + 1), r'^\s*"?\s*', "")
     ends = F.lit(False)
     for lead in NAMING:
         ends = ends | F.lower(compact).endswith(lead.lower())
     kind = extension(F.col("doc"))
-    declares = F.lower(word).isin(*DECLARING) | ends | ((kind == ".css") & (compact.endswith(".") | compact.endswith("#"))) | (after.startswith(":") & kind.isin(".yaml", ".yml", ".json"))
-    return found.withColumn("col", F.length("before")).withColumn("declares", declares)
+    declares = F.lower(word).isin(*DECLARING) | ends | ((kind == ".css") & (compact.endswith(".") | compact.endswith("#"))) | (kind.isin(".yaml", ".yml", ".json") & after.startswith(":"))
+    return found.withColumn("col", F.length("before")).withColumn("declares", declares).drop("_near")
 
 
 def token_positions(files: DataFrame, name: str) -> DataFrame:
     """(doc, line, col, declares) of every whole-token occurrence of ``name`` in files (doc, text), by text alone. Letters, digits, ``_``, ``$`` and ``-`` make tokens."""
     lines = files.select("doc", F.posexplode(split_lines(F.col("text"))).alias("line", "body")).where(F.contains("body", F.lit(name)))
-    return declares_before(tokens_of(lines).where(F.col("piece") == name)).select("doc", "line", "col", "declares")
+    return declares_before(tokens_of(lines, name)).select("doc", "line", "col", "declares")
 
 
 def live_documents(snapshot: DataFrame, opened: DataFrame) -> DataFrame:
