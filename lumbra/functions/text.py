@@ -17,10 +17,14 @@ CONTEXT_TIERS = ((4_000, 2048), (12_000, 4096), (24_000, 8192), (48_000, 16384),
 LARGEST_CONTEXT = 262144
 
 
+def line_feeds(text: Column) -> Column:
+    """Any of CRLF, CR and LF becomes LF."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def canonical_text(text: Column) -> Column:
     """Any of CRLF, CR and LF becomes CRLF."""
-    lf = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.replace(lf, F.lit("\n"), F.lit("\r\n"))
+    return F.replace(line_feeds(text), F.lit("\n"), F.lit("\r\n"))
 
 
 def canonical_hash(text: Column) -> Column:
@@ -28,7 +32,7 @@ def canonical_hash(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    return F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n", -1)
+    return F.split(line_feeds(text), "\n", -1)
 
 
 def slashes(path: Column) -> Column:

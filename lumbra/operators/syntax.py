@@ -2,7 +2,7 @@
 
 A text becomes tokens: comments, strings, marks of structure and what stands between them. Depth, line and place of each token are prefix sums over its text. A statement is what stands between
 two of ``{``, ``}`` and ``;`` outside parentheses; the block that holds it is the last one that was opened one level up. From the statements' heads follow namespaces, types and members;
-nothing but these heads is looked at. Tokens are found JVM-side and summed in Arrow batches, so texts are not shuffled to be cut.
+nothing but these heads is looked at. Tokens are found JVM-side and summed in Arrow batches, so texts are not shuffled to be cut; what stands in bodies of members can declare nothing and stays there.
 
 Fixed limits: interpolated strings that hold quotes inside their holes are read as ending there; attributes are part of a declaration's lines, not of its signature.
 """
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbra.functions.text import collapse, split_lines
+from lumbra.functions.text import collapse, line_feeds, split_lines
 
 from . import definitions
 from .chunks import MOST_CHARS
@@ -37,7 +37,9 @@ PROPERTY = r"^[^(=]*?(@?\w+)\s*(?:=>.*)?[{;]?$"
 
 
 STATEMENT = "head string, note string, first int, start int, last int, stop int, end string"
-NESTING = "holder int, close int, previous int, following int, inner array<int>, above array<int>"
+NESTING = "holder int, previous int, following int, close_last int, close_stop int, named boolean, inner array<int>, above array<int>"
+#: Heads of methods for sure, whatever stands before or behind: their blocks list nothing.
+CALLED, NO_CALL = r"^[\w\s<>,.?]*\w\s*\(", "delegate|event"
 
 
 def _before(steps: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -101,11 +103,17 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.repeat(begins, many), np.repeat(begins + many, many)
 
 
-def nested(text: np.ndarray, depth: np.ndarray, opened: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
-    """The columns of ``NESTING`` of statements in their order, by their places in their text: ``holder``, the statement that opened the block they are in; ``close``, where the block that they open
-    ends; the statements before and after them in the same block; ``inner``, those in the block that they open; ``above``, the blocks that hold the one that they open, and that one."""
+def nested(text: np.ndarray, depth: np.ndarray, columns: list[pa.Array]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Which statements are told, and their columns of ``NESTING``, by their places among those of their text: ``holder``, the statement that opened the block they are in (-1 if it is not told); the
+    statements before and after them in the same block; ``close_last`` and ``close_stop`` of the block that they open; whether they are ``named``, as only types and namespaces are; ``inner``, those in
+    the block that they open; ``above``, the named ones that hold the block that they open, and its own.
+
+    Told are those in no block or in that of a named one, the named ones, and what is in the blocks of all these, where it can list accessors. The others are in bodies and declare nothing.
+    """
     n = len(text)
-    base = np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1])[:n], np.arange(n), 0))
+    head, opened, ends = columns[0], *(np.asarray(pc.equal(columns[-1], c)) for c in "{}")
+    has = lambda pattern: np.asarray(pc.match_substring_regex(head, pattern))
+    named, called = has("|".join(WORDS)) & ~ends, has(CALLED) & ~has(NO_CALL)
     # A statement that a brace ends stands inside the block that the brace closes.
     opens = np.flatnonzero(opened)
     who, level, opening = np.append(np.arange(n), opens), np.append(depth, depth[opens] + 1), np.repeat([False, True], [n, len(opens)])
@@ -119,23 +127,29 @@ def nested(text: np.ndarray, depth: np.ndarray, opened: np.ndarray, ends: np.nda
     order, begin, end = _runs(text, holder, np.arange(n))
     place, previous, following = np.arange(n), np.full(n, -1), np.full(n, -1)
     previous[order], following[order] = np.where(place > begin, order[place - 1], -1), np.where(place + 1 < end, np.append(order, -1)[place + 1], -1)
-    own = order[holder[order] >= 0]
+    asked = named | (holder < 0) | named[holder]
+    told = asked | ((asked & ~called)[holder] & (holder >= 0))
+    at = np.cumsum(told) - 1
+    base = np.append(at - told + 1, 0)[np.searchsorted(text, text)]  # how many are told before each one's text
+    own = order[(holder[order] >= 0) & told[order]]
     own = own[np.argsort(holder[own], kind="stable")]
     many = np.bincount(holder[own], minlength=n)
-    above, deep, held, until, at = [], np.zeros(n, np.int64), [], np.where(close >= 0, close, np.arange(n)), -1
-    for k in opens.tolist():
-        held = [p for p in held if until[p] >= k] if at == text[k] else []
-        at, chain = text[k], [*[p for p in held if until[p] >= until[k]], k]
+    above, deep, held, until, now = [], np.zeros(n, np.int64), [], np.where(close >= 0, close, np.arange(n)), -1
+    for k in np.flatnonzero(opened & named).tolist():
+        held = [p for p in held if until[p] >= k] if now == text[k] else []
+        now, chain = text[k], [*[p for p in held if until[p] >= until[k]], k]
         above += chain
         deep[k] = len(chain)
         held.append(k)
-    place_in = lambda x: pa.array(np.where(x >= 0, x - base, 0), pa.int32(), mask=x < 0)
-    lists = lambda sizes, values, owner: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values - base[owner], pa.int32()))
-    return [*map(place_in, (holder, close, previous, following)), lists(many, own, own), lists(deep, np.array(above, np.int64), np.array(above, np.int64))]
+    place_in = lambda x: pa.array(np.where(told[x], at[x] - base, -1)[told], pa.int32(), mask=(x < 0)[told])
+    of_close = lambda c: pa.array(np.asarray(c)[close][told], pa.int32(), mask=(close < 0)[told])
+    lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[told])), pa.int32()), pa.array(at[values] - base[values], pa.int32()))
+    many, above = np.where(told, many, 0), np.array(above, np.int64)
+    return told, [*map(place_in, (holder, previous, following)), of_close(columns[4]), of_close(columns[5]), pa.array(named[told]), lists(many, own[told[holder[own]]]), lists(deep, above)]
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """Files (doc, text, with line feeds alone) with ``statements``, an array of all their statements in order (``STATEMENT`` and ``NESTING``). What one text tells stays in its row, so nothing is shuffled."""
+    """Files (doc, text, with line feeds alone) with ``statements``, an array of those that are told (``nested``) in order (``STATEMENT`` and ``NESTING``). What one text tells stays in its row, so nothing is shuffled."""
     kind = files.schema["doc"].dataType.simpleString()
     names = [f.split(" ", 1)[0] for f in f"{STATEMENT}, {NESTING}".split(", ")]
     fields = ", ".join(f.replace(" ", ": ", 1) for f in f"{STATEMENT}, {NESTING}".split(", "))
@@ -145,9 +159,9 @@ def statements(files: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 own, depth, columns = cut_statements(part.column(2))
-                signs = [np.asarray(pc.equal(columns[-1], c)) for c in "{}"]
-                rows = pa.StructArray.from_arrays([*columns, *nested(own, depth, *signs)], names=names)
-                ends = np.searchsorted(own, np.arange(part.num_rows + 1))
+                told, nesting = nested(own, depth, columns)
+                rows = pa.StructArray.from_arrays([*[c.filter(pa.array(told)) for c in columns], *nesting], names=names)
+                ends = np.searchsorted(own[told], np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["doc", "text", "statements"])
 
     return files.select("doc", "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t")).mapInArrow(cut, f"doc {kind}, text string, statements array<struct<{fields}>>")
@@ -186,7 +200,7 @@ def declarations(files: DataFrame) -> DataFrame:
     st, no, none = F.col("statements"), F.lit(False), F.lit("")
 
     def telling(x: Column) -> Column:
-        return F.when(x["end"] != "}", _if_has(x["head"], WORDS, _declared(x["head"]), F.lit(None)))
+        return F.when(x["named"], _declared(x["head"]))
 
     def kind_of(told: Column) -> Column:
         space, type_name = (F.coalesce(F.regexp_extract(told, p, 1), F.lit("")) for p in (NAMESPACE, TYPE))
@@ -221,7 +235,7 @@ def declarations(files: DataFrame) -> DataFrame:
         return F.when(outside(x["holder"]) & ~tail & (kind != "Namespace"), F.struct(
             x.alias("x"), told.alias("told"), what.alias("what"), is_type.alias("is_type"), _at(kinds, k, "named").alias("named"), above.alias("type"), _at(kinds, F.element_at(F.when(F.size(spaces) > 0, spaces), -1), "named").alias("namespace"),
             _if_has(told, ("delegate", "event"), told.rlike(r"^[^(]*?\b(?:delegate|event)\s"), no).alias("no_call"), method.alias("method"), _if_has(told, ("operator",), F.regexp_extract(told, OPERATOR, 1), none).alias("operator"), _if_has(told, ("this",), told.rlike(r"^[^(=]*?\bthis\s*\["), no).alias("indexer"),
-            _if_has(told, ("=>",), F.regexp_extract(told, r"^[^(=]*?=>\s*(.*)$", 1), none).alias("arrow"), _at(heads, k, "filled").alias("filled"), F.when(_at(heads, k, "filled"), F.get(st, x["following"])).alias("after"), F.get(st, x["close"]).alias("closing")))
+            _if_has(told, ("=>",), F.regexp_extract(told, r"^[^(=]*?=>\s*(.*)$", 1), none).alias("arrow"), _at(heads, k, "filled").alias("filled"), F.when(_at(heads, k, "filled"), F.get(st, x["following"])).alias("after")))
 
     def told_of(y: Column, declared: Column) -> Column:
         x, told, what, operator, indexer, arrow, is_type = (y[c] for c in ("x", "told", "what", "operator", "indexer", "arrow", "is_type"))
@@ -240,7 +254,7 @@ def declarations(files: DataFrame) -> DataFrame:
         words = F.array_join(F.transform(accessors, lambda k: F.regexp_extract(_declared(_at(st, k, "head")), r"(\w+)(?:\s*=>.*)?$", 1)), "; ")
         summary = F.when(prop & braces, F.concat(plain, F.lit(" { "), words, F.lit("; }"))).when(~(called | (operator != "") | indexer | prop | is_type), F.concat(told, F.when(x["end"] == ";", ";").otherwise("")))
         own = (what == "Member") & (called | (operator != "") | indexer | (prop & F.when(arrow != "", F.length(arrow) > LONG_EXPRESSION).otherwise(bodies)))
-        last, stop = (F.coalesce(y["after"][c], F.when(opened, y["closing"][c]), x[c]) for c in ("last", "stop"))
+        last, stop = (F.coalesce(y["after"][c], F.when(opened, x[f"close_{c}"]), x[c]) for c in ("last", "stop"))
         return F.struct(what.alias("what"), name.alias("name"), y["type"].alias("type"), F.coalesce(y["namespace"], declared, F.lit("")).alias("namespace"), F.left(signature, F.lit(MOST_SIGNATURE)).alias("signature"), summary.alias("summary"),
                         x["head"].alias("head"), x["note"].alias("note"), x["first"].alias("first"), last.alias("last"), x["start"].alias("start"), stop.alias("stop"), (y["filled"] | is_type).alias("spelled"), own.alias("own"))
 
@@ -251,7 +265,7 @@ def declarations(files: DataFrame) -> DataFrame:
 
 def _written_by_hand(files: DataFrame) -> DataFrame:
     """Files without the mark of generated ones near their beginning, with plain line ends."""
-    return files.where(~F.contains(F.lower(F.left("text", F.lit(MARKED))), F.lit("<auto-generated"))).select("doc", F.array_join(split_lines(F.col("text")), "\n").alias("text"))
+    return files.where(~F.contains(F.lower(F.left("text", F.lit(MARKED))), F.lit("<auto-generated"))).select("doc", line_feeds(F.col("text")).alias("text"))
 
 
 def _text_of(y: Column) -> Column:
