@@ -16,6 +16,8 @@ from lumbra.sources.telemetry import content_members
 
 #: Unhealthy probes in a row that fail a job, seconds between probes, and days that task records are kept.
 UNHEALTHY, PROBE_SECONDS, TASK_DAYS = 2, 60, 7
+#: Groups of keys that share a state and a timer: a call of Python costs far more than a key's rows, so calls must not grow with the keys.
+KEY_GROUPS = 4096
 
 
 def rolling_durations(jobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,39 +46,49 @@ def silences(reports: DataFrame, key: str, seconds: int, delay: str) -> DataFram
     kind is beat, or the outcome of a probe: healthy, unhealthy or inconclusive. event is ``gap`` when a beat comes more than ``seconds`` after the one before it; ``silent``, with no gap yet, when
     event time passes ``seconds`` after a beat and none has come (a timer fires, no row is needed); ``failed`` at the ``UNHEALTHY``-th unhealthy probe in a row of a silent
     job. Probes inside ``PROBE_SECONDS`` of the last one don't count. Reports older than ``delay`` behind the newest are late and left out.
+
+    Keys are dealt into ``KEY_GROUPS`` groups. A key's state is five numbers; a group has those of its keys and one timer, that of the key that falls silent next.
     """
     quiet, between = seconds * 1_000_000, PROBE_SECONDS * 1_000_000
 
     def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, job, probed, bad, told = state.get if state.exists else (None, None, None, 0, False)
+        null = own[0] < 0  # in pandas a null may turn other keys into floats, so it has its own group
+        held = {k: rest for k, *rest in zip([None] if null else state.get[0], *state.get[1:], strict=True)} if state.exists else {}
         out = []
-        if state.hasTimedOut:
-            out.append((own[0], job, "silent", None))
-            told = True
-        else:
+        if not state.hasTimedOut:
             rows = pd.concat(list(frames)).sort_values(["us", "job_id"])
-            for us, number, kind in zip(rows["us"], rows["job_id"], rows["kind"], strict=True):
-                us = int(us)
+            keys = [None] * len(rows) if null else rows["key"].tolist()
+            for k, us, number, kind in zip(keys, rows["us"].tolist(), rows["job_id"].tolist(), rows["kind"].tolist(), strict=True):
+                last, job, probed, bad, told = held.get(k, (None, None, None, 0, False))
                 if kind == "beat":
                     if last is not None and us - last > quiet:
-                        out.append((own[0], job, "gap", us - last))
+                        out.append((k, job, "gap", us - last))
                     last, job, probed, bad, told = us, int(number), None, 0, False
                 elif last is not None and us - last >= quiet and (probed is None or us - probed >= between):
                     probed, bad = us, bad + 1 if kind == "unhealthy" else 0
                     if bad == UNHEALTHY:
-                        out.append((own[0], job, "failed", None))
-            due = last is not None and (last + quiet) // 1000
-            if due and not told and due <= state.getCurrentWatermarkMs():
-                out.append((own[0], job, "silent", None))
-                told = True
-        state.update((last, job, probed, bad, told))
-        if last is not None and not told:
-            state.setTimeoutTimestamp((last + quiet) // 1000)
-        yield pd.DataFrame(out, columns=["key", "job_id", "event", "gap_us"]).astype({"job_id": "Int64", "gap_us": "Int64"})
+                        out.append((k, job, "failed", None))
+                held[k] = (last, job, probed, bad, told)
+        now, due = state.getCurrentWatermarkMs(), []
+        for k, (last, job, probed, bad, told) in held.items():
+            if last is not None and not told:
+                ends = (last + quiet) // 1000
+                if ends <= now:
+                    out.append((k, job, "silent", None))
+                    held[k] = (last, job, probed, bad, True)
+                else:
+                    due.append(ends)
+        state.update(([None if null else k for k in held], *([h[n] for h in held.values()] for n in range(5))))
+        if due:
+            state.setTimeoutTimestamp(min(due))
+        if out:
+            yield pd.DataFrame({name: pd.Series(list(c), dtype=kind) for name, kind, c in zip(("key", "job_id", "event", "gap_us"), (object, "Int64", object, "Int64"), zip(*out, strict=True), strict=True)})
 
     own = reports.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay).select(F.col(key).alias("key"), "at", micros("at").alias("us"), F.col("job_id").cast("long").alias("job_id"), "kind")
+    group = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(KEY_GROUPS))).cast("int")
     kind = own.schema["key"].dataType.simpleString()
-    return own.groupBy("key").applyInPandasWithState(step, f"key {kind}, job_id long, event string, gap_us long", "last long, job long, probed long, bad int, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = f"key array<{kind}>, last array<long>, job array<long>, probed array<long>, bad array<int>, told array<boolean>"
+    return own.withColumn("key_group", group).groupBy("key_group").applyInPandasWithState(step, f"key {kind}, job_id long, event string, gap_us long", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_records(records: DataFrame, workflow: str, delay: str) -> DataFrame:

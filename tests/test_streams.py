@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 from lumbra.operators import telemetry as batch
@@ -77,3 +78,41 @@ def test_first_task_records_survive_replays_and_are_pruned(spark, tmp_path):
             os.remove(f"{out}/_progress/commits/{name}")
     telemetry.keep_tasks(telemetry.first_records(_stream(spark, own, schema), "workflow", "1 hour"), out)
     assert sorted(tuple(r) for r in telemetry.kept_tasks(spark, out, first.schema).collect()) == before
+
+
+def _told_alone(beats, seconds):
+    """Gaps and failures of each key by a plain loop over its reports."""
+    out, held = Counter(), {}
+    for key, at, job, kind in sorted(beats, key=lambda r: (r[1], r[2])):
+        last, of, probed, bad = held.get(key, (None, None, None, 0))
+        if kind == "beat":
+            if last and (at - last).total_seconds() > seconds:
+                out[key, of, "gap", int((at - last).total_seconds()) * 1_000_000] += 1
+            last, of, probed, bad = at, job, None, 0
+        elif last and (at - last).total_seconds() >= seconds and (probed is None or (at - probed).total_seconds() >= telemetry.PROBE_SECONDS):
+            probed, bad = at, bad + 1 if kind == "unhealthy" else 0
+            if bad == telemetry.UNHEALTHY:
+                out[key, of, "failed", None] += 1  # again, where a healthy probe came between
+        held[key] = (last, of, probed, bad)
+    return out, {(k, of, last) for k, (last, of, _, _) in held.items() if last}
+
+
+def test_silences_of_many_keys_in_few_groups(spark, tmp_path, monkeypatch):
+    """Far more keys than groups, null and large keys among them, over several batches: states and timers of a group's keys stay apart, and states are as many as groups, not as keys."""
+    monkeypatch.setattr(telemetry, "KEY_GROUPS", 3)
+    rng = random.Random(9)
+    keys = [None, 2**62 + 1, *range(60)]
+    rows = [(rng.choice(keys), T0 + timedelta(seconds=k * 5 + rng.randrange(60)), k, rng.choice(["beat", "unhealthy", "unhealthy", "healthy", "inconclusive"])) for k in range(2400)]
+    rows.sort(key=lambda r: (r[1], r[2]))  # no batch has what belongs before the one before it
+    own, schema = tmp_path / "in", "key bigint, at timestamp, job_id bigint, kind string"
+    for k in range(3):
+        _put(spark, own, rows[k * 800 : (k + 1) * 800], schema, f"p{k}")
+        got = queue.drained(telemetry.silences(_stream(spark, own, schema), "key", 600, "2 minutes"), "silences", "append", str(tmp_path / "out"))
+    found = [(r.key, r.job_id, r.event, r.gap_us) for r in got.collect()]
+    loud, last = _told_alone(rows, 600)
+    silent = [f for f in found if f[2] == "silent"]
+    assert Counter(f for f in found if f[2] != "silent") == loud and {None, 2**62 + 1} <= {f[0] for f in loud} and len(silent) == len(set(silent))
+    over = max(r[1] for r in rows) - timedelta(seconds=120 + 600)
+    assert {(k, of, "silent", None) for k, of, at in last if at < over} <= set(silent) and not {(k, of, "silent", None) for k, of, at in last if at > over} & set(silent)
+    states = spark.read.format("statestore").load(str(tmp_path / "out" / "checkpoint"))
+    assert states.count() <= 4
