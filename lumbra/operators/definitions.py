@@ -16,6 +16,7 @@ from .tables import written
 LEAST_LINES, SPLIT_OVERLAP, MOST_SIGNATURE = 20, 8, 200
 #: How lines begin that belong to what follows them.
 LEADS = ("//", "/*", "*", "#")
+PIECES = "array<struct<path: string, first: int, last: int, within: string, outer: boolean, lines: array<string>, whole: string>>"
 
 
 def _bare(text: Column) -> Column:
@@ -28,9 +29,15 @@ def trimmable(line: Column) -> Column:
 
 
 def inferred_extents(names: DataFrame, reported: DataFrame, lines: DataFrame) -> DataFrame:
+    """``inferred`` for lines (doc, line, trimmable)."""
+    ends = lines.groupBy("doc").agg((F.max("line") + 1).alias("line"))
+    return inferred(names, reported, ends, lines.where(~F.col("trimmable")).select("doc", F.col("line").alias("first"), F.col("line").alias("last")))
+
+
+def inferred(names: DataFrame, reported: DataFrame, ends: DataFrame, solid: DataFrame) -> DataFrame:
     """(doc, name, first, last) of declarations without a body.
 
-    names (doc, line, column, name), reported spans (doc, first, last), lines (doc, line, trimmable). A declaration inside a reported span is left
+    names (doc, line, column, name), reported spans (doc, first, last), ends (doc, line: the one behind the last), solid (doc, first, last): runs of lines that aren't trimmable. A declaration inside a reported span is left
     out, of several on a line the leftmost counts; it runs to the line before the next boundary, without trailing trimmable lines, and is
     left out if one line is all.
     """
@@ -40,15 +47,16 @@ def inferred_extents(names: DataFrame, reported: DataFrame, lines: DataFrame) ->
     upto = Window.partitionBy("doc").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     free = both.withColumn("_end", F.max("last").over(upto)).where("name is not null and (_end is null or _end < line)")
     own = free.groupBy("doc", "line").agg(F.min_by("name", F.struct("column", "name")).alias("name"))
-    ends = lines.groupBy("doc").agg((F.max("line") + 1).alias("line"))
     bounds = own.select("doc", "line", "name").unionByName(reported.select("doc", F.col("first").alias("line"), F.lit(None).cast("string").alias("name"))).unionByName(ends.select("doc", "line", F.lit(None).cast("string").alias("name")))
     bounds = bounds.groupBy("doc", "line").agg(F.max("name").alias("name"))
     reach = bounds.withColumn("until", F.lead("line").over(Window.partitionBy("doc").orderBy("line")) - 1).where("name is not null and until > line")
-    # The last solid line up to the end: the newest one before it, in the same order.
-    marks = lines.where(~F.col("trimmable")).select("doc", F.col("line").alias("at"), F.col("line").alias("solid"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(reach.schema["line"].dataType).alias("first"))
-    asked = reach.select("doc", F.col("until").alias("at"), F.lit(None).cast(lines.schema["line"].dataType).alias("solid"), "name", F.col("line").alias("first"))
+    # The last solid line up to the end: the newest run before it, in the same order.
+    number = solid.schema["last"].dataType
+    marks = solid.select("doc", F.col("first").alias("at"), "last", F.lit(None).cast("string").alias("name"), F.lit(None).cast(reach.schema["line"].dataType).alias("first"))
+    asked = reach.select("doc", F.col("until").alias("at"), F.lit(None).cast(number).alias("last"), "name", F.col("line").alias("first"))
     so_far = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.unionByName(asked).withColumn("last", F.max("solid").over(so_far)).where("name is not null and last > first").select("doc", "name", "first", "last")
+    got = marks.unionByName(asked).withColumn("last", F.least(F.max("last").over(so_far), F.col("at").cast(number)))
+    return got.where("name is not null and last > first").select("doc", "name", "first", "last")
 
 
 def chains(nested: DataFrame) -> DataFrame:
@@ -70,7 +78,12 @@ def qualified(nested: DataFrame) -> DataFrame:
 
 
 def own_lines(nested: DataFrame) -> DataFrame:
-    """(doc, id, line) of the lines that a span shows: those in none of its children (``spans.parents``), and each child's first."""
+    """(doc, id, line) of the lines that a span shows, see ``own_ranges``."""
+    return own_ranges(nested).select("doc", "id", F.explode(F.sequence("from", "to")).alias("line"))
+
+
+def own_ranges(nested: DataFrame) -> DataFrame:
+    """(doc, id, from, to): runs of the lines that a span shows, those in none of its children (``spans.parents``), and each child's first."""
     child = nested.where("parent is not null").select("doc", F.col("parent").alias("id"), F.lit(1).alias("kind"), "first", "last")
     every = nested.select("doc", "id", F.lit(0).alias("kind"), "first", "last").unionByName(child)
     # A span and then its children by their first lines: what shows are the lines from where those before reach to a child's first, and behind the last child. Lines become rows at the end.
@@ -79,10 +92,10 @@ def own_lines(nested: DataFrame) -> DataFrame:
     before = F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1))
     again = (F.lag("kind").over(order) == 1) & (F.lag("first").over(order) == F.col("first"))
     cut = every.select("doc", "id", "kind", "first", before.alias("_before"), F.max(reach).over(upto).alias("_reach"), F.first("last").over(upto).alias("_last"), F.coalesce(again, F.lit(False)).alias("_again"), F.lead("kind").over(order).isNull().alias("_end"))
-    gap = F.when((F.col("kind") == 1) & ~F.col("_again"), F.sequence(F.least(F.col("_before") + 1, F.col("first")), F.col("first")))
-    tail = F.when(F.col("_end") & (F.col("_reach") < F.col("_last")), F.sequence(F.col("_reach") + 1, F.col("_last")))
-    none = F.slice(F.array("first"), 1, 0)
-    return cut.select("doc", "id", F.explode(F.concat(F.coalesce(gap, none), F.coalesce(tail, none))).alias("line"))
+    run = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    gap = F.when((F.col("kind") == 1) & ~F.col("_again"), run(F.least(F.col("_before") + 1, F.col("first")), F.col("first")))
+    tail = F.when(F.col("_end") & (F.col("_reach") < F.col("_last")), run(F.col("_reach") + 1, F.col("_last")))
+    return cut.select("doc", "id", F.explode(F.array_compact(F.array(gap, tail))).alias("r")).select("doc", "id", "r.from", "r.to")
 
 
 def split_windows(bodies: DataFrame) -> DataFrame:
@@ -105,33 +118,53 @@ def split_windows(bodies: DataFrame) -> DataFrame:
     return got.withColumn("body", body).drop("_n", "_whole", "_wide", "_step")
 
 
+def windows_of(first: Column, last: Column, lines: Column) -> Column:
+    """Windows (first, last, label, body) of a run of a file's lines as an array; blank ones go before they are numbered."""
+    step, many = WINDOW - OVERLAP, last - first + 1
+    starts = F.filter(F.sequence(F.lit(0), many - 1, F.lit(step)), lambda at: (at == 0) | (at + OVERLAP < many))
+
+    def window(at: Column) -> Column:
+        start, end = first + at, F.least(last, first + at + WINDOW - 1)
+        return F.struct(start.alias("first"), end.alias("last"), F.array_join(F.slice(lines, start, end - start + 1), "\n").alias("body"))
+
+    solid = F.filter(F.transform(starts, window), lambda w: w["body"].rlike(r"\S"))
+
+    def numbered(some: Column) -> Column:
+        label = lambda k: F.when(F.size(some) > 1, F.concat(F.lit(" ["), (k + 1).cast("string"), F.lit("/"), F.size(some).cast("string"), F.lit("]"))).otherwise("")
+        return F.transform(some, lambda w, k: F.struct(w["first"].alias("first"), w["last"].alias("last"), label(k).alias("label"), w["body"].alias("body")))
+
+    return F.get(F.transform(F.array(solid), numbered), F.lit(0))
+
+
 def region_windows(regions: DataFrame, files: DataFrame) -> DataFrame:
-    """Windows (doc, first, last, label, body) of uncovered regions (doc, first, last) of files (doc, lines); blank ones go before the parts of a region are numbered."""
-    step = WINDOW - OVERLAP
-    got = regions.join(files.hint("merge"), "doc").withColumn("_m", F.col("last") - F.col("first") + 1)
-    got = got.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_m") - 1, F.lit(step)))).where((F.col("_at") == 0) | (F.col("_at") + OVERLAP < F.col("_m")))
-    start = F.col("first") + F.col("_at")
-    end = F.least(F.col("last"), start + WINDOW - 1)
-    got = got.select("doc", "first", start.alias("start"), end.alias("end"), F.array_join(F.slice("lines", start, end - start + 1), "\n").alias("body")).where(F.regexp_replace("body", r"\s", "") != "")
-    region = Window.partitionBy("doc", "first")
-    nth, parts = F.row_number().over(region.orderBy("start")), F.count("*").over(region)
-    label = F.when(parts > 1, F.concat(F.lit(" ["), nth.cast("string"), F.lit("/"), parts.cast("string"), F.lit("]"))).otherwise("")
-    return got.select("doc", F.col("start").alias("first"), F.col("end").alias("last"), label.alias("label"), "body")
+    """Windows (doc, first, last, label, body) of uncovered regions (doc, first, last) of files (doc, lines), see ``windows_of``."""
+    got = regions.join(files.hint("merge"), "doc")
+    return got.select("doc", F.explode(windows_of(F.col("first"), F.col("last"), F.col("lines"))).alias("w")).select("doc", "w.*")
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """(doc, n, solid) of files (doc, text): how many lines they have, and the runs (first, last) of those that aren't ``trimmable``."""
+    # What sorts behind all leads, as most lines do, needs no regular expression.
+    at = lambda x, k: F.when(x < "0", F.when(trimmable(x), k + 1))
+    rows = files.select("doc", split_lines(F.col("text")).alias("lines")).select("doc", F.size("lines").alias("n"), F.array_compact(F.transform("lines", at)).alias("t"))
+    rows = rows.select("doc", "n", F.concat(F.array(F.lit(0)), "t").alias("a"), F.concat("t", F.array(F.col("n") + 1)).alias("b"))
+    between = F.zip_with("a", "b", lambda a, b: F.when(b - a > 1, F.struct((a + 1).alias("first"), (b - 1).alias("last"))))
+    return rows.select("doc", "n", F.array_compact(between).alias("solid"))
 
 
 def usable_spans(definitions: DataFrame, files: DataFrame) -> DataFrame:
-    """Spans (doc, id, name, first, last) of definitions (doc, name, line, column, first, last; the last two null without a body) of files (doc, lines).
+    """Spans (doc, id, name, first, last) of definitions (doc, name, line, column, first, last; the last two null without a body) of files, given as their ``outlines``.
 
     Bodies outside the file are left out, and one over the whole file if there are other definitions; equal spans count once, by the first name in it.
     """
-    sizes = files.select("doc", F.size("lines").alias("n"))
     many = definitions.groupBy("doc").agg(F.count("*").alias("definitions"))
-    known = definitions.join(sizes.hint("merge"), "doc").join(many.hint("merge"), "doc")
+    known = definitions.join(files.select("doc", "n").hint("merge"), "doc").join(many.hint("merge"), "doc")
     good = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.col("n")) & ~((F.col("first") == 1) & (F.col("last") >= F.col("n")) & (F.col("definitions") > 1))
     reported = known.where(good & (F.col("name") != "")).groupBy("doc", "first", "last").agg(F.min_by("name", F.struct("line", "column", "name")).alias("name"))
-    lines = files.select("doc", F.posexplode("lines").alias("line", "text")).select("doc", (F.col("line") + 1).alias("line"), trimmable(F.col("text")).alias("trimmable"))
     names = known.where(F.col("first").isNull() & (F.col("line") >= 1) & (F.col("line") <= F.col("n")) & (F.col("name") != "")).select("doc", "line", "column", "name")
-    both = reported.select("doc", "name", "first", "last").unionByName(inferred_extents(names, reported.select("doc", "first", "last"), lines))
+    ends = files.select("doc", (F.col("n") + 1).alias("line"))
+    solid = files.select("doc", F.explode("solid").alias("r")).select("doc", "r.first", "r.last")
+    both = reported.select("doc", "name", "first", "last").unionByName(inferred(names, reported.select("doc", "first", "last"), ends, solid))
     return both.withColumn("id", F.col("first").cast("long") * 1_000_000_000 - F.col("last"))
 
 
@@ -141,26 +174,37 @@ def symbol_chunks(files: DataFrame, definitions: DataFrame) -> DataFrame:
     Each definition shows its own lines and one line of each nested one under a header; what no definition covers comes in windows. Files with a NUL
     give nothing; files without a usable definition give windows only.
     """
-    # Spans are small in Parquet and many as rows of lines, so no side of a join is left to be taken for a small one and sent through the driver.
-    files = written(files.where(~F.contains("text", F.char(F.lit(0)))).select("doc", split_lines(F.col("text")).alias("lines")), "lines")
-    found = written(usable_spans(definitions, files), "spans")
+    # Lines never are rows: spans and runs are told from outlines, and meet their text once. No side of a join is left to be taken for a small one and sent through the driver.
+    # A text that is computed is so once: a filter isn't pushed behind an explode.
+    files = files.select("doc", F.explode(F.array("text")).alias("text")).where(~F.contains("text", F.char(F.lit(0))))
+    known = written(outlines(files), "outlines")
+    found = written(usable_spans(definitions, known), "spans")
     nested = written(spans.parents(found.select("doc", "id", "first", "last")), "nested")
     named = written(qualified(found).select("doc", "id", "path"), "named")
-    lines = files.select("doc", F.posexplode("lines").alias("k", "text")).select("doc", (F.col("k") + 1).alias("line"), "text")
-    shown = own_lines(nested).join(lines.hint("merge"), ["doc", "line"]).groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("lines"))
+    shown = own_ranges(nested).groupBy("doc", "id").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
     parents = nested.where("parent is not null").select("doc", F.col("parent").alias("id")).distinct().withColumn("_outer", F.lit(True))
     above = named.select("doc", F.col("id").alias("parent"), F.col("path").alias("within"))
     whole = nested.join(named.hint("merge"), ["doc", "id"]).join(shown.hint("merge"), ["doc", "id"]).join(parents.hint("merge"), ["doc", "id"], "left").join(above.hint("merge"), ["doc", "parent"], "left")
-    signature = F.left(_bare(F.get("lines", F.lit(0))), F.lit(MOST_SIGNATURE))
-    folder = F.regexp_extract("doc", r"^(.*)/[^/]*$", 1)
+    of_file = whole.groupBy("doc").agg(F.collect_list(F.struct("path", "first", "last", "within", F.coalesce("_outer", F.lit(False)).alias("outer"), "runs")).alias("own"))
+    rest = spans.uncovered(known.select("doc", F.col("n").alias("n_lines")), found.select("doc", "first", "last")).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("rest"))
+    rows = files.join(of_file.hint("merge"), "doc", "left").join(rest.hint("merge"), "doc", "left").select("doc", "own", "rest", split_lines(F.col("text")).alias("all"))
+
+    def piece(path: Column, first: Column, last: Column, within: Column, outer: Column, lines: Column, body: Column) -> Column:
+        return F.struct(path.alias("path"), first.cast("int").alias("first"), last.cast("int").alias("last"), within.alias("within"), outer.alias("outer"), lines.alias("lines"), body.alias("whole"))
+
+    none, lines = F.lit(None).cast("string"), F.col("all")
+    of_span = lambda x: piece(x["path"], x["first"], x["last"], x["within"], x["outer"], F.flatten(F.transform(x["runs"], lambda r: F.slice(lines, r["from"].cast("int"), (r["to"] - r["from"] + 1).cast("int")))), none)
+    of_text = lambda w: piece(F.concat("doc", w["label"]), w["first"], w["last"], none, F.lit(False), F.array().cast("array<string>"), w["body"])
+    windows = F.flatten(F.transform("rest", lambda x: F.transform(windows_of(x["first"].cast("int"), x["last"].cast("int"), lines), of_text)))
+    pieces = F.concat(*[F.coalesce(x, F.array().cast(PIECES)) for x in (F.transform("own", of_span).cast(PIECES), windows.cast(PIECES))])
+    rows = rows.select("doc", F.explode(pieces).alias("x")).select("doc", "x.*")
+    is_text, folder = F.col("whole").isNotNull(), F.regexp_extract("doc", r"^(.*)/[^/]*$", 1)
+    signature = F.when(is_text, "").otherwise(F.left(_bare(F.get("lines", F.lit(0))), F.lit(MOST_SIGNATURE)))
     header = F.concat(
         F.lit("File: "), "doc", F.lit("\n"), F.when(folder != "", F.concat(F.lit("Namespace: "), folder, F.lit("\n"))).otherwise(""),
         F.when(F.col("within").isNotNull(), F.concat(F.lit("Within: "), "within", F.lit("\n"))).otherwise(""),
     )
-    container = F.coalesce("_outer", F.lit(False)) | signature.rlike(r"\b(?:class|interface)\b")
-    bodies = whole.select("doc", F.when(container, "Type").otherwise("Method").alias("kind"), "path", signature.alias("signature"), "first", "last", header.alias("header"), "lines")
-    cut = split_windows(bodies)
+    kind = F.when(is_text, "Text").when(F.col("outer") | signature.rlike(r"\b(?:class|interface)\b"), "Type").otherwise("Method")
+    cut = split_windows(rows.select("doc", kind.alias("kind"), "path", signature.alias("signature"), "first", "last", F.when(is_text, "").otherwise(header).alias("header"), "lines", "whole"))
     end = F.when(F.col("label") == "", F.col("last")).otherwise(F.least(F.col("last"), F.col("first") + F.col("offset") + F.col("shown") - 1))
-    own = cut.select("doc", "kind", F.concat("path", "label").alias("symbol"), "signature", (F.col("first") + F.col("offset")).alias("first"), end.alias("last"), "body")
-    rest = region_windows(spans.uncovered(files.select("doc", F.size("lines").alias("n_lines")), found.select("doc", "first", "last")), files)
-    return own.unionByName(rest.select("doc", F.lit("Text").alias("kind"), F.concat("doc", "label").alias("symbol"), F.lit("").alias("signature"), "first", "last", "body"))
+    return cut.select("doc", "kind", F.concat("path", "label").alias("symbol"), "signature", (F.col("first") + F.col("offset")).alias("first"), end.alias("last"), F.coalesce("whole", "body").alias("body"))

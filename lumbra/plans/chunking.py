@@ -42,7 +42,7 @@ FIXED = [("Outer", 2, 0, 2, 30), ("inner", 4, 2, 4, 9), ("other", 12, 2, 12, 20)
 def symbol_chunks(spark, sf_dir):
     """Documents with a word on each line, cut along definitions that stand at fixed lines."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("doc"), F.replace(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), F.lit(" "), F.lit("\n")).alias("text"))
+    files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("doc"), F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", "\n").alias("text"))
     fixed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(line).alias("line"), F.lit(c).alias("column"), F.lit(a).cast("int").alias("first"), F.lit(b).cast("int").alias("last")) for n, line, c, a, b in FIXED])
     found = files.select("doc", F.explode(fixed).alias("d")).select("doc", "d.*")
     return definitions.symbol_chunks(files, found).select("doc", "kind", "symbol", "first", "last", F.md5(F.col("body").cast("binary")).alias("md5"))
