@@ -23,7 +23,7 @@ from . import definitions
 from .chunks import MOST_CHARS
 
 TAKEN = "array<struct<kind: string, path: string, signature: string, namespace: string, first: int, last: int, whole: string, header: string, own: string>>"
-STEP, STEP_BYTES = 4096, 1_000_000  # texts and their bytes that are summed at once; a longer text is alone
+STEP, STEP_BYTES = 4096, 250_000  # texts and their bytes that are summed at once, so that they stay in a core's cache; a longer text is alone
 MOST_SIGNATURE, MOST_SUMMARY, MOST_VALUE, LONG_EXPRESSION, MARKED = 400, 200, 120, 80, 500
 _PLAIN, _VERBATIM = rb'[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', rb'"[^"]*+(?:""[^"]*+)*+"'
 #: Comments, raw, verbatim and plain strings and characters; a lone ``#`` counts as a comment.
@@ -125,14 +125,14 @@ class Statements:
         self.text, self.depth, self.head = text, summed("{", "}")(text, last), pc.ascii_ltrim_whitespace(heads.filter(pa.array(there)))
         self.end = np.where(_BOUND[ends] & ~inside[stop - 1], ends, 0)
         self.start, self.stop, self.first, self.last, self.off = first, stop, line(first), line(last), off
-        second, third = (np.append(data, 0)[np.minimum(begin + k, len(data))] for k in (1, 2))
-        self._from, self._notes = start, marks[noted & (end - begin > 2) & (second == third) & ((third == ord("/")) | (third == ord("*")) & (end - begin > 2))]
+        self._from, self._comments = start, marks[noted]
         self._nest()
 
     def notes(self, k: np.ndarray) -> list[str]:
         """The documentation before the statements: its lines that aren't blank."""
-        a, b = (np.searchsorted(self._notes[:, 0], p[k]).tolist() for p in (self._from, self.start))
-        told = [self.raw[x:y].decode() for x, y in self._notes.tolist()]
+        spans = [(x, y) for x, y in self._comments.tolist() if self.raw.startswith((b"///", b"/**"), x, y)]
+        begins, told = np.array([x for x, _ in spans], np.int64), [self.raw[x:y].decode() for x, y in spans]
+        a, b = (np.searchsorted(begins, p[k]).tolist() for p in (self._from, self.start))
         return ["\n".join(x.strip() for n in told[i:j] for x in n.split("\n") if x.strip()) if i < j else "" for i, j in zip(a, b, strict=True)]
 
     def _nest(self) -> None:
@@ -370,12 +370,16 @@ def heads_of(told: Column) -> Column:
     indexer = _if_has(told, ("this",), told.rlike(r"^[^(=]*?\bthis\s*\["), no)
     arrow = _if_has(told, ("=>",), F.regexp_extract(told, r"^[^(=]*?=>\s*(.*)$", 1), none)
     event = _if_has(told, ("event",), told.rlike(r"\bevent\s"), no)
-    return F.struct(method.alias("method"), ((method != "") & ~no_call).alias("called"), operator.alias("operator"), indexer.alias("indexer"), arrow.alias("arrow"), event.alias("event"))
+    return F.struct(method.alias("method"), no_call.alias("no_call"), operator.alias("operator"), indexer.alias("indexer"), arrow.alias("arrow"), event.alias("event"))
+
+
+def _called(h: Column) -> Column:
+    return (h["method"] != "") & ~h["no_call"]
 
 
 def _parts(y: Column, h: Column) -> tuple[Column, Column, Column]:
     """Whether a member is one with a list of parameters, a property, and one with a block of accessors."""
-    called = h["called"] | (h["operator"] != "")
+    called = _called(h) | (h["operator"] != "")
     braces = (y["sign"] == "{") & ~y["filled"] & ~called & ~h["indexer"]
     return called, (braces | (h["arrow"] != "")) & ~h["event"], braces
 
@@ -387,7 +391,7 @@ def own_of(y: Column, h: Column) -> Column:
 
 
 def name_of(told: Column, h: Column) -> Column:
-    return F.when(h["operator"] != "", F.concat(F.lit("operator "), h["operator"])).when(h["indexer"], "this[]").when(h["called"], h["method"]).otherwise(F.regexp_extract(F.regexp_replace(told, r"\s*(?:=.*)?$", ""), r"(@?\w+)$", 1))
+    return F.when(h["operator"] != "", F.concat(F.lit("operator "), h["operator"])).when(h["indexer"], "this[]").when(_called(h), h["method"]).otherwise(F.regexp_extract(F.regexp_replace(told, r"\s*(?:=.*)?$", ""), r"(@?\w+)$", 1))
 
 
 def declares(told: Column) -> Column:
